@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +44,28 @@ def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application (Spark's own file server brings it to executors)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp()  # of the driver only, which serves it
+    atexit.register(shutil.rmtree, folder, True)
+    name = f"{folder}/slatework_package.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(name)
+    _SHIPPED.add(sc.applicationId)
+
+
+def mapped(df: DataFrame, work, schema) -> DataFrame:
+    """df.mapInPandas with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInPandas(work, schema)
