@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slatework.runtime import mapped
+
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 _BASE = np.uint64(0x100000001B3)
 
@@ -104,7 +106,7 @@ def _scan(docs: DataFrame, rows: list[tuple[int, str]], doc_id: str, text: str,
             flat = np.array([x for b in bodies for x in (*b, 0)], np.uint64)
             h = rolling(flat, least)
             zeros = np.concatenate([[0], np.cumsum(flat == 0)])
-            h_ok = np.flatnonzero(zeros[least:] == zeros[: len(zeros) - least])
+            h_ok = np.flatnonzero(zeros[least:] == zeros[: max(0, len(zeros) - least)])
             lo, hi = np.searchsorted(it.seeds, h[h_ok], "left"), np.searchsorted(it.seeds, h[h_ok], "right")
             found = sorted({(int(np.searchsorted(ends, at, "right")), int(it.owner[x])) for at, a, b in zip(h_ok[hi > lo], lo[hi > lo], hi[hi > lo]) for x in range(a, b)})
             out = []
@@ -116,7 +118,7 @@ def _scan(docs: DataFrame, rows: list[tuple[int, str]], doc_id: str, text: str,
                     out.append((pdf["_doc"].iloc[d], it.ids[k], longest, len(t), covered, len(body), covered / len(body)))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest", "tiles", "covered", "item_words", "coverage"])
 
-    return docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).filter("_doc is not null and _text <> ''").mapInPandas(work, schema)
+    return mapped(docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).filter("_doc is not null and _text <> ''"), work, schema)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",

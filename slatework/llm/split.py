@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slatework.runtime import mapped
+
 ENDERS = ".!?;。！？；"
 _SPACE = re.compile(r"\s+")
 _LEVELS = (re.compile(r"\n[^\S\n]*\n\s*"), re.compile(r"\n\s*"), re.compile(rf"[{re.escape(ENDERS)}]+[\"'”’)\]]*\s*"), _SPACE)
@@ -131,4 +133,4 @@ def split_oversized(items: DataFrame, item_id: str, text: str, limit: int, overl
                     done = e
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return own.mapInPandas(work, schema)
+    return mapped(own, work, schema)
