@@ -42,11 +42,3 @@ def jaccard(a: str, b: str, n: int = 4) -> float:
     x, y = {a[i : i + n] for i in range(len(a) - n + 1)}, {b[i : i + n] for i in range(len(b) - n + 1)}
     both = len(x & y)
     return both / (len(x) + len(y) - both) if x or y else 0.0
-
-
-def digest(text: str) -> int:
-    """A signed 64-bit fingerprint of a bare text."""
-    import xxhash
-
-    v = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
-    return v - (1 << 64) if v >> 63 else v

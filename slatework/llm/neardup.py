@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatework.llm._grams import bare, digest, grams, jaccard, mix
+from slatework.llm._grams import grams, mix
 from slatework.operators.graph import connected_components
 from slatework.runtime import mapped, need, settled, ship, small
 
@@ -37,41 +37,41 @@ _TABLES: dict[tuple, np.ndarray] = {}
 
 
 def elements(hashes: np.ndarray) -> np.ndarray:
-    """Counter numbers of the distinct (shingle, occurrence) elements of a text."""
-    value, count = np.unique(hashes, return_counts=True)
-    if len(value) < len(hashes):
-        again = np.repeat(value, count - 1)
-        nth = np.arange(len(again)) - np.repeat(np.cumsum(count - 1) - (count - 1), count - 1) + 1
-        value = np.concatenate([value, mix(again + nth.astype(np.uint64))])
-    return np.unique((value & np.uint64(BUCKETS - 1)).astype(np.int64))
-
-
-def _bare_batches(batches: Iterator[pd.DataFrame], min_chars: int) -> Iterator[tuple[pd.DataFrame, list[str]]]:
-    for pdf in batches:
-        texts = [bare(t) for t in pdf["_text"]]
-        keep = [i for i, t in enumerate(texts) if len(t) >= min_chars]
-        yield pdf.iloc[keep], [texts[i] for i in keep]
-
-
-def _own(records: DataFrame, record_id: str, text: str) -> DataFrame:
+    """Counter numbers of the (shingle, occurrence) elements of a text, sorted by shingle; chance repeats stay in."""
+    s = np.sort(hashes.astype(np.uint16))
+    if len(s) > 1:
+        same = s[1:] == s[:-1]
+        if same.any():
+            at = np.arange(len(s))
+            nth = at - np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), at, 0))
+            s = s + (nth * 40503).astype(np.uint16)
+    return s
+
+
+def _own(records: DataFrame, record_id: str, text: str, min_chars: int) -> DataFrame:
+    """(_id, body, fp): the bare text (as in _grams.bare) and its fingerprint."""
     need(records, record_id, text)
-    return records.select(F.col(record_id).cast("string").alias("_id"), F.col(text).alias("_text")).filter("_id is not null and _text is not null")
+    own = records.select(F.col(record_id).cast("string").alias("_id"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "").alias("body"))
+    return own.filter((F.length("body") >= max(min_chars, SHINGLE)) & F.col("_id").isNotNull()).withColumn("fp", F.xxhash64("body"))
 
 
-def document_frequencies(records: DataFrame, min_chars: int) -> tuple[np.ndarray, int]:
-    """(records per counter, records) over all of records (columns _id, _text)."""
+def document_frequencies(bodies: DataFrame) -> tuple[np.ndarray, int]:
+    """(records per counter, records) over all rows of bodies (column body)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(BUCKETS, np.int64), 0
-        for _, texts in _bare_batches(batches, min_chars):
-            n += len(texts)
-            parts = [elements(h) for h in grams(texts, SHINGLE)]
+        for pdf in batches:
+            n += len(pdf)
+            parts = []
+            for h in grams(pdf["body"].tolist(), SHINGLE):
+                e = np.sort(elements(h))
+                parts.append(e[np.concatenate([[True], e[1:] != e[:-1]])] if len(e) else e)
             if parts:
                 total += np.bincount(np.concatenate(parts), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], n)})
 
-    rows = mapped(records, work, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = mapped(bodies.select("body"), work, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS, np.int64)
     real = rows[rows["bucket"] >= 0]
     df[real["bucket"].to_numpy(np.int64)] = real["n"].to_numpy(np.int64)
@@ -103,7 +103,7 @@ def samples_table(weights: np.ndarray, hashes: int, seed: int) -> np.ndarray:
 def band_keys(texts: list[str], table: np.ndarray, rows: int, bands: int) -> np.ndarray:
     got = np.empty((len(texts), rows * bands), np.float32)
     for i, h in enumerate(grams(texts, SHINGLE)):
-        got[i] = table[elements(h)].min(axis=0)
+        np.take(table, elements(h), axis=0).min(axis=0, out=got[i])
     bits = got.view(np.uint32).astype(np.uint64).reshape(len(texts), bands, rows)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(texts), bands))
     for k in range(rows):
@@ -118,20 +118,35 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float
 
 
 class _Verify:
-    """Weighted Jaccard of text pairs, with the elements of the texts seen last kept."""
-
-    def __init__(self, weights: np.ndarray):
-        self.weights, self.kept = weights, {}
-
-    def of(self, text: str) -> np.ndarray:
-        if text not in self.kept:
-            if len(self.kept) > 4096:
-                self.kept.clear()
-            self.kept[text] = elements(grams([text], SHINGLE)[0])
-        return self.kept[text]
-
-    def __call__(self, a: str, b: str) -> float:
-        return weighted_jaccard(self.of(a), self.of(b), self.weights)
+    """Both similarities of text pairs; what was made of the texts seen last is kept."""
+
+    def __init__(self, weights: np.ndarray, min_weighted: float, exact_min: float | None):
+        self.weights, self.min_weighted, self.exact_min = weights, min_weighted, exact_min
+        self.sets: dict[str, set[str]] = {}
+        self.parts: dict[str, np.ndarray] = {}
+
+    def set_of(self, text: str) -> set[str]:
+        if text not in self.sets:
+            if len(self.sets) > 256:
+                self.sets.clear()
+            self.sets[text] = {text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1)}
+        return self.sets[text]
+
+    def part_of(self, text: str) -> np.ndarray:
+        if text not in self.parts:
+            if len(self.parts) > 1024:
+                self.parts.clear()
+            self.parts[text] = np.unique(elements(grams([text], SHINGLE)[0]))
+        return self.parts[text]
+
+    def __call__(self, a: str, b: str) -> tuple[float, float] | None:
+        x, y = self.set_of(a), self.set_of(b)
+        both = len(x & y)
+        exact = both / (len(x) + len(y) - both)
+        if self.exact_min is not None and exact < self.exact_min:
+            return None
+        weighted = weighted_jaccard(self.part_of(a), self.part_of(b), self.weights)
+        return (weighted, exact) if weighted >= self.min_weighted else None
 
 
 def similar_texts(records: DataFrame, record_id: str, text: str, *, min_weighted: float = 0.5, min_chars: int = 100, exact_min: float | None = None,
@@ -142,17 +157,17 @@ def similar_texts(records: DataFrame, record_id: str, text: str, *, min_weighted
     min_weighted and, if exact_min is given, of plain shingle Jaccard at least that. members(fp, record_id): the
     fingerprint of every record that takes part.
     """
-    own = _own(records, record_id, text)
+    own = settled(_own(records, record_id, text, min_chars))
     sc = own.sparkSession.sparkContext
-    df, n = document_frequencies(own, min_chars)
+    df, n = document_frequencies(own)
     weights = sc.broadcast(idf(df, n))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = samples_table(weights.value, rows * bands, seed)
-        seen: dict[int, None] = {}
-        for _, texts in _bare_batches(batches, min_chars):
-            fps = [digest(t) for t in texts]
-            new = [i for i, f in enumerate(fps) if f not in seen and not seen.update({f: None})]
+        seen: set[int] = set()
+        for pdf in batches:
+            fps, texts = pdf["fp"].tolist(), pdf["body"].tolist()
+            new = [i for i, f in enumerate(fps) if f not in seen and not seen.add(f)]
             if len(seen) > 1_000_000:
                 seen.clear()
             for low in range(0, len(new), 1024):
@@ -160,17 +175,9 @@ def similar_texts(records: DataFrame, record_id: str, text: str, *, min_weighted
                 keys = band_keys([texts[i] for i in part], table, rows, bands)
                 yield pd.DataFrame({"key": keys.ravel(), "fp": np.repeat(np.array([fps[i] for i in part], np.int64), bands)})
 
-    def fingerprint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, texts in _bare_batches(batches, min_chars):
-            yield pd.DataFrame({"fp": np.array([digest(t) for t in texts], np.int64), "record_id": pdf["_id"].to_numpy()})
-
-    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, texts in _bare_batches(batches, min_chars):
-            yield pd.DataFrame({"fp": np.array([digest(t) for t in texts], np.int64), "body": texts})
-
-    keyed = mapped(own, sign, "key bigint, fp bigint")
+    keyed = mapped(own.select("fp", "body"), sign, "key bigint, fp bigint")
     # Routing only: buckets with 8 or more of one record in 64 are expected to be far above a block.
-    probe = mapped(own.filter(F.pmod(F.xxhash64("_id"), F.lit(64)) == 0), sign, "key bigint, fp bigint")
+    probe = mapped(own.filter(F.pmod(F.xxhash64("_id"), F.lit(64)) == 0).select("fp", "body"), sign, "key bigint, fp bigint")
     hot = settled(probe.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 8").select("key", (F.col("n") * 64).alias("expected")))
     heavy = None
     if hot.limit(1).count():
@@ -182,44 +189,37 @@ def similar_texts(records: DataFrame, record_id: str, text: str, *, min_weighted
     over = buckets.filter(F.size("fps") > BLOCK).select(F.xxhash64("fps").alias("key"), F.explode("fps").alias("fp"), F.size("fps").cast("bigint").alias("expected"))
     big = over if heavy is None else over.unionByName(heavy)
 
-    def judged(a: str, b: str, verify: _Verify) -> tuple[float, float] | None:
-        w = verify(a, b)
-        if w < min_weighted:
-            return None
-        e = jaccard(a, b, SHINGLE)
-        return (w, e) if exact_min is None or e >= exact_min else None
-
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        verify = _Verify(weights.value)
+        verify = _Verify(weights.value, min_weighted, exact_min)
         for pdf in batches:
-            out = [(x, y, *j) for x, y, a, b in zip(pdf["fp_a"], pdf["fp_b"], pdf["body_a"], pdf["body_b"]) if (j := judged(a, b, verify))]
+            out = [(x, y, *j) for x, y, a, b in zip(pdf["fp_a"], pdf["fp_b"], pdf["body_a"], pdf["body_b"]) if (j := verify(a, b))]
             yield pd.DataFrame(out, columns=["fp_a", "fp_b", "weighted", "exact"])
 
-    text_of = mapped(own, bodies, "fp bigint, body string")
-    first = text_of.withColumnRenamed("fp", "fp_a").withColumnRenamed("body", "body_a")
-    second = text_of.withColumnRenamed("fp", "fp_b").withColumnRenamed("body", "body_b")
+    text_of = own.select("fp", "body").dropDuplicates(["fp"])
+    first = text_of.withColumnsRenamed({"fp": "fp_a", "body": "body_a"})
+    second = text_of.withColumnsRenamed({"fp": "fp_b", "body": "body_b"})
     schema = "fp_a bigint, fp_b bigint, weighted double, exact double"
     links = mapped(pairs.join(first, "fp_a").join(second, "fp_b"), check, schema)
     if heavy is not None or over.limit(1).count():
-        links = links.unionByName(_by_blocks(big, text_of, judged, weights, schema))
-    return links.dropDuplicates(["fp_a", "fp_b"]), mapped(own, fingerprint, "fp bigint, record_id string").distinct()
+        links = links.unionByName(_by_blocks(big, text_of, lambda: _Verify(weights.value, min_weighted, exact_min), schema))
+    return links.dropDuplicates(["fp_a", "fp_b"]), own.select("fp", F.col("_id").alias("record_id")).distinct()
 
 
-def _by_blocks(big: DataFrame, text_of: DataFrame, judged, weights, schema: str) -> DataFrame:
+def _by_blocks(big: DataFrame, text_of: DataFrame, verifier, schema: str) -> DataFrame:
     """All verified pairs of big buckets: blocks of about 256 members, one task group per pair of blocks."""
     blocks = big.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("expected") / 256)).cast("int")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     met = blocks.select("key", "fp", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select("key", "fp", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     ship(big.sparkSession)
-    full = met.join(text_of.dropDuplicates(["fp"]), "fp")
+    full = met.join(text_of, "fp")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        verify = _Verify(weights.value)
+        verify = verifier()
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
         out = []
         for x, a in zip(left["fp"], left["body"]):
             for y, b in zip(right["fp"], right["body"]):
-                if (x < y or (i != j and x != y)) and (got := judged(a, b, verify)):
+                if (x < y or (i != j and x != y)) and (got := verify(a, b)):
                     out.append((min(x, y), max(x, y), *got))
         return pd.DataFrame(out, columns=["fp_a", "fp_b", "weighted", "exact"])
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.llm import leaks, neardup, repeated_lines, split
+from slatework.llm import crosssplit, groupsplit, ivfpq, leaks, mixing, neardup, quality, repeated_lines, split
 from slatework.runtime import settled, table
 
 PAGE_LIMIT, PASSAGE_LIMIT, OVERLAP = 2000, 500, 50
+#: Vocabulary of the mixture's tokenizer; a parameter, read in place.
+VOCABULARY = os.environ.get("SLATEWORK_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 PASSAGE = "level is null or level = 'passage'"
 
 
@@ -33,6 +36,17 @@ def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("source", "n_source_documents").agg(F.count("*").alias("lines"), F.max("n_clusters").alias("most_clusters"), F.max("n_days").alias("most_days"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks one of which is among the 5 most similar others of the other, at cosine 0.85 or more."""
+    near = ivfpq.most_similar(table(spark, folder, "chunk_embedding_cache"), min_similarity=0.85)
+    return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar others of every usable vector, whatever their similarity."""
+    return ivfpq.most_similar(table(spark, folder, "chunk_embedding_cache")).withColumnsRenamed({"id": "chunk_id", "other": "other_chunk_id"})
+
+
 def _oversized(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
     pages = table(spark, folder, "course_pages").withColumn("_item", F.concat_ws("#", "document_id", F.col("page_number").cast("string")))
     pages = pages.withColumns({"page_start": F.col("page_number"), "page_end": F.col("page_number")})
@@ -74,6 +88,50 @@ def p4_page_groups(spark: SparkSession, folder: str) -> DataFrame:
     return pages.agg(F.countDistinct("chunk_id").alias("passages"))
 
 
+def _split_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    return crosssplit.cross_split_pairs(table(spark, folder, "public_course_eval_reviewed"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions of dev or test that stand, exactly or almost, in train."""
+    return _split_overlaps(spark, folder).select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How many questions of each split and source overlap with train, and in how many pairs."""
+    pairs = _split_overlaps(spark, folder)
+    about = table(spark, folder, "public_course_eval_reviewed").dropDuplicates(["id"]).select(F.col("id").alias("eval_id"), F.col("courseware_source").alias("source"))
+    by = pairs.join(about, "eval_id").groupBy(F.col("eval_split").alias("split"), "source")
+    return by.agg(F.countDistinct("eval_id").alias("questions"), F.count("*").alias("pairs"), F.count("similarity").alias("by_text"), F.count_if("same_pages").alias("by_pages"), F.max("containment").alias("most_contained"))
+
+
+def _question_groups(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, folder, "public_course_eval_reviewed")
+    keys = {"document": F.when(F.trim("document_id") != "", F.col("document_id")), "pair": crosssplit.clean_name(F.col("pair_id"))}
+    return rows, settled(groupsplit.components(rows, "id", keys))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The questions of every group of tied questions that now stands in more than one split."""
+    rows, groups = _question_groups(spark, folder)
+    now = rows.select("id", crosssplit.clean_name(F.col("split")).alias("split"))
+    torn = groups.join(now, "id").groupBy("group_id").agg(F.min("split").alias("low"), F.max("split").alias("high")).filter("low <> high").select("group_id")
+    return groups.join(torn, "group_id").select("group_id", "id")
+
+
+def p6_assigned(spark: SparkSession, folder: str) -> DataFrame:
+    """A split for every question, 8 to 1 to 1, with tied questions together."""
+    _, groups = _question_groups(spark, folder)
+    return groupsplit.assign_splits(groups, {"train": 0.8, "dev": 0.1, "test": 0.1})
+
+
+def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions, groups and share of each split of p6_assigned."""
+    by = p6_assigned(spark, folder).groupBy("split").agg(F.count("*").alias("questions"), F.countDistinct("group_id").alias("groups"))
+    total = by.agg(F.sum("questions").alias("total"))
+    return by.join(F.broadcast(total)).select("split", "questions", "groups", (F.col("questions") / F.col("total")).alias("share"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold at least 12 consecutive words of a held-out item."""
     found = leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout_items"), min_tile=12, min_longest=12)
@@ -85,5 +143,31 @@ def p7_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout_items"), min_tile=5, min_coverage=0.5).dropDuplicates(["doc_id", "item_id"])
 
 
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(mixing.token_counts(table(spark, folder, "documents"), VOCABULARY), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source of mix_targets in the mixture."""
+    return _mixture(spark, folder)[1]
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture: documents and how often each is used."""
+    return _mixture(spark, folder)[0]
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents most of whose characters are list entries, table cells or junk."""
+    scored, limits = quality.judge(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+    return quality.find_junk(scored, limits).select("doc_id").distinct()
+
+
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's statistics, distance from prose and each statistic's part in it."""
+    scored, _ = quality.judge(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+    return scored
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}

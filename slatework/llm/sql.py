@@ -13,6 +13,31 @@ r AS (SELECT l.source_id, k FROM l JOIN n USING (source_id) WHERE k <> '' GROUP
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_P1_LINES} SELECT document_id, CAST(page_number AS BIGINT) AS page_number, CAST(line_no AS BIGINT) AS line_no FROM l SEMI JOIN r USING (source_id, k)",
+        "p2_found": """
+            WITH v AS (SELECT chunk_id, any_value(CAST(embedding AS DOUBLE[64])) AS e FROM chunk_embedding_cache
+                       WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
+            s AS (SELECT a.chunk_id AS x, b.chunk_id AS y, round(array_cosine_similarity(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.chunk_id <> b.chunk_id),
+            t AS (SELECT x, y FROM s QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5 AND c >= 0.85)
+            SELECT DISTINCT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM t""",
+        "p5_found": r"""
+            WITH q AS (SELECT DISTINCT ON (id) id, nullif(lower(trim(split)), '') AS s, document_id, list_sort(list_distinct(relevant_pages)) AS p,
+                              regexp_replace(lower(coalesce(query, '')), '[^\p{L}\p{N}]+', '', 'g') AS t FROM public_course_eval_reviewed),
+            g AS (SELECT *, CASE WHEN length(t) < 4 THEN [] ELSE list_distinct(list_transform(range(1, length(t) - 2), lambda i: substring(t, CAST(i AS BIGINT), 4))) END AS f FROM q),
+            m AS (SELECT a.id AS x, b.id AS y, len(list_intersect(a.f, b.f)) AS n, len(a.f) + len(b.f) AS z, a.document_id = b.document_id AND len(a.p) > 0 AND a.p = b.p AS same
+                  FROM g a JOIN g b ON a.s = 'train' AND b.s IN ('dev', 'test'))
+            SELECT least(x, y) AS id_a, greatest(x, y) AS id_b FROM m WHERE same OR (z > n AND n * 10 >= 6 * (z - n))""",
+        "p6_found": """
+            WITH RECURSIVE q AS (SELECT DISTINCT ON (id) id, document_id AS d, nullif(lower(trim(pair_id)), '') AS p, nullif(lower(trim(split)), '') AS s FROM public_course_eval_reviewed),
+            e AS (SELECT a.id AS x, b.id AS y FROM q a JOIN q b ON a.d = b.d UNION SELECT a.id, b.id FROM q a JOIN q b ON a.p = b.p),
+            r AS (SELECT id AS x, id AS y FROM q UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+            c AS (SELECT x AS id, min(y) AS group_id FROM r GROUP BY x),
+            t AS (SELECT group_id FROM c JOIN q USING (id) GROUP BY group_id HAVING count(DISTINCT s) > 1)
+            SELECT group_id, id FROM c SEMI JOIN t USING (group_id)""",
+        "p7_found": r"""
+            WITH t AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(regexp_replace(lower(text), '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS x FROM documents WHERE text <> ''
+                  UNION ALL SELECT 'i', item_id, regexp_extract_all(regexp_replace(lower(text), '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') FROM heldout_items),
+            g AS (SELECT kind, id, unnest(list_transform(range(1, len(x) - 10), lambda i: array_to_string(x[i:i + 11], ' '))) AS s FROM t WHERE len(x) >= 12)
+            SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.kind = 'd' AND i.kind = 'i' AND d.s = i.s""",
         "p3_found": r"""
             WITH i AS (SELECT DISTINCT 'page' AS item_kind, document_id || '#' || page_number AS item_id, text, 2001 AS over FROM course_pages WHERE length(text) > 2000
                  UNION ALL SELECT DISTINCT 'chunk', chunk_id, text, 501 FROM course_chunks WHERE (level IS NULL OR level = 'passage') AND length(text) > 500),
