@@ -33,7 +33,7 @@ def _meta(**known):
 
 def pages_of_text(files: DataFrame) -> DataFrame:
     """PAGE rows of text files (path, content): pages end at a form feed or a line '--- page ---' and keep their numbers."""
-    body = F.regexp_replace(F.decode("content", F.lit("UTF-8")), r"\r\n?", "\n")
+    body = F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n")
     parts = files.select(X.content_id(F.col("content")).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.posexplode(F.split(body, r"(?im)\f|^\s*---\s*page\s*---\s*$", -1)).alias("p", "raw"))
     parts = parts.withColumn("text", X.strip(F.col("raw"))).filter(F.length("text") > 0)
     first = X.strip(F.get(X.lines(F.col("text")), F.lit(0)))
