@@ -17,6 +17,8 @@
 
 Defined cases: null texts and texts with fewer than min_chars letters and digits take no part; a null id is ignored;
 a repeated id counts once; copies are linked through their common fingerprint; an empty table gives an empty result.
+In a family of different texts that makes up a large share of all records, shared shingles are common and weigh
+little: only its closest members reach a given weighted similarity.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from slatework.llm._grams import grams, mix
 from slatework.operators.graph import connected_components
 from slatework.runtime import mapped, need, settled, ship, small
 
-SHINGLE, BUCKETS, ROWS, BANDS, BLOCK = 4, 1 << 16, 5, 32, 64
+SHINGLE, BUCKETS, ROWS, BANDS, BLOCK = 4, 1 << 16, 5, 40, 64
 _TABLES: dict[tuple, np.ndarray] = {}
 
 
@@ -56,14 +58,21 @@ def _own(records: DataFrame, record_id: str, text: str, min_chars: int) -> DataF
 
 
 def document_frequencies(bodies: DataFrame) -> tuple[np.ndarray, int]:
-    """(records per counter, records) over all rows of bodies (column body)."""
+    """(records per counter, records) over all rows of bodies (fp, body).
+
+    A text counts once a task however often it comes, so a hot group of copies does not make its shingles common.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(BUCKETS, np.int64), 0
+        seen: set[int] = set()
         for pdf in batches:
-            n += len(pdf)
+            texts = [t for f, t in zip(pdf["fp"].tolist(), pdf["body"].tolist()) if f not in seen and not seen.add(f)]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            n += len(texts)
             parts = []
-            for h in grams(pdf["body"].tolist(), SHINGLE):
+            for h in grams(texts, SHINGLE):
                 e = np.sort(elements(h))
                 parts.append(e[np.concatenate([[True], e[1:] != e[:-1]])] if len(e) else e)
             if parts:
@@ -71,7 +80,7 @@ def document_frequencies(bodies: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], n)})
 
-    rows = mapped(bodies.select("body"), work, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = mapped(bodies.select("fp", "body"), work, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS, np.int64)
     real = rows[rows["bucket"] >= 0]
     df[real["bucket"].to_numpy(np.int64)] = real["n"].to_numpy(np.int64)
