@@ -111,7 +111,7 @@ def statistics(text: str) -> tuple[str, list[float]]:
 def text_statistics(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, language, STATS...) of every document with text."""
     need(documents, doc_id, text)
-    own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).filter(F.col("doc_id").isNotNull() & F.col("_text").rlike(r"\S"))
+    own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).filter(F.col("doc_id").isNotNull() & F.col("_text").rlike(r"(?U)\S"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
