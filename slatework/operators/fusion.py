@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatework.operators.sparse import top_k
+from slatework.runtime import ship
 
 
 def to_pages(ranked: DataFrame, chunks: DataFrame, pages: DataFrame, k: int = 5, candidates: int = 50) -> DataFrame:
@@ -44,3 +48,16 @@ def reranked(candidates: DataFrame, score: str, k: int = 5) -> DataFrame:
     line = Window.partitionBy("query_id").orderBy(F.desc(score), F.col("_before"))
     out = candidates.withColumnRenamed("rank", "_before").withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k)
     return out.drop("_before").withColumn("score", F.col(score))
+
+
+def scored_pairs(candidates: DataFrame, reranker: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> DataFrame:
+    """candidates (with query and text) with second, the score of an injected pair model that is loaded once a worker."""
+    ship(candidates.sparkSession)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = reranker()
+        for q, t in batches:
+            yield pd.Series([float(x) for x in model(q.tolist(), t.tolist())])
+
+    return candidates.withColumn("second", score("query", "text"))
