@@ -235,14 +235,21 @@ def _by_blocks(big: DataFrame, text_of: DataFrame, verifier, schema: str) -> Dat
     return full.groupBy("key", "i", "j").applyInPandas(within, schema)
 
 
-def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(record_a, record_b, exact), a < b: every pair of records whose texts are linked or the same."""
-    a, b = members.select(F.col("fp").alias("fp_a"), F.col("record_id").alias("x")), members.select(F.col("fp").alias("fp_b"), F.col("record_id").alias("y"))
+def record_pairs(links: DataFrame, members: DataFrame, max_copies: int = 256) -> DataFrame:
+    """(record_a, record_b, exact), a < b: every pair of records whose texts are linked or the same.
+
+    A text with more than max_copies copies is not expanded into all pairs: its smallest record stands for it in the
+    links to other texts, and each further copy has one pair with that record, which carries the membership.
+    """
+    sized = members.groupBy("fp").agg(F.count("*").alias("n"), F.min("record_id").alias("low"))
+    known = settled(members.join(sized, "fp"))
+    stand = known.filter((F.col("n") <= max_copies) | (F.col("record_id") == F.col("low"))).select("fp", "record_id")
+    a, b = stand.select(F.col("fp").alias("fp_a"), F.col("record_id").alias("x")), stand.select(F.col("fp").alias("fp_b"), F.col("record_id").alias("y"))
     across = links.join(a, "fp_a").join(b, "fp_b").select("x", "y", "exact")
-    many = members.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    copies = members.join(many, "fp")
-    same = copies.select(F.col("fp"), F.col("record_id").alias("x")).join(copies.select("fp", F.col("record_id").alias("y")), "fp").filter("x < y").select("x", "y", F.lit(1.0).alias("exact"))
-    both = across.unionByName(same)
+    few = known.filter(F.col("n").between(2, max_copies))
+    same = few.select("fp", F.col("record_id").alias("x")).join(few.select("fp", F.col("record_id").alias("y")), "fp").filter("x < y").select("x", "y", F.lit(1.0).alias("exact"))
+    star = known.filter((F.col("n") > max_copies) & (F.col("record_id") != F.col("low"))).select(F.col("low").alias("x"), F.col("record_id").alias("y"), F.lit(1.0).alias("exact"))
+    both = across.unionByName(same).unionByName(star)
     return both.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b"), "exact").distinct()
 
 
