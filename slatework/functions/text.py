@@ -13,8 +13,13 @@ from slatework.runtime import ship
 
 WS = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 NL = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
+#: Fixed values that results depend on: end marks, words of a footer, section headings, token patterns.
 ENDS = r"[.!?。！？]$"
 
+FOOTER = r"copyright|university|unimelb|lecture|slide|page|<n>\s*/\s*<n>"
+SECTION_HAN, SECTION_LATIN = r"^第[0-9一二三四五六七八九十百]+[章节篇单元]", r"(?i)^(chapter|unit|module|part)\s+[0-9ivx]+\b"
+LATIN_TOKEN, FORMULA_TOKEN, HAN_RUN = r"[a-z0-9]+(?:[-_.][a-z0-9]+)*", "[\u0370-\u03ff]+|[+*/=^]+", "[\u3400-\u9fff]+"
+
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
@@ -35,7 +40,7 @@ def repeated_line_form(c: Column) -> Column:
 
 
 def looks_like_footer(c: Column) -> Column:
-    return c.rlike(r"copyright|university|unimelb|lecture|slide|page|<n>\s*/\s*<n>")
+    return c.rlike(FOOTER)
 
 
 def heading(title: Column, text: Column) -> Column:
@@ -48,7 +53,7 @@ def heading(title: Column, text: Column) -> Column:
 
 def starts_section(head: Column) -> Column:
     h = F.btrim(head, F.lit("# "))
-    return F.coalesce(h.rlike(r"^第[0-9一二三四五六七八九十百]+[章节篇单元]") | h.rlike(r"(?i)^(chapter|unit|module|part)\s+[0-9ivx]+\b"), F.lit(False))
+    return F.coalesce(h.rlike(SECTION_HAN) | h.rlike(SECTION_LATIN), F.lit(False))
 
 
 def truncated(text: Column, limit: int) -> Column:
@@ -91,8 +96,8 @@ def mixed_tokens(text: Column) -> Column:
     low = F.lower(text)
     found = lambda p: F.regexp_extract_all(low, F.lit(p), F.lit(0))
     pairs = lambda r: F.when(F.length(r) > 1, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    han = F.flatten(F.transform(found("[㐀-鿿]+"), lambda r: F.concat(F.split(r, ""), pairs(r))))
-    return F.concat(found(r"[a-z0-9]+(?:[-_.][a-z0-9]+)*"), found("[Ͱ-Ͽ]+|[+*/=^]+"), han)
+    han = F.flatten(F.transform(found(HAN_RUN), lambda r: F.concat(F.split(r, ""), pairs(r))))
+    return F.concat(found(LATIN_TOKEN), found(FORMULA_TOKEN), han)
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
