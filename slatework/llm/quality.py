@@ -45,6 +45,8 @@ _END = re.compile(r"[.!?。！？…][\"'”’)\]]*$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 _BLOCK, _SPACES, _DIGITS = re.compile(r"\n[^\S\n]*\n"), re.compile(r"\s+"), re.compile(r"\d+")
 _ITEM = re.compile(r"^\s*(?:[-*•·‣–—]|\(?\d{1,3}[.):]|[a-zA-Z][.)])\s+")
+#: What wrong decoding leaves behind.
+_BROKEN = re.compile("[\u00a1-\u00bf\u00c2\u00c3\u00e2\u0153\u20ac\ufffd]")
 _CELL = re.compile(r"\t|\s\|\s|^\||\|$|;|=")
 
 
@@ -65,29 +67,30 @@ def _solid(text: str) -> int:
 
 
 def sentence_chars(text: str) -> int:
-    """Characters that stand in sentences: an end mark, enough words, some of them common, few marks of cells."""
+    """Characters that stand in sentences: enough words, some of them common (more where the end mark is lost), few marks of cells."""
     total = 0
     for block in _BLOCK.split(text):
         parts, run = [], []
         for line in block.split("\n"):
-            if _ITEM.match(line) and not (_END.search(line.rstrip()) and len(_WORD.findall(line)) >= 8):
+            if _ITEM.match(line) and len(_WORD.findall(line)) < (8 if _END.search(line.rstrip()) else 12):
                 parts.append("\n".join(run))
                 run = []
             else:
                 run.append(line)
         parts.append("\n".join(run))
         for s in [x for part in parts for x in _SENTENCE.split(part.strip())]:
-            if not s or not _END.search(s):
+            if not s:
                 continue
             w = _WORD.findall(s.lower())
             n = len(w)
+            ended = _END.search(s) is not None
             han = n and "一" <= w[n // 2] <= "鿿"
-            if n < (7 if han else 5):
+            if n < (7 if han else 5) or (not ended and n < 12):
                 continue
             common = _COMMON["zh"] if han else _LATIN
             size = _solid(s)
-            if (sum([x in common for x in w]) >= 0.1 * n and sum(map(len, w)) >= 0.5 * size and s.count("\n") <= max(2, len(s) / 25)
-                    and len(set(w)) >= 0.5 * min(n, 40) and len(_CELL.findall(s)) <= 2 + n // 12):
+            if (sum([x in common for x in w]) >= (0.1 if ended else 0.2) * n and sum(map(len, w)) >= 0.5 * size and s.count("\n") <= max(2, len(s) / 25)
+                    and len(_BROKEN.findall(s)) <= 1 + 0.03 * size and len(set(w)) >= 0.5 * min(n, 40) and len(_CELL.findall(s)) <= 2 + n // 12):
                 total += size
     return total
 
