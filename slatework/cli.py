@@ -205,7 +205,7 @@ def build_negative_review_pack(s, a):
 
 
 def apply_negative_reviews(s, a):
-    schema = schemas.TRIPLET.add("review_id", "string").add("review_decision", "string").add("review_note", "string")
+    schema = schemas.REVIEWED
     kept, counts = mining.apply_reviews(readers.read_jsonl(s, a.reviews, schema), not a.allow_incomplete)
     sinks.write_jsonl(kept, a.output)
     say({"decisions": rows(counts), "output": a.output})

@@ -131,4 +131,30 @@ def review_pack(examples: DataFrame, chunks: DataFrame, rendered: DataFrame | No
     return out.withColumn("missing", F.col("page_text").isNull())
 
 
-__all__ = ["apply_reviews", "chunk_hits", "count_by", "difficulty", "hard_negatives", "negative_pack", "pair_rows", "positives", "reranker_pairs", "review_pack", "train_cross_encoder", "training_steps"]
+def example_evidence(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, document_id, documents, chunk_ids, missing): page chunks behind candidates (id, source_name, relevant_pages).
+
+    documents counts the documents that a source name leads to, missing the pages that have no chunk.
+    """
+    level = F.col("level") == "page"
+    of_page = chunks.filter(level).select(F.col("metadata.source_name").alias("source_name"), F.col("page_start").alias("page"), F.col("document_id").alias("d"), "chunk_id")
+    wants = candidates.select("id", "source_name", F.explode(F.array_distinct("relevant_pages")).alias("page"))
+    found = wants.join(of_page, ["source_name", "page"], "left").groupBy("id")
+    return found.agg(F.min("d").alias("document_id"), F.countDistinct("d").alias("documents"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.count_if(F.col("d").isNull()).alias("missing"))
+
+
+def build_examples(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """candidates with document_id, relevant_chunk_ids and pair_id (second part of the id); ValueError where evidence is missing or not unique."""
+    found = example_evidence(candidates, chunks)
+    bad = found.filter("missing > 0 or documents <> 1").orderBy("id").limit(1).collect()
+    if bad:
+        raise ValueError(f"example {bad[0]['id']}: {bad[0]['missing']} pages without a chunk, {bad[0]['documents']} documents")
+    own = found.select("id", "document_id", F.col("chunk_ids").alias("relevant_chunk_ids"), F.get(F.split("id", "-"), F.lit(1)).alias("pair_id"))
+    return candidates.drop("document_id", "relevant_chunk_ids", "pair_id").join(own, "id")
+
+
+def render_summary(rendered: DataFrame) -> DataFrame:
+    return rendered.agg(F.count("*").alias("pages"), F.count_if("requires_vision").alias("requires_vision"))
+
+
+__all__ = ["apply_reviews", "build_examples", "chunk_hits", "count_by", "difficulty", "example_evidence", "hard_negatives", "negative_pack", "pair_rows", "positives", "render_summary", "reranker_pairs", "review_pack", "train_cross_encoder", "training_steps"]

@@ -355,6 +355,14 @@ def review_pack(s, d):
     return out.select("id", "document_id", F.col("page").cast("bigint").alias("page"), "missing", F.length("page_text").cast("bigint").alias("size"))
 
 
+@query
+def example_evidence(s, d):
+    """Page chunks behind the questions, found by file name and page."""
+    e = _examples(s, d).filter("courseware_source is not null").withColumnRenamed("courseware_source", "source_name")
+    out = mining.example_evidence(e, _chunks(s, d))
+    return out.select("id", "document_id", _long("documents"), F.size("chunk_ids").cast("bigint").alias("chunks"), _long("missing"))
+
+
 @query
 def pair_components(s, d):
     """Documents tied by common question sets."""

@@ -215,6 +215,9 @@ def oracle_sql() -> dict[str, str]:
         "review_pack": f"""WITH {EXAMPLES}, {CHUNKS}, g AS (SELECT document_id, page_start AS page, any_value(text) AS t FROM c WHERE level = 'page' AND page_start = page_end GROUP BY ALL),
             w AS (SELECT id, document_id, unnest(CASE WHEN coalesce(len(relevant_pages), 0) = 0 THEN [NULL] ELSE list_distinct(relevant_pages) END) AS page FROM e)
             SELECT w.id, w.document_id, CAST(w.page AS BIGINT) AS page, g.t IS NULL AS missing, length(g.t) AS size FROM w LEFT JOIN g USING (document_id, page)""",
+        "example_evidence": f"""WITH {EXAMPLES}, {CHUNKS}, g AS (SELECT metadata.source_name AS source_name, page_start AS page, document_id AS d, chunk_id FROM c WHERE level = 'page'),
+            w AS (SELECT id, courseware_source AS source_name, unnest(list_distinct(relevant_pages)) AS page FROM e WHERE courseware_source IS NOT NULL)
+            SELECT id, min(d) AS document_id, count(DISTINCT d) AS documents, count(DISTINCT chunk_id) AS chunks, count(*) FILTER (d IS NULL) AS missing FROM w LEFT JOIN g USING (source_name, page) GROUP BY id""",
         "pair_components": """WITH RECURSIVE e AS (SELECT DISTINCT document_id AS d, lower(trim(pair_id)) AS p FROM public_course_eval_reviewed WHERE document_id IS NOT NULL AND pair_id IS NOT NULL),
             l AS (SELECT DISTINCT a.d AS x, b.d AS y FROM e a JOIN e b USING (p)), r AS (SELECT d AS x, d AS y FROM e UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
             SELECT x AS document_id, min(y) AS component FROM r GROUP BY x HAVING count(DISTINCT y) > 1""",

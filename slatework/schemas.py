@@ -16,6 +16,7 @@ CHUNK = _t(chunk_id=S, document_id=S, page_start=I, page_end=I, text=S, section=
 RENDERED_PAGE = _t(document_id=S, page_number=I, image_path=S, source_path=S, width=I, height=I, sha256=S, requires_vision=B, role=S, visual_risk_score=D)
 EXAMPLE = _t(id=S, query=S, document_id=S, relevant_pages=T.ArrayType(I), relevant_chunk_ids=T.ArrayType(S), question_type=S, split=S, annotation_status=S, answer_hint=S)
 TRIPLET = _t(query=S, positive_chunk_id=S, negative_chunk_id=S, negative_rank=I, miner=S, difficulty=S)
+REVIEWED = T.StructType([*TRIPLET.fields, *_t(review_id=S, review_decision=S, review_note=S).fields])
 PAIR = _t(query=S, text=S, label=D)
 RESULT = _t(query_id=S, chunk_id=S, score=D, rank=I)
 QUESTION_TYPES = ("text", "formula", "table_chart", "visual_only", "cross_page")

@@ -232,3 +232,26 @@ def test_jsonl_and_manifests(spark, tmp_path):
         readers.read_page_manifests(spark, str(tmp_path / "m*.jsonl"))
     info = sinks.write_review_page(rows, str(tmp_path / "r.html"), "Review", mining.DECISIONS)
     assert info["rows"] == 1 and "pending" in (tmp_path / "r.html").read_text()
+
+
+def test_examples_from_evidence(spark):
+    c = chunks_of(spark, [("p1", "d", 1, 1, "t", "page"), ("p2", "d", 2, 2, "t", "page"), ("x1", "e", 1, 1, "t", "page")])
+    c = c.withColumn("metadata", c.metadata.withField("source_name", F.when(F.col("document_id") == "d", "a.pdf").otherwise("b.pdf")))
+    wants = spark.createDataFrame([("public-set1-001", "q", "a.pdf", [2, 1])], "id string, query string, source_name string, relevant_pages array<int>")
+    got = mining.build_examples(wants, c).first()
+    assert (got["document_id"], got["relevant_chunk_ids"], got["pair_id"]) == ("d", ["p1", "p2"], "set1")
+    for bad in (wants.withColumn("relevant_pages", F.array(F.lit(7))), wants.withColumn("source_name", F.lit("none.pdf"))):
+        with pytest.raises(ValueError, match="without a chunk"):
+            mining.build_examples(bad, c)
+
+
+def test_streamed_pages(spark, tmp_path):
+    from slatework.streaming import ingest
+
+    line = '{"document_id": "d", "page_number": %d, "text": "Some text here.", "ingested_at": "2026-01-0%dT00:00:00Z"}\n'
+    (tmp_path / "in").mkdir()
+    for n, day in ((1, 1), (2, 2), (1, 2)):
+        (tmp_path / f"in/{n}{day}.json").write_text(line % (n, day))
+        ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "30 days").awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["page_number"] for r in got) == [1, 2] and {r["role"] for r in got} == {"content"}
