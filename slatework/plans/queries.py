@@ -188,12 +188,12 @@ def _bm25(s, d, k=5, level="passage"):
 
 @query
 def bm25_topk(s, d):
-    return _bm25(s, d).select("query_id", "chunk_id", F.round("score", 4).alias("score"), _long("rank"))
+    return _bm25(s, d).select("query_id", "chunk_id", "score", _long("rank"))
 
 
 @query
 def bm25_level_weighted(s, d):
-    return _bm25(s, d, level=None).select("query_id", "chunk_id", F.round("score", 4).alias("score"), _long("rank"))
+    return _bm25(s, d, level=None).select("query_id", "chunk_id", "score", _long("rank"))
 
 
 def _vectors(s, d, queries: bool):
@@ -223,7 +223,7 @@ def dense_label_precision(s, d):
 def visual_topk(s, d):
     """Page vectors stand in for page images: document = label, page = id."""
     p = _vectors(s, d, False).select(F.concat(F.lit("doc-"), F.col("label").cast("string")).alias("document_id"), F.col("vec_id").cast("int").alias("page_number"), "embedding")
-    return dense.visual_search(_vectors(s, d, True), p, 5).select("query_id", "document_id", _long("page_number"), F.round("score", 6).alias("score"))
+    return dense.visual_search(_vectors(s, d, True), p, 5).select("query_id", "document_id", _long("page_number"), "score")
 
 
 @query
@@ -239,7 +239,7 @@ def _to_pages(s, d, k=5):
 
 @query
 def bm25_pages(s, d):
-    return _to_pages(s, d).select("query_id", "document_id", _long("page_number"), F.round("score", 4).alias("score"), _long("rank"))
+    return _to_pages(s, d).select("query_id", "document_id", _long("page_number"), "score", _long("rank"))
 
 
 def _systems(s, d):

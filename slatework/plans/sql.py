@@ -164,14 +164,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM u WHERE error IS NOT NULL UNION ALL SELECT chunk_id, 'missing child' FROM w WHERE f IS NULL UNION ALL SELECT child, 'does not link back' FROM w WHERE f IS NOT NULL AND back IS DISTINCT FROM chunk_id""",
         "token_counts": f"WITH {PASSAGES} SELECT chunk_id, CAST(len({tokens('text')}) AS BIGINT) AS tokens FROM c",
         "bm25_idf": f"WITH {PASSAGES}, {EXAMPLES}, {bm25(PASSAGES)} SELECT term, df, round(idf, 6) AS idf FROM ri",
-        "bm25_topk": f"WITH {PASSAGES}, {EXAMPLES}, {bm25(PASSAGES)} SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM r",
-        "bm25_level_weighted": f"WITH {CHUNKS}, {EXAMPLES}, {bm25(CHUNKS)} SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM r",
+        "bm25_topk": f"WITH {PASSAGES}, {EXAMPLES}, {bm25(PASSAGES)} SELECT query_id, chunk_id, score, rank FROM r",
+        "bm25_level_weighted": f"WITH {CHUNKS}, {EXAMPLES}, {bm25(CHUNKS)} SELECT query_id, chunk_id, score, rank FROM r",
         "dense_topk": f"WITH {DENSE} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d QUALIFY rank <= 5",
         "dense_label_precision": f"WITH {DENSE}, k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 11) SELECT want, count(*) AS neighbours, count(*) FILTER (label = want) AS same_label FROM k WHERE query_id <> vec_id GROUP BY want",
         "visual_topk": f"WITH {DENSE} SELECT query_id, 'doc-' || label AS document_id, vec_id AS page_number, score FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5",
         "cache_faults": f"""WITH {PASSAGES}, h AS (SELECT DISTINCT ON (chunk_id) chunk_id, text_sha256 FROM chunk_embedding_cache)
             SELECT chunk_id, 'duplicate' AS fault FROM chunk_embedding_cache GROUP BY chunk_id HAVING count(*) > 1 UNION ALL SELECT c.chunk_id, 'text changed' FROM c JOIN h USING (chunk_id) WHERE h.text_sha256 IS DISTINCT FROM sha256(c.text)""",
-        "bm25_pages": f"WITH {PASSAGES}, {EXAMPLES}, {PAGES}, {bm25(PASSAGES, k=20)}, {to_pages('g', 'r', 5)} SELECT query_id, document_id, {cast('page_number')}, round(score, 4) AS score, rank FROM g",
+        "bm25_pages": f"WITH {PASSAGES}, {EXAMPLES}, {PAGES}, {bm25(PASSAGES, k=20)}, {to_pages('g', 'r', 5)} SELECT query_id, document_id, {cast('page_number')}, score, rank FROM g",
         "rrf_chunks": f"WITH {BOTH}, {rrf({'r': 1.0, 'z': 3.0}, 'chunk_id', candidates=20)} SELECT * FROM fr",
         "rrf_pages": f"WITH {BOTH}, {PAGES}, {to_pages('g', 'r', 20, 20)}, {to_pages('y', 'z', 20, 20)}, {rrf({'g': 1.0, 'y': 1.0}, 'document_id, page_number')} SELECT query_id, document_id, {cast('page_number')}, score, rank FROM fr",
         "reranked_by_length": f"WITH {PASSAGES}, {EXAMPLES}, {bm25(PASSAGES, k=20)} SELECT query_id, chunk_id, CAST(-length(text) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY length(text), r.rank) AS rank FROM r JOIN c USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(text), r.rank) <= 5",
