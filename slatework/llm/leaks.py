@@ -85,10 +85,24 @@ class _Items:
         for item, text in rows:
             self.ids.append(item)
             self.bodies.append([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)])
-        pairs = [(h, k) for k, b in enumerate(self.bodies) for h in rolling(np.array(b, np.uint64), least).tolist()]
-        pairs = sorted(set(pairs))
-        self.seeds = np.array([h for h, _ in pairs], np.uint64)
-        self.owner = np.array([k for _, k in pairs], np.int64)
+        rows_of = [(h, k, j) for k, b in enumerate(self.bodies) for j, h in enumerate(rolling(np.array(b, np.uint64), least).tolist())]
+        rows_of.sort()
+        self.seeds = np.array([h for h, _, _ in rows_of], np.uint64)
+        self.owner = np.array([k for _, k, _ in rows_of], np.int64)
+        self.start = np.array([j for _, _, j in rows_of], np.int64)
+        self.sizes = np.array([len(b) for b in self.bodies], np.int64)
+
+    def candidates(self, document: np.ndarray, low: np.ndarray, high: np.ndarray, least: int, min_longest: int, min_coverage: float) -> list[tuple[int, int]]:
+        """(document, item) of the hits whose seeds could cover enough: n distinct seeds cover n * least words at most."""
+        many = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        pair = np.repeat(document, many) * len(self.bodies) + self.owner[at]
+        longest = int(self.sizes.max(initial=0)) + 1
+        key = np.unique(pair * longest + self.start[at]) // longest
+        pair, n = np.unique(key, return_counts=True)
+        item = pair % len(self.bodies)
+        enough = n * least >= np.maximum(min_longest, min_coverage * self.sizes[item])
+        return list(zip((pair[enough] // len(self.bodies)).tolist(), item[enough].tolist()))
 
 
 def _scan(docs: DataFrame, rows: list[tuple[int, str]], doc_id: str, text: str, least: int, min_longest: int, min_coverage: float) -> DataFrame:
@@ -108,7 +122,8 @@ def _scan(docs: DataFrame, rows: list[tuple[int, str]], doc_id: str, text: str,
             zeros = np.concatenate([[0], np.cumsum(flat == 0)])
             h_ok = np.flatnonzero(zeros[least:] == zeros[: max(0, len(zeros) - least)])
             lo, hi = np.searchsorted(it.seeds, h[h_ok], "left"), np.searchsorted(it.seeds, h[h_ok], "right")
-            found = sorted({(int(np.searchsorted(ends, at, "right")), int(it.owner[x])) for at, a, b in zip(h_ok[hi > lo], lo[hi > lo], hi[hi > lo]) for x in range(a, b)})
+            hit = hi > lo
+            found = it.candidates(np.searchsorted(ends, h_ok[hit], "right"), lo[hit], hi[hit], least, min_longest, min_coverage) if hit.any() else []
             out = []
             for d, k in found:
                 body = it.bodies[k]
