@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatework.functions.text import strip
-from slatework.operators.evaluation import chunk_hits
 
 DIFFICULTIES = ("hard", "medium", "easy")
 DECISIONS = ("valid_negative", "false_negative", "uncertain", "pending")
@@ -157,4 +156,4 @@ def render_summary(rendered: DataFrame) -> DataFrame:
     return rendered.agg(F.count("*").alias("pages"), F.count_if("requires_vision").alias("requires_vision"))
 
 
-__all__ = ["apply_reviews", "build_examples", "chunk_hits", "count_by", "difficulty", "example_evidence", "hard_negatives", "negative_pack", "pair_rows", "positives", "render_summary", "reranker_pairs", "review_pack", "train_cross_encoder", "training_steps"]
+__all__ = ["apply_reviews", "build_examples", "count_by", "difficulty", "example_evidence", "hard_negatives", "negative_pack", "pair_rows", "positives", "render_summary", "reranker_pairs", "review_pack", "train_cross_encoder", "training_steps"]
