@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slatework.llm import crosssplit, groupsplit, ivfpq, leaks, mixing, neardup, quality, repeated_lines, split
+from slatework.llm import crosssplit, groupsplit, ivfpq, leaks, mixing, neardup, quality, queries, repeated_lines, split
 from slatework.llm._grams import bare, grams, jaccard
 
 DAY = [datetime(2026, 1, n) for n in range(1, 29)]
@@ -164,6 +164,18 @@ def test_hot_bucket_goes_by_blocks(spark, monkeypatch):
     assert {(a, b) for a, b, _ in got.collect()} == truth
 
 
+def test_family_that_holds_a_third_of_the_rows(spark, tmp_path):
+    """Shared shingles of a hot family weigh little; the plain similarity decides all the same."""
+    r = random.Random(14)
+    base = prose(r, 40)
+    rows = [(f"c{n:04}", edited(r, base, r.randint(2, 14))) for n in range(150)] + [(f"x{n:04}", prose(r, 40)) for n in range(300)]
+    plain = [bare(t) for _, t in rows[:150]]
+    truth = {(rows[i][0], rows[j][0]) for i in range(150) for j in range(i + 1, 150) if jaccard(plain[i], plain[j]) >= 0.6}
+    spark.createDataFrame([(*x, "passage") for x in rows], "chunk_id string, text string, level string").write.parquet(f"{tmp_path}/course_chunks.parquet")
+    got = {tuple(x) for x in queries.p4_found(spark, str(tmp_path)).collect()}
+    assert got <= truth and len(truth) > 300 and len(got) >= 0.97 * len(truth)
+
+
 def test_elements_are_a_multiset():
     h = grams(["abcdabcdabcd"])[0]
     assert len(neardup.elements(h)) == len(h) and len(set(neardup.elements(h).tolist())) == len(h)
