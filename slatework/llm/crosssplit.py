@@ -14,8 +14,8 @@ n-grams are runs of characters of the bare text, as the problem's statement has
 Defined cases: null ids and null or blank splits take no part; a repeated id counts once; null, blank and very short
 queries (no n-gram) match nothing by text; an empty, null or all-null page list matches nothing; page lists are
 compared as sets; an empty table gives an empty result. Of more than max_copies training records with the same text
-(or the same document and pages) the one with the smallest id stands for all, so a hot group of copies is not
-multiplied out; every evaluation record keeps its row.
+the one with the smallest id stands for all, so a hot group of copies is not multiplied out; every evaluation record
+keeps its row. Training records with the same document and pages are questions of their own: each has its pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from slatework.llm.neardup import BUCKETS, document_frequencies
 from slatework.runtime import mapped, need, settled
 
 SIZE = 4
+#: About so many training records of one key meet the evaluation records in one task.
+PART = 4096
 
 
 def clean_name(column):
@@ -41,6 +43,14 @@ def clean_name(column):
     return F.when(c != "", c)
 
 
+def _met(held: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """held and kept (keys, train_id) joined on keys; the training records of a hot key are spread over tasks."""
+    parts = kept.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
+    each = kept.join(parts, keys).withColumn("_part", F.pmod(F.xxhash64("train_id"), F.col("_parts")).cast("int")).drop("_parts")
+    asked = held.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return asked.join(each, [*keys, "_part"]).drop("_part")
+
+
 def _standing(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     """rows (keys, train_id) without those that the smallest id of a group of more than most stands for."""
     sized = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("train_id").alias("_low"))
@@ -108,7 +118,7 @@ def cross_split_pairs(records: DataFrame, *, record_id: str = "id", text: str =
     by_text = by_text.join(_standing(ids.filter(F.col("_split") == train).select(F.col("fp").alias("fp_t"), F.col("_id").alias("train_id")), ["fp_t"], max_copies), "fp_t")
     paged = F.col("_doc").isNotNull() & (F.size("_pages") > 0)
     by_pages = held.filter(paged).select("_doc", "_pages", F.col("_id").alias("eval_id"), F.col("_split").alias("eval_split"))
-    by_pages = by_pages.join(_standing(kept.filter(paged).select("_doc", "_pages", F.col("_id").alias("train_id")), ["_doc", "_pages"], max_copies), ["_doc", "_pages"])
+    by_pages = _met(by_pages, kept.filter(paged).select("_doc", "_pages", F.col("_id").alias("train_id")), ["_doc", "_pages"])
     none = F.lit(None).cast("double")
     both = by_text.select("eval_id", "train_id", "eval_split", "similarity", "containment", F.lit(False).alias("same_pages")).unionByName(
         by_pages.select("eval_id", "train_id", "eval_split", none.alias("similarity"), none.alias("containment"), F.lit(True).alias("same_pages")))

@@ -199,6 +199,15 @@ def test_cross_split_against_brute_force(spark):
     assert crosssplit.cross_split_pairs(spark.createDataFrame([], EVAL)).count() == 0
 
 
+def test_hot_pages_keep_every_pair(spark, monkeypatch):
+    """Different questions on the same pages of a document are pairs of their own, however many they are."""
+    monkeypatch.setattr(crosssplit, "PART", 64)
+    r = random.Random(15)
+    rows = [(f"t{n:03}", f"{n} {prose(r, 9)}", "train", "d", [2, 1], "x", "y") for n in range(300)] + [(f"e{n}", f"{n} {prose(r, 9)}", "dev", "d", [1, 2, 1], "x", "y") for n in range(3)]
+    got = crosssplit.cross_split_pairs(spark.createDataFrame(rows, EVAL)).filter("same_pages").collect()
+    assert {(x["eval_id"], x["train_id"]) for x in got} == {(f"e{m}", f"t{n:03}") for m in range(3) for n in range(300)} and len(got) == 900
+
+
 def test_largest_differencing():
     r = random.Random(7)
     for _ in range(30):
