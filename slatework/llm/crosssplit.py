@@ -13,9 +13,8 @@ n-grams are runs of characters of the bare text, as the problem's statement has
 
 Defined cases: null ids and null or blank splits take no part; a repeated id counts once; null, blank and very short
 queries (no n-gram) match nothing by text; an empty, null or all-null page list matches nothing; page lists are
-compared as sets; an empty table gives an empty result. Of more than max_copies training records with the same text
-the one with the smallest id stands for all, so a hot group of copies is not multiplied out; every evaluation record
-keeps its row. Training records with the same document and pages are questions of their own: each has its pairs.
+compared as sets; an empty table gives an empty result. Every training record
+has its own pairs, however many share its text or its document and pages; a hot group is spread over tasks.
 """
 
 from __future__ import annotations
@@ -51,14 +50,8 @@ def _met(held: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     return asked.join(each, [*keys, "_part"]).drop("_part")
 
 
-def _standing(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """rows (keys, train_id) without those that the smallest id of a group of more than most stands for."""
-    sized = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("train_id").alias("_low"))
-    return rows.join(sized, keys).filter((F.col("_n") <= most) | (F.col("train_id") == F.col("_low"))).drop("_n", "_low")
-
-
 def cross_split_pairs(records: DataFrame, *, record_id: str = "id", text: str = "query", split: str = "split", document: str = "document_id", pages: str = "relevant_pages",
-                      held_out: tuple[str, ...] = ("dev", "test"), train: str = "train", min_similarity: float = 0.6, max_copies: int = 256) -> DataFrame:
+                      held_out: tuple[str, ...] = ("dev", "test"), train: str = "train", min_similarity: float = 0.6) -> DataFrame:
     """(eval_id, train_id, eval_split, similarity, containment, same_pages) of every pair that is the same or nearly so.
 
     similarity and containment are null where only document and pages agree.
@@ -115,7 +108,7 @@ def cross_split_pairs(records: DataFrame, *, record_id: str = "id", text: str =
     texts = mapped(full, verify, "fp_e bigint, fp_t bigint, similarity double, containment double")
     ids = known.select("fp", "_id", "_split")
     by_text = texts.join(ids.filter(F.col("_split") != train).select(F.col("fp").alias("fp_e"), F.col("_id").alias("eval_id"), F.col("_split").alias("eval_split")), "fp_e")
-    by_text = by_text.join(_standing(ids.filter(F.col("_split") == train).select(F.col("fp").alias("fp_t"), F.col("_id").alias("train_id")), ["fp_t"], max_copies), "fp_t")
+    by_text = _met(by_text, ids.filter(F.col("_split") == train).select(F.col("fp").alias("fp_t"), F.col("_id").alias("train_id")), ["fp_t"])
     paged = F.col("_doc").isNotNull() & (F.size("_pages") > 0)
     by_pages = held.filter(paged).select("_doc", "_pages", F.col("_id").alias("eval_id"), F.col("_split").alias("eval_split"))
     by_pages = _met(by_pages, kept.filter(paged).select("_doc", "_pages", F.col("_id").alias("train_id")), ["_doc", "_pages"])

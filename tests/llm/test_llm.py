@@ -208,6 +208,18 @@ def test_hot_pages_keep_every_pair(spark, monkeypatch):
     assert {(x["eval_id"], x["train_id"]) for x in got} == {(f"e{m}", f"t{n:03}") for m in range(3) for n in range(300)} and len(got) == 900
 
 
+def test_hot_copies_keep_every_pair(spark, monkeypatch, tmp_path):
+    """Each training record with the same text is a pair of its own and counts in the report."""
+    monkeypatch.setattr(crosssplit, "PART", 64)
+    text = prose(random.Random(16), 9)
+    rows = [(f"t{n:03}", text, "train", None, None, "c") for n in range(300)] + [(f"e{n}", text.upper() + "!", "test", None, None, "c") for n in range(3)]
+    spark.createDataFrame(rows, "id string, query string, split string, document_id string, relevant_pages array<int>, courseware_source string").write.parquet(f"{tmp_path}/public_course_eval_reviewed.parquet")
+    got = {tuple(x) for x in queries.p5_found(spark, str(tmp_path)).collect()}
+    assert got == {(f"e{m}", f"t{n:03}") for m in range(3) for n in range(300)}
+    report = queries.p5_report(spark, str(tmp_path)).collect()
+    assert [(x["split"], x["questions"], x["pairs"], x["by_text"], x["by_pages"]) for x in report] == [("test", 3, 900, 900, 0)]
+
+
 def test_largest_differencing():
     r = random.Random(7)
     for _ in range(30):
