@@ -82,6 +82,16 @@ def test_vectors_against_brute_force(spark):
     assert {tuple(r) for r in blocks.collect()} == {tuple(r) for r in ivfpq.most_similar(v, min_similarity=0.85).select("id", "other").distinct().collect()}
 
 
+def test_probes_grow_with_the_lists(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2400, 64)) * np.linspace(1, 0, 64)
+    ids = [f"c{n:05}" for n in range(len(x))]
+    truth = brute_top(x, ids, 5, -1.0)
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in zip(ids, x)], "chunk_id string, embedding array<double>")
+    got = ivfpq.most_similar(v, list_size=16).select("id", "other").collect()
+    assert sum(o in truth[i] for i, o in got) >= 0.9 * 5 * len(ids)
+
+
 # Splitting
 
 
