@@ -64,18 +64,16 @@ def _own(records: DataFrame, record_id: str, text: str, min_chars: int) -> DataF
 
 
 def document_frequencies(bodies: DataFrame) -> tuple[np.ndarray, int]:
-    """(records per counter, records) over all rows of bodies (fp, body).
+    """(texts per counter, texts) over all rows of bodies (fp, body).
 
-    A text counts once a task however often it comes, so a hot group of copies does not make its shingles common.
+    A text counts once however often it comes and however the rows are split, so a hot group of copies does not make
+    its shingles common.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(BUCKETS, np.int64), 0
-        seen: set[int] = set()
         for pdf in batches:
-            texts = [t for f, t in zip(pdf["fp"].tolist(), pdf["body"].tolist()) if f not in seen and not seen.add(f)]
-            if len(seen) > 1_000_000:
-                seen.clear()
+            texts = pdf["body"].tolist()
             n += len(texts)
             parts = []
             for h in grams(texts, SHINGLE):
@@ -86,7 +84,7 @@ def document_frequencies(bodies: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], n)})
 
-    rows = mapped(bodies.select("fp", "body"), work, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = mapped(bodies.select("fp", "body").dropDuplicates(["fp"]), work, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS, np.int64)
     real = rows[rows["bucket"] >= 0]
     df[real["bucket"].to_numpy(np.int64)] = real["n"].to_numpy(np.int64)

@@ -186,6 +186,12 @@ def test_family_that_holds_a_third_of_the_rows(spark, tmp_path):
     assert got <= truth and len(truth) > 300 and len(got) >= 0.97 * len(truth)
 
 
+def test_frequencies_do_not_depend_on_the_split(spark):
+    body = spark.createDataFrame([(n % 4, bare(prose(random.Random(n % 4), 20))) for n in range(64)], "fp bigint, body string")
+    (a, n), (b, m) = (neardup.document_frequencies(body.repartition(k)) for k in (1, 8))
+    assert n == m == 4 and (a == b).all() and a.max() <= 4
+
+
 def test_elements_are_a_multiset():
     h = grams(["abcdabcdabcd"])[0]
     assert len(neardup.elements(h)) == len(h) and len(set(neardup.elements(h).tolist())) == len(h)
