@@ -185,7 +185,8 @@ def build_review_pack(s, a):
 def mine_negatives(s, a):
     c = at_levels(corpus(s, a), a)
     e = readers.read_jsonl(s, a.dataset, schemas.EXAMPLE)
-    out = mining.hard_negatives(e, Bm25Index.build(c).search(asked(e), c.count()), c, a.top_k).select(*mining.FIELDS)
+    index = Bm25Index.build(c)
+    out = mining.hard_negatives(e, index.search(asked(e), a.top_k), c, a.top_k, scored=lambda pairs: index.scored(pairs, asked(e))).select(*mining.FIELDS)
     sinks.write_jsonl(out, a.output)
     say({"triplets": out.count(), "output": a.output})
 
@@ -194,7 +195,8 @@ def dense_mine_negatives(s, a):
     c = corpus(s, a)
     e, own = examples(s, a, c, True), at_levels(c, a)
     quotas = {k: int(v) for k, v in weights(a.quotas).items()} if a.quotas else None
-    out = mining.hard_negatives(e, dense_ranked(s, a, e, own, own.count()), own, a.top_k, f"dense:{a.model_name}", quotas).select(*mining.FIELDS)
+    asked_for, held = query_vectors(e, a), vectors(s, a, own)
+    out = mining.hard_negatives(e, dense.dense_search(asked_for, held, a.top_k), own, a.top_k, f"dense:{a.model_name}", quotas, lambda pairs: dense.pair_scores(pairs, asked_for, held)).select(*mining.FIELDS)
     sinks.write_jsonl(out, a.output)
     say({"difficulties": rows(mining.count_by(out, "difficulty", mining.DIFFICULTIES)), "output": a.output})
 

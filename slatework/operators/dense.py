@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slatework.operators.best import Best
 from slatework.operators.sparse import top_k
-from slatework.runtime import mapped, need, settled, ship
+from slatework.runtime import mapped_arrow, need, settled, ship
 
 CHUNK_CACHE, PAGE_CACHE = "slatework-chunk-embeddings-v1", "slatework-page-embeddings-v1"
 
@@ -20,8 +22,10 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
+    """v over its norm, which is computed once a row."""
     v = v.cast("array<double>")
-    return F.transform(v, lambda x: x / norm(v))
+    once = F.transform(F.array(F.struct(v.alias("v"), norm(v).alias("n"))), lambda s: F.transform(s["v"], lambda x: x / s["n"]))
+    return F.get(once, F.lit(0))
 
 
 def checked_unit(df: DataFrame, column: str, finite: bool = True) -> DataFrame:
@@ -37,53 +41,66 @@ def checked_unit(df: DataFrame, column: str, finite: bool = True) -> DataFrame:
     return df.withColumn(column, unit(F.col(column)))
 
 
-def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, *, row_id: str, tie: Callable[[], list[Column]] | None = None, digits: int = 8, query_block: int = 512) -> DataFrame:
-    """(query_id, row_id, score, rank): a stated query set against all rows, in blocks.
+def _arrow(kind: str) -> pa.DataType:
+    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
 
-    queries(query_id, embedding) and rows(row_id, embedding) hold unit vectors. Each Arrow batch of rows meets one
-    block of queries at a time as a matrix product and keeps its k best per query, so what leaves a batch is bounded.
-    The query blocks are broadcast one after another, query_block queries each.
+
+def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, *, row_id: str, digits: int | None = None, held_numbers: int = 8_000_000) -> DataFrame:
+    """(query_id, row_id, score, rank): a stated query set against all rows, in blocks; equals go by row_id.
+
+    queries(query_id, embedding) and rows(row_id, embedding) hold unit vectors. One scan of the rows serves all
+    queries whose vectors have up to held_numbers numbers together (the workers' share is bounded by it), further
+    queries take further scans. A task keeps its k best rows per query, so what leaves it is bounded. digits rounds
+    before ranking, for comparisons; scores come out rounded to 8 digits.
     """
     need(rows, row_id, "embedding")
     if k < 1:
         return queries.select("query_id", F.lit(None).alias(row_id), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
     spark = queries.sparkSession
-    numbered = settled(queries.select("query_id", "embedding"))
-    blocks = -(-numbered.count() // query_block) or 1
-    kinds = {f.name: f.dataType.simpleString() for f in queries.schema} | {f.name: f.dataType.simpleString() for f in rows.schema}
+    asked = settled(queries.select("query_id", "embedding").filter("embedding is not null"))
+    r = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    parts = -(-r["n"] * (r["d"] or 1) // held_numbers) or 1
+    kinds = [asked.schema["query_id"].dataType.simpleString(), rows.schema[row_id].dataType.simpleString()]
     out = None
-    for b in range(blocks):
-        part = numbered.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        if part.empty and b:
-            continue
+    for p in range(parts):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).toPandas()
         held = spark.sparkContext.broadcast((part["query_id"].tolist(), np.array(part["embedding"].tolist(), np.float64)))
 
-        def score(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             names, q = held.value
-            for pdf in batches:
-                if not len(pdf) or not names:
-                    continue
-                s = np.round(q @ np.array(pdf["embedding"].tolist(), np.float64).T, digits)
-                ids = pdf[row_id].to_numpy()
-                order = np.argsort(ids, kind="stable")
-                s, ids = s[:, order], ids[order]
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(np.array(names, object), best.shape[1]), row_id: ids[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
-
-        one = mapped(rows.select(row_id, "embedding"), score, f"query_id {kinds['query_id']}, {row_id} {kinds[row_id]}, score double")
+            best = Best(len(names), k)
+            for batch in batches:
+                for low in range(0, batch.num_rows if names else 0, 2048):
+                    some = batch.slice(low, 2048)
+                    ids = some.column(row_id).to_numpy(zero_copy_only=False)
+                    x = some.column("embedding").flatten().to_numpy().reshape(len(ids), -1)
+                    for first in range(0, len(names), 512):
+                        s = q[first : first + 512] @ x.T
+                        best.add(first, s if digits is None else np.round(s, digits), ids)
+            row, ids, s = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in row], _arrow(kinds[0])), pa.array(ids.tolist(), _arrow(kinds[1])), pa.array(s, pa.float64())], names=["query_id", row_id, "score"])
+
+        one = mapped_arrow(rows.select(row_id, "embedding").filter("embedding is not null"), score, f"query_id {kinds[0]}, {row_id} {kinds[1]}, score double")
         out = one if out is None else out.unionByName(one)
-    return top_k(out, k, F.desc("score"), *(tie() if tie else [F.col(row_id)]))
+    return top_k(out, k, F.desc("score"), F.col(row_id)).withColumn("score", F.round("score", 8))
+
+
+def pair_scores(pairs: DataFrame, queries: DataFrame, rows: DataFrame, row_id: str = "chunk_id") -> DataFrame:
+    """(query_id, row_id, score) of the given pairs of unit vectors; nothing is ranked."""
+    both = pairs.select("query_id", row_id).distinct().join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id").join(rows.select(row_id, F.col("embedding").alias("_r")), row_id)
+    return both.select("query_id", row_id, F.aggregate(F.zip_with("_q", "_r", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
 def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     return cosine_top_k(queries, chunks, k, row_id="chunk_id")
 
 
-def visual_search(queries: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
+def visual_search(queries: DataFrame, pages: DataFrame, k: int = 5, digits: int | None = None) -> DataFrame:
     """(query_id, document_id, page_number, score, rank); equal scores go by page number, then by document."""
-    keyed = pages.withColumn("key", F.struct("page_number", "document_id")).select(F.format_string("%010d|%s", F.col("page_number"), F.col("document_id")).alias("key"), "embedding")
-    found = cosine_top_k(queries, keyed, k, row_id="key")
-    return found.select("query_id", F.substring_index("key", "|", -1).alias("document_id"), F.substring_index("key", "|", 1).cast("int").alias("page_number"), "score", "rank")
+    keyed = pages.select(F.format_string("%010d|%s", F.col("page_number"), F.col("document_id")).alias("key"), "embedding")
+    found = cosine_top_k(queries, keyed, k, row_id="key", digits=digits)
+    parts = [F.expr("substring(key, instr(key, '|') + 1)").alias("document_id"), F.substring_index("key", "|", 1).cast("int").alias("page_number")]
+    return found.select("query_id", *parts, "score", "rank")
 
 
 def encoded(df: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], prefix: str = "passage: ", batch_size: int = 32) -> DataFrame:

@@ -22,8 +22,11 @@ def to_pages(ranked: DataFrame, chunks: DataFrame, pages: DataFrame, k: int = 5,
     return out.select("query_id", "document_id", "page_number", F.round("score", 8).alias("score"), "rank")
 
 
-def fuse(sources: dict[str, DataFrame], keys: list[str], k: int = 5, weights: dict[str, float] | None = None, rrf_k: int = 60, candidates: int = 50) -> DataFrame:
-    """(query_id, keys, score, rank) by the sum of weight / (rrf_k + rank); a source of weight 0 is not even read."""
+def fuse(sources: dict[str, DataFrame], keys: list[str], k: int = 5, weights: dict[str, float] | None = None, rrf_k: int = 60, candidates: int = 50, digits: int | None = None) -> DataFrame:
+    """(query_id, keys, score, rank) by the sum of weight / (rrf_k + rank); a source of weight 0 is not even read.
+
+    digits rounds the sum before ranking, for comparisons.
+    """
     weights = weights or {}
     if not sources:
         raise ValueError("at least one source is needed")
@@ -38,7 +41,7 @@ def fuse(sources: dict[str, DataFrame], keys: list[str], k: int = 5, weights: di
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    fused = both.groupBy("query_id", *keys).agg(F.round(F.sum("part"), 12).alias("full"), F.min("rank").alias("best"))
+    fused = both.groupBy("query_id", *keys).agg((F.sum("part") if digits is None else F.round(F.sum("part"), digits)).alias("full"), F.min("rank").alias("best"))
     out = top_k(fused, k, F.desc("full"), F.col("best"), *[F.col(c) for c in keys])
     return out.select("query_id", *keys, F.round("full", 8).alias("score"), "rank")
 

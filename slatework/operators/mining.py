@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatework.functions.text import strip
+from slatework.runtime import settled
 
 DIFFICULTIES = ("hard", "medium", "easy")
 DECISIONS = ("valid_negative", "false_negative", "uncertain", "pending")
@@ -29,19 +31,26 @@ def positives(examples: DataFrame, chunks: DataFrame) -> DataFrame:
     return named.select("query_id", "chunk_id").unionByName(own).unionByName(anywhere).distinct()
 
 
-def hard_negatives(examples: DataFrame, ranked: DataFrame, chunks: DataFrame, top_k: int = 20, miner: str = "bm25", quotas: dict[str, int] | None = None) -> DataFrame:
-    """Triplets (query_id and FIELDS) from a deep ranking; the representative positive is the best ranked, else the smallest."""
+def hard_negatives(examples: DataFrame, ranked: DataFrame, chunks: DataFrame, top_k: int = 20, miner: str = "bm25", quotas: dict[str, int] | None = None,
+                   scored: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Triplets (query_id and FIELDS) from the first top_k ranks; a difficulty without a quota is not limited.
+
+    The representative positive is the one that a ranking of all chunks puts first, else the smallest id. scored
+    gives the scores of (query_id, chunk_id) pairs, so that only positives need scores beyond top_k; without it,
+    ranked must be a ranking of all chunks.
+    """
     if quotas is not None and (set(quotas) - set(DIFFICULTIES) or min(quotas.values(), default=0) < 0):
         raise ValueError("quotas must be at least 0 and named hard, medium or easy")
-    good = positives(examples, chunks)
-    best = good.join(ranked.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left").groupBy("query_id")
-    best = best.agg(F.coalesce(F.min_by("chunk_id", "rank"), F.min("chunk_id")).alias("positive_chunk_id"))
+    good = settled(positives(examples, chunks))
+    known = (ranked if scored is None else scored(good)).select("query_id", "chunk_id", "score")
+    best = good.join(known, ["query_id", "chunk_id"], "left").groupBy("query_id")
+    best = best.agg(F.coalesce(F.min_by("chunk_id", F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), "chunk_id"))), F.min("chunk_id")).alias("positive_chunk_id"))
     bad = ranked.filter(F.col("rank") <= top_k).join(good, ["query_id", "chunk_id"], "left_anti").join(best, "query_id").withColumn("difficulty", difficulty(F.col("rank")))
-    if quotas is not None:
-        limit = F.lit(0)
+    if quotas:
+        limit = F.lit(None).cast("int")
         for name, n in quotas.items():
             limit = F.when(F.col("difficulty") == name, n).otherwise(limit)
-        bad = bad.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "difficulty").orderBy("rank"))).filter(F.col("_n") <= limit).drop("_n")
+        bad = bad.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "difficulty").orderBy("rank"))).filter(limit.isNull() | (F.col("_n") <= limit)).drop("_n")
     asked = examples.select(F.col("id").alias("query_id"), "query")
     return bad.join(asked, "query_id").select("query_id", "query", "positive_chunk_id", F.col("chunk_id").alias("negative_chunk_id"), F.col("rank").alias("negative_rank"), F.lit(miner).alias("miner"), "difficulty")
 

@@ -1,17 +1,29 @@
-"""BM25 over an inverted index held as DataFrames: postings, lengths and scalars are ordinary tables."""
+"""BM25 over settled token hashes: passages are scored in Arrow batches against blocks of questions, k rows stay.
+
+The index is one table of token hashes per passage, made once. Document frequencies are one combined count per term.
+A search sends the terms of the questions (bounded slices) to the workers; each Arrow batch of passages meets one
+block of questions at a time as a product of sparse matrices, and a task keeps no more than k rows per question, so
+pairs of questions and passages never leave it. Only k rows per question and task are exchanged.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatework.functions.text import mixed_tokens
+from slatework.operators.best import Best
 from slatework.operators.pages import without_low_value
-from slatework.runtime import small
+from slatework.runtime import mapped_arrow, settled
 
 LEVEL_WEIGHTS = {"section": 0.65, "page": 0.85, "passage": 1.0}
+#: Questions and passages that meet at a time in a worker.
+BLOCK, SLICE = 512, 2048
 
 
 def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
@@ -19,51 +31,158 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> Da
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+class _Questions:
+    """Blocks of questions: for each, its terms (numbers into vocab), question numbers and weights, sorted by term."""
+
+    def __init__(self, question: np.ndarray, term: np.ndarray, weight: np.ndarray, names: list, k1: float, b: float, average: float, levels: dict[str, float]):
+        self.names, self.k1, self.b, self.average, self.levels = names, k1, b, average, levels
+        self.vocab, number = np.unique(term, return_inverse=True)
+        self.blocks = []
+        for low in range(0, len(names), BLOCK):
+            at = np.flatnonzero((question >= low) & (question < low + BLOCK))
+            at = at[np.argsort(number[at], kind="stable")]
+            self.blocks.append((low, min(BLOCK, len(names) - low), number[at], question[at] - low, weight[at]))
+
+    def gains(self, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        norm = 1 - self.b + (self.b * length / self.average if self.average else 0.0)
+        return tf * (self.k1 + 1) / (tf + self.k1 * norm)
+
+
+def _scores(n: int, m: int, block: tuple, term: np.ndarray, passage: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """n x m scores of a block of questions and a slice of passages, both sorted by term.
+
+    A term that joins many pairs is a column of a dense product, the others are summed over their pairs.
+    """
+    _, _, q_term, q_row, q_weight = block
+    common = np.intersect1d(np.unique(q_term), np.unique(term), assume_unique=True)
+    q0, q1 = np.searchsorted(q_term, common, "left"), np.searchsorted(q_term, common, "right")
+    p0, p1 = np.searchsorted(term, common, "left"), np.searchsorted(term, common, "right")
+    met = (q1 - q0) * (p1 - p0)
+    out = np.zeros((n, m))
+    wide = np.flatnonzero(met > n * m // 32)
+    for low in range(0, len(wide), 1024):
+        part = wide[low : low + 1024]
+        left, right = np.zeros((n, len(part))), np.zeros((len(part), m))
+        for c, t in enumerate(part.tolist()):
+            left[q_row[q0[t] : q1[t]], c] = q_weight[q0[t] : q1[t]]
+            right[c, passage[p0[t] : p1[t]]] = gain[p0[t] : p1[t]]
+        out += left @ right
+    few = np.flatnonzero(met <= n * m // 32)
+    ends = np.cumsum(met[few])
+    for low in range(0, int(ends[-1]) if len(ends) else 0, 1 << 22):  # in slices: bounded memory
+        pair = np.arange(low, min(low + (1 << 22), int(ends[-1])))
+        which = np.searchsorted(ends, pair, "right")
+        t = few[which]
+        rest = pair - (ends[which] - met[t])
+        width = (p1 - p0)[t]
+        q, p = q0[t] + rest // width, p0[t] + rest % width
+        out += np.bincount(q_row[q] * m + passage[p], q_weight[q] * gain[p], n * m).reshape(n, m)
+    return out
+
+
 @dataclass
 class Bm25Index:
-    """postings(term, chunk_id, tf, length, level), idf(term, df, idf), scalars(n, avg_length)."""
+    """tokens(chunk_id, level, length, terms: hashes), settled; n counts all chunks, average_length those kept."""
 
-    postings: DataFrame
-    idf: DataFrame
-    scalars: DataFrame
+    tokens: DataFrame
+    n: int
+    average_length: float
     k1: float = 1.5
     b: float = 0.75
     level_weights: dict[str, float] | None = None
 
     @classmethod
     def build(cls, chunks: DataFrame, k1: float = 1.5, b: float = 0.75, level_weights: dict[str, float] | None = None, exclude_low_value: bool = True) -> Bm25Index:
-        """n counts all chunks passed in, the rest only those kept, as low-value chunks are left out of the index."""
-        kept = without_low_value(chunks) if exclude_low_value else chunks
-        tokens = kept.select("chunk_id", F.coalesce("level", F.lit("passage")).alias("level"), mixed_tokens(F.col("text")).alias("t"))
-        sized = tokens.withColumn("length", F.size(F.coalesce("t", F.array().cast("array<string>"))))
-        postings = sized.select("chunk_id", "level", "length", F.explode("t").alias("term")).groupBy("chunk_id", "term", "length", "level").agg(F.count("*").alias("tf"))
-        scalars = chunks.agg(F.count("*").alias("n")).join(sized.agg(F.avg("length").alias("avg_length")))
-        idf = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(scalars))
-        idf = idf.select("term", "df", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        return cls(postings, idf, scalars, k1, b, level_weights)
-
-    def search(self, queries: DataFrame, k: int = 5, digits: int | None = None) -> DataFrame:
-        """(query_id, chunk_id, score, rank). A term that stands twice in a query counts twice.
-
-        Only terms of the queries leave the postings; digits rounds the score before ranking (for comparisons).
+        """n counts all chunks passed in, the rest only those kept, as low-value chunks are left out of the index.
+
+        A chunk without tokens counts in n and the average and is never found; an empty corpus finds nothing.
+        """
+        kept = F.lit(True) if not exclude_low_value else ~F.coalesce("metadata.text_retrieval_excluded", F.lit(False))
+        terms = F.when(kept, F.coalesce(F.transform(mixed_tokens(F.col("text")), lambda t: F.xxhash64(t)), F.array().cast("array<bigint>")))
+        tokens = settled(chunks.select("chunk_id", F.coalesce("level", F.lit("passage")).alias("level"), terms.alias("terms")).withColumn("length", F.size("terms")))
+        r = tokens.agg(F.count("*").alias("n"), F.avg(F.when(F.col("terms").isNotNull(), F.col("length"))).alias("a")).first()
+        return cls(tokens.filter("terms is not null"), r["n"], r["a"] or 0.0, k1, b, level_weights)
+
+    def flat(self, k1: float, b: float) -> Bm25Index:
+        """The same tokens under other parameters."""
+        return Bm25Index(self.tokens, self.n, self.average_length, k1, b, self.level_weights)
+
+    def _weighted(self, queries: DataFrame) -> DataFrame:
+        """(query_id, term, w): a term's idf, as often as it stands in the query; terms of no passage have none."""
+        terms = queries.select("query_id", F.explode(mixed_tokens(F.col("query"))).alias("t")).groupBy("query_id", F.xxhash64("t").alias("term")).agg(F.count("*").alias("qtf"))
+        terms = settled(terms)
+        df = self.tokens.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        df = df.join(terms.select("term").distinct(), "term", "left_semi")
+        return settled(terms.join(df, "term").select("query_id", "term", (F.col("qtf") * F.ln(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")))
+
+    def search(self, queries: DataFrame, k: int = 5, digits: int | None = None, slice_terms: int = 2_000_000) -> DataFrame:
+        """(query_id, chunk_id, score, rank). A term that stands twice in a query counts twice; equals go by chunk_id.
+
+        digits rounds the score before ranking (for comparisons). The workers hold at most about slice_terms query
+        terms at a time; more are worked off in further scans of the tokens.
         """
         if k < 1:
             return queries.select("query_id", F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-        terms = queries.select("query_id", F.explode(mixed_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        norm = F.lit(1 - self.b) + F.when(F.col("avg_length") != 0, self.b * F.col("length") / F.col("avg_length")).otherwise(0.0)
-        hits = terms.join(self.idf, "term").join(self.postings, "term").join(F.broadcast(self.scalars))
-        part = F.col("qtf") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * norm)
-        scored = hits.groupBy("query_id", "chunk_id", "level").agg(F.sum(part).alias("score")).filter("score > 0")
+        terms = self._weighted(queries)
+        parts = -(-terms.count() // slice_terms) or 1
+        out = None
+        for part in range(parts):
+            found = self._scan(terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part), k, digits)
+            out = found if out is None else out.unionByName(found)
+        return top_k(out, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "score", "rank")
+
+    def _scan(self, terms: DataFrame, k: int, digits: int | None) -> DataFrame:
+        held = terms.toPandas()
+        question, names = held["query_id"].factorize(sort=True)
+        questions = _Questions(question, held["term"].to_numpy(np.int64), held["w"].to_numpy(float), list(names), self.k1, self.b, self.average_length, self.level_weights or LEVEL_WEIGHTS)
+        known = self.tokens.sparkSession.sparkContext.broadcast(questions)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qs = known.value
+            best = Best(len(qs.names), k)
+            for batch in batches:
+                if not len(qs.names):
+                    continue
+                for low in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(low, SLICE)
+                    ids, lists = part.column("chunk_id").to_numpy(zero_copy_only=False), part.column("terms")
+                    weight = np.array([qs.levels.get(x, 1.0) for x in part.column("level").to_pylist()])
+                    length = part.column("length").to_numpy().astype(float)
+                    sizes = np.diff(lists.offsets.to_numpy())
+                    all_terms = lists.flatten().to_numpy()
+                    at = np.searchsorted(qs.vocab, all_terms).clip(0, max(0, len(qs.vocab) - 1))
+                    mine = qs.vocab[at] == all_terms
+                    key, tf = np.unique(at[mine] * len(ids) + np.repeat(np.arange(len(ids)), sizes)[mine], return_counts=True)
+                    term, passage = key // len(ids), key % len(ids)
+                    gain = qs.gains(tf, length[passage]) * weight[passage]
+                    for block in qs.blocks:
+                        s = _scores(block[1], len(ids), block, term, passage, gain)
+                        best.add(block[0], s if digits is None else np.round(s, digits), ids, above=0.0)
+            row, ids, score = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array([qs.names[r] for r in row], kinds[0]), pa.array(ids, pa.string()), pa.array(score, pa.float64())], names=["query_id", "chunk_id", "score"])
+
+        kind = terms.schema["query_id"].dataType
+        kinds = [pa.string() if kind.simpleString() == "string" else pa.int64() if kind.simpleString() == "bigint" else pa.int32()]
+        return mapped_arrow(self.tokens.select("chunk_id", "level", "length", "terms"), work, f"query_id {kind.simpleString()}, chunk_id string, score double")
+
+    def scored(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, score) of the given pairs whose score is above 0; a pair costs one join, nothing is ranked."""
+        asked = self._weighted(queries).groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("q"))
+        both = pairs.select("query_id", "chunk_id").distinct().join(asked, "query_id").join(self.tokens, "chunk_id")
+        norm = F.lit(1 - self.b) + (self.b / self.average_length if self.average_length else 0.0) * F.col("length")
+
+        def gain(x):
+            tf = F.size(F.filter("terms", lambda t: t == x["term"]))
+            return x["w"] * tf * (self.k1 + 1) / (tf + self.k1 * norm)
+
         weight = F.lit(1.0)
         for level, w in (self.level_weights or LEVEL_WEIGHTS).items():
             weight = F.when(F.col("level") == level, w).otherwise(weight)
-        scored = scored.withColumn("score", F.col("score") * weight)
-        if digits is not None:
-            scored = scored.withColumn("score", F.round("score", digits))
-        return top_k(scored, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "score", "rank")
+        return both.select("query_id", "chunk_id", (F.aggregate("q", F.lit(0.0), lambda a, x: a + gain(x)) * weight).alias("score")).filter("score > 0")
 
 
-def postings_for(index: Bm25Index, queries: DataFrame) -> DataFrame:
-    """The postings that the queries touch (for inspection); query terms are broadcast when counted to be few."""
-    terms = small(queries.select(F.explode(mixed_tokens(F.col("query"))).alias("term")).distinct())
-    return index.postings.join(terms, "term", "left_semi")
+def term_statistics(chunks: DataFrame) -> DataFrame:
+    """(term, df, idf) of every term of the chunks that are not of low value; idf counts all chunks."""
+    n = chunks.agg(F.count("*").alias("n"))
+    df = without_low_value(chunks).select(F.explode(F.array_distinct(mixed_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.join(F.broadcast(n)).select("term", "df", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from slatework.functions import text as X
 from slatework.operators import chunking, dense, evaluation, fusion, graph, mining, pages
-from slatework.operators.sparse import Bm25Index
+from slatework.operators.sparse import Bm25Index, term_statistics
 from slatework.plans import sql
 from slatework.runtime import settled, table
 from slatework.sources import readers
@@ -178,7 +178,7 @@ def token_counts(s, d):
 
 @query
 def bm25_idf(s, d):
-    return Bm25Index.build(_passages(s, d)).idf.select("term", _long("df"), F.round("idf", 6).alias("idf"))
+    return term_statistics(_passages(s, d)).select("term", _long("df"), F.round("idf", 6).alias("idf"))
 
 
 def _bm25(s, d, k=5, level="passage"):
@@ -223,7 +223,7 @@ def dense_label_precision(s, d):
 def visual_topk(s, d):
     """Page vectors stand in for page images: document = label, page = id."""
     p = _vectors(s, d, False).select(F.concat(F.lit("doc-"), F.col("label").cast("string")).alias("document_id"), F.col("vec_id").cast("int").alias("page_number"), "embedding")
-    return dense.visual_search(_vectors(s, d, True), p, 5).select("query_id", "document_id", _long("page_number"), "score")
+    return dense.visual_search(_vectors(s, d, True), p, 5, digits=6).select("query_id", "document_id", _long("page_number"), "score")
 
 
 @query
@@ -244,20 +244,20 @@ def bm25_pages(s, d):
 
 def _systems(s, d):
     """BM25 over passages and over passages with a shorter length normalisation: two rankings to fuse and compare."""
-    asked, c = _asked(_examples(s, d)), _passages(s, d)
-    return {"bm25": Bm25Index.build(c).search(asked, 20, digits=6), "bm25_flat": Bm25Index.build(c, k1=1.2, b=0.0).search(asked, 20, digits=6)}
+    asked, index = _asked(_examples(s, d)), Bm25Index.build(_passages(s, d))
+    return {"bm25": settled(index.search(asked, 20, digits=6)), "bm25_flat": settled(index.flat(1.2, 0.0).search(asked, 20, digits=6))}
 
 
 @query
 def rrf_chunks(s, d):
-    return fusion.fuse(_systems(s, d), ["chunk_id"], 5, {"bm25": 1.0, "bm25_flat": 3.0}, 60, 20).select("query_id", "chunk_id", "score", _long("rank"))
+    return fusion.fuse(_systems(s, d), ["chunk_id"], 5, {"bm25": 1.0, "bm25_flat": 3.0}, 60, 20, 12).select("query_id", "chunk_id", "score", _long("rank"))
 
 
 @query
 def rrf_pages(s, d):
     c, p = _passages(s, d), _pages(s, d)
     ranked = {n: fusion.to_pages(r, c, p, 20, 20) for n, r in _systems(s, d).items()}
-    return fusion.fuse(ranked, ["document_id", "page_number"], 5).select("query_id", "document_id", _long("page_number"), "score", _long("rank"))
+    return fusion.fuse(ranked, ["document_id", "page_number"], 5, digits=12).select("query_id", "document_id", _long("page_number"), "score", _long("rank"))
 
 
 @query
@@ -313,7 +313,9 @@ def dataset_counts(s, d):
 
 
 def _negatives(s, d, quotas=None):
-    return mining.hard_negatives(_examples(s, d), _bm25(s, d, 20), _passages(s, d), 20, quotas=quotas)
+    e, index = _examples(s, d), Bm25Index.build(_passages(s, d))
+    rounded = lambda pairs: index.scored(pairs, _asked(e)).withColumn("score", F.round("score", 6))
+    return mining.hard_negatives(e, index.search(_asked(e), 20, digits=6), _passages(s, d), 20, quotas=quotas, scored=rounded)
 
 
 @query

@@ -120,7 +120,7 @@ POSITIVE = """
 po AS (SELECT e.id AS query_id, x.chunk_id FROM (SELECT id, unnest(relevant_chunk_ids) AS chunk_id FROM e) x JOIN e USING (id) SEMI JOIN c ON c.chunk_id = x.chunk_id
   UNION SELECT w.id, c.chunk_id FROM (SELECT id, document_id, unnest(relevant_pages) AS pg FROM e) w JOIN c ON (w.document_id IS NULL OR w.document_id = c.document_id) AND w.pg BETWEEN c.page_start AND c.page_end)"""
 NEGATIVES = rf"""WITH {PASSAGES}, {EXAMPLES}, {bm25(PASSAGES, k=20)}, {POSITIVE},
-bp AS (SELECT po.query_id, coalesce(arg_min(po.chunk_id, r.rank) FILTER (r.rank IS NOT NULL), min(po.chunk_id)) AS positive_chunk_id FROM po LEFT JOIN r USING (query_id, chunk_id) GROUP BY ALL),
+bp AS (SELECT po.query_id, po.chunk_id AS positive_chunk_id FROM po LEFT JOIN rw USING (query_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY po.query_id ORDER BY rw.score DESC NULLS LAST, po.chunk_id) = 1),
 ng AS (SELECT query_id, positive_chunk_id, chunk_id AS negative_chunk_id, rank AS negative_rank, 'bm25' AS miner, CASE WHEN rank <= 5 THEN 'hard' WHEN rank <= 10 THEN 'medium' ELSE 'easy' END AS difficulty
        FROM r ANTI JOIN po USING (query_id, chunk_id) JOIN bp USING (query_id))"""
 DENSE = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings),
@@ -211,7 +211,7 @@ def oracle_sql() -> dict[str, str]:
         "pair_conflicts": f"""{NEGATIVES}, tr AS (SELECT ng.*, {strip('e.query')} AS query FROM ng JOIN e ON e.id = ng.query_id), lo AS (SELECT query, positive_chunk_id AS chunk_id, 1 AS label FROM tr UNION ALL SELECT query, negative_chunk_id, 0 FROM tr),
             pr AS (SELECT query, text, min(label) = max(label) AS sound FROM lo JOIN c USING (chunk_id) GROUP BY query, text) SELECT sound, count(*) AS pairs FROM pr GROUP BY sound""",
         "negative_pack": f"""{NEGATIVES} SELECT query_id, positive_chunk_id, negative_chunk_id, a.document_id AS positive_document, b.document_id AS negative_document FROM ng JOIN c a ON a.chunk_id = positive_chunk_id JOIN c b ON b.chunk_id = negative_chunk_id
-            WHERE difficulty = 'hard' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY negative_rank) <= 1""",
+            QUALIFY difficulty <> 'hard' OR row_number() OVER (PARTITION BY query_id, difficulty ORDER BY negative_rank) <= 1""",
         "review_pack": f"""WITH {EXAMPLES}, {CHUNKS}, g AS (SELECT document_id, page_start AS page, any_value(text) AS t FROM c WHERE level = 'page' AND page_start = page_end GROUP BY ALL),
             w AS (SELECT id, document_id, unnest(CASE WHEN coalesce(len(relevant_pages), 0) = 0 THEN [NULL] ELSE list_distinct(relevant_pages) END) AS page FROM e)
             SELECT w.id, w.document_id, CAST(w.page AS BIGINT) AS page, g.t IS NULL AS missing, length(g.t) AS size FROM w LEFT JOIN g USING (document_id, page)""",

@@ -69,3 +69,9 @@ def mapped(df: DataFrame, work, schema) -> DataFrame:
     """df.mapInPandas with this package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInPandas(work, schema)
+
+
+def mapped_arrow(df: DataFrame, work, schema) -> DataFrame:
+    """df.mapInArrow with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)

@@ -121,11 +121,52 @@ def test_bm25(spark):
     assert Bm25Index.build(c).search(q, 0).count() == 0
 
 
+def test_bm25_against_brute_force(spark, monkeypatch):
+    """Sparse and dense products, blocks and slices give the sums of the formula, for rankings and for single pairs."""
+    import math
+    from random import Random
+
+    from slatework.operators import sparse
+
+    monkeypatch.setattr(sparse, "BLOCK", 7)
+    monkeypatch.setattr(sparse, "SLICE", 16)
+    r = Random(3)
+    words = [chr(97 + n) for n in range(12)]
+    texts = {f"c{n:03}": " ".join(r.choice(words[: r.randint(1, 12)]) for _ in range(r.randint(0, 30))) for n in range(90)}
+    texts |= {"same1": "a b c", "same2": "a b c"}
+    asked = {f"q{n:02}": " ".join(r.choice(words) for _ in range(r.randint(1, 6))) for n in range(25)}
+    split = {i: t.split() for i, t in texts.items()}
+    average = sum(map(len, split.values())) / len(split)
+    df = {w: sum(w in t for t in split.values()) for w in words}
+    truth = {}
+    for q, text in asked.items():
+        for i, t in split.items():
+            s = sum(math.log(1 + (len(split) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / average)) for w in text.split() if w in t)
+            if s > 0:
+                truth[q, i] = round(s, 6)
+    index = Bm25Index.build(chunks_of(spark, [(i, "d", 1, 1, t, "passage") for i, t in texts.items()]).repartition(3))
+    q = spark.createDataFrame(list(asked.items()), "query_id string, query string")
+    for slices in (2_000_000, 20):
+        got = index.search(q, 4, 6, slices).collect()
+        for name in asked:
+            best = sorted(((-s, i) for (n, i), s in truth.items() if n == name))[:4]
+            assert [(x["chunk_id"], x["score"]) for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == name] == [(i, -s) for s, i in best]
+    pairs = spark.createDataFrame([(q, i) for q in asked for i in texts], "query_id string, chunk_id string")
+    assert {(x["query_id"], x["chunk_id"]): round(x["score"], 6) for x in index.scored(pairs, q).collect()} == truth
+    assert index.search(q.limit(0), 4).count() == 0 and Bm25Index.build(chunks_of(spark, [])).search(q).count() == 0
+
+
 def test_dense_and_caches(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [0.0, 1.0])], "chunk_id string, embedding array<double>")
     q = spark.createDataFrame([("q", [0.0, 1.0])], "query_id string, embedding array<double>")
     got = dense.dense_search(q, dense.checked_unit(rows, "embedding"), 2).orderBy("rank").collect()
     assert [(r["chunk_id"], r["score"]) for r in got] == [("b", 1.0), ("c", 1.0)]
+    twice = dense.cosine_top_k(q.union(spark.createDataFrame([("p", [1.0, 0.0])], q.schema)), dense.checked_unit(rows, "embedding"), 1, row_id="chunk_id", held_numbers=2).collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in twice} == {("q", "b"), ("p", "a")}
+    named = spark.createDataFrame([("a|b", 2, [0.0, 1.0]), ("x", 1, [1.0, 0.0])], "document_id string, page_number int, embedding array<double>")
+    assert [tuple(r)[1:3] for r in dense.visual_search(q, named, 1).collect()] == [("a|b", 2)]
+    pair = spark.createDataFrame([("q", "b")], "query_id string, chunk_id string")
+    assert dense.pair_scores(pair, q, dense.checked_unit(rows, "embedding")).first()["score"] == 1.0
     for bad in ([0.0, 0.0], [float("nan"), 1.0], [1.0]):
         with pytest.raises(ValueError):
             dense.checked_unit(rows.unionByName(spark.createDataFrame([("z", bad)], rows.schema)), "embedding")
@@ -191,6 +232,11 @@ def test_mining_and_pairs(spark):
     r = spark.createDataFrame([("1", f"c{n:02}", 1.0 / n, n) for n in range(1, 14)], HIT)
     got = mining.hard_negatives(e, r, c, 20, quotas={"hard": 2, "medium": 1, "easy": 1}).orderBy("negative_rank").collect()
     assert [(x["negative_chunk_id"], x["difficulty"], x["positive_chunk_id"]) for x in got] == [("c02", "hard", "c01"), ("c03", "hard", "c01"), ("c06", "medium", "c01"), ("c11", "easy", "c01")]
+    some = mining.hard_negatives(e, r, c, 20, quotas={"hard": 1}).collect()
+    assert sorted(x["negative_rank"] for x in some) == [2, *range(6, 14)]  # what has no quota is not limited
+    deep = lambda pairs: pairs.withColumn("score", F.lit(0.25))
+    far = mining.hard_negatives(e.withColumn("relevant_pages", F.array(F.lit(13), F.lit(12))), r.filter("rank <= 3"), c, 3, scored=deep).collect()
+    assert {x["positive_chunk_id"] for x in far} == {"c12"} and len(far) == 3
     with pytest.raises(ValueError):
         mining.hard_negatives(e, r, c, quotas={"odd": 1})
     t = spark.createDataFrame([("q", "c01", "c02", 1, "m", "hard"), ("q", "c01", "c03", 2, "m", "hard")], schemas.TRIPLET)
