@@ -234,7 +234,7 @@ def cache_faults(s, d):
 
 def _to_pages(s, d, k=5):
     c = _passages(s, d)
-    return fusion.to_pages(_bm25(s, d, 20), c, _pages(s, d), k)
+    return fusion.to_pages(_bm25(s, d, 50), c, _pages(s, d), k)
 
 
 @query
@@ -242,21 +242,21 @@ def bm25_pages(s, d):
     return _to_pages(s, d).select("query_id", "document_id", _long("page_number"), "score", _long("rank"))
 
 
-def _systems(s, d):
+def _systems(s, d, k=50):
     """BM25 over passages and over passages with a shorter length normalisation: two rankings to fuse and compare."""
     asked, index = _asked(_examples(s, d)), Bm25Index.build(_passages(s, d))
-    return {"bm25": settled(index.search(asked, 20, digits=6)), "bm25_flat": settled(index.flat(1.2, 0.0).search(asked, 20, digits=6))}
+    return {"bm25": settled(index.search(asked, k, digits=6)), "bm25_flat": settled(index.flat(1.2, 0.0).search(asked, k, digits=6))}
 
 
 @query
 def rrf_chunks(s, d):
-    return fusion.fuse(_systems(s, d), ["chunk_id"], 5, {"bm25": 1.0, "bm25_flat": 3.0}, 60, 20, 12).select("query_id", "chunk_id", "score", _long("rank"))
+    return fusion.fuse(_systems(s, d), ["chunk_id"], 5, {"bm25": 1.0, "bm25_flat": 3.0}, 60, 50, 12).select("query_id", "chunk_id", "score", _long("rank"))
 
 
 @query
 def rrf_pages(s, d):
     c, p = _passages(s, d), _pages(s, d)
-    ranked = {n: fusion.to_pages(r, c, p, 20, 20) for n, r in _systems(s, d).items()}
+    ranked = {n: fusion.to_pages(r, c, p, 50, 50) for n, r in _systems(s, d).items()}
     return fusion.fuse(ranked, ["document_id", "page_number"], 5, digits=12).select("query_id", "document_id", _long("page_number"), "score", _long("rank"))
 
 

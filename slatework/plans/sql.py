@@ -125,7 +125,7 @@ ng AS (SELECT query_id, positive_chunk_id, chunk_id AS negative_chunk_id, rank A
        FROM r ANTI JOIN po USING (query_id, chunk_id) JOIN bp USING (query_id))"""
 DENSE = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings),
 d AS (SELECT a.vec_id AS query_id, b.vec_id, a.label AS want, b.label, round(array_cosine_similarity(a.v, b.v), 6) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0)"""
-BOTH = f"{PASSAGES}, {EXAMPLES}, {bm25(PASSAGES, 'r', 20)}, {bm25(PASSAGES, 'z', 20, 1.2, 0.0)}"
+BOTH = f"{PASSAGES}, {EXAMPLES}, {bm25(PASSAGES, 'r', 50)}, {bm25(PASSAGES, 'z', 50, 1.2, 0.0)}"
 STATUS = "('candidate', 'verified')"
 
 
@@ -171,12 +171,12 @@ def oracle_sql() -> dict[str, str]:
         "visual_topk": f"WITH {DENSE} SELECT query_id, 'doc-' || label AS document_id, vec_id AS page_number, score FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5",
         "cache_faults": f"""WITH {PASSAGES}, h AS (SELECT DISTINCT ON (chunk_id) chunk_id, text_sha256 FROM chunk_embedding_cache)
             SELECT chunk_id, 'duplicate' AS fault FROM chunk_embedding_cache GROUP BY chunk_id HAVING count(*) > 1 UNION ALL SELECT c.chunk_id, 'text changed' FROM c JOIN h USING (chunk_id) WHERE h.text_sha256 IS DISTINCT FROM sha256(c.text)""",
-        "bm25_pages": f"WITH {PASSAGES}, {EXAMPLES}, {PAGES}, {bm25(PASSAGES, k=20)}, {to_pages('g', 'r', 5)} SELECT query_id, document_id, {cast('page_number')}, score, rank FROM g",
-        "rrf_chunks": f"WITH {BOTH}, {rrf({'r': 1.0, 'z': 3.0}, 'chunk_id', candidates=20)} SELECT * FROM fr",
-        "rrf_pages": f"WITH {BOTH}, {PAGES}, {to_pages('g', 'r', 20, 20)}, {to_pages('y', 'z', 20, 20)}, {rrf({'g': 1.0, 'y': 1.0}, 'document_id, page_number')} SELECT query_id, document_id, {cast('page_number')}, score, rank FROM fr",
+        "bm25_pages": f"WITH {PASSAGES}, {EXAMPLES}, {PAGES}, {bm25(PASSAGES, k=50)}, {to_pages('g', 'r', 5)} SELECT query_id, document_id, {cast('page_number')}, score, rank FROM g",
+        "rrf_chunks": f"WITH {BOTH}, {rrf({'r': 1.0, 'z': 3.0}, 'chunk_id', candidates=50)} SELECT * FROM fr",
+        "rrf_pages": f"WITH {BOTH}, {PAGES}, {to_pages('g', 'r', 50, 50)}, {to_pages('y', 'z', 50, 50)}, {rrf({'g': 1.0, 'y': 1.0}, 'document_id, page_number')} SELECT query_id, document_id, {cast('page_number')}, score, rank FROM fr",
         "reranked_by_length": f"WITH {PASSAGES}, {EXAMPLES}, {bm25(PASSAGES, k=20)} SELECT query_id, chunk_id, CAST(-length(text) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY length(text), r.rank) AS rank FROM r JOIN c USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(text), r.rank) <= 5",
         "eval_chunks": f"WITH {PASSAGES}, {EXAMPLES}, {bm25(PASSAGES)}, {chunk_hits('h', 'r')}, {metrics('h', False)} SELECT {SHOWN} FROM m",
-        "eval_pages": f"""WITH {PASSAGES}, {EXAMPLES}, {PAGES}, {bm25(PASSAGES, k=20)}, {to_pages('g', 'r', 5)},
+        "eval_pages": f"""WITH {PASSAGES}, {EXAMPLES}, {PAGES}, {bm25(PASSAGES, k=50)}, {to_pages('g', 'r', 5)},
             h AS (SELECT g.query_id, g.rank, coalesce(e.document_id = g.document_id AND list_contains(e.relevant_pages, g.page_number), false) AS hit FROM g JOIN e ON e.id = g.query_id), {metrics('h', True)} SELECT {SHOWN} FROM m""",
         "eval_summary": f"""WITH {PASSAGES}, {EXAMPLES}, {bm25(PASSAGES)}, {chunk_hits('h', 'r')}, {metrics('h', False)}
             SELECT CASE WHEN grouping(question_type) = 1 THEN 'ALL' ELSE question_type END AS question_type, count(*) AS queries, round(avg(recall), 6) AS recall_at_k, round(avg(precision), 6) AS precision_at_k,
