@@ -9,11 +9,12 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 100_000
+#: A side is broadcast only if its rows were measured to take no more bytes than this.
+BROADCAST_BYTES = 16_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,10 +22,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Take the shared folder named in spark.checkpoint.dir; set an own one only where none is named (local tests)."""
+    """Take the shared folder named in spark.checkpoint.dir; set an own one only on a local master, where none is named.
+
+    RuntimeError on a cluster without one: a folder of one machine would be lost with it.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "slatework-checkpoints"))
 
 
@@ -34,10 +40,25 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, settled, with a broadcast hint if it was counted to be small; else it joins by shuffle (AQE splits skew)."""
+def _width(kind: T.DataType, c: Column) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + _width(kind.elementType, x).cast("bigint"))
+        return F.coalesce(inner, F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(f.dataType, c[f.name]) for f in kind), F.lit(8))
+    if isinstance(kind, T.MapType):
+        return _width(T.ArrayType(kind.keyType), F.map_keys(c)) + _width(T.ArrayType(kind.valueType), F.map_values(c))
+    return F.lit(8)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, settled, with a broadcast hint if it was measured to be small; else it joins by shuffle (AQE splits skew)."""
     done = settled(df)
-    return F.broadcast(done) if done.count() <= rows else done
+    size = done.agg(F.sum(sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in done.schema), F.lit(8)).cast("bigint"))).first()[0] or 0
+    return F.broadcast(done) if size <= limit else done
 
 
 def need(df: DataFrame, *columns: str) -> None:
