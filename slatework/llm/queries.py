@@ -67,7 +67,7 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _passage_links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return neardup.similar_texts(table(spark, folder, "course_chunks").filter(PASSAGE), "chunk_id", "text", min_weighted=0, exact_min=0.6)
+    return neardup.similar_texts(table(spark, folder, "course_chunks").filter(PASSAGE), "chunk_id", "text", min_weighted=0.54, exact_min=0.6)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
