@@ -23,16 +23,21 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.flag_repeated_lines(pages, repeated_lines.find_repeated_lines(pages))
 
 
+def _boilerplate(pages: DataFrame) -> DataFrame:
+    """Repeated lines that stand in 5 different documents, republished ones being one, and came on 2 days at least."""
+    return repeated_lines.find_repeated_lines(pages, min_clusters=5, min_days=2)
+
+
 def p1_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    """Every page with the repeated lines taken out."""
-    pages = table(spark, folder, "course_pages").dropDuplicates(["document_id", "page_number"])
-    out = repeated_lines.strip_repeated_lines(pages, repeated_lines.find_repeated_lines(pages))
+    """Every page with its source's boilerplate lines taken out; the lines of a republished story stay."""
+    pages = table(spark, folder, "course_pages")
+    out = repeated_lines.strip_repeated_lines(pages.dropDuplicates(["document_id", "page_number"]), _boilerplate(pages))
     return out.select("document_id", F.col("page_number").cast("bigint").alias("page_number"), "text", F.col("n_removed").cast("bigint").alias("n_removed"))
 
 
 def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """The stricter reading: 5 clusters of documents on 2 days at least, republished documents being one."""
-    found = repeated_lines.find_repeated_lines(table(spark, folder, "course_pages"), min_clusters=5, min_days=2)
+    """How many lines of each source are boilerplate, and in how many clusters of documents and on how many days."""
+    found = _boilerplate(table(spark, folder, "course_pages"))
     return found.groupBy("source", "n_source_documents").agg(F.count("*").alias("lines"), F.max("n_clusters").alias("most_clusters"), F.max("n_days").alias("most_days"))
 
 

@@ -10,9 +10,25 @@ r AS (SELECT l.source_id, k FROM l JOIN n USING (source_id) WHERE k <> '' GROUP
 """
 
 
+_P1_CLUSTERS = r"""
+o AS (SELECT source_id, document_id, k, min(CAST(ingested_at AS DATE)) AS d FROM
+      (SELECT p.source_id, p.document_id, p.ingested_at, regexp_replace(lower(u.x), '[^\p{L}]+', '', 'g') AS k FROM course_pages p, LATERAL (SELECT unnest(string_split(text, chr(10))) AS x) u
+       WHERE source_id IS NOT NULL AND document_id IS NOT NULL) WHERE k <> '' GROUP BY ALL),
+c AS (SELECT source_id, s, min(document_id) AS document_id, count(*) AS w FROM (SELECT source_id, document_id, list_sort(list(k)) AS s FROM o GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT source_id, k, sum(w) AS documents, count(*) AS clusters, count(DISTINCT d) AS days FROM o JOIN c USING (source_id, document_id) GROUP BY ALL),
+t AS (SELECT source_id, count(DISTINCT document_id) AS n FROM course_pages WHERE source_id IS NOT NULL GROUP BY ALL),
+b AS (SELECT m.*, t.n FROM m JOIN t USING (source_id) WHERE documents >= 5 AND documents * 5 >= n AND clusters >= 5 AND days >= 2)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_P1_LINES} SELECT document_id, CAST(page_number AS BIGINT) AS page_number, CAST(line_no AS BIGINT) AS line_no FROM l SEMI JOIN r USING (source_id, k)",
+        "p1_cleaned": rf"""WITH {_P1_CLUSTERS}, g AS (SELECT source_id, list(k) AS ks FROM b GROUP BY source_id),
+            p AS (SELECT DISTINCT document_id, page_number, source_id, text FROM course_pages),
+            x AS (SELECT p.*, string_split(text, chr(10)) AS l, list_filter(string_split(text, chr(10)), lambda y: NOT list_contains(coalesce(g.ks, []), regexp_replace(lower(y), '[^\p{{L}}]+', '', 'g'))) AS kept FROM p LEFT JOIN g USING (source_id))
+            SELECT document_id, CAST(page_number AS BIGINT) AS page_number, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text, CAST(coalesce(len(l) - len(kept), 0) AS BIGINT) AS n_removed FROM x""",
+        "p1_clusters": f"WITH {_P1_CLUSTERS} SELECT source_id AS source, n AS n_source_documents, count(*) AS lines, max(clusters) AS most_clusters, max(days) AS most_days FROM b GROUP BY source_id, n",
         "p2_found": """
             WITH v AS (SELECT chunk_id, any_value(CAST(embedding AS DOUBLE[64])) AS e FROM chunk_embedding_cache
                        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id),

@@ -48,6 +48,22 @@ def test_republished_documents_are_one_cluster(spark):
 
 # Vectors
 
+def test_republished_story_keeps_its_text(spark):
+    """A story in many documents is one cluster and stays; the line under every document of the source goes."""
+    story = "A long story about the bridge.\nIt was opened in spring.\nShare this page"
+    rows = [("s", f"r{n}", 1, story, DAY[n], n) for n in range(8)]
+    rows += [("s", f"o{n}", 1, f"Own words {'abcdefgh'[n] * 3}.\nshare THIS page", DAY[n], n) for n in range(8)]
+    p = spark.createDataFrame(rows, PAGES)
+    found = repeated_lines.find_repeated_lines(p, min_clusters=5, min_days=2)
+    clean = {r["document_id"]: r["text"] for r in repeated_lines.strip_repeated_lines(p, found).collect()}
+    assert all(clean[f"r{n}"] == "A long story about the bridge.\nIt was opened in spring." for n in range(8))
+    assert all(clean[f"o{n}"] == f"Own words {'abcdefgh'[n] * 3}." for n in range(8))
+    same_day = p.withColumn("ingested_at", F.lit(DAY[0]))
+    assert repeated_lines.find_repeated_lines(same_day, min_clusters=5, min_days=2).count() == 0
+    none = repeated_lines.strip_repeated_lines(p, found.limit(0)).collect()
+    assert {r["n_removed"] for r in none} == {0} and {r["text"] for r in none} >= {story}
+
+
 VEC = "chunk_id string, embedding array<double>, gid string"
 
 
