@@ -13,9 +13,9 @@
    Within a weight step the smallest hash wins, so a record costs one minimum per step and function and one
    comparison of the steps. SAMPLES of them give BANDS bands of ROWS each (random groups, every sample in several).
 4. Exchange: a band key (32 bits and a target) per record and band goes out in packed blocks, each record once per
-   block with its fingerprint, size and a 64-bit sketch. A target sorts its keys; records that meet there are paired,
-   pairs that size or sketch rule out are dropped (a pair of Jaccard 0.6 is lost so with a chance of 0.0002 to
-   0.0005), the others leave.
+   block with its fingerprint, size and a sketch of 128 bits. A target sorts its keys; records that meet there are paired,
+   pairs that size or sketch rule out are dropped (a pair of weighted Jaccard 0.6 is lost so with a chance of 0.00004,
+   one of 0.545 with 0.001), the others leave.
 5. Keys expected to be hot (from a fixed fraction of the records; the sample only routes, it decides nothing) and
    buckets above BLOCK members are worked off as pairs of blocks of bounded size, spread over tasks, where only
    verified pairs leave a task.
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatework.llm._grams import bare, grams, mix
+from slatework.llm._grams import bare, distinct, grams, mix
 from slatework.operators.graph import connected_components
 from slatework.runtime import mapped, mapped_arrow, need, settled, ship, small
 
@@ -47,8 +47,8 @@ SAMPLES, ROWS, BANDS = 256, 6, 150
 #: The steps of the weights and their upper ends as shares of all records.
 WEIGHTS = np.array([1.25, 1.25 - 0.25 / 3, 1.25 - 0.5 / 3, 1.0])
 FREQUENT = (0.01, 0.05, 0.2)
-#: Least agreement of two sketches of 64 bits; a pair of Jaccard 0.6 agrees in 51 bits, give or take 3.2.
-AGREE = 40
+#: Least agreement of two sketches of 128 bits; a pair of weighted Jaccard 0.6 agrees in 102 bits, give or take 4.5.
+AGREE = 84
 
 
 def elements(hashes: np.ndarray) -> np.ndarray:
@@ -93,7 +93,7 @@ def document_frequencies(bodies: DataFrame) -> tuple[np.ndarray, int]:
 
 def shingles(texts: list[str]) -> list[np.ndarray]:
     """The distinct shingles of each text as numbers of 32 bits, in small batches that stay in the cache."""
-    return [np.unique(h.astype(np.uint32)) for low in range(0, len(texts), 64) for h in grams(texts[low : low + 64], SHINGLE)]
+    return [distinct(h.astype(np.uint32)) for low in range(0, len(texts), 64) for h in grams(texts[low : low + 64], SHINGLE)]
 
 
 def fingerprint(body: str) -> int:
@@ -108,37 +108,44 @@ class Sampler:
         self.step_of, self.samples = step_of, samples
         self.a = rng.integers(0, 1 << 32, samples, np.uint32) | np.uint32(1)
         self.b = rng.integers(0, 1 << 32, samples, np.uint32)
+        self.factors = rng.integers(0, 1 << 63, rows, np.uint64) | np.uint64(1)
         groups = [rng.permutation(samples)[: samples // rows * rows].reshape(-1, rows) for _ in range(-(-bands * rows // samples) + 1)]
         self.bands = np.concatenate(groups)[:bands]
 
     def signatures(self, sets: list[np.ndarray]) -> np.ndarray:
         low = np.full((len(sets), len(WEIGHTS), self.samples), 0xFFFFFFFF, np.uint32)
-        room = np.empty((max(map(len, sets), default=0), self.samples), np.uint32)
+        room = np.empty((min(2048, max(map(len, sets), default=0)), self.samples), np.uint32)
         for i, x in enumerate(sets):
             step = self.step_of[x & np.uint32(BUCKETS - 1)]
-            for w in range(len(WEIGHTS)):
-                part = x[step == w]
-                for first in range(0, len(part), 1024):
-                    some = part[first : first + 1024, None]
+            x = x[np.argsort(step, kind="stable")]
+            end = np.bincount(step, minlength=len(WEIGHTS)).cumsum().tolist()
+            at = 0
+            for w, stop in enumerate(end):
+                while at < stop:
+                    some = x[at : min(stop, at + 2048), None]
                     got = np.multiply(some, self.a, out=room[: len(some)])
-                    got ^= self.b
+                    np.bitwise_xor(got, self.b, out=got)
                     np.minimum(low[i, w], got.min(0), out=low[i, w])
-        value = -np.log1p((low + np.float32(0.5)) / np.float64(-(1 << 32))) / WEIGHTS[:, None]
-        won = value.argmin(1)
+                    at += len(some)
+        uniform = (low >> np.uint32(8)).astype(np.float32) * np.float32(2.0**-24)  # below 1
+        won = (np.log(np.float32(1) - uniform) / -WEIGHTS.astype(np.float32)[:, None]).argmin(1)
         return np.take_along_axis(low, won[:, None], 1)[:, 0] ^ (won.astype(np.uint32) * np.uint32(0x9E3779B1))
 
     def keys(self, signatures: np.ndarray) -> np.ndarray:
         """(records x bands) keys of 64 bits."""
-        key = np.broadcast_to(np.arange(1, len(self.bands) + 1, dtype=np.uint64), (len(signatures), len(self.bands)))
-        for r in range(self.bands.shape[1]):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signatures[:, self.bands[:, r]])
-        return key
+        out = np.empty((len(signatures), len(self.bands)), np.uint64)
+        for low in range(0, len(out), 64):  # stays in the cache
+            key = np.arange(len(self.bands), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for r in range(self.bands.shape[1]):
+                key = key + signatures[low : low + 64, self.bands[:, r]] * self.factors[r]
+            out[low : low + 64] = mix(key)
+        return out
 
     @staticmethod
     def sketches(signatures: np.ndarray) -> np.ndarray:
-        """64 bits, one of each of the first samples."""
-        bits = (mix(signatures[:, :64].astype(np.uint64)) >> np.uint64(20)).astype(np.uint8) & 1
-        return np.packbits(bits, axis=1).view(np.uint64)[:, 0]
+        """(records x 2) 64 bits each, one bit of each of the first 128 samples."""
+        bits = (mix(signatures[:, :128].astype(np.uint64)) >> np.uint64(20)).astype(np.uint8) & 1
+        return np.packbits(bits, axis=1).view(np.uint64)
 
 
 def _texts(records: DataFrame, record_id: str, text: str) -> DataFrame:
@@ -253,15 +260,15 @@ def _packed(texts: DataFrame, least: int, sampler, hot, targets: int) -> DataFra
     return mapped_arrow(texts, work, "target int, fp binary, sketch binary, n binary, many binary, keys binary")
 
 
-def _meetings(packed: DataFrame, targets: int, least_ratio: float, block: int) -> DataFrame:
+def _meetings(packed: DataFrame, targets: int, least_ratio: float, agree: int, block: int) -> DataFrame:
     """(a, b, size): pairs of fingerprints that meet and may be similar (size null); members b of a bucket a above block."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64())])
 
     def meet(rows: list) -> Iterator[pa.RecordBatch]:
         fp, sketch, n, many, keys = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.int64, np.uint64, np.uint16, np.uint16, np.uint32)))
         known, first, number = np.unique(fp, return_index=True, return_inverse=True)
-        sketch, n = sketch[first], n[first].astype(np.int64)
-        entry = np.unique((keys.astype(np.uint64) << np.uint64(32)) | np.repeat(number, many).astype(np.uint64))
+        sketch, n = sketch.reshape(-1, 2)[first], n[first].astype(np.int64)
+        entry = distinct((keys.astype(np.uint64) << np.uint64(32)) | np.repeat(number, many).astype(np.uint64))
         key, who = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
         start = np.flatnonzero(np.diff(key, prepend=key[:1] + 1))
         size = np.diff(np.append(start, len(key)))
@@ -274,12 +281,13 @@ def _meetings(packed: DataFrame, targets: int, least_ratio: float, block: int) -
                 x, y = some[:, i].ravel(), some[:, j].ravel()
                 # Sizes are cut at 65,535, where the smaller one decides nothing.
                 near = (np.minimum(n[x], n[y]) >= least_ratio * np.maximum(n[x], n[y])) | (np.minimum(n[x], n[y]) >= 65535 * least_ratio)
-                near &= 64 - np.bitwise_count(sketch[x] ^ sketch[y]) >= AGREE
+                x, y = x[near], y[near]
+                near = 128 - np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int16) >= agree
                 pairs.append((x[near].astype(np.uint64) << np.uint64(32)) | y[near].astype(np.uint64))
         for at, s in zip(start[size > block].tolist(), size[size > block].tolist()):
             own = known[who[at : at + s]]
             big.append((np.full(s, np.bitwise_xor.reduce(mix(own.view(np.uint64))).view(np.int64)), own, np.full(s, s)))
-        met = np.unique(np.concatenate(pairs))
+        met = distinct(np.concatenate(pairs))
         a, b = known[(met >> np.uint64(32)).astype(np.int64)], known[(met & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=schema)
         if big:
@@ -293,28 +301,29 @@ def _meetings(packed: DataFrame, targets: int, least_ratio: float, block: int) -
         for rows in held.values():
             yield from meet(rows)
 
-    return mapped_arrow(packed.repartition(targets, "target"), work, "a bigint, b bigint, size bigint")
+    return mapped_arrow(packed.repartitionById(targets, "target"), work, "a bigint, b bigint, size bigint")
 
 
 class _Verify:
-    """Both similarities of text pairs; what was made of the texts seen last is kept."""
+    """Both similarities of text pairs, by 64-bit hashes of shingles; what was made of the texts seen last is kept."""
 
     def __init__(self, step_of: np.ndarray, min_weighted: float, exact_min: float | None):
-        self.step_of, self.min_weighted, self.exact_min = step_of, min_weighted, exact_min
+        self.weight_of, self.min_weighted, self.exact_min = WEIGHTS[step_of], min_weighted, exact_min
         self.sets: dict[str, np.ndarray] = {}
 
-    def set_of(self, text: str) -> np.ndarray:
-        if text not in self.sets:
-            if len(self.sets) > 1024:
-                self.sets.clear()
-            self.sets[text] = np.unique(grams([text], SHINGLE)[0])
-        return self.sets[text]
+    def prepare(self, texts: list[str]) -> None:
+        new = [t for t in dict.fromkeys(texts) if t not in self.sets]
+        if len(self.sets) + len(new) > 4096:
+            self.sets.clear()
+            new = list(dict.fromkeys(texts))
+        for low in range(0, len(new), 64):
+            self.sets.update(zip(new[low : low + 64], map(distinct, grams(new[low : low + 64], SHINGLE))))
 
     def likely(self, left: list[str], right: list[str]) -> np.ndarray:
         """Which of all pairs can reach exact_min, by common hashes counted as products of matrices."""
         if self.exact_min is None:
             return np.ones((len(left), len(right)), bool)
-        sets = [np.unique(h) for h in grams([*left, *right], SHINGLE)]
+        sets = [self.sets[t] for t in (*left, *right)]
         sizes = np.array([len(x) for x in sets])
         names, col = np.unique(np.concatenate(sets), return_inverse=True)
         row = np.repeat(np.arange(len(sets)), sizes)
@@ -326,17 +335,21 @@ class _Verify:
             both += part[: len(left)] @ part[len(left) :].T
         return both >= (self.exact_min - 0.01) * (sizes[: len(left), None] + sizes[None, len(left) :] - both)
 
+    def _weight(self, shingles: np.ndarray) -> float:
+        return float(self.weight_of[(shingles & np.uint64(BUCKETS - 1)).astype(np.int64)].sum())
+
     def __call__(self, a: str, b: str) -> tuple[float, float] | None:
-        """(weighted, exact); shingles are compared by 64-bit hashes."""
-        x, y = self.set_of(a), self.set_of(b)
-        if self.exact_min is not None and min(len(x), len(y)) < self.exact_min * max(len(x), len(y)):
+        """(weighted, exact) of two prepared texts, or None if one is too low."""
+        x, y = self.sets[a], self.sets[b]
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        if self.exact_min is not None and len(x) < self.exact_min * len(y):
             return None
-        common = np.intersect1d(x, y, assume_unique=True)
+        common = x[y[np.searchsorted(y, x).clip(0, len(y) - 1)] == x]
         exact = len(common) / (len(x) + len(y) - len(common))
         if self.exact_min is not None and exact < self.exact_min:
             return None
-        w_common, w_x, w_y = (float(WEIGHTS[self.step_of[z.astype(np.uint32) & np.uint32(BUCKETS - 1)]].sum()) for z in (common, x, y))
-        weighted = w_common / (w_x + w_y - w_common)
+        both = self._weight(common)
+        weighted = both / (self._weight(x) + self._weight(y) - both)
         return (weighted, exact) if weighted >= self.min_weighted else None
 
 
@@ -364,7 +377,9 @@ def similar_texts(records: DataFrame, record_id: str, text: str, *, min_weighted
     held = spark.sparkContext.broadcast(np.sort(hot["key"].to_numpy(np.int64).view(np.uint64)))
     targets = max(spark.sparkContext.defaultParallelism, -(-n * bands // 6_000_000))
     ratio = exact_min if exact_min is not None else min_weighted / WEIGHTS[0]
-    met = settled(_meetings(_packed(texts, least, sampler, held, targets), targets, ratio, block))
+    # The sketch was made for a similarity of 0.6; below that it decides nothing.
+    agree = AGREE if (exact_min or 0) >= 0.6 or min_weighted >= 0.54 else 0
+    met = settled(_meetings(_packed(texts, least, sampler, held, targets), targets, ratio, agree, block))
     pairs = met.filter("size is null").select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).distinct()
     big = met.filter("size is not null").select(F.col("a").alias("key"), F.col("b").alias("fp"), F.col("size").alias("expected"))
     if len(hot):
@@ -374,7 +389,11 @@ def similar_texts(records: DataFrame, record_id: str, text: str, *, min_weighted
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         verify = _Verify(steps.value, min_weighted, exact_min)
         for pdf in batches:
-            out = [(x, y, *j) for x, y, a, b in zip(pdf["fp_a"], pdf["fp_b"], pdf["body_a"], pdf["body_b"]) if (j := verify(a, b))]
+            out = []
+            for low in range(0, len(pdf), 512):
+                part = pdf[low : low + 512]
+                verify.prepare([*part["body_a"], *part["body_b"]])
+                out += [(x, y, *j) for x, y, a, b in zip(part["fp_a"], part["fp_b"], part["body_a"], part["body_b"]) if (j := verify(a, b))]
             yield pd.DataFrame(out, columns=["fp_a", "fp_b", "weighted", "exact"])
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,6 +426,7 @@ def _by_blocks(big: DataFrame, text_of: DataFrame, verifier, schema: str) -> Dat
         out = []
         if not len(left) or not len(right):
             return pd.DataFrame(out, columns=["fp_a", "fp_b", "weighted", "exact"])
+        verify.prepare([*left["body"], *right["body"]])
         xs, ys, a, b = left["fp"].tolist(), right["fp"].tolist(), left["body"].tolist(), right["body"].tolist()
         for m, n in zip(*np.nonzero(verify.likely(a, b))):
             x, y = xs[m], ys[n]
