@@ -1,19 +1,24 @@
 """Per-document text quality statistics and robust Mahalanobis distance from the prose of the document's language.
 
-Statistics are figures of a document by itself (one pass, no shuffle). Location and covariance of prose come from
-all documents of a language: medians and median deviations first, then the mean and covariance of the documents near
-them, re-weighted a fixed number of times (concentration steps). Each step is a map-side sum of 1 + d + d^2 numbers
-per language; nothing else reaches the driver. A statistic's contribution is its term z_i (S^-1 z)_i; contributions
-sum to the squared distance.
+Statistics are figures of a document by itself (one pass, no shuffle). Ratios enter the distance as square roots and
+word length as a logarithm, which makes their spread in prose even.
 
-A document is no prose if it lies farther out than the limit of its language and most of its characters stand
-outside sentences. The limit is fitted on the raters' labels (a bounded sample: at most max_labels rows).
+Location and covariance of a language's prose are fitted in two steps. The raters' labels (a bounded sample: at most
+max_labels rows) give the start: medians of labelled prose by language, one covariance of the deviations from them,
+and the limit that separates the labels best (F1; in the middle, on a log scale, of the widest best stretch). Then
+mean and covariance are taken anew from all documents of the language within the limit, and the limit again from the
+labels, `steps` times; each step is a map-side sum of 1 + d + d^2 numbers per language, nothing else reaches the
+driver. A statistic's contribution is its term z_i (S^-1 z)_i; contributions sum to the squared distance.
+
+A document is no prose if its distance lies beyond the limit; nothing else decides.
 
 Languages are told from the text itself, since labels are missing or wrong in places.
 
 Defined cases: null, empty and white-space texts have no statistics and are never found; repeated rows give repeated
-rows; unknown, null and contradictory labels are left out of the fit; without labels the limit is the 0.999 quantile
-of chi-squared; a language with fewer documents than statistics is measured against all languages together.
+rows; unknown, null and contradictory labels are left out of the fit; a language with fewer than 5 labelled prose
+documents starts from the medians of all its documents; without labelled prose medians and median deviations of all
+documents are the start; without labels of both kinds the limit is the 0.999 quantile of chi-squared; a language with
+fewer documents within the limit than 3 times the statistics keeps its start.
 """
 
 from __future__ import annotations
@@ -128,15 +133,26 @@ def text_statistics(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     return mapped(own, work, f"doc_id {kind}, language string, " + ", ".join(f"{s} double" for s in STATS))
 
 
+#: How a statistic enters the distance.
+_ROOT, _LOG = [STATS.index(n) for n in ("symbol_ratio", "digit_ratio", "mark_ratio")], STATS.index("word_length")
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    z = np.array(x, float)
+    z[:, _ROOT] = np.sqrt(z[:, _ROOT])
+    z[:, _LOG] = np.log(z[:, _LOG] + 0.1)
+    return z
+
+
 class Shape:
-    """Location, scale floor and inverse covariance of one language's prose."""
+    """Location and inverse covariance of one language's prose, over scaled statistics."""
 
     def __init__(self, mean: np.ndarray, cov: np.ndarray):
         self.mean = mean
         self.inverse = np.linalg.inv(cov + np.diag(np.full(len(mean), 1e-4)))
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
-        z = x - self.mean
+        z = scaled(x) - self.mean
         return z * (z @ self.inverse)
 
 
@@ -145,30 +161,73 @@ def _wilson(p: float, d: int) -> float:
     return d * (1 - 2 / (9 * d) + {0.975: 1.95996, 0.999: 3.09023}[p] * math.sqrt(2 / (9 * d))) ** 3
 
 
-def fit_prose(stats: DataFrame, steps: int = 3) -> dict[str, Shape]:
-    """The prose shape of every language, and of all together under "", from all documents."""
-    d = len(STATS)
-    array = F.array(*[F.col(s) for s in STATS])
-    named = stats.select(F.explode(F.array("language", F.lit(""))).alias("g"), array.alias("x"))
+def labelled(stats: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: str = "label", max_labels: int = 20_000) -> pd.DataFrame:
+    """Statistics of at most max_labels labelled documents, chosen by hash, and whether they are prose."""
+    own = labels.select(F.col(doc_id).alias("doc_id"), F.lower(F.trim(F.col(label))).alias("label")).filter("label in ('prose', 'list', 'table', 'junk')").groupBy("doc_id")
+    own = own.agg(F.min(F.col("label") == "prose").alias("low"), F.max(F.col("label") == "prose").alias("high")).filter("low = high").orderBy(F.xxhash64("doc_id")).limit(max_labels)
+    rows = stats.join(F.broadcast(own.select("doc_id", F.col("low").alias("prose"))), "doc_id").dropDuplicates(["doc_id"])
+    return rows.select("language", "prose", *STATS).toPandas()
+
+
+def distances(rows: pd.DataFrame, shapes: dict[str, Shape]) -> np.ndarray:
+    x, out = rows[list(STATS)].to_numpy(float), np.zeros(len(rows))
+    for g in rows["language"].unique():
+        at = (rows["language"] == g).to_numpy()
+        out[at] = shapes[g].contributions(x[at]).sum(1)
+    return out
+
+
+def best_limit(distance: np.ndarray, prose: np.ndarray) -> float:
+    """The distance that separates prose from the rest best."""
+    base = _wilson(0.999, len(STATS))
+    if prose.all() or not prose.any():
+        return base
+    cuts = np.unique(np.concatenate([[base], distance[distance > 0]]))
+    order = np.sort(distance)
+    bad = np.sort(distance[~prose])
+    said = len(order) - np.searchsorted(order, cuts, "right")
+    hit = len(bad) - np.searchsorted(bad, cuts, "right")
+    f1 = 2 * hit / (said + len(bad))
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    above = np.append(cuts[1:], cuts[-1])
+    at = best[np.argmax(above[best] / cuts[best])]
+    return float(np.sqrt(cuts[at] * above[at]))
+
+
+def _start(stats: DataFrame, rows: pd.DataFrame) -> dict[str, Shape]:
     middle = stats.groupBy("language").agg(*[F.percentile_approx(s, 0.5, 1000).alias(s) for s in STATS]).collect()
-    medians = {r["language"]: np.array([r[s] for s in STATS]) for r in middle}
-    if not medians:
-        return {}
-    r = stats.agg(*[F.percentile_approx(s, 0.5, 1000).alias(s) for s in STATS]).first()
-    medians[""] = np.array([r[s] for s in STATS])
-    away = named.join(F.broadcast(stats.sparkSession.createDataFrame([(k, [float(v) for v in m]) for k, m in medians.items()], "g string, m array<double>")), "g")
-    away = away.select("g", *[F.abs(F.get("x", F.lit(i)) - F.get("m", F.lit(i))).alias(s) for i, s in enumerate(STATS)])
-    spread = {r["g"]: np.array([r[s] for s in STATS]) * 1.4826 for r in away.groupBy("g").agg(*[F.percentile_approx(s, 0.5, 1000).alias(s) for s in STATS]).collect()}
-    shapes = {k: Shape(medians[k], np.diag(np.maximum(spread[k], 0.02) ** 2)) for k in medians}
-    for step in range(steps):
-        now, limit = shapes, _wilson(0.999 if step == 0 else 0.975, d) * (1.5 if step == 0 else 1)
-
-        def sums(batches: Iterator[pd.DataFrame], now=now, limit=limit) -> Iterator[pd.DataFrame]:
+    medians = {r["language"]: scaled(np.array([[r[s] for s in STATS]], float))[0] for r in middle}
+    good = rows[rows["prose"].astype(bool)]
+    for g, part in good.groupby("language"):
+        if len(part) >= 5:
+            medians[g] = np.median(scaled(part[list(STATS)].to_numpy(float)), axis=0)
+    if len(good):
+        away = np.concatenate([scaled(part[list(STATS)].to_numpy(float)) - medians[g] for g, part in good.groupby("language")])
+        cov = np.cov(away.T) if len(away) > 3 * len(STATS) else np.diag(np.maximum(1.4826 * np.median(np.abs(away), axis=0), 0.05) ** 2)
+        return {g: Shape(m, cov) for g, m in medians.items()}
+    named = stats.join(F.broadcast(stats.sparkSession.createDataFrame([(k, [float(v) for v in m]) for k, m in medians.items()], "language string, m array<double>")), "language") if medians else stats.limit(0)
+    value = lambda i, s: F.sqrt(s) if i in _ROOT else F.log(F.col(s) + 0.1) if i == _LOG else F.col(s)
+    off = [F.percentile_approx(F.abs(value(i, s) - F.get("m", F.lit(i))), 0.5, 1000).alias(s) for i, s in enumerate(STATS)] if medians else []
+    spread = {r["language"]: np.maximum(1.4826 * np.array([r[s] for s in STATS]), 0.05) for r in named.groupBy("language").agg(*off).collect()} if medians else {}
+    return {g: Shape(m, np.diag(spread[g] ** 2)) for g, m in medians.items()}
+
+
+def fit_prose(stats: DataFrame, rows: pd.DataFrame, steps: int = 2) -> tuple[dict[str, Shape], float]:
+    """(the prose shape of every language, the limit), from all documents and the labelled rows."""
+    d = len(STATS)
+    shapes = _start(stats, rows)
+    prose = rows["prose"].to_numpy(bool)
+    limit = best_limit(distances(rows, shapes), prose)
+    named = stats.select("language", *STATS)
+    for _ in range(steps if shapes else 0):
+        now, within = shapes, limit
+
+        def sums(batches: Iterator[pd.DataFrame], now=now, within=within) -> Iterator[pd.DataFrame]:
             held: dict[str, np.ndarray] = {}
             for pdf in batches:
-                for g, part in pdf.groupby("g"):
-                    x = np.array(part["x"].tolist())
-                    x = x[now[g].contributions(x).sum(1) <= limit]
+                for g, part in pdf.groupby("language"):
+                    x = part[list(STATS)].to_numpy(float)
+                    x = scaled(x[now[g].contributions(x).sum(1) <= within])
                     one = np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
                     held[g] = held[g] + one if g in held else one
             if held:
@@ -177,14 +236,12 @@ def fit_prose(stats: DataFrame, steps: int = 3) -> dict[str, Shape]:
         total = {g: np.zeros(1 + d + d * d) for g in shapes}
         for r in mapped(named, sums, "g string, i int, v double").groupBy("g", "i").agg(F.sum("v").alias("v")).collect():
             total[r["g"]][r["i"]] = r["v"]
-        shapes = {}
         for g, t in total.items():
-            if t[0] > 2 * d or g == "":
-                n = max(1.0, t[0])
-                mean = t[1 : d + 1] / n
-                shapes[g] = Shape(mean, t[d + 1 :].reshape(d, d) / n - np.outer(mean, mean))
-        shapes = {g: shapes.get(g, shapes[""]) for g in total}
-    return shapes
+            if t[0] > 3 * d:
+                mean = t[1 : d + 1] / t[0]
+                shapes = shapes | {g: Shape(mean, t[d + 1 :].reshape(d, d) / t[0] - np.outer(mean, mean))}
+        limit = best_limit(distances(rows, shapes), prose)
+    return shapes, limit
 
 
 def score_quality(stats: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
@@ -202,39 +259,13 @@ def score_quality(stats: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
     return mapped(stats, work, schema)
 
 
-def fit_limits(scored: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: str = "label", max_labels: int = 20_000) -> dict[str, float]:
-    """The distance above which a document is no prose, by language and, under "", for all: best F1 on the labels."""
-    own = labels.select(F.col(doc_id).alias("doc_id"), F.lower(F.trim(F.col(label))).alias("label")).filter("label in ('prose', 'list', 'table', 'junk')").groupBy("doc_id")
-    own = own.agg(F.min(F.col("label") == "prose").alias("low"), F.max(F.col("label") == "prose").alias("high")).filter("low = high").orderBy(F.xxhash64("doc_id")).limit(max_labels)
-    rows = scored.select("doc_id", "language", "distance", "prose_share").join(F.broadcast(own.select("doc_id", F.col("low").alias("prose"))), "doc_id").toPandas()
-    base = _wilson(0.999, len(STATS))
-    out = {"": base}
-    for g in ["", *sorted(rows["language"].unique())]:
-        part = rows if g == "" else rows[rows["language"] == g]
-        bad, far, candidate = ~part["prose"].to_numpy(bool), part["distance"].to_numpy(), part["prose_share"].to_numpy() < 0.5
-        if bad.sum() < 10:
-            out[g] = out[""]
-            continue
-        best = (-1.0, 0.0, base)
-        for limit in np.unique(np.concatenate([[base], far[candidate] - 1e-9])):
-            said = candidate & (far > limit)
-            hit = (said & bad).sum()
-            f1 = 2 * hit / max(1, said.sum() + bad.sum())
-            best = max(best, (f1, -abs(math.log(limit / base)) if limit > 0 else -99.0, float(limit)))
-        out[g] = best[2]
-    return out
-
-
-def find_junk(scored: DataFrame, limits: dict[str, float], max_prose: float = 0.5) -> DataFrame:
-    """The scored documents beyond their language's limit most of whose characters stand outside sentences."""
-    limit = F.lit(limits[""])
-    for name, value in limits.items():
-        limit = F.when(F.col("language") == name, value).otherwise(limit) if name else limit
-    return scored.filter((F.col("distance") > limit) & (F.col("prose_share") < max_prose))
+def find_junk(scored: DataFrame, limit: float) -> DataFrame:
+    """The scored documents beyond the limit."""
+    return scored.filter(F.col("distance") > limit)
 
 
-def judge(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """(scored documents, limits): statistics, distance and contributions of every document with text."""
+def judge(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(scored documents, limit): statistics, distance and contributions of every document with text."""
     stats = settled(text_statistics(documents))
-    scored = settled(score_quality(stats, fit_prose(stats)))
-    return scored, fit_limits(scored, labels)
+    shapes, limit = fit_prose(stats, labelled(stats, labels))
+    return score_quality(stats, shapes), limit

@@ -164,8 +164,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents most of whose characters are list entries, table cells or junk."""
-    scored, limits = quality.judge(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
-    return quality.find_junk(scored, limits).select("doc_id").distinct()
+    return quality.find_junk(*quality.judge(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))).select("doc_id").distinct()
 
 
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:

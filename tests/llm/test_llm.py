@@ -386,12 +386,19 @@ def test_quality(spark):
     docs += [(3000, None), (3001, ""), (3002, " \n　"), (3003, "梯"), (3004, "x" * 100000), docs[0]]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("language", F.lit("q")).withColumn("distance", F.lit("q"))
     labels = spark.createDataFrame([(n, " Prose") for n in range(0, 300, 3)] + [(1000 + n, "LIST") for n in range(15)] + [(2000, None), (5, "odd"), (6, "prose"), (6, "table")], "doc_id bigint, label string")
-    scored, limits = quality.judge(d, labels)
-    found = {x["doc_id"] for x in quality.find_junk(scored, limits).collect()}
+    scored, limit = quality.judge(d, labels)
+    found = {x["doc_id"] for x in quality.find_junk(scored, limit).collect()}
     assert {1000 + n for n in range(20)} | {2000 + n for n in range(20)} <= found and not found & set(range(300))
     one = scored.filter("doc_id = 1000").first()
     assert math.isclose(sum(one["contributions"].values()), one["distance"], rel_tol=1e-6)
     assert scored.filter("doc_id in (3000, 3001, 3002)").count() == 0
     alone, base = quality.judge(d, labels.limit(0))
-    assert base[""] == pytest.approx(29.588, abs=0.3) and quality.find_junk(alone, base).count() >= 40
+    assert base == pytest.approx(29.588, abs=0.3) and quality.find_junk(alone, base).count() >= 40
     assert quality.find_junk(*quality.judge(d.limit(0), labels)).count() == 0
+
+
+def test_limit_lies_in_the_widest_gap():
+    near, far = np.array([1.0, 2, 3, 40]), np.array([900.0, 1000, 2000])
+    d, prose = np.concatenate([near, far]), np.array([True] * 4 + [False] * 3)
+    assert quality.best_limit(d, prose) == pytest.approx((40 * 900) ** 0.5)
+    assert quality.best_limit(d, ~prose & False) == quality.best_limit(d, prose | True) == pytest.approx(29.588, abs=0.3)
