@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatework.functions import text as X
+from slatework.runtime import settled
 
 
 def sections(pages: DataFrame) -> DataFrame:
@@ -25,24 +26,31 @@ def sections(pages: DataFrame) -> DataFrame:
 
 
 def chunk_pages(pages: DataFrame, max_chars: int = 500, overlap_sentences: int = 1, max_section_chars: int = 2000) -> DataFrame:
-    """Chunks of all three levels (CHUNK columns) of prepared pages."""
+    """Chunks of all three levels (CHUNK columns) of prepared pages.
+
+    Pages are cut into windows once; the three levels read that. Of a section's pages only the texts that can reach
+    into its first max_section_chars characters are gathered.
+    """
     p = sections(pages)
     out_flag = F.coalesce(F.col("text_retrieval_excluded"), F.lit(False)) if "text_retrieval_excluded" in pages.columns else F.lit(False)
     text = F.coalesce("text", F.lit(""))
     p = p.withColumns({"_excluded": out_flag, "_text": text, "_sec": X.stable_id("sec", F.col("document_id"), F.col("section_page"), F.col("section")), "_page": X.stable_id("page", F.col("document_id"), F.col("page_number"))})
     p = p.withColumn("_win", F.when(F.col("_excluded"), F.array().cast("array<string>")).otherwise(X.windows(X.sentences(F.col("_text")), max_chars, overlap_sentences)))
     p = p.withColumn("_ids", F.transform("_win", lambda w, i: X.stable_id("chk", F.col("document_id"), F.col("page_number"), i, w)))
+    solid = F.when(p["_excluded"], 0).otherwise(F.length(X.strip(p["_text"])))
+    before = Window.partitionBy("document_id", "section_no").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("_solid", solid).withColumn("_before", F.coalesce(F.sum("_solid").over(before), F.lit(0)))
+    p = settled(p.select("document_id", "page_number", "title", "section", "_excluded", "_text", "_sec", "_page", "_win", "_ids", "_solid", "_before", F.col("metadata.source_name").alias("_source")))
     none = F.lit(None)
 
     def meta(**known):
         kinds = {"source_name": "string", "source_title": "string", "window": "int", "page_count": "int", "retrievable_page_count": "int", "truncated": "boolean", "text_retrieval_excluded": "boolean"}
         return F.struct(*[known.get(k, none).cast(t).alias(k) for k, t in kinds.items()])
 
-    source = F.col("metadata.source_name")
-    good = ~F.col("_excluded") & (F.length(X.strip(F.col("_text"))) > 0)
+    source, good = F.col("_source"), F.col("_solid") > 0
     per = p.groupBy("document_id", "_sec", "section").agg(
         F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), F.count("*").alias("n"), F.count_if(good).alias("good"), F.min_by(source, "page_number").alias("source"),
-        F.array_sort(F.collect_list(F.struct("page_number", "_page", F.when(good, F.col("_text")).alias("t")))).alias("all"))
+        F.array_sort(F.collect_list(F.struct("page_number", "_page", F.when(good & (F.col("_before") <= max_section_chars), F.col("_text")).alias("t")))).alias("all"))
     body = F.array_join(F.array_compact(F.transform("all", lambda x: x["t"])), "\n\n")
     full = X.strip(F.concat(F.col("section"), F.lit("\n"), body))
     no_ids = F.array().cast("array<string>")
@@ -62,13 +70,13 @@ def chunk_pages(pages: DataFrame, max_chars: int = 500, overlap_sentences: int =
 def hierarchy_errors(chunks: DataFrame) -> DataFrame:
     """(chunk_id, error) of every broken link; empty if the hierarchy is sound. Of a parent's faults the first is told."""
     c = chunks.select("chunk_id", "document_id", "page_start", "page_end", "parent_id", F.coalesce("child_ids", F.array().cast("array<string>")).alias("child_ids"))
-    twice = c.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id", F.lit("duplicate chunk_id").alias("error"))
+    twice = c.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id", F.lit("id_repeated").alias("error"))
     one = c.dropDuplicates(["chunk_id"])
     up = one.select(F.col("chunk_id").alias("parent_id"), F.col("document_id").alias("d"), F.col("page_start").alias("s"), F.col("page_end").alias("e"), F.col("child_ids").alias("k"))
     kept = (F.col("d") == F.col("document_id")) & (F.col("s") <= F.col("page_start")) & (F.col("e") >= F.col("page_end"))
-    fault = F.when(F.col("d").isNull(), "missing parent").when(~F.array_contains("k", F.col("chunk_id")), "not linked by parent").when(~kept, "outside parent evidence range")
+    fault = F.when(F.col("d").isNull(), "parent_unknown").when(~F.array_contains("k", F.col("chunk_id")), "parent_lacks_child").when(~kept, "range_beyond_parent")
     upward = one.filter("parent_id <> ''").join(up, "parent_id", "left").select("chunk_id", fault.alias("error")).filter("error is not null")
     down = one.select("chunk_id", F.explode("child_ids").alias("child")).join(one.select(F.col("chunk_id").alias("child"), F.col("parent_id").alias("back"), F.lit(True).alias("there")), "child", "left")
-    lost = down.filter("there is null").select("chunk_id", F.lit("missing child").alias("error"))
-    loose = down.filter(F.col("there") & ~F.col("back").eqNullSafe(F.col("chunk_id"))).select(F.col("child").alias("chunk_id"), F.lit("does not link back").alias("error"))
+    lost = down.filter("there is null").select("chunk_id", F.lit("child_unknown").alias("error"))
+    loose = down.filter(F.col("there") & ~F.col("back").eqNullSafe(F.col("chunk_id"))).select(F.col("child").alias("chunk_id"), F.lit("child_has_other_parent").alias("error"))
     return twice.unionByName(upward).unionByName(lost).unionByName(loose)

@@ -73,7 +73,8 @@ def manifest_flatten(s, d):
 
 @query
 def repeated_downloads(s, d):
-    return readers.repeated_keys(table(s, d, "course_files"), "source_id", "path").select("source_id", "path", _long("rows"))
+    """Files that a source has several times for one topic and role."""
+    return readers.repeated_keys(table(s, d, "course_files"), "source_id", "topic", "role").select("source_id", "topic", "role", _long("rows"))
 
 
 @query
@@ -139,12 +140,13 @@ def sentence_split(s, d):
 
 @query
 def passage_windows(s, d):
-    return _pages(s, d).select("document_id", _long("page_number"), F.posexplode(X.windows(X.sentences(F.col("text")), 500, 1)).alias("window", "text"))
+    return _pages(s, d).select("document_id", _long("page_number"), F.posexplode(X.windows(X.sentences(F.col("text")), 500, 1)).alias("window", "text")).withColumn("window", _long("window"))
 
 
 @query
 def chunked_pages(s, d):
-    return chunking.chunk_pages(pages.prepare_pages(_pages(s, d))).drop("metadata")
+    out = chunking.chunk_pages(pages.prepare_pages(_pages(s, d)))
+    return out.select("chunk_id", "document_id", _long("page_start"), _long("page_end"), "text", "section", "parent_id", "level", F.array_join("child_ids", ",").alias("children"))
 
 
 @query

@@ -1,4 +1,4 @@
-"""The core queries in DuckDB's SQL, over whole tables. Window chunking has none: it is tested against brute force."""
+"""The core queries in DuckDB's SQL, over whole tables."""
 
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NL = r"\r\n|[\n\x{0b}\f\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
@@ -60,14 +60,52 @@ RISK = """round(least(CAST(1 AS DOUBLE), (CASE WHEN im <> 0 AND n < 120 THEN CAS
 EXCLUDED = "role IN ('boilerplate', 'visual_only', 'section_divider', 'empty')"
 FIRST = strip("l[1]")
 HEAD = rf"""CASE WHEN length(title) BETWEEN 1 AND 100 THEN trim(title, '# ') WHEN {FIRST} LIKE '#%' OR (length({FIRST}) BETWEEN 1 AND 60 AND NOT regexp_matches({FIRST}, '[.!?。！？]$')) THEN trim({FIRST}, '# ') END"""
-SECTIONS = rf"""
-{PAGES}, {quality('p')},
-s0 AS (SELECT document_id, page_number, role, {HEAD} AS head FROM q),
+SECTION_ROWS = rf"""
+s0 AS (SELECT q.*, {HEAD} AS head FROM q),
 s1 AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND (role = 'section_divider' OR coalesce(regexp_matches(trim(head, '# '), '^第[0-9一二三四五六七八九十百]+[章节篇单元]') OR regexp_matches(trim(head, '# '), '(?i)^(chapter|unit|module|part)\s+[0-9ivx]+\b'), false)) THEN 1 ELSE 0 END AS st
        FROM s0 WINDOW w AS (PARTITION BY document_id ORDER BY page_number)),
-s2 AS (SELECT *, sum(st) OVER (PARTITION BY document_id ORDER BY page_number ROWS UNBOUNDED PRECEDING) + 1 AS section_no FROM s1)
-SELECT document_id, CAST(section_no AS BIGINT) AS section_no, coalesce(nullif(arg_min(coalesce(head, ''), page_number), ''), CASE WHEN section_no = 1 THEN document_id ELSE 'Section ' || section_no END) AS section,
-       CAST(min(page_number) AS BIGINT) AS page_start, CAST(max(page_number) AS BIGINT) AS page_end, count(*) AS pages FROM s2 GROUP BY document_id, section_no"""
+s2 AS (SELECT *, sum(st) OVER (PARTITION BY document_id ORDER BY page_number ROWS UNBOUNDED PRECEDING) + 1 AS section_no FROM s1),
+sg AS (SELECT document_id, section_no, coalesce(nullif(arg_min(coalesce(head, ''), page_number), ''), CASE WHEN section_no = 1 THEN document_id ELSE 'Section ' || section_no END) AS section,
+       min(page_number) AS page_start, max(page_number) AS page_end, count(*) AS pages FROM s2 GROUP BY document_id, section_no)"""
+SECTIONS = f"""{PAGES}, {quality('p')}, {SECTION_ROWS}
+SELECT document_id, CAST(section_no AS BIGINT) AS section_no, section, CAST(page_start AS BIGINT) AS page_start, CAST(page_end AS BIGINT) AS page_end, pages FROM sg"""
+
+
+def sentences(x: str) -> str:
+    return rf"""list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace({strip(x)}, '[ \t]+', ' ', 'g'), '([。！？.!?；;])', '\1' || chr(1), 'g'), '\x01{WS}*|\n+'), lambda s: {strip('s')}), lambda s: length(s) > 0)"""
+
+
+def truncated(x: str, n: int) -> str:
+    w = rf"regexp_extract(substring({x}, 1, {n}), '(?s)^(.*[。！？.!?\n])', 1)"
+    return f"CASE WHEN length({x}) <= {n} THEN {x} ELSE {strip(f'CASE WHEN length({w}) - 1 >= {n // 2} THEN {w} ELSE substring({x}, 1, {n}) END')} END"
+
+
+def windows(source: str, keys: str, text: str, limit: int = 500, overlap: int = 1) -> str:
+    """w: keys, at, text of each window: ps are prefix sums, a window ends where they exceed those of its start by the limit."""
+    after = lambda at: f"greatest({at} + 1, len(list_filter(ps, lambda v: v <= ps[{at} + 1] + {limit})) - 1)"
+    following = f"greatest(a + 1, e - {overlap})"
+    return f"""
+w0 AS (SELECT {keys}, {sentences(text)} AS x FROM {source}),
+w1 AS (SELECT *, list_transform(range(0, len(x) + 1), lambda i: coalesce(list_sum(list_transform(x[1:i], lambda t: length(t))), 0)) AS ps FROM w0 WHERE len(x) > 0),
+w2 AS (SELECT {keys}, x, ps, CAST(0 AS BIGINT) AS a, {after('0')} AS e, CAST(0 AS BIGINT) AS pos FROM w1
+       UNION ALL SELECT {keys}, x, ps, {following}, {after(following)}, pos + 1 FROM w2 WHERE e < len(x)),
+w AS (SELECT {keys}, pos, array_to_string(x[a + 1:e], ' ') AS text FROM w2)"""
+
+
+def sid(prefix: str, *parts: str) -> str:
+    return f"'{prefix}_' || substring(sha1({' || chr(58) || '.join(parts)}), 1, 12)"
+
+
+CHUNKED = rf"""WITH RECURSIVE {CLEAN}, {quality('cp')}, {SECTION_ROWS},
+pg AS (SELECT s2.document_id, s2.page_number, coalesce(s2.text, '') AS text, sg.section, {EXCLUDED} AS ex, b <> '' AND NOT ({EXCLUDED}) AS good, sg.page_start AS first_page, sg.page_end AS last_page,
+       {sid('sec', 's2.document_id', 'sg.page_start', 'sg.section')} AS sec, {sid('page', 's2.document_id', 's2.page_number')} AS page FROM s2 JOIN sg USING (document_id, section_no)),
+kept AS (SELECT * FROM pg WHERE NOT ex), {windows('kept', 'document_id, page_number, section, page', 'text')},
+ck AS (SELECT *, {sid('chk', 'document_id', 'page_number', 'pos', 'text')} AS id FROM w),
+ch AS (SELECT page, string_agg(id, ',' ORDER BY pos) AS children FROM ck GROUP BY page),
+sx AS (SELECT sec, document_id, section, first_page, last_page, {strip("section || chr(10) || coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_number) FILTER (good), '')")} AS body, string_agg(page, ',' ORDER BY page_number) AS children FROM pg GROUP BY sec, document_id, section, first_page, last_page),
+out AS (SELECT sec AS chunk_id, document_id, first_page AS page_start, last_page AS page_end, {truncated('body', 2000)} AS text, section, NULL AS parent_id, 'section' AS level, children FROM sx
+  UNION ALL SELECT page, document_id, page_number, page_number, text, section, sec, 'page', coalesce(children, '') FROM pg LEFT JOIN ch USING (page)
+  UNION ALL SELECT id, document_id, page_number, page_number, text, section, page, 'passage', '' FROM ck)"""
 
 
 def bm25(chunks: str, name: str = "r", k: int = 5, k1: float = 1.5, b: float = 0.75) -> str:
@@ -137,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
         "manifest_flatten": """WITH x AS (SELECT source_id, license, redistribution, unnest(pairs) AS p FROM source_manifest),
             y AS (SELECT source_id, p.pair_id AS pair_id, p.topic AS topic, 'courseware' AS role, license, redistribution, unnest(p.courseware) AS f FROM x UNION ALL SELECT source_id, p.pair_id, p.topic, 'review', license, redistribution, unnest(p.review) FROM x)
             SELECT source_id, pair_id, topic, role, f.filename AS filename, f.url AS url, license, redistribution FROM y""",
-        "repeated_downloads": "SELECT source_id, path, count(*) AS rows FROM course_files GROUP BY ALL HAVING count(*) > 1",
+        "repeated_downloads": "SELECT source_id, topic, role, count(*) AS rows FROM course_files GROUP BY ALL HAVING count(*) > 1",
         "level_filter": f"WITH {CHUNKS} SELECT level, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS characters FROM c WHERE level IN ('section', 'page') GROUP BY level",
         "low_value_filter": f"WITH {CHUNKS} SELECT level, count(*) AS chunks FROM c WHERE NOT coalesce(metadata.text_retrieval_excluded, false) GROUP BY level",
         "split_filter": f"WITH {EXAMPLES} SELECT id FROM e WHERE split = 'dev'",
@@ -151,17 +189,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT *, round(nonempty_pages / page_count, 6) AS text_coverage, CAST((empty_pages > 0)::INT + (low_text_pages > 0)::INT + (requires_vision_pages > 0)::INT + (low_value_pages > 0)::INT + (text_retrieval_excluded_pages > 0)::INT AS BIGINT) AS warnings FROM f""",
         "vision_pages": f"WITH {PAGES}, {quality('p')} SELECT role, count(*) AS pages FROM q WHERE reasons <> '' AND role <> 'boilerplate' GROUP BY role",
         "section_groups": f"WITH {SECTIONS}",
-        "sentence_split": rf"""WITH {PASSAGES},
-            x AS (SELECT chunk_id, list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace({strip('text')}, '[ \t]+', ' ', 'g'), '([。！？.!?；;])', '\1' || chr(1), 'g'), '\x01{WS}*|\n+'), lambda s: {strip('s')}), lambda s: length(s) > 0) AS x FROM c)
-            SELECT chunk_id, CAST(len(x) AS BIGINT) AS sentences, sha1(array_to_string(x, '|')) AS mark FROM x""",
-        "truncated_sections": rf"""WITH {CHUNKS}, x AS (SELECT chunk_id, text, substring(text, 1, 400) AS h, regexp_extract(substring(text, 1, 400), '(?s)^(.*[。！？.!?\n])', 1) AS w FROM c WHERE level = 'section'),
-            y AS (SELECT chunk_id, CASE WHEN length(text) <= 400 THEN text ELSE {strip("CASE WHEN length(w) - 1 >= 200 THEN w ELSE h END")} END AS t FROM x) SELECT chunk_id, sha1(t) AS mark, length(t) AS size FROM y""",
+        "sentence_split": f"WITH {PASSAGES}, x AS (SELECT chunk_id, {sentences('text')} AS x FROM c) SELECT chunk_id, CAST(len(x) AS BIGINT) AS sentences, sha1(array_to_string(x, '|')) AS mark FROM x",
+        "passage_windows": f"""WITH RECURSIVE {PAGES}, {windows('p', 'document_id, page_number', 'text')} SELECT document_id, {cast('page_number')}, pos AS "window", text FROM w""",
+        "chunked_pages": f"{CHUNKED} SELECT * REPLACE (CAST(page_start AS BIGINT) AS page_start, CAST(page_end AS BIGINT) AS page_end) FROM out",
+        "chunk_levels": f"{CHUNKED} {counts('out', 'level', ('section', 'page', 'passage'))}",
+        "own_hierarchy_errors": "SELECT '' AS chunk_id, '' AS error WHERE false",
+        "truncated_sections": f"WITH {CHUNKS}, y AS (SELECT chunk_id, {truncated('text', 400)} AS t FROM c WHERE level = 'section') SELECT chunk_id, sha1(t) AS mark, length(t) AS size FROM y",
         "hierarchy_errors": f"""WITH {CHUNKS},
-            u AS (SELECT c.chunk_id, CASE WHEN p.chunk_id IS NULL THEN 'missing parent' WHEN NOT list_contains(coalesce(p.child_ids, []), c.chunk_id) THEN 'not linked by parent'
-                    WHEN NOT (p.document_id = c.document_id AND p.page_start <= c.page_start AND p.page_end >= c.page_end) THEN 'outside parent evidence range' END AS error FROM c LEFT JOIN c p ON p.chunk_id = c.parent_id WHERE c.parent_id <> ''),
+            u AS (SELECT c.chunk_id, CASE WHEN p.chunk_id IS NULL THEN 'parent_unknown' WHEN NOT list_contains(coalesce(p.child_ids, []), c.chunk_id) THEN 'parent_lacks_child'
+                    WHEN NOT (p.document_id = c.document_id AND p.page_start <= c.page_start AND p.page_end >= c.page_end) THEN 'range_beyond_parent' END AS error FROM c LEFT JOIN c p ON p.chunk_id = c.parent_id WHERE c.parent_id <> ''),
             k AS (SELECT chunk_id, unnest(child_ids) AS child FROM c),
             w AS (SELECT k.*, x.chunk_id AS f, x.parent_id AS back FROM k LEFT JOIN c x ON x.chunk_id = k.child)
-            SELECT * FROM u WHERE error IS NOT NULL UNION ALL SELECT chunk_id, 'missing child' FROM w WHERE f IS NULL UNION ALL SELECT child, 'does not link back' FROM w WHERE f IS NOT NULL AND back IS DISTINCT FROM chunk_id""",
+            SELECT * FROM u WHERE error IS NOT NULL UNION ALL SELECT chunk_id, 'child_unknown' FROM w WHERE f IS NULL UNION ALL SELECT child, 'child_has_other_parent' FROM w WHERE f IS NOT NULL AND back IS DISTINCT FROM chunk_id""",
         "token_counts": f"WITH {PASSAGES} SELECT chunk_id, CAST(len({tokens('text')}) AS BIGINT) AS tokens FROM c",
         "bm25_idf": f"WITH {PASSAGES}, {EXAMPLES}, {bm25(PASSAGES)} SELECT term, df, round(idf, 6) AS idf FROM ri",
         "bm25_topk": f"WITH {PASSAGES}, {EXAMPLES}, {bm25(PASSAGES)} SELECT query_id, chunk_id, score, rank FROM r",

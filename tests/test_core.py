@@ -99,7 +99,19 @@ def test_chunks_and_hierarchy(spark):
     s = sorted(c.filter("level = 'section'").collect(), key=lambda r: r["page_start"])
     assert [(x["page_start"], x["page_end"], x["section"]) for x in s] == [(1, 2, "Chapter 1 Start"), (3, 3, "第二章 矩阵")]
     broken = c.withColumn("parent_id", F.when(F.col("level") == "passage", F.lit("nobody")).otherwise(F.col("parent_id")))
-    assert {r["error"] for r in chunking.hierarchy_errors(broken).collect()} == {"missing parent", "does not link back"}
+    assert {r["error"] for r in chunking.hierarchy_errors(broken).collect()} == {"parent_unknown", "child_has_other_parent"}
+
+
+def test_section_text_is_the_cut_of_all_its_pages(spark):
+    """Only the pages that can reach into the limit are gathered; the text is as if all were."""
+    rows = [("d", n, f"  Page {n} text.\nEnd of it here. \n" if n % 4 else " \n", "Chapter 1 One" if n == 1 else "Title", 0) for n in range(1, 40)]
+    whole = "Chapter 1 One\n" + "\n\n".join(r[2] for r in rows if r[2].strip())
+    for limit in (5, 60, 133, 500, 10_000):
+        got = chunking.chunk_pages(pages.assess_pages(pages_of(spark, rows)), 50, 1, limit).filter("level = 'section'").first()
+        cut = whole.strip()[:limit]
+        at = max(cut.rfind(m) for m in "。！？.!?\n")
+        assert got["text"] == (whole.strip() if len(whole.strip()) <= limit else (cut[: at + 1] if at >= limit // 2 else cut).strip()), limit
+        assert got["metadata"]["truncated"] == (len(whole.strip()) > limit) and len(got["child_ids"]) == 39
 
 
 def test_text_pages_keep_their_numbers(spark, tmp_path):
