@@ -5,9 +5,12 @@ the data. Two sets of similarity t share at least one of their |s| - ceil(t |s|)
 are exchanged: training is scanned for hits on them (one equi-join on the hash, where the order by frequency keeps
 hot n-grams out). Hits are counted per pair of texts: with a = ceil(t / (1 + t) (m + n)) n-grams to share, two sets of
 m and n n-grams have at least a - ceil(t max(m, n)) + 1 hits, their first hit has a n-grams after it on both sides,
-and no hit lies where too few are left before and after it. A pair that fails these counts cannot be similar; the
-others are verified: containment of the evaluation record in the training record, and Jaccard similarity. Exact copies share a fingerprint and are one text until ids
-are put back at the end. Records with the same document and the same set of pages meet in a second equi-join.
+and no hit lies where too few are left before and after it. Every row also carries the parities of 256 groups of its
+text's n-grams: where d of them differ, d n-grams at least stand in one set only, so (m + n - d) / 2 at most are
+shared, and most chance hits end in the join itself. A pair that fails these counts cannot be similar; the others are
+verified: containment of the evaluation record in the training record, and Jaccard similarity. Exact copies share a
+fingerprint and are one text until ids are put back at the end. Records with the same document and the same set of
+pages meet in a second equi-join.
 
 n-grams are runs of characters of the bare text, as the problem's statement has it.
 
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatework.llm._grams import grams
+from slatework.llm._grams import distinct, grams
 from slatework.llm.neardup import BUCKETS, document_frequencies
 from slatework.runtime import mapped, need, settled
 
@@ -42,6 +45,12 @@ def clean_name(column):
     return F.when(c != "", c)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Four numbers of 64 bits: how many of the shingles of each of 256 groups there are, even or odd."""
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _met(held: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """held and kept (keys, train_id) joined on keys; the training records of a hot key are spread over tasks."""
     parts = kept.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
@@ -66,29 +75,29 @@ def cross_split_pairs(records: DataFrame, *, record_id: str = "id", text: str =
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            hs, fps, sizes, places = [], [], [], []
-            for fp, h in zip(pdf["fp"], grams(pdf["body"].tolist(), SIZE)):
-                s = np.unique(h)
-                if not len(s):
-                    continue
+            parts, size = [], []
+            for h in grams(pdf["body"].tolist(), SIZE):
+                s = distinct(h)
                 by = np.lexsort((s, order.value[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
-                first = s[by[: len(s) - math.ceil(min_similarity * len(s) - 1e-9) + 1]].view(np.int64)
-                hs.append(first)
-                fps.append(np.full(len(first), fp))
-                sizes.append(np.full(len(first), len(s)))
-                places.append(np.arange(len(first)))
-            if hs:
-                yield pd.DataFrame({"h": np.concatenate(hs), "fp": np.concatenate(fps), "n": np.concatenate(sizes), "p": np.concatenate(places)})
+                parts.append(s[by[: len(s) - math.ceil(min_similarity * len(s) - 1e-9) + 1]].view(np.int64) if len(s) else s.view(np.int64))
+                size.append((len(s), *parities(s).tolist()))
+            many = [len(x) for x in parts]
+            if sum(many):
+                rows = np.repeat(np.array(size, np.int64), many, axis=0)
+                places = np.concatenate([np.arange(m) for m in many])
+                yield pd.DataFrame({"h": np.concatenate(parts), "fp": np.repeat(pdf["fp"].to_numpy(), many), "p": places, "n": rows[:, 0]} | {f"g{k}": rows[:, 1 + k] for k in range(4)})
 
     held = own.filter(F.col("_split").isin(*held_out))
     kept = own.filter(F.col("_split") == train)
     short = f"length(body) >= {SIZE}"
-    e, t = (mapped(x.filter(short).select("fp", "body").distinct(), rare, "h bigint, fp bigint, n bigint, p bigint") for x in (held, kept))
-    e, t = e.withColumnsRenamed({"fp": "fp_e", "n": "n_e", "p": "p_e"}), t.withColumnsRenamed({"fp": "fp_t", "n": "n_t", "p": "p_t"})
+    columns = ["fp", "p", "n", "g0", "g1", "g2", "g3"]
+    e, t = (mapped(x.filter(short).select("fp", "body").distinct(), rare, "h bigint, fp bigint, p bigint, n bigint, g0 bigint, g1 bigint, g2 bigint, g3 bigint") for x in (held, kept))
+    e, t = (x.withColumnsRenamed({c: f"{c}_{side}" for c in columns}) for x, side in ((e, "e"), (t, "t")))
     fits = (F.col("n_t") >= F.col("n_e") * min_similarity - 1e-9) & (F.col("n_e") >= F.col("n_t") * min_similarity - 1e-9)
     least = F.ceil((F.col("n_e") + F.col("n_t")) * (min_similarity / (1 + min_similarity)) - 1e-9)
     after = F.least(F.col("n_e") - F.col("p_e"), F.col("n_t") - F.col("p_t"))
-    hits = e.join(t, "h").filter(fits & (F.least("p_e", "p_t") + after >= least))
+    apart = sum((F.bit_count(F.col(f"g{k}_e").bitwiseXOR(F.col(f"g{k}_t"))) for k in range(4)), F.lit(0))
+    hits = e.join(t, "h").filter(fits & (F.least("p_e", "p_t") + after >= least) & (F.col("n_e") + F.col("n_t") - apart >= 2 * least))
     pairs = hits.groupBy("fp_e", "fp_t", "n_e", "n_t").agg(F.count("*").alias("n"), F.max(after).alias("after"))
     hits = pairs.filter((F.col("n") > least - F.ceil(F.greatest("n_e", "n_t") * min_similarity - 1e-9)) & (F.col("after") >= least)).select("fp_e", "fp_t")
     known = own.filter(short)

@@ -231,6 +231,15 @@ def test_cross_split_against_brute_force(spark):
     assert crosssplit.cross_split_pairs(spark.createDataFrame([], EVAL)).count() == 0
 
 
+def test_parities_bound_what_is_shared():
+    r = random.Random(21)
+    for _ in range(300):
+        a = [r.getrandbits(63) for _ in range(r.randint(0, 400))]
+        x, y = np.array(sorted(set(a)), np.uint64), np.array(sorted({*a[: r.randint(0, len(a))], *(r.getrandbits(63) for _ in range(r.randint(0, 200)))}), np.uint64)
+        apart = sum(int(v).bit_count() for v in (crosssplit.parities(x) ^ crosssplit.parities(y)).view(np.uint64))
+        assert len(np.intersect1d(x, y)) * 2 <= len(x) + len(y) - apart
+
+
 def test_hot_pages_keep_every_pair(spark, monkeypatch):
     """Different questions on the same pages of a document are pairs of their own, however many they are."""
     monkeypatch.setattr(crosssplit, "PART", 64)
