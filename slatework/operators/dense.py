@@ -119,10 +119,40 @@ def encoded(df: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]]
     return df.withColumn("embedding", encode(F.col(text)))
 
 
-def cache_rows(chunks: DataFrame, model: str) -> DataFrame:
-    """Rows of a chunk embedding cache: unit vectors with the fingerprint of the text they were made from."""
+def cache_rows(chunks: DataFrame, model: str, query_prefix: str = "query: ", document_prefix: str = "passage: ") -> DataFrame:
+    """Rows of a chunk embedding cache: unit vectors with the fingerprint of the text they were made from, the model and its prefixes."""
+    if not model:
+        raise ValueError("an embedding cache needs the name of its model")
     out = checked_unit(chunks.select("chunk_id", F.sha2("text", 256).alias("text_sha256"), "embedding"), "embedding")
-    return out.withColumns({"model": F.lit(model), "format": F.lit(CHUNK_CACHE)})
+    return out.withColumns({"model": F.lit(model), "query_prefix": F.lit(query_prefix), "document_prefix": F.lit(document_prefix), "format": F.lit(CHUNK_CACHE)})
+
+
+def page_cache_rows(pages: DataFrame, model: str) -> DataFrame:
+    """Rows of a page embedding cache from pages with document_id, page_number, sha256 and embedding."""
+    if not model:
+        raise ValueError("an embedding cache needs the name of its model")
+    own = pages.select("document_id", "page_number", F.col("sha256").alias("image_sha256"), "embedding")
+    return checked_unit(own, "embedding", finite=False).withColumns({"model": F.lit(model), "format": F.lit(PAGE_CACHE), "ord": F.monotonically_increasing_id()})
+
+
+def cache_header(cache: DataFrame, form: str, model: str | None = None) -> dict[str, str]:
+    """What all rows of a cache agree on: model and, where there are any, its prefixes.
+
+    ValueError for another format, no model name, several models, or another model than the one asked for. An empty
+    cache has no header.
+    """
+    need(cache, "model", "format")
+    names = [c for c in ("format", "model", "query_prefix", "document_prefix") if c in cache.columns]
+    seen = cache.select(*names).distinct().limit(2).collect()
+    if any(r["format"] != form for r in seen):
+        raise ValueError("not a cache of this kind and version")
+    if any(not r["model"] for r in seen):
+        raise ValueError("the cache has no model name")
+    if len(seen) > 1:
+        raise ValueError("the rows of the cache are of different models or prefixes")
+    if seen and model is not None and seen[0]["model"] != model:
+        raise ValueError(f"the cache is of other model {seen[0]['model']!r}, not {model!r}")
+    return {c: seen[0][c] or "" for c in names[1:]} if seen else {}
 
 
 def cache_faults(chunks: DataFrame, cache: DataFrame, model: str | None = None) -> DataFrame:
@@ -138,14 +168,16 @@ def cache_faults(chunks: DataFrame, cache: DataFrame, model: str | None = None)
 
 def load_cache(chunks: DataFrame, cache: DataFrame, model: str | None = None) -> DataFrame:
     """(chunk_id, embedding) of every chunk, unit vectors; ValueError names the faults of the cache."""
+    cache_header(cache, CHUNK_CACHE, model)
     found = cache_faults(chunks, cache, model).groupBy("fault").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first")).orderBy("fault").collect()
     if found:
         raise ValueError("; ".join(f"{r['n']} x {r['fault']} (first: {r['first']})" for r in found))
     return checked_unit(chunks.select("chunk_id").join(cache.select("chunk_id", "embedding"), "chunk_id"), "embedding")
 
 
-def load_page_cache(pages: DataFrame, cache: DataFrame) -> DataFrame:
-    """(document_id, page_number, embedding); of repeated cache rows the last (by ord) counts; images must agree."""
+def load_page_cache(pages: DataFrame, cache: DataFrame, model: str | None = None) -> DataFrame:
+    """(document_id, page_number, embedding); of repeated cache rows the last (by ord) counts; format, model and images must agree."""
+    cache_header(cache, PAGE_CACHE, model)
     key = ["document_id", "page_number"]
     last = cache.groupBy(*key).agg(F.max_by(F.struct("image_sha256", "embedding"), "ord").alias("c"))
     both = pages.select(*key, "sha256").join(last, key, "left")

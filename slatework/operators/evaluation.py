@@ -70,7 +70,8 @@ def compare(examples: DataFrame, hits_by_system: dict[str, DataFrame], keys: lis
 def dataset_errors(examples: DataFrame, chunks: DataFrame | None = None, require: tuple[str, ...] = ()) -> DataFrame:
     """(id, code) of every fault; require names columns of document_id, question_type, split, annotation_status that must be set.
 
-    Queries are compared lower-cased. A row that repeats an id or a query is told once, as duplicate.
+    Queries are compared without case (lower-cased after upper-casing, so that sharp s is ss). Of questions with the
+    same query in a document all but the first by id are told; an id that comes again is told once.
     """
     blank = lambda c: F.length(strip(F.coalesce(c, F.lit("")))) == 0
     e = examples.select("id", "query", "document_id", "relevant_pages", "relevant_chunk_ids", "question_type", "split", "annotation_status")
@@ -84,8 +85,10 @@ def dataset_errors(examples: DataFrame, chunks: DataFrame | None = None, require
     faults += [F.when(F.col(c).isNull(), f"{c}_missing") for c in require]
     out = e.select("id", F.explode(F.array_compact(F.array(*faults))).alias("code"))
     twice = e.filter(~blank(F.col("id"))).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("duplicate_id").alias("code"))
-    asked = e.filter(~blank(F.col("query"))).groupBy("document_id", F.lower(strip(F.col("query"))).alias("q")).agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n > 1")
-    out = out.unionByName(twice).unionByName(asked.select("id", F.lit("duplicate_query").alias("code")))
+    asked = e.filter(~blank(F.col("query"))).groupBy("document_id", F.lower(F.upper(strip(F.col("query")))).alias("q"), "id").agg(F.count("*").cast("int").alias("n"))
+    first = asked.groupBy(F.col("document_id").alias("d"), F.col("q").alias("k")).agg(F.min("id").alias("first"), F.sum("n").alias("all")).filter("all > 1")
+    again = asked.join(first, F.col("d").eqNullSafe(F.col("document_id")) & (F.col("k") == F.col("q"))).select("id", F.explode(F.array_repeat(F.lit("duplicate_query"), F.col("n") - F.col("id").eqNullSafe(F.col("first")).cast("int"))).alias("code"))
+    out = out.unionByName(twice).unionByName(again)
     if chunks is not None:
         pages = chunks.select("document_id", F.explode(F.sequence("page_start", "page_end")).alias("page")).distinct()
         documents = pages.select("document_id").distinct()
@@ -98,7 +101,7 @@ def dataset_errors(examples: DataFrame, chunks: DataFrame | None = None, require
         each = where.groupBy("id", "document_id").agg(F.max(F.col("d").isNull()).alias("lost"), F.max(F.col("d") != F.col("document_id")).alias("foreign"))
         code = F.when(F.col("lost"), "chunk_not_in_corpus").when(F.col("foreign"), "chunk_of_other_document")
         out = out.unionByName(each.select("id", code.alias("code")).filter("code is not null"))
-        out = out.unionByName(e.filter((F.size("relevant_pages") > 0) & F.col("document_id").isNull()).select("id", F.lit("pages_need_document").alias("code")))
+        out = out.unionByName(e.filter((F.size("relevant_pages") > 0) & ~F.coalesce(bad_pages, F.lit(False)) & F.col("document_id").isNull()).select("id", F.lit("pages_need_document").alias("code")))
     return out
 
 

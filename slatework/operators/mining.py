@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from slatework.runtime import settled
 
 DIFFICULTIES = ("hard", "medium", "easy")
 DECISIONS = ("valid_negative", "false_negative", "uncertain", "pending")
+REVIEW_SUMMARY = ("rows", *DECISIONS, "retained_triplets", "rejected_triplets", "difficulty_counts", "queries", "queries_retained")
 FIELDS = ("query", "positive_chunk_id", "negative_chunk_id", "negative_rank", "miner", "difficulty")
 
 
@@ -62,22 +65,28 @@ def count_by(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
 
 
 def apply_reviews(rows: DataFrame, require_complete: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(kept triplets, counts by decision); ValueError for repeated ids, unknown decisions, holes, or an unfinished review."""
-    d = rows.withColumn("_d", F.coalesce("review_decision", F.lit("pending")))
-    empty = [F.col(c).isNull() | (F.col(c).cast("string") == "") for c in FIELDS]
-    hole = F.col("_d") == "valid_negative"
-    lack = empty[0]
-    for x in empty[1:]:
-        lack = lack | x
-    seen = d.agg(F.count_if(~F.col("_d").isin(*DECISIONS)).alias("unknown"), F.count_if(hole & lack).alias("holes"), F.count_if(F.col("_d").isin("pending", "uncertain")).alias("open")).first()
-    twice = d.filter("trim(review_id) <> ''").groupBy("review_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).collect()
+    """(kept triplets, one row of REVIEW_SUMMARY figures); a blank decision is pending.
+
+    ValueError for repeated ids (compared without outer white space), unknown decisions, accepted rows with empty
+    fields, or an unfinished review.
+    """
+    decided = F.when(F.col("review_decision") == "", None).otherwise(F.col("review_decision"))
+    d = rows.withColumns({"_d": F.coalesce(decided, F.lit("pending")), "_id": strip(F.col("review_id")), "_q": strip(F.coalesce("query", F.lit("")))})
+    lack = F.exists(F.array(*[F.col(c).isNull() | (F.col(c).cast("string") == "") for c in FIELDS]), lambda x: x)
+    kept = F.col("_d") == "valid_negative"
+    seen = d.agg(F.count_if(~F.col("_d").isin(*DECISIONS)).alias("unknown"), F.count_if(kept & lack).alias("holes"), F.count_if(F.col("_d").isin("pending", "uncertain")).alias("open")).first()
+    twice = d.filter("_id <> ''").groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).collect()
     if twice:
-        raise ValueError(f"duplicate review_id {twice[0]['review_id']}")
+        raise ValueError(f"duplicate review_id {twice[0]['_id']}")
     if seen["unknown"] or seen["holes"]:
         raise ValueError(f"{seen['unknown']} unknown decisions, {seen['holes']} accepted rows with empty fields")
     if require_complete and seen["open"]:
         raise ValueError(f"{seen['open']} rows are not decided")
-    return d.filter(hole).select(*FIELDS), count_by(d.select(F.col("_d").alias("decision")), "decision", DECISIONS)
+    asked = F.when(F.col("_q") != "", F.col("_q"))
+    levels = d.filter(kept).groupBy("difficulty").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("difficulty", "n")))).alias("difficulty_counts"))
+    figures = d.agg(F.count("*").alias("rows"), *[F.count_if(F.col("_d") == x).alias(x) for x in DECISIONS], F.count_if(~kept).alias("rejected_triplets"), F.countDistinct(asked).alias("queries"), F.countDistinct(F.when(kept, asked)).alias("queries_retained"))
+    figures = figures.withColumn("retained_triplets", F.col("valid_negative")).join(F.broadcast(levels))
+    return d.filter(kept).select(*FIELDS), figures.select(*REVIEW_SUMMARY)
 
 
 def pair_rows(triplets: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -88,7 +97,10 @@ def pair_rows(triplets: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def reranker_pairs(triplets: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query, text, label); ValueError for unknown chunks and for a text that is both wanted and not."""
+    """(query, text, label); ValueError for empty fields, unknown chunks and a text that is both wanted and not."""
+    blank = lambda c: F.length(strip(F.coalesce(c, F.lit("")))) == 0
+    if triplets.filter(blank(F.col("query")) | blank(F.col("positive_chunk_id")) | blank(F.col("negative_chunk_id"))).limit(1).count():
+        raise ValueError("a triplet lacks its query or a chunk")
     ids = triplets.select(F.explode(F.array("positive_chunk_id", "negative_chunk_id")).alias("chunk_id"))
     lost = ids.join(chunks, "chunk_id", "left_anti").limit(1).collect()
     if lost:
@@ -108,30 +120,76 @@ def training_steps(rows: int, batch_size: int, epochs: int) -> tuple[int, int]:
     return steps, max(1, math.ceil(0.1 * steps))
 
 
-def train_cross_encoder(pairs: DataFrame, model: str, out: str, *, epochs: int = 1, batch_size: int = 8, seed: int = 7) -> dict:
-    """Train on the driver with the optional library sentence-transformers; ImportError with a hint where it is missing."""
+def train_cross_encoder(pairs: DataFrame, model: str, out: str, *, epochs: int = 1, batch_size: int = 8, learning_rate: float = 2e-5, seed: int = 42, device: str | None = None,
+                        local_files_only: bool = False, library=None) -> dict:
+    """Train a pair model on the driver and save it, with its settings, in the folder out.
+
+    The optional packages torch and sentence-transformers do the work (ImportError with a hint where they are missing);
+    library stands in for them: (fit(rows, settings) -> saves a model). ValueError for no pairs and settings below 1.
+    """
+    if learning_rate <= 0:
+        raise ValueError("learning_rate must be above 0")
     training_steps(1, batch_size, epochs)
+    fit = library or _fit_cross_encoder()
+    rows = [(r["query"], r["text"], float(r["label"])) for r in pairs.select("query", "text", "label").orderBy("query", "label", "text").toLocalIterator()]
+    steps, warm = training_steps(len(rows), batch_size, epochs)
+    settings = {"model": model, "pairs": len(rows), "batch_size": batch_size, "epochs": epochs, "learning_rate": learning_rate, "seed": seed, "training_steps": steps, "warmup_steps": warm, "output_dir": out,
+                "device": device, "local_files_only": local_files_only}
+    Path(out).mkdir(parents=True, exist_ok=True)
+    settings["device"] = fit(rows, settings)
+    Path(out, "training.json").write_text(json.dumps(settings, ensure_ascii=False, indent=2), encoding="utf-8")
+    return settings
+
+
+def _fit_cross_encoder():
+    """fit(rows, settings) by the optional packages; gives back the device it ran on."""
     try:
+        import random
+
         import sentence_transformers as st
+        import torch
+        from torch.utils.data import DataLoader
     except ImportError as e:
         raise ImportError("training needs the optional packages torch and sentence-transformers") from e
-    rows = pairs.select("query", "text", "label").toPandas()
-    steps, warm = training_steps(len(rows), batch_size, epochs)
-    encoder = st.CrossEncoder(model, num_labels=1)
-    encoder.fit([st.InputExample(texts=[q, t], label=float(x)) for q, t, x in rows.itertuples(index=False)], epochs=epochs, warmup_steps=warm, output_path=out, seed=seed)
-    return {"model": model, "rows": len(rows), "steps": steps, "warmup_steps": warm, "seed": seed}
+
+    def fit(rows: list[tuple[str, str, float]], settings: dict) -> str:
+        random.seed(settings["seed"])
+        order = torch.manual_seed(settings["seed"])
+        network = st.CrossEncoder(settings["model"], num_labels=1, device=settings["device"], local_files_only=settings["local_files_only"])
+        data = DataLoader([st.InputExample(texts=[q, t], label=x) for q, t, x in rows], batch_size=settings["batch_size"], shuffle=True, generator=order)
+        run = getattr(network, "old_fit", network.fit)  # newer versions keep the loop over a loader under this name
+        run(train_dataloader=data, epochs=settings["epochs"], warmup_steps=settings["warmup_steps"], optimizer_params={"lr": settings["learning_rate"]}, output_path=settings["output_dir"], save_best_model=False)
+        network.save(settings["output_dir"])
+        return str(network.device)
+
+    return fit
+
+
+def numbered(triplets: DataFrame) -> DataFrame:
+    """triplets with idx from 0 without gaps, in the order they are read."""
+    parted = settled(triplets.withColumns({"_m": F.monotonically_increasing_id(), "_p": F.spark_partition_id()}))
+    sizes = parted.groupBy("_p").agg(F.count("*").alias("n"))
+    before = sizes.select("_p", (F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
+    own = F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33)
+    return parted.join(F.broadcast(before), "_p").withColumn("idx", F.col("_before") + own).drop("_m", "_p", "_before")
+
+
+def missing_chunks(triplets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id) of the chunks that triplets name and the corpus lacks."""
+    named = triplets.select(F.explode(F.array("positive_chunk_id", "negative_chunk_id")).alias("chunk_id")).distinct()
+    return named.join(chunks.select("chunk_id"), "chunk_id", "left_anti")
 
 
 def negative_pack(triplets: DataFrame, chunks: DataFrame) -> DataFrame:
     """Triplets (with ordinal idx from 0) joined to both chunks, as rows to review; a row that lacks a chunk is left out."""
-    side = lambda n: chunks.select(F.col("chunk_id").alias(f"{n}_chunk_id"), F.struct("document_id", "page_start", "page_end", "section", "text").alias(n))
+    side = lambda n: chunks.select(F.col("chunk_id").alias(f"{n}_chunk_id"), F.struct("chunk_id", "document_id", "page_start", "page_end", "section", "text").alias(n))
     out = triplets.join(side("positive"), "positive_chunk_id").join(side("negative"), "negative_chunk_id")
     return out.withColumns({"review_id": F.format_string("negative-%04d", F.col("idx") + 1), "review_decision": F.lit("pending"), "review_note": F.lit("")})
 
 
 def review_pack(examples: DataFrame, chunks: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
-    """Each example with the evidence pages to look at: text, image and whether the page exists."""
-    pages = chunks.filter("level = 'page' and page_start = page_end").select("document_id", F.col("page_start").alias("page"), F.col("text").alias("page_text"))
+    """Each example with the evidence pages to look at: source, text, image and whether the page exists."""
+    pages = chunks.filter("level = 'page' and page_start = page_end").select("document_id", F.col("page_start").alias("page"), F.col("text").alias("page_text"), F.col("metadata.source_name").alias("source_name"))
     wants = examples.select("id", "query", "document_id", F.explode_outer(F.array_sort(F.array_distinct("relevant_pages"))).alias("page"))
     out = wants.join(pages.dropDuplicates(["document_id", "page"]), ["document_id", "page"], "left")
     if rendered is not None:
@@ -165,4 +223,4 @@ def render_summary(rendered: DataFrame) -> DataFrame:
     return rendered.agg(F.count("*").alias("pages"), F.count_if("requires_vision").alias("requires_vision"))
 
 
-__all__ = ["apply_reviews", "build_examples", "count_by", "difficulty", "example_evidence", "hard_negatives", "negative_pack", "pair_rows", "positives", "render_summary", "reranker_pairs", "review_pack", "train_cross_encoder", "training_steps"]
+__all__ = ["apply_reviews", "build_examples", "count_by", "difficulty", "example_evidence", "hard_negatives", "missing_chunks", "negative_pack", "numbered", "pair_rows", "positives", "render_summary", "reranker_pairs", "review_pack", "train_cross_encoder", "training_steps"]

@@ -237,11 +237,11 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT id, 'annotation_status' FROM b WHERE annotation_status NOT IN {STATUS}
             UNION ALL SELECT id, 'document_id_missing' FROM b WHERE document_id IS NULL UNION ALL SELECT id, 'question_type_missing' FROM b WHERE question_type IS NULL
             UNION ALL SELECT id, 'split_missing' FROM b WHERE split IS NULL UNION ALL SELECT id, 'annotation_status_missing' FROM b WHERE annotation_status IS NULL
-            UNION ALL SELECT min(id), 'duplicate_query' FROM b WHERE sq <> '' GROUP BY document_id, lower(sq) HAVING count(*) > 1
+            UNION ALL SELECT id, 'duplicate_query' FROM (SELECT id, row_number() OVER (PARTITION BY document_id, lower(sq) ORDER BY id) AS nth FROM b WHERE sq <> '') WHERE nth > 1
             UNION ALL SELECT id, 'document_not_in_corpus' FROM b ANTI JOIN dc USING (document_id) WHERE sd <> ''
             UNION ALL SELECT DISTINCT id, 'page_not_in_corpus' FROM wp SEMI JOIN dc USING (document_id) ANTI JOIN pg USING (document_id, page)
             UNION ALL SELECT id, CASE WHEN lost THEN 'chunk_not_in_corpus' ELSE 'chunk_of_other_document' END FROM ch WHERE lost OR foreign_
-            UNION ALL SELECT id, 'pages_need_document' FROM b WHERE len(relevant_pages) > 0 AND document_id IS NULL""",
+            UNION ALL SELECT id, 'pages_need_document' FROM b WHERE len(relevant_pages) > 0 AND NOT bp AND document_id IS NULL""",
         "dataset_counts": f"WITH {EXAMPLES}, u AS (SELECT unnest(['question_type', 'split', 'document_id', 'annotation_status']) AS field, unnest([question_type, split, document_id, annotation_status]) AS value FROM e) SELECT field, coalesce(value, 'unlabeled') AS value, count(*) AS examples FROM u GROUP BY ALL",
         "hard_negatives": f"{NEGATIVES} SELECT * FROM ng",
         "hard_negatives_quota": f"{NEGATIVES} SELECT * FROM ng QUALIFY row_number() OVER (PARTITION BY query_id, difficulty ORDER BY negative_rank) <= CASE difficulty WHEN 'hard' THEN 2 ELSE 1 END",

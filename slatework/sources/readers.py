@@ -31,64 +31,78 @@ def _meta(**known):
     return F.struct(*[known.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
 
 
+#: Fixed value: what ends a page of a text file.
+PAGE_END = r"(?im)\f|^\s*---\s*page\s*---\s*$"
+
+
 def pages_of_text(files: DataFrame) -> DataFrame:
-    """PAGE rows of text files (path, content): pages end at a form feed or a line '--- page ---' and keep their numbers."""
+    """PAGE rows of text files (path, content): pages end at a form feed or a line '--- page ---' and keep their numbers.
+
+    The title is the first line if it is a Markdown heading, with its marks.
+    """
     body = F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n")
-    parts = files.select(X.content_id(F.col("content")).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.posexplode(F.split(body, r"(?im)\f|^\s*---\s*page\s*---\s*$", -1)).alias("p", "raw"))
+    parts = files.select(X.content_id(F.col("content")).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.posexplode(F.split(body, PAGE_END, -1)).alias("p", "raw"))
     parts = parts.withColumn("text", X.strip(F.col("raw"))).filter(F.length("text") > 0)
     first = X.strip(F.get(X.lines(F.col("text")), F.lit(0)))
-    return parts.select("document_id", (F.col("p") + 1).alias("page_number"), "text", F.when(first.startswith("#"), F.btrim(first, F.lit("# "))).alias("title"), _meta(parser=F.lit("text"), source_name=F.col("name")).alias("metadata"))
+    return parts.select("document_id", (F.col("p") + 1).alias("page_number"), "text", F.when(first.startswith("#"), first).alias("title"), _meta(parser=F.lit("text"), source_name=F.col("name")).alias("metadata"))
 
 
-_PARSED = "document_id string, page_number int, text string, title string, width double, height double, rotation int, images int, notes string, name string"
+_PARSED = "document_id string, page_number int, text string, title string, width double, height double, rotation int, images int, notes string, parser string, blocks array<struct<type:string,text:string,left:bigint,top:bigint,width:bigint,height:bigint>>, name string"
 
 
-def _pdf_pages(content: bytes) -> list[tuple]:
+def _found(get, otherwise=None):
+    """What get gives, or otherwise where a file is not sound in this place."""
+    try:
+        return get()
+    except Exception:  # parsers raise whatever their decoders do
+        return otherwise
+
+
+def _pdf_pages(content: bytes) -> Iterator[dict]:
     try:
         from pypdf import PdfReader
     except ImportError as e:
         raise ImportError("reading PDF files needs the optional package pypdf") from e
-    out = []
-    for n, page in enumerate(PdfReader(io.BytesIO(content)).pages, 1):
-        try:
-            images = len(page.images)
-        except Exception:  # an image that cannot be decoded
-            images = 0
-        box = page.mediabox
-        out.append((n, (page.extract_text() or "").strip(), None, round(float(box.width), 2), round(float(box.height), 2), int(page.get("/Rotate", 0) or 0), images, None))
-    return out
+    for page in PdfReader(io.BytesIO(content)).pages:
+        wide, high = (round(float(x), 2) for x in (page.mediabox.width, page.mediabox.height))
+        yield {"text": (page.extract_text() or "").strip(), "width": wide, "height": high, "rotation": int(page.get("/Rotate") or 0), "images": _found(lambda p=page: len(p.images), 0), "parser": "pypdf"}
+
 
+def _shape_block(shape) -> dict | None:
+    """Kind, text and place of a table or text shape; None for other shapes and empty ones."""
+    if getattr(shape, "has_table", False):
+        grid = [[cell.text.strip() for cell in row.cells] for row in shape.table.rows]
+        kind, text = "table", "\n".join(" | ".join(cells) for cells in grid if any(cells))
+    else:
+        kind, text = "text", shape.text.strip() if hasattr(shape, "text") else ""
+    place = {k: int(getattr(shape, k, None) or 0) for k in ("left", "top", "width", "height")}
+    return {"type": kind, "text": text} | place if text else None
 
-def _pptx_pages(content: bytes) -> list[tuple]:
+
+def _pptx_pages(content: bytes) -> Iterator[dict]:
     try:
         from pptx import Presentation
+        from pptx.enum.shapes import MSO_SHAPE_TYPE
     except ImportError as e:
         raise ImportError("reading PPTX files needs the optional package python-pptx") from e
-    deck, out = Presentation(io.BytesIO(content)), []
-    for n, slide in enumerate(deck.slides, 1):
-        blocks, images = [], 0
-        for shape in sorted(slide.shapes, key=lambda s: (s.top or 0, s.left or 0)):
-            images += shape.shape_type == 13
-            if getattr(shape, "has_table", False):
-                rows = [[c.text.strip() for c in r.cells] for r in shape.table.rows]
-                blocks.append("\n".join(" | ".join(r) for r in rows if any(r)))
-            elif getattr(shape, "has_text_frame", False):
-                blocks.append(shape.text_frame.text.strip())
-        title = slide.shapes.title
-        notes = slide.notes_slide.notes_text_frame.text.strip() if slide.has_notes_slide else ""
-        out.append((n, "\n".join(b for b in blocks if b), title.text.strip() if title is not None else None, None, None, None, images, notes))
-    return out
+    for slide in Presentation(io.BytesIO(content)).slides:
+        blocks = [b for s in slide.shapes if (b := _shape_block(s))]
+        blocks.sort(key=lambda b: (b["top"], b["left"]))
+        head = slide.shapes.title
+        yield {"text": "\n".join(b["text"] for b in blocks), "title": head.text.strip() if head is not None else None, "blocks": blocks, "parser": "python-pptx",
+               "images": sum(_found(lambda s=s: s.shape_type == MSO_SHAPE_TYPE.PICTURE, False) for s in slide.shapes),
+               "notes": (slide.notes_slide.notes_text_frame.text.strip() or None) if slide.has_notes_slide else None}
 
 
 def _pages_by(files: DataFrame, parse) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, *p, n) for i, n, c in zip(pdf["document_id"], pdf["name"], pdf["content"]) for p in parse(bytes(c))]
+            rows = [{"document_id": i, "name": n, "page_number": k} | p for i, n, c in zip(pdf["document_id"], pdf["name"], pdf["content"]) for k, p in enumerate(parse(bytes(c)), 1)]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PARSED.split(", ")])
 
     named = files.select(X.content_id(F.col("content")).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     got = mapped(named, work, _PARSED)
-    meta = _meta(source_name=F.col("name"), width_points=F.col("width"), height_points=F.col("height"), rotation=F.col("rotation"), image_count=F.col("images"), speaker_notes=F.col("notes"))
+    meta = _meta(parser=F.col("parser"), blocks=F.col("blocks"), source_name=F.col("name"), width_points=F.col("width"), height_points=F.col("height"), rotation=F.col("rotation"), image_count=F.col("images"), speaker_notes=F.col("notes"))
     return got.select("document_id", "page_number", "text", "title", meta.alias("metadata"))
 
 

@@ -117,7 +117,7 @@ def test_section_text_is_the_cut_of_all_its_pages(spark):
 def test_text_pages_keep_their_numbers(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# One\nfirst\n--- page ---\n\n--- Page ---\nthird\fforth")
     got = readers.read_course_files(spark, str(tmp_path)).orderBy("page_number").collect()
-    assert [(r["page_number"], r["text"], r["title"]) for r in got] == [(1, "# One\nfirst", "One"), (3, "third", None), (4, "forth", None)]
+    assert [(r["page_number"], r["text"], r["title"]) for r in got] == [(1, "# One\nfirst", "# One"), (3, "third", None), (4, "forth", None)]
     (tmp_path / "b.md").write_text((tmp_path / "a.txt").read_text())
     with pytest.raises(ValueError, match="twice"):
         readers.read_course_files(spark, str(tmp_path))
@@ -189,6 +189,16 @@ def test_dense_and_caches(spark):
         dense.load_cache(texts.withColumn("text", F.lit("new")), cache)
     with pytest.raises(ValueError, match="missing"):
         dense.load_cache(texts.unionByName(chunks_of(spark, [("n", "d", 1, 1, "x", "passage")])), cache)
+    assert dense.cache_header(cache, dense.CHUNK_CACHE) == {"model": "m", "query_prefix": "query: ", "document_prefix": "passage: "} and dense.cache_header(cache.limit(0), dense.CHUNK_CACHE) == {}
+    for broken in (cache.withColumn("format", F.lit("other")), cache.withColumn("model", F.lit("")), cache.withColumn("model", F.col("chunk_id"))):
+        with pytest.raises(ValueError, match="cache"):
+            dense.load_cache(texts, broken)
+    with pytest.raises(ValueError, match="other model"):
+        dense.load_cache(texts, cache, "another")
+    seen = spark.createDataFrame([("d", 1, "h", [3.0, 4.0])], "document_id string, page_number int, sha256 string, embedding array<double>")
+    assert dense.load_page_cache(seen, dense.page_cache_rows(seen, "m"), "m").first()["embedding"] == [0.6, 0.8]
+    with pytest.raises(ValueError, match="kind"):
+        dense.load_page_cache(seen, dense.page_cache_rows(seen, "m").withColumn("format", F.lit(dense.CHUNK_CACHE)))
     fake = dense.encoded(texts, "text", lambda: lambda ts: [[float(len(t)), 1.0] for t in ts])
     assert {r["embedding"][0] for r in fake.collect()} == {len("passage: one")}
 
@@ -261,7 +271,13 @@ def test_mining_and_pairs(spark):
     with pytest.raises(ValueError, match="not decided"):
         mining.apply_reviews(rows)
     kept, counts = mining.apply_reviews(rows, False)
-    assert kept.count() == 1 and {x["decision"]: x["rows"] for x in counts.collect()} == {"valid_negative": 1, "false_negative": 0, "uncertain": 1, "pending": 0}
+    figures = counts.first()
+    assert kept.count() == 1 and [figures[d] for d in ("rows", *mining.DECISIONS, "queries_retained")] == [2, 1, 0, 1, 0, 1] and figures["difficulty_counts"] == {"hard": 1}
+    assert mining.apply_reviews(rows.withColumn("review_decision", F.lit("")), False)[1].first()["pending"] == 2
+    with pytest.raises(ValueError, match="duplicate"):
+        mining.apply_reviews(rows.withColumn("review_id", F.when(F.col("negative_rank") == 1, " n").otherwise("n ")), False)
+    assert [x["idx"] for x in mining.numbered(t.repartition(3)).orderBy("idx").collect()] == list(range(t.count()))
+    assert mining.missing_chunks(t.withColumn("negative_chunk_id", F.lit("zz")), c).collect() == [Row(chunk_id="zz")]
     pack = mining.negative_pack(t.withColumn("idx", F.col("negative_rank") - 1), c)
     assert sorted(x["review_id"] for x in pack.collect()) == ["negative-0001", "negative-0002"]
     assert mining.training_steps(65, 8, 1) == (9, 1)
