@@ -9,20 +9,39 @@ from slatework.functions import text as X
 from slatework.runtime import settled
 
 
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """df with name: the sum of value over the rows of the same keys before it by order (numbers).
+
+    In two levels: sums of stretches of width, then rows within their stretch, so no task holds the rows of a hot key.
+    """
+    cut = df.withColumn("_stretch", F.floor(F.col(order) / width))
+    per = cut.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_sum"))
+    line = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_stretch").alias("_of_stretch"), F.coalesce(F.sum("_sum").over(line), F.lit(0)).alias("_earlier"))
+    same = F.col("_stretch") == F.col("_of_stretch")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    inner = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(per, same)
+    return out.withColumn(name, F.col("_earlier") + F.col("_inner")).drop("_stretch", "_inner", "_earlier", "_of_stretch", *[f"_of_{k}" for k in keys])
+
+
 def sections(pages: DataFrame) -> DataFrame:
-    """pages with section_no (from 1) and section (its title): a running sum of starts within each document.
+    """pages with section_no (from 1), section (its title) and section_page: a running sum of starts within each document.
 
-    A document is a window partition; the pages of one document stay together in its chunks anyway.
+    The first page of a document starts none. Sums and first pages are combined before they are exchanged; no task
+    holds the pages of a hot document.
     """
-    line = Window.partitionBy("document_id").orderBy("page_number")
     broken = F.coalesce(F.col("section_break"), F.lit(False)) if "section_break" in pages.columns else F.lit(False)
     p = pages.withColumn("_head", X.heading(F.col("title"), F.coalesce("text", F.lit(""))))
-    starts = (F.row_number().over(line) > 1) & (broken | X.starts_section(F.col("_head")))
-    p = p.withColumn("_start", starts.cast("int")).withColumn("section_no", (F.sum("_start").over(line.rowsBetween(Window.unboundedPreceding, 0)) + 1).cast("int"))
-    first = Window.partitionBy("document_id", "section_no").orderBy("page_number")
-    head = F.nullif(F.first("_head").over(first), F.lit(""))
+    p = settled(p.withColumn("_start", (broken | X.starts_section(F.col("_head"))).cast("int")))
+    first = p.groupBy(F.col("document_id").alias("_doc")).agg(F.min("page_number").alias("_first"))
+    p = p.join(first, F.col("document_id").eqNullSafe(F.col("_doc"))).withColumn("_start", F.when(F.col("page_number") > F.col("_first"), F.col("_start")).otherwise(0)).drop("_doc", "_first")
+    p = running_sum(p, ["document_id"], "page_number", "_start", "_before").withColumn("section_no", (F.col("_before") + F.col("_start") + 1).cast("int"))
+    head = p.groupBy(F.col("document_id").alias("_doc"), F.col("section_no").alias("_no")).agg(F.min_by(F.coalesce("_head", F.lit("")), "page_number").alias("_title"), F.min("page_number").alias("section_page"))
+    p = p.join(head, F.col("document_id").eqNullSafe(F.col("_doc")) & (F.col("section_no") == F.col("_no")))
     other = F.when(F.col("section_no") == 1, F.col("document_id")).otherwise(F.concat(F.lit("Section "), F.col("section_no").cast("string")))
-    return p.withColumn("section", F.coalesce(head, other)).withColumn("section_page", F.first("page_number").over(first)).drop("_head", "_start")
+    return p.withColumn("section", F.coalesce(F.nullif("_title", F.lit("")), other)).drop("_head", "_start", "_before", "_doc", "_no", "_title")
 
 
 def chunk_pages(pages: DataFrame, max_chars: int = 500, overlap_sentences: int = 1, max_section_chars: int = 2000) -> DataFrame:
@@ -38,8 +57,7 @@ def chunk_pages(pages: DataFrame, max_chars: int = 500, overlap_sentences: int =
     p = p.withColumn("_win", F.when(F.col("_excluded"), F.array().cast("array<string>")).otherwise(X.windows(X.sentences(F.col("_text")), max_chars, overlap_sentences)))
     p = p.withColumn("_ids", F.transform("_win", lambda w, i: X.stable_id("chk", F.col("document_id"), F.col("page_number"), i, w)))
     solid = F.when(p["_excluded"], 0).otherwise(F.length(X.strip(p["_text"])))
-    before = Window.partitionBy("document_id", "section_no").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
-    p = p.withColumn("_solid", solid).withColumn("_before", F.coalesce(F.sum("_solid").over(before), F.lit(0)))
+    p = running_sum(p.withColumn("_solid", solid), ["document_id", "section_no"], "page_number", "_solid", "_before")
     p = settled(p.select("document_id", "page_number", "title", "section", "_excluded", "_text", "_sec", "_page", "_win", "_ids", "_solid", "_before", F.col("metadata.source_name").alias("_source")))
     none = F.lit(None)
 

@@ -102,6 +102,16 @@ def test_chunks_and_hierarchy(spark):
     assert {r["error"] for r in chunking.hierarchy_errors(broken).collect()} == {"parent_unknown", "child_has_other_parent"}
 
 
+def test_running_sums_in_stretches(spark):
+    from random import Random
+
+    r = Random(8)
+    rows = [(k, n, r.randint(0, 5)) for k in ("a", "b", None) for n in r.sample(range(200), 60)]
+    df = spark.createDataFrame(rows, "k string, n int, v int")
+    got = {(x["k"], x["n"]): x["before"] for x in chunking.running_sum(df, ["k"], "n", "v", "before", 16).collect()}
+    assert got == {(k, n): sum(v for j, m, v in rows if j == k and m < n) for k, n, _ in rows}
+
+
 def test_section_text_is_the_cut_of_all_its_pages(spark):
     """Only the pages that can reach into the limit are gathered; the text is as if all were."""
     rows = [("d", n, f"  Page {n} text.\nEnd of it here. \n" if n % 4 else " \n", "Chapter 1 One" if n == 1 else "Title", 0) for n in range(1, 40)]
