@@ -108,6 +108,23 @@ def test_probes_grow_with_the_lists(spark):
     assert sum(o in truth[i] for i, o in got) >= 0.9 * 5 * len(ids)
 
 
+def test_lists_in_two_levels(spark, monkeypatch):
+    """Many lists are fitted cell by cell and searched through the cells."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 64))
+    x = centres[rng.integers(0, 60, 3000)] + 0.4 * rng.normal(size=(3000, 64))
+    ids = [f"c{n:05}" for n in range(len(x))]
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in zip(ids, x)], "chunk_id string, embedding array<double>")
+    truth = brute_top(x, ids, 5, -1.0)
+    seen = []
+    whole = ivfpq.fit_lists
+    monkeypatch.setattr(ivfpq, "fit_lists", lambda *a: seen.append(whole(*a)) or seen[-1])
+    got = ivfpq.most_similar(v, list_size=12, sample_rows=1000).select("id", "other").collect()
+    assert sum(o in truth[i] for i, o in got) >= 0.9 * 5 * len(ids) and len(got) == 5 * len(ids)
+    centroids, coarse, cells = seen[0]
+    assert len(coarse) < 64 < 125 < len(centroids) <= 300 and (np.diff(cells) >= 0).all()
+
+
 # Splitting
 
 
