@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatework.runtime import need, settled
+from slatework.runtime import need, release, settled
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
         state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        mark = state
-        now = settled(_small_star(_large_star(now)))
+        mark, before = state, now
+        now = settled(_small_star(_large_star(before)))
+        release(before)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -40,6 +40,20 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a settled df that nothing reads any more.
+
+    What is not released stays until the folder is emptied, or until Spark drops it if the cluster sets
+    spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
+    plan = df._jdf.queryExecution().logical()
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _width(kind: T.DataType, c: Column) -> Column:
     """About how many bytes a value takes."""
     if isinstance(kind, T.StringType | T.BinaryType):

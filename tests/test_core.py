@@ -293,6 +293,26 @@ def test_mining_and_pairs(spark):
     assert mining.training_steps(65, 8, 1) == (9, 1)
 
 
+def test_released_checkpoints(spark):
+    import os
+
+    from slatework.runtime import release, settled
+
+    df = settled(spark.range(5))
+    where = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(where) and df.count() == 5
+    release(df)
+    assert not os.path.exists(where)
+
+
+def test_broadcasts_are_measured_in_bytes(spark):
+    from slatework.runtime import small
+
+    few, long = spark.createDataFrame([("a", ["b"], 1)], "s string, t array<string>, n int"), spark.createDataFrame([("x" * 5000, None, 1)], "s string, t array<string>, n int")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(small(few, 1000)) and not hinted(small(long, 1000)) and hinted(small(few.limit(0), 1000))
+
+
 def test_components(spark):
     e = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("c", None), ("z", "z"), ("c", "b")], "u string, v string")
     got = {r["node"]: r["component"] for r in connected_components(e).collect()}
