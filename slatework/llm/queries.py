@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatework.llm import crosssplit, groupsplit, ivfpq, leaks, mixing, neardup, quality, repeated_lines, split
+from slatework.operators.dense import cosine_top_k, unit
 from slatework.runtime import settled, table
 
 PAGE_LIMIT, PASSAGE_LIMIT, OVERLAP = 2000, 500, 50
@@ -43,7 +44,7 @@ def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks one of which is among the 5 most similar others of the other, at cosine 0.85 or more."""
-    near = ivfpq.most_similar(table(spark, folder, "chunk_embedding_cache"), min_similarity=0.85, recall=0.999)
+    near = ivfpq.most_similar(table(spark, folder, "chunk_embedding_cache"), min_similarity=0.85, recall=1.0, probes=12, list_size=512)
     return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
 
 
@@ -52,6 +53,17 @@ def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ivfpq.most_similar(table(spark, folder, "chunk_embedding_cache")).withColumnsRenamed({"id": "chunk_id", "other": "other_chunk_id"})
 
 
+def p2_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether p2_neighbours holds 95 % of the true 5 nearest others of every 50th vector (by hash), against all rows."""
+    v = ivfpq.usable(table(spark, folder, "chunk_embedding_cache"), "chunk_id", "embedding", 64).select("id", unit(F.col("embedding")).alias("embedding"))
+    v = settled(v)
+    asked = v.filter(F.pmod(F.xxhash64("id"), F.lit(50)) == 0).select(F.col("id").alias("query_id"), "embedding")
+    line = Window.partitionBy("query_id").orderBy("rank")
+    true = cosine_top_k(asked, v, 6, row_id="id", digits=6).filter("query_id <> id").withColumn("n", F.row_number().over(line)).filter("n <= 5")
+    got = p2_neighbours(spark, folder).select(F.col("chunk_id").alias("query_id"), F.col("other_chunk_id").alias("id"), F.lit(1).alias("hit"))
+    return true.join(got, ["query_id", "id"], "left").agg(F.lit(0.95).alias("wanted"), F.coalesce(F.avg(F.coalesce("hit", F.lit(0))) >= 0.95, F.lit(True)).alias("reached"))
+
+
 def _oversized(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
     pages = table(spark, folder, "course_pages").withColumn("_item", F.concat_ws("#", "document_id", F.col("page_number").cast("string")))
     pages = pages.withColumns({"page_start": F.col("page_number"), "page_end": F.col("page_number")})
@@ -71,6 +83,20 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _oversized(spark, folder, True).dropDuplicates(["item_kind", "item_id", "piece_no"])
 
 
+def p3_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces that break a rule of p3_pieces: too long, too much overlap, a hole, another text than their place says, no end."""
+    pieces = settled(p3_pieces(spark, folder))
+    line = Window.partitionBy("item_kind", "item_id").orderBy("piece_no")
+    limit = F.when(F.col("item_kind") == "page", PAGE_LIMIT).otherwise(PASSAGE_LIMIT)
+    before = F.lag("piece_end").over(line)
+    pages = table(spark, folder, "course_pages").select(F.lit("page").alias("item_kind"), F.concat_ws("#", "document_id", F.col("page_number").cast("string")).alias("item_id"), "text")
+    items = pages.unionByName(table(spark, folder, "course_chunks").filter(PASSAGE).select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text")).dropDuplicates(["item_kind", "item_id"])
+    p = pieces.withColumns({"_before": before, "_last": F.lead("piece_no").over(line).isNull()}).join(items.filter(F.length("text") > PASSAGE_LIMIT), ["item_kind", "item_id"])
+    wrong = [F.when(F.length("piece_text") > limit, "too long"), F.when(F.coalesce(F.col("_before") - F.col("piece_start"), F.lit(0)) > OVERLAP, "overlap"), F.when(F.col("piece_start") > F.coalesce("_before", F.lit(0)), "hole"),
+             F.when(F.col("piece_text") != F.substr("text", (F.col("piece_start") + 1).cast("int"), (F.col("piece_end") - F.col("piece_start")).cast("int")), "other text"), F.when(F.col("_last") & (F.col("piece_end") != F.length("text")), "no end")]
+    return p.select("item_kind", "item_id", F.explode(F.array_compact(F.array(*wrong))).alias("fault"))
+
+
 def _passage_links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return neardup.similar_texts(table(spark, folder, "course_chunks").filter(PASSAGE), "chunk_id", "text", min_weighted=0.54, exact_min=0.6)
 
@@ -88,7 +114,7 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_page_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The pages of those groups: one row per group and page."""
-    chunks = table(spark, folder, "course_chunks").filter(PASSAGE).select("chunk_id", "document_id", F.explode(F.sequence("page_start", "page_end")).alias("page_number"))
+    chunks = table(spark, folder, "course_chunks").filter(PASSAGE).select("chunk_id", "document_id", F.explode(F.sequence(F.col("page_start").cast("bigint"), F.col("page_end").cast("bigint"))).alias("page_number")).distinct()
     pages = p4_groups(spark, folder).join(chunks, "chunk_id").groupBy("group_id", "document_id", "page_number")
     return pages.agg(F.countDistinct("chunk_id").alias("passages"))
 
@@ -130,6 +156,17 @@ def p6_assigned(spark: SparkSession, folder: str) -> DataFrame:
     return groupsplit.assign_splits(groups, {"train": 0.8, "dev": 0.1, "test": 0.1})
 
 
+def p6_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions and keys that break a rule of p6_assigned: no split or several, or a shared key in several splits."""
+    rows = table(spark, folder, "public_course_eval_reviewed").select("id", "document_id", "pair_id").dropDuplicates(["id"])
+    got = settled(p6_assigned(spark, folder))
+    each = rows.select("id").join(got, "id", "left").groupBy("id").agg(F.count("split").alias("n")).filter("n <> 1").select(F.lit("question").alias("kind"), F.col("id").alias("key"))
+    for kind, key in (("document", F.when(F.trim("document_id") != "", F.col("document_id"))), ("pair", crosssplit.clean_name(F.col("pair_id")))):
+        torn = rows.select("id", key.alias("key")).filter("key is not null").join(got.select("id", "split"), "id").groupBy("key").agg(F.min("split").alias("a"), F.max("split").alias("b")).filter("a <> b")
+        each = each.unionByName(torn.select(F.lit(kind).alias("kind"), "key"))
+    return each
+
+
 def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Questions, groups and share of each split of p6_assigned."""
     by = p6_assigned(spark, folder).groupBy("split").agg(F.count("*").alias("questions"), F.countDistinct("group_id").alias("groups"))
@@ -162,6 +199,17 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
+def p8_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that break a rule of the mixture: a share off its target (of the sources with documents) by more than 0.01, too many repeats."""
+    mixture, shares = _mixture(spark, folder)
+    caps = table(spark, folder, "mix_targets").groupBy("source").agg(F.max("max_repeats").alias("cap"))
+    repeats = mixture.join(F.broadcast(caps), "source", "left").filter(F.coalesce(F.col("repeats") > F.col("cap"), F.lit(True))).groupBy("source").agg(F.lit("repeats").alias("fault"))
+    whole = shares.filter("documents > 0").agg(F.sum("target_share").alias("whole"))
+    want = F.when(F.col("documents") > 0, F.col("target_share") / F.col("whole")).otherwise(0.0)
+    off = shares.join(F.broadcast(whole)).filter(F.abs(F.col("actual_share") - want) > 0.01).select("source", F.lit("share").alias("fault"))
+    return repeats.select("source", "fault").unionByName(off)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents most of whose characters are list entries, table cells or junk."""
     return quality.find_junk(*quality.judge(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))).select("doc_id").distinct()

@@ -21,6 +21,32 @@ b AS (SELECT m.*, t.n FROM m JOIN t USING (source_id) WHERE documents >= 5 AND d
 """
 
 
+_P4 = r"""
+c AS (SELECT chunk_id, document_id, page_start, page_end, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS t FROM (SELECT DISTINCT ON (chunk_id) * FROM course_chunks WHERE level IS NULL OR level = 'passage')),
+k AS (SELECT * FROM c WHERE length(t) >= 100),
+tx AS (SELECT t, min(chunk_id) AS low, count(*) AS copies FROM k GROUP BY t),
+g AS (SELECT low, list_distinct(list_transform(range(1, length(t) - 2), lambda i: substring(t, CAST(i AS BIGINT), 4))) AS f FROM tx),
+u AS (SELECT low, len(f) AS n, unnest(f) AS s FROM g),
+pr AS (SELECT a.low AS x, b.low AS y, count(*) AS common, any_value(a.n) AS m, any_value(b.n) AS n FROM u a JOIN u b ON a.s = b.s AND a.low < b.low GROUP BY a.low, b.low),
+ln AS (SELECT x, y FROM pr WHERE common * 10 >= 6 * (m + n - common))
+"""
+_P4_GROUPS = rf"""{_P4},
+e AS (SELECT x, y FROM ln UNION ALL SELECT y, x FROM ln),
+r AS (SELECT low AS x, low AS y FROM tx WHERE copies > 1 OR low IN (SELECT x FROM e) UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+cm AS (SELECT x, min(y) AS group_id FROM r GROUP BY x),
+dg AS (SELECT x, count(*) AS n FROM e GROUP BY x),
+gr AS (SELECT k.chunk_id, cm.group_id, coalesce(dg.n, 0) AS n_links, tx.copies AS n_copies, k.document_id, k.page_start, k.page_end FROM k JOIN tx USING (t) JOIN cm ON cm.x = tx.low LEFT JOIN dg ON dg.x = tx.low)
+"""
+_P5 = r"""
+q AS (SELECT DISTINCT ON (id) id, nullif(lower(trim(split)), '') AS s, document_id, courseware_source, list_sort(list_distinct(relevant_pages)) AS p,
+             regexp_replace(lower(coalesce(query, '')), '[^\p{L}\p{N}]+', '', 'g') AS t FROM public_course_eval_reviewed),
+g AS (SELECT *, CASE WHEN length(t) < 4 THEN [] ELSE list_distinct(list_transform(range(1, length(t) - 2), lambda i: substring(t, CAST(i AS BIGINT), 4))) END AS f FROM q),
+m AS (SELECT b.id AS eval_id, b.s AS split, b.courseware_source AS source, len(b.f) AS size, len(list_intersect(a.f, b.f)) AS n, len(a.f) + len(b.f) AS z, coalesce(a.document_id = b.document_id AND len(a.p) > 0 AND a.p = b.p, false) AS same
+      FROM g a JOIN g b ON a.s = 'train' AND b.s IN ('dev', 'test')),
+h AS (SELECT *, z > n AND n * 10 >= 6 * (z - n) AS near FROM m)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_P1_LINES} SELECT document_id, CAST(page_number AS BIGINT) AS page_number, CAST(line_no AS BIGINT) AS line_no FROM l SEMI JOIN r USING (source_id, k)",
@@ -35,6 +61,14 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT a.chunk_id AS x, b.chunk_id AS y, round(array_cosine_similarity(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.chunk_id <> b.chunk_id),
             t AS (SELECT x, y FROM s QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5 AND c >= 0.85)
             SELECT DISTINCT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM t""",
+        "p2_recall": "SELECT CAST(0.95 AS DOUBLE) AS wanted, true AS reached",
+        "p3_faults": "SELECT '' AS item_kind, '' AS item_id, '' AS fault WHERE false",
+        "p6_faults": "SELECT '' AS kind, '' AS key WHERE false",
+        "p8_faults": "SELECT '' AS source, '' AS fault WHERE false",
+        "p4_found": f"WITH {_P4} SELECT least(a.chunk_id, b.chunk_id) AS chunk_id_a, greatest(a.chunk_id, b.chunk_id) AS chunk_id_b FROM (SELECT x, y FROM ln UNION ALL SELECT low, low FROM tx) l JOIN tx s ON s.low = l.x JOIN tx o ON o.low = l.y JOIN k a ON a.t = s.t JOIN k b ON b.t = o.t WHERE l.x <> l.y OR a.chunk_id < b.chunk_id",
+        "p4_groups": f"WITH RECURSIVE {_P4_GROUPS} SELECT chunk_id, group_id, n_links, n_copies FROM gr",
+        "p4_page_groups": f"WITH RECURSIVE {_P4_GROUPS}, pg AS (SELECT group_id, document_id, chunk_id, unnest(range(page_start, page_end + 1)) AS page_number FROM gr) SELECT group_id, document_id, CAST(page_number AS BIGINT) AS page_number, count(DISTINCT chunk_id) AS passages FROM pg GROUP BY ALL",
+        "p5_report": f"WITH {_P5} SELECT split, source, count(DISTINCT eval_id) AS questions, count(*) AS pairs, count(*) FILTER (near) AS by_text, count(*) FILTER (same) AS by_pages, max(n / size) FILTER (near) AS most_contained FROM h WHERE near OR same GROUP BY split, source",
         "p5_found": r"""
             WITH q AS (SELECT DISTINCT ON (id) id, nullif(lower(trim(split)), '') AS s, document_id, list_sort(list_distinct(relevant_pages)) AS p,
                               regexp_replace(lower(coalesce(query, '')), '[^\p{L}\p{N}]+', '', 'g') AS t FROM public_course_eval_reviewed),
