@@ -44,7 +44,7 @@ def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks one of which is among the 5 most similar others of the other, at cosine 0.85 or more."""
-    near = ivfpq.most_similar(table(spark, folder, "chunk_embedding_cache"), min_similarity=0.85, recall=1.0, probes=12, list_size=512)
+    near = ivfpq.most_similar(table(spark, folder, "chunk_embedding_cache"), min_similarity=0.85, recall=1.0)
     return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
 
 
