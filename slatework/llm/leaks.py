@@ -85,11 +85,13 @@ class _Items:
         for item, text in rows:
             self.ids.append(item)
             self.bodies.append([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)])
-        rows_of = [(h, k, j) for k, b in enumerate(self.bodies) for j, h in enumerate(rolling(np.array(b, np.uint64), least).tolist())]
-        rows_of.sort()
-        self.seeds = np.array([h for h, _, _ in rows_of], np.uint64)
-        self.owner = np.array([k for _, k, _ in rows_of], np.int64)
-        self.start = np.array([j for _, _, j in rows_of], np.int64)
+        parts = [rolling(np.array(b, np.uint64), least) for b in self.bodies]
+        many = np.array([len(p) for p in parts], np.int64)
+        seeds = np.concatenate([*parts, np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), many)
+        start = (np.arange(len(seeds)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
+        order = np.argsort(seeds, kind="stable")
+        self.seeds, self.owner, self.start = seeds[order], owner[order].astype(np.int64), start[order].astype(np.int64)
         self.sizes = np.array([len(b) for b in self.bodies], np.int64)
 
     def candidates(self, document: np.ndarray, low: np.ndarray, high: np.ndarray, least: int, min_longest: int, min_coverage: float) -> list[tuple[int, int]]:
@@ -137,7 +139,7 @@ def _scan(docs: DataFrame, rows: list[tuple[int, str]], doc_id: str, text: str,
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-               min_tile: int = 12, min_longest: int = 0, min_coverage: float = 0.0, items_chars: int = 32_000_000) -> DataFrame:
+               min_tile: int = 12, min_longest: int = 0, min_coverage: float = 0.0, items_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, item_id, longest, tiles, covered, item_words, coverage) of every document and item that share a tile.
 
     longest: words of the longest tile; covered: words of the item inside tiles; coverage: their share of the item.

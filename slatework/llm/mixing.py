@@ -12,7 +12,8 @@ rest). Documents are never cut.
 
 Defined cases: null and empty texts and null sources take no part; a repeated document id counts once; a target
 without documents gets nothing and the other shares are raised in proportion; sources without target are left out;
-an empty table gives an empty mixture, and a report of zeros.
+an empty table gives an empty mixture, and a report of zeros. block_tokens is the most a block may have: blocks are
+smaller where a thousandth of a source's even share is, so a tiny source gets its share, too.
 """
 
 from __future__ import annotations
@@ -103,6 +104,8 @@ def mix_sources(counts: DataFrame, targets: DataFrame, *, total_tokens: int | No
     weights = [r["target_share"] / whole for r in rich]
     caps = [sizes[r["source"]][1] * r["max_repeats"] for r in rich]
     total = total_tokens if total_tokens is not None else int(min((c / w for c, w in zip(caps, weights)), default=0))
+    # Small enough that every source can hold its share in whole blocks; the work does not depend on their number.
+    block_tokens = max(1, min(block_tokens, total // (1000 * max(1, len(rich)))))
     seats = sainte_lague(weights, total // block_tokens, [c // block_tokens for c in caps])
     quotas, quota_of = [], {}
     for r, n in zip(rich, seats):

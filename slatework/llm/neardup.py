@@ -413,22 +413,37 @@ def similar_texts(records: DataFrame, record_id: str, text: str, *, min_weighted
 
 
 def _by_blocks(big: DataFrame, text_of: DataFrame, verifier, schema: str) -> DataFrame:
-    """All verified pairs of big buckets: blocks of about 256 members, one task group per pair of blocks."""
+    """All verified pairs of big buckets: blocks of about 256 members, one task group per pair of blocks.
+
+    Every member carries its big buckets (as many as there are bands at most), and a pair is compared in the first of
+    those that both are in alone.
+    """
+    every = big.groupBy("fp").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     blocks = big.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("expected") / 256)).cast("int")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     met = blocks.select("key", "fp", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select("key", "fp", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     ship(big.sparkSession)
-    full = met.join(text_of, "fp")
+    full = met.join(every.join(text_of, "fp"), "fp")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        verify = verifier()
+        verify, key = verifier(), pdf["key"].iloc[0]
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
         out = []
         if not len(left) or not len(right):
             return pd.DataFrame(out, columns=["fp_a", "fp_b", "weighted", "exact"])
+        earlier = [[k for k in keys if k < key] for keys in (*left["keys"], *right["keys"])]
+        names = {k: n for n, k in enumerate(dict.fromkeys(k for keys in earlier for k in keys))}
+        inside = np.zeros((len(earlier), len(names) or 1), np.float32)
+        for n, keys in enumerate(earlier):
+            inside[n, [names[k] for k in keys]] = 1
+        new = inside[: len(left)] @ inside[len(left) :].T == 0
+        if not new.any():
+            return pd.DataFrame(out, columns=["fp_a", "fp_b", "weighted", "exact"])
+        rows, columns = new.any(1), new.any(0)
+        left, right, new = left[rows], right[columns], new[np.ix_(rows, columns)]
         verify.prepare([*left["body"], *right["body"]])
         xs, ys, a, b = left["fp"].tolist(), right["fp"].tolist(), left["body"].tolist(), right["body"].tolist()
-        for m, n in zip(*np.nonzero(verify.likely(a, b))):
+        for m, n in zip(*np.nonzero(new & verify.likely(a, b))):
             x, y = xs[m], ys[n]
             if (x < y or (i != j and x != y)) and (got := verify(a[m], b[n])):
                 out.append((min(x, y), max(x, y), *got))
