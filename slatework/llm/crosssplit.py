@@ -59,14 +59,16 @@ def _met(held: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     return asked.join(each, [*keys, "_part"]).drop("_part")
 
 
-def cross_split_pairs(records: DataFrame, *, record_id: str = "id", text: str = "query", split: str = "split", document: str = "document_id", pages: str = "relevant_pages",
+def cross_split_pairs(records: DataFrame, *, record_id: str = "id", text: str = "query", split: str = "split", document: str = "document_id",
+        pages: str = "relevant_pages",
                       held_out: tuple[str, ...] = ("dev", "test"), train: str = "train", min_similarity: float = 0.6) -> DataFrame:
     """(eval_id, train_id, eval_split, similarity, containment, same_pages) of every pair that is the same or nearly so.
 
     similarity and containment are null where only document and pages agree.
     """
     need(records, record_id, text, split, document, pages)
-    own = records.select(F.col(record_id).cast("string").alias("_id"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "").alias("body"), clean_name(F.col(split)).alias("_split"), F.col(document).alias("_doc"),
+    own = records.select(F.col(record_id).cast("string").alias("_id"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "").alias("body"),
+        clean_name(F.col(split)).alias("_split"), F.col(document).alias("_doc"),
                          F.array_sort(F.array_compact(F.array_distinct(pages))).alias("_pages"))
     own = settled(own.filter(F.col("_id").isNotNull() & F.col("_split").isin(train, *held_out)).dropDuplicates(["_id"]))
     own = own.withColumn("fp", F.xxhash64("body"))
@@ -85,13 +87,15 @@ def cross_split_pairs(records: DataFrame, *, record_id: str = "id", text: str =
             if sum(many):
                 rows = np.repeat(np.array(size, np.int64), many, axis=0)
                 places = np.concatenate([np.arange(m) for m in many])
-                yield pd.DataFrame({"h": np.concatenate(parts), "fp": np.repeat(pdf["fp"].to_numpy(), many), "p": places, "n": rows[:, 0]} | {f"g{k}": rows[:, 1 + k] for k in range(4)})
+                yield pd.DataFrame({"h": np.concatenate(parts), "fp": np.repeat(pdf["fp"].to_numpy(), many), "p": places,
+                    "n": rows[:, 0]} | {f"g{k}": rows[:, 1 + k] for k in range(4)})
 
     held = own.filter(F.col("_split").isin(*held_out))
     kept = own.filter(F.col("_split") == train)
     short = f"length(body) >= {SIZE}"
     columns = ["fp", "p", "n", "g0", "g1", "g2", "g3"]
-    e, t = (mapped(x.filter(short).select("fp", "body").distinct(), rare, "h bigint, fp bigint, p bigint, n bigint, g0 bigint, g1 bigint, g2 bigint, g3 bigint") for x in (held, kept))
+    e, t = (mapped(x.filter(short).select("fp", "body").distinct(), rare,
+        "h bigint, fp bigint, p bigint, n bigint, g0 bigint, g1 bigint, g2 bigint, g3 bigint") for x in (held, kept))
     e, t = (x.withColumnsRenamed({c: f"{c}_{side}" for c in columns}) for x, side in ((e, "e"), (t, "t")))
     fits = (F.col("n_t") >= F.col("n_e") * min_similarity - 1e-9) & (F.col("n_e") >= F.col("n_t") * min_similarity - 1e-9)
     least = F.ceil((F.col("n_e") + F.col("n_t")) * (min_similarity / (1 + min_similarity)) - 1e-9)
@@ -99,7 +103,8 @@ def cross_split_pairs(records: DataFrame, *, record_id: str = "id", text: str =
     apart = sum((F.bit_count(F.col(f"g{k}_e").bitwiseXOR(F.col(f"g{k}_t"))) for k in range(4)), F.lit(0))
     hits = e.join(t, "h").filter(fits & (F.least("p_e", "p_t") + after >= least) & (F.col("n_e") + F.col("n_t") - apart >= 2 * least))
     pairs = hits.groupBy("fp_e", "fp_t", "n_e", "n_t").agg(F.count("*").alias("n"), F.max(after).alias("after"))
-    hits = pairs.filter((F.col("n") > least - F.ceil(F.greatest("n_e", "n_t") * min_similarity - 1e-9)) & (F.col("after") >= least)).select("fp_e", "fp_t")
+    hits = pairs.filter((F.col("n") > least - F.ceil(F.greatest("n_e", "n_t") * min_similarity - 1e-9)) & (F.col("after") >= least)).select("fp_e",
+        "fp_t")
     known = own.filter(short)
     bodies = known.select("fp", "body").dropDuplicates(["fp"])
 
@@ -113,15 +118,19 @@ def cross_split_pairs(records: DataFrame, *, record_id: str = "id", text: str =
                     out.append((fp_e, fp_t, both / (len(x) + len(y) - both), both / len(x)))
             yield pd.DataFrame(out, columns=["fp_e", "fp_t", "similarity", "containment"])
 
-    full = hits.join(bodies.withColumnsRenamed({"fp": "fp_e", "body": "body_e"}), "fp_e").join(bodies.withColumnsRenamed({"fp": "fp_t", "body": "body_t"}), "fp_t")
+    full = hits.join(bodies.withColumnsRenamed({"fp": "fp_e", "body": "body_e"}),
+        "fp_e").join(bodies.withColumnsRenamed({"fp": "fp_t", "body": "body_t"}), "fp_t")
     texts = mapped(full, verify, "fp_e bigint, fp_t bigint, similarity double, containment double")
     ids = known.select("fp", "_id", "_split")
-    by_text = texts.join(ids.filter(F.col("_split") != train).select(F.col("fp").alias("fp_e"), F.col("_id").alias("eval_id"), F.col("_split").alias("eval_split")), "fp_e")
+    by_text = texts.join(ids.filter(F.col("_split") != train).select(F.col("fp").alias("fp_e"), F.col("_id").alias("eval_id"),
+        F.col("_split").alias("eval_split")), "fp_e")
     by_text = _met(by_text, ids.filter(F.col("_split") == train).select(F.col("fp").alias("fp_t"), F.col("_id").alias("train_id")), ["fp_t"])
     paged = F.col("_doc").isNotNull() & (F.size("_pages") > 0)
     by_pages = held.filter(paged).select("_doc", "_pages", F.col("_id").alias("eval_id"), F.col("_split").alias("eval_split"))
     by_pages = _met(by_pages, kept.filter(paged).select("_doc", "_pages", F.col("_id").alias("train_id")), ["_doc", "_pages"])
     none = F.lit(None).cast("double")
     both = by_text.select("eval_id", "train_id", "eval_split", "similarity", "containment", F.lit(False).alias("same_pages")).unionByName(
-        by_pages.select("eval_id", "train_id", "eval_split", none.alias("similarity"), none.alias("containment"), F.lit(True).alias("same_pages")))
-    return both.groupBy("eval_id", "train_id", "eval_split").agg(F.max("similarity").alias("similarity"), F.max("containment").alias("containment"), F.max("same_pages").alias("same_pages"))
+        by_pages.select("eval_id", "train_id", "eval_split", none.alias("similarity"), none.alias("containment"),
+        F.lit(True).alias("same_pages")))
+    return both.groupBy("eval_id", "train_id", "eval_split").agg(F.max("similarity").alias("similarity"), F.max("containment").alias("containment"),
+        F.max("same_pages").alias("same_pages"))

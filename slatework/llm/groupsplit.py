@@ -26,7 +26,8 @@ from slatework.runtime import need, settled, ship
 def components(records: DataFrame, record_id: str, keys: dict[str, Column]) -> DataFrame:
     """(id, group_id): records tied through any of the keys, also through others; group_id is the smallest id."""
     need(records, record_id)
-    own = records.select(F.col(record_id).cast("string").alias("id"), *[c.cast("string").alias(f"_key_{k}") for k, c in keys.items()]).filter("id is not null").distinct()
+    own = records.select(F.col(record_id).cast("string").alias("id"), *[c.cast("string").alias(f"_key_{k}") for k,
+        c in keys.items()]).filter("id is not null").distinct()
     own = settled(own)
     ties = None
     for k in keys:
@@ -34,7 +35,8 @@ def components(records: DataFrame, record_id: str, keys: dict[str, Column]) -> D
         ties = part if ties is None else ties.unionByName(part)
     low = ties.groupBy("key").agg(F.min("id").alias("low"))
     edges = ties.join(low, "key").select(F.col("id").alias("u"), F.col("low").alias("v"))
-    return own.select("id").distinct().join(connected_components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group_id"))
+    return own.select("id").distinct().join(connected_components(edges).withColumnRenamed("node", "id"), "id", "left").select("id",
+        F.coalesce("component", "id").alias("group_id"))
 
 
 def largest_difference(weights: list[int], bins: int) -> list[int]:
@@ -82,7 +84,8 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], *, bins: int = 20
 
     while (n := level.count()) > shard:
         parts = -(-2 * n // shard)  # half full on average, so that chance makes no shard much larger
-        binned = level.withColumn("s", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(parts))).groupBy("s").applyInPandas(bin_of, "item string, w bigint, up string")
+        binned = level.withColumn("s", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(parts))).groupBy("s").applyInPandas(bin_of,
+            "item string, w bigint, up string")
         steps.append(settled(binned.withColumn("up", F.concat(F.lit(f"{len(steps)}:"), "up"))))
         level = settled(steps[-1].groupBy(F.col("up").alias("item")).agg(F.sum("w").alias("w")))
 

@@ -94,7 +94,8 @@ class _Items:
         self.seeds, self.owner, self.start = seeds[order], owner[order].astype(np.int64), start[order].astype(np.int64)
         self.sizes = np.array([len(b) for b in self.bodies], np.int64)
 
-    def candidates(self, document: np.ndarray, low: np.ndarray, high: np.ndarray, least: int, min_longest: int, min_coverage: float) -> list[tuple[int, int]]:
+    def candidates(self, document: np.ndarray, low: np.ndarray, high: np.ndarray, least: int, min_longest: int,
+            min_coverage: float) -> list[tuple[int, int]]:
         """(document, item) of the hits whose seeds could cover enough: n distinct seeds cover n * least words at most."""
         many = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
@@ -144,7 +145,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
 
     longest: words of the longest tile; covered: words of the item inside tiles; coverage: their share of the item.
     """
-    held = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t <> ''").groupBy("i").agg(F.min("t").alias("t"))
+    held = items.select(F.col(item_id).alias("i"),
+        F.col(item_text).alias("t")).filter("i is not null and t <> ''").groupBy("i").agg(F.min("t").alias("t"))
     total = held.agg(F.sum(F.length("t"))).first()[0] or 0
     slices = -(-total // items_chars) or 1
     result = None

@@ -64,7 +64,8 @@ def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int] | Non
 def token_counts(documents: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, n_tokens) of every document with source and text, by a .tiktoken vocabulary file."""
     need(documents, doc_id, text, source)
-    own = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("_text")).filter("doc_id is not null and source is not null and _text <> ''")
+    own = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+        F.col(text).alias("_text")).filter("doc_id is not null and source is not null and _text <> ''")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if vocabulary not in _ENCODINGS:
@@ -77,7 +78,8 @@ def token_counts(documents: DataFrame, vocabulary: str, *, doc_id: str = "doc_id
     return mapped(own, work, f"doc_id {kind}, source string, n_tokens bigint")
 
 
-def mix_sources(counts: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, block_tokens: int = 2048, shard_docs: int = 20_000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def mix_sources(counts: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, block_tokens: int = 2048, shard_docs: int = 20_000,
+        seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares).
 
     mixture(doc_id, source, n_tokens, repeats): how often each chosen document is used. shares: target and actual
@@ -87,14 +89,16 @@ def mix_sources(counts: DataFrame, targets: DataFrame, *, total_tokens: int | No
     need(counts, "doc_id", "source", "n_tokens")
     need(targets, "source", "target_share", "max_repeats")
     spark = counts.sparkSession
-    wanted = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).filter("source is not null").orderBy("source").collect()
+    wanted = targets.groupBy("source").agg(F.max("target_share").alias("target_share"),
+        F.max("max_repeats").alias("max_repeats")).filter("source is not null").orderBy("source").collect()
     named = [r["source"] for r in wanted]
     own = counts.filter(F.col("source").isin(named)).groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens")).filter("n_tokens > 0")
     own = settled(own)
     sizes = {r["source"]: (r["n"], r["t"]) for r in own.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
     parts = {s: -(-n // shard_docs) for s, (n, _) in sizes.items()}
     plan = F.broadcast(spark.createDataFrame([(s, int(p)) for s, p in parts.items()] or [("", 1)], "source string, parts int"))
-    sharded = own.join(plan, "source").withColumn("order", F.xxhash64("doc_id", F.lit(seed))).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("parts")).cast("int"))
+    sharded = own.join(plan, "source").withColumn("order", F.xxhash64("doc_id", F.lit(seed))).withColumn("shard",
+        F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("parts")).cast("int"))
     shards: dict[str, list[tuple[int, int]]] = {}
     for r in sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).orderBy("source", "shard").collect():
         shards.setdefault(r["source"], []).append((r["shard"], r["t"]))
@@ -111,16 +115,20 @@ def mix_sources(counts: DataFrame, targets: DataFrame, *, total_tokens: int | No
     for r, n in zip(rich, seats):
         quota_of[r["source"]] = n * block_tokens
         own_shards = shards[r["source"]]
-        for (shard, t), blocks in zip(own_shards, sainte_lague([t for _, t in own_shards], n, [t * r["max_repeats"] // block_tokens for _, t in own_shards])):
+        for (shard, t), blocks in zip(own_shards, sainte_lague([t for _, t in own_shards], n,
+                [t * r["max_repeats"] // block_tokens for _, t in own_shards])):
             quotas.append((r["source"], shard, blocks * block_tokens // t, blocks * block_tokens % t))
     quota = F.broadcast(spark.createDataFrame(quotas or [("", 0, 0, 0)], "source string, shard int, passes bigint, rest bigint"))
     line = Window.partitionBy("source", "shard").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.sum("n_tokens").over(line) - F.col("n_tokens") / 2
-    used = sharded.join(quota, ["source", "shard"]).withColumn("repeats", F.col("passes") + F.when(middle < F.col("rest"), 1).otherwise(0)).filter("repeats > 0")
+    used = sharded.join(quota, ["source", "shard"]).withColumn("repeats",
+        F.col("passes") + F.when(middle < F.col("rest"), 1).otherwise(0)).filter("repeats > 0")
     mixture = used.select("doc_id", "source", "n_tokens", "repeats")
-    report = spark.createDataFrame([(r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0), *map(int, sizes.get(r["source"], (0, 0))), int(quota_of.get(r["source"], 0))) for r in wanted],
+    report = spark.createDataFrame([(r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0),
+        *map(int, sizes.get(r["source"], (0, 0))), int(quota_of.get(r["source"], 0))) for r in wanted],
                                    "source string, target_share double, max_repeats int, documents bigint, tokens bigint, quota_tokens bigint")
-    took = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.count("*").alias("mixed_documents"), F.max("repeats").alias("most_repeats"))
+    took = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.count("*").alias("mixed_documents"),
+        F.max("repeats").alias("most_repeats"))
     joined = report.join(took, "source", "left").na.fill(0, ["mixed_tokens", "mixed_documents", "most_repeats"])
     share = F.col("mixed_tokens") / F.nullif(F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1))), F.lit(0))
     return mixture, joined.withColumn("actual_share", F.coalesce(share, F.lit(0.0)))

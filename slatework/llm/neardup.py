@@ -84,7 +84,8 @@ def document_frequencies(bodies: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], n)})
 
-    rows = mapped(bodies.select("fp", "body").dropDuplicates(["fp"]), work, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = mapped(bodies.select("fp", "body").dropDuplicates(["fp"]), work,
+        "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS, np.int64)
     real = rows[rows["bucket"] >= 0]
     df[real["bucket"].to_numpy(np.int64)] = real["n"].to_numpy(np.int64)
@@ -170,7 +171,8 @@ def _census(texts: DataFrame, least: int) -> DataFrame:
             for low in range(0, len(sets), 256):
                 # Shingles of one record that share a counter count twice; the load is even, so ranks do not change.
                 count += np.bincount(np.concatenate(sets[low : low + 256]) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(map(fingerprint, bodies), pa.int64()), pa.array(map(len, sets), pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(map(fingerprint, bodies), pa.int64()),
+                pa.array(map(len, sets), pa.int64())], schema=schema)
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at), pa.array(count[at])], schema=schema)
 
@@ -222,7 +224,8 @@ def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.searchsorted(known, keys).clip(0, len(known) - 1)] == keys
 
 
-PACKED = pa.schema([("target", pa.int32()), ("fp", pa.binary()), ("sketch", pa.binary()), ("n", pa.binary()), ("many", pa.binary()), ("keys", pa.binary())])
+PACKED = pa.schema([("target", pa.int32()), ("fp", pa.binary()), ("sketch", pa.binary()), ("n", pa.binary()), ("many", pa.binary()),
+    ("keys", pa.binary())])
 
 
 def _packed(texts: DataFrame, least: int, sampler, hot, targets: int) -> DataFrame:
@@ -241,16 +244,19 @@ def _packed(texts: DataFrame, least: int, sampler, hot, targets: int) -> DataFra
         rows, at = [], 0
         for end in ends:
             who, many = np.unique(record[at:end], return_counts=True)
-            rows.append((int(target[at]), fp[who].tobytes(), sketch[who].tobytes(), n[who].tobytes(), many.astype(np.uint16).tobytes(), flat[at:end].tobytes()))
+            rows.append((int(target[at]), fp[who].tobytes(), sketch[who].tobytes(), n[who].tobytes(), many.astype(np.uint16).tobytes(),
+                flat[at:end].tobytes()))
             at = end
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), PACKED.types)], schema=PACKED) if rows else pa.RecordBatch.from_pylist([], PACKED)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), PACKED.types)],
+            schema=PACKED) if rows else pa.RecordBatch.from_pylist([], PACKED)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for fps, bodies in _new_texts(batches, least):
             sets = shingles(bodies)
             signatures = sampler.value.signatures(sets)
-            held.append((np.array(fps, np.int64), Sampler.sketches(signatures), np.array([min(len(x), 65535) for x in sets], np.uint16), sampler.value.keys(signatures)))
+            held.append((np.array(fps, np.int64), Sampler.sketches(signatures), np.array([min(len(x), 65535) for x in sets], np.uint16),
+                sampler.value.keys(signatures)))
             if len(held) == 16:
                 yield from block(held)
                 held = []
@@ -265,7 +271,8 @@ def _meetings(packed: DataFrame, targets: int, least_ratio: float, agree: int, b
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64())])
 
     def meet(rows: list) -> Iterator[pa.RecordBatch]:
-        fp, sketch, n, many, keys = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.int64, np.uint64, np.uint16, np.uint16, np.uint32)))
+        fp, sketch, n, many, keys = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i,
+            t in enumerate((np.int64, np.uint64, np.uint16, np.uint16, np.uint32)))
         known, first, number = np.unique(fp, return_index=True, return_inverse=True)
         sketch, n = sketch.reshape(-1, 2)[first], n[first].astype(np.int64)
         entry = distinct((keys.astype(np.uint64) << np.uint64(32)) | np.repeat(number, many).astype(np.uint64))
@@ -408,7 +415,8 @@ def similar_texts(records: DataFrame, record_id: str, text: str, *, min_weighted
     schema = "fp_a bigint, fp_b bigint, weighted double, exact double"
     links = mapped(pairs.join(first, "fp_a").join(second, "fp_b"), check, schema)
     if len(hot) or met.filter("size is not null").limit(1).count():
-        links = links.unionByName(_by_blocks(big.distinct(), every.dropDuplicates(["fp"]), lambda: _Verify(steps.value, min_weighted, exact_min), schema)).dropDuplicates(["fp_a", "fp_b"])
+        links = links.unionByName(_by_blocks(big.distinct(), every.dropDuplicates(["fp"]), lambda: _Verify(steps.value, min_weighted, exact_min),
+            schema)).dropDuplicates(["fp_a", "fp_b"])
     return links, members
 
 
@@ -419,8 +427,10 @@ def _by_blocks(big: DataFrame, text_of: DataFrame, verifier, schema: str) -> Dat
     those that both are in alone.
     """
     every = big.groupBy("fp").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    blocks = big.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("expected") / 256)).cast("int")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
-    met = blocks.select("key", "fp", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select("key", "fp", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    blocks = big.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("expected") / 256)).cast("int")).withColumn("b",
+        F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
+    met = blocks.select("key", "fp", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select("key", "fp", "b",
+        F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     ship(big.sparkSession)
     full = met.join(every.join(text_of, "fp"), "fp")
 
@@ -461,11 +471,14 @@ def record_pairs(links: DataFrame, members: DataFrame, max_copies: int = 256) ->
     sized = members.groupBy("fp").agg(F.count("*").alias("n"), F.min("record_id").alias("low"))
     known = settled(members.join(sized, "fp"))
     stand = known.filter((F.col("n") <= max_copies) | (F.col("record_id") == F.col("low"))).select("fp", "record_id")
-    a, b = stand.select(F.col("fp").alias("fp_a"), F.col("record_id").alias("x")), stand.select(F.col("fp").alias("fp_b"), F.col("record_id").alias("y"))
+    a, b = stand.select(F.col("fp").alias("fp_a"), F.col("record_id").alias("x")), stand.select(F.col("fp").alias("fp_b"),
+        F.col("record_id").alias("y"))
     across = links.join(a, "fp_a").join(b, "fp_b").select("x", "y", "exact")
     few = known.filter(F.col("n").between(2, max_copies))
-    same = few.select("fp", F.col("record_id").alias("x")).join(few.select("fp", F.col("record_id").alias("y")), "fp").filter("x < y").select("x", "y", F.lit(1.0).alias("exact"))
-    star = known.filter((F.col("n") > max_copies) & (F.col("record_id") != F.col("low"))).select(F.col("low").alias("x"), F.col("record_id").alias("y"), F.lit(1.0).alias("exact"))
+    same = few.select("fp", F.col("record_id").alias("x")).join(few.select("fp", F.col("record_id").alias("y")), "fp").filter("x < y").select("x",
+        "y", F.lit(1.0).alias("exact"))
+    star = known.filter((F.col("n") > max_copies) & (F.col("record_id") != F.col("low"))).select(F.col("low").alias("x"),
+        F.col("record_id").alias("y"), F.lit(1.0).alias("exact"))
     both = across.unionByName(same).unionByName(star)
     return both.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b"), "exact").distinct()
 
@@ -480,7 +493,9 @@ def record_groups(links: DataFrame, members: DataFrame) -> DataFrame:
     per_text = members.groupBy("fp").agg(F.min("record_id").alias("low"), F.count("*").alias("n_copies"))
     degree = held.select(F.col("fp_a").alias("fp")).unionAll(held.select("fp_b")).groupBy("fp").agg(F.count("*").alias("n_links"))
     classes = connected_components(held, "fp_a", "fp_b").select(F.col("node").alias("fp"), "component")
-    texts = per_text.join(degree, "fp", "left").join(classes, "fp", "left").filter("n_links is not null or n_copies > 1").withColumn("component", F.coalesce("component", "fp"))
+    texts = per_text.join(degree, "fp", "left").join(classes, "fp", "left").filter("n_links is not null or n_copies > 1").withColumn("component",
+        F.coalesce("component", "fp"))
     texts = settled(texts)
     names = texts.groupBy("component").agg(F.min("low").alias("group_id"))
-    return texts.join(names, "component").join(members, "fp").select("record_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return texts.join(names, "component").join(members, "fp").select("record_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "n_copies")

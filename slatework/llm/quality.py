@@ -41,7 +41,8 @@ COMMON = {
     "de": "der die das den dem des ein eine einer eines einem einen und oder aber ist sind war waren sein wird werden es dies diese dieser für mit auf von zu im in am an als auch nicht nur so wenn dann warum wie was wer jede jeder jedes hat haben sich aus bei durch nach wir man damit es gibt weil".split(),
     "zh": list("的了是在和与则而也不当时候如果因此那么为什么我们它这种可以由再被把或但都有一个就对从到会"),
 }
-STATS = ("log_words", "word_length", "symbol_ratio", "digit_ratio", "ending_share", "common_share", "prose_share", "log_line", "distinct_share", "mark_ratio")
+STATS = ("log_words", "word_length", "symbol_ratio", "digit_ratio", "ending_share", "common_share", "prose_share", "log_line", "distinct_share",
+    "mark_ratio")
 _COMMON = {k: frozenset(v) for k, v in COMMON.items()}
 _LATIN = _COMMON["en"] | _COMMON["de"]
 _WORD = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+(?:['’][^\W\d_]+)*")
@@ -94,8 +95,10 @@ def sentence_chars(text: str) -> int:
                 continue
             common = _COMMON["zh"] if han else _LATIN
             size = _solid(s)
-            if (sum([x in common for x in w]) >= (0.1 if ended else 0.2) * n and sum(map(len, w)) >= 0.5 * size and s.count("\n") <= max(2, len(s) / 25)
-                    and len(_BROKEN.findall(s)) <= 1 + 0.03 * size and len(set(w)) >= 0.5 * min(n, 40) and len(_CELL.findall(s)) <= 2 + n // 12):
+            if (sum([x in common for x in w]) >= (0.1 if ended else 0.2) * n and sum(map(len, w)) >= 0.5 * size and s.count("\n") <= max(2,
+                    len(s) / 25)
+                    and len(_BROKEN.findall(s)) <= 1 + 0.03 * size and len(set(w)) >= 0.5 * min(n,
+                        40) and len(_CELL.findall(s)) <= 2 + n // 12):
                 total += size
     return total
 
@@ -111,15 +114,18 @@ def statistics(text: str) -> tuple[str, list[float]]:
     digits = sum(map(len, _DIGITS.findall(t)))
     n = max(1, len(words))
     return lang, [
-        math.log1p(len(words)), letters / n, max(0.0, 1 - (letters + digits) / solid), digits / solid, sum(bool(_END.search(x)) for x in lines) / max(1, len(lines)),
-        sum([w in _COMMON[lang] for w in words]) / n, sentence_chars(t) / solid, math.log1p(sum(map(len, lines)) / max(1, len(lines))), min(1.0, len(set(words)) / math.sqrt(n) / 8), len(_CELL.findall(t)) / n,
+        math.log1p(len(words)), letters / n, max(0.0, 1 - (letters + digits) / solid), digits / solid,
+        sum(bool(_END.search(x)) for x in lines) / max(1, len(lines)),
+        sum([w in _COMMON[lang] for w in words]) / n, sentence_chars(t) / solid, math.log1p(sum(map(len, lines)) / max(1, len(lines))),
+        min(1.0, len(set(words)) / math.sqrt(n) / 8), len(_CELL.findall(t)) / n,
     ]
 
 
 def text_statistics(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, language, STATS...) of every document with text."""
     need(documents, doc_id, text)
-    own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).filter(F.col("doc_id").isNotNull() & F.col("_text").rlike(r"(?U)\S"))
+    own = documents.select(F.col(doc_id).alias("doc_id"),
+        F.col(text).alias("_text")).filter(F.col("doc_id").isNotNull() & F.col("_text").rlike(r"(?U)\S"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -163,8 +169,10 @@ def _wilson(p: float, d: int) -> float:
 
 def labelled(stats: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: str = "label", max_labels: int = 20_000) -> pd.DataFrame:
     """Statistics of at most max_labels labelled documents, chosen by hash, and whether they are prose."""
-    own = labels.select(F.col(doc_id).alias("doc_id"), F.lower(F.trim(F.col(label))).alias("label")).filter("label in ('prose', 'list', 'table', 'junk')").groupBy("doc_id")
-    own = own.agg(F.min(F.col("label") == "prose").alias("low"), F.max(F.col("label") == "prose").alias("high")).filter("low = high").orderBy(F.xxhash64("doc_id")).limit(max_labels)
+    own = labels.select(F.col(doc_id).alias("doc_id"),
+        F.lower(F.trim(F.col(label))).alias("label")).filter("label in ('prose', 'list', 'table', 'junk')").groupBy("doc_id")
+    own = own.agg(F.min(F.col("label") == "prose").alias("low"),
+        F.max(F.col("label") == "prose").alias("high")).filter("low = high").orderBy(F.xxhash64("doc_id")).limit(max_labels)
     rows = stats.join(F.broadcast(own.select("doc_id", F.col("low").alias("prose"))), "doc_id").dropDuplicates(["doc_id"])
     return rows.select("language", "prose", *STATS).toPandas()
 
@@ -205,10 +213,12 @@ def _start(stats: DataFrame, rows: pd.DataFrame) -> dict[str, Shape]:
         away = np.concatenate([scaled(part[list(STATS)].to_numpy(float)) - medians[g] for g, part in good.groupby("language")])
         cov = np.cov(away.T) if len(away) > 3 * len(STATS) else np.diag(np.maximum(1.4826 * np.median(np.abs(away), axis=0), 0.05) ** 2)
         return {g: Shape(m, cov) for g, m in medians.items()}
-    named = stats.join(F.broadcast(stats.sparkSession.createDataFrame([(k, [float(v) for v in m]) for k, m in medians.items()], "language string, m array<double>")), "language") if medians else stats.limit(0)
+    named = stats.join(F.broadcast(stats.sparkSession.createDataFrame([(k, [float(v) for v in m]) for k, m in medians.items()],
+        "language string, m array<double>")), "language") if medians else stats.limit(0)
     value = lambda i, s: F.sqrt(s) if i in _ROOT else F.log(F.col(s) + 0.1) if i == _LOG else F.col(s)
     off = [F.percentile_approx(F.abs(value(i, s) - F.get("m", F.lit(i))), 0.5, 1000).alias(s) for i, s in enumerate(STATS)] if medians else []
-    spread = {r["language"]: np.maximum(1.4826 * np.array([r[s] for s in STATS]), 0.05) for r in named.groupBy("language").agg(*off).collect()} if medians else {}
+    spread = {r["language"]: np.maximum(1.4826 * np.array([r[s] for s in STATS]),
+        0.05) for r in named.groupBy("language").agg(*off).collect()} if medians else {}
     return {g: Shape(m, np.diag(spread[g] ** 2)) for g, m in medians.items()}
 
 

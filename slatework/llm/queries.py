@@ -33,13 +33,15 @@ def p1_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     """Every page with its source's boilerplate lines taken out; the lines of a republished story stay."""
     pages = table(spark, folder, "course_pages")
     out = repeated_lines.strip_repeated_lines(pages.dropDuplicates(["document_id", "page_number"]), _boilerplate(pages))
-    return out.select("document_id", F.col("page_number").cast("bigint").alias("page_number"), "text", F.col("n_removed").cast("bigint").alias("n_removed"))
+    return out.select("document_id", F.col("page_number").cast("bigint").alias("page_number"), "text",
+        F.col("n_removed").cast("bigint").alias("n_removed"))
 
 
 def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """How many lines of each source are boilerplate, and in how many clusters of documents and on how many days."""
     found = _boilerplate(table(spark, folder, "course_pages"))
-    return found.groupBy("source", "n_source_documents").agg(F.count("*").alias("lines"), F.max("n_clusters").alias("most_clusters"), F.max("n_days").alias("most_days"))
+    return found.groupBy("source", "n_source_documents").agg(F.count("*").alias("lines"), F.max("n_clusters").alias("most_clusters"),
+        F.max("n_days").alias("most_days"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,21 +57,25 @@ def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Whether p2_neighbours holds 95 % of the true 5 nearest others of every 50th vector (by hash), against all rows."""
-    v = ivfpq.usable(table(spark, folder, "chunk_embedding_cache"), "chunk_id", "embedding", 64).select("id", unit(F.col("embedding")).alias("embedding"))
+    v = ivfpq.usable(table(spark, folder, "chunk_embedding_cache"), "chunk_id", "embedding", 64).select("id",
+        unit(F.col("embedding")).alias("embedding"))
     v = settled(v)
     asked = v.filter(F.pmod(F.xxhash64("id"), F.lit(50)) == 0).select(F.col("id").alias("query_id"), "embedding")
     line = Window.partitionBy("query_id").orderBy("rank")
     true = cosine_top_k(asked, v, 6, row_id="id", digits=6).filter("query_id <> id").withColumn("n", F.row_number().over(line)).filter("n <= 5")
     got = p2_neighbours(spark, folder).select(F.col("chunk_id").alias("query_id"), F.col("other_chunk_id").alias("id"), F.lit(1).alias("hit"))
-    return true.join(got, ["query_id", "id"], "left").agg(F.lit(0.95).alias("wanted"), F.coalesce(F.avg(F.coalesce("hit", F.lit(0))) >= 0.95, F.lit(True)).alias("reached"))
+    return true.join(got, ["query_id", "id"], "left").agg(F.lit(0.95).alias("wanted"),
+        F.coalesce(F.avg(F.coalesce("hit", F.lit(0))) >= 0.95, F.lit(True)).alias("reached"))
 
 
 def _oversized(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
     pages = table(spark, folder, "course_pages").withColumn("_item", F.concat_ws("#", "document_id", F.col("page_number").cast("string")))
     pages = pages.withColumns({"page_start": F.col("page_number"), "page_end": F.col("page_number")})
     chunks = table(spark, folder, "course_chunks").filter(PASSAGE)
-    a = split.split_oversized(pages, "_item", "text", PAGE_LIMIT, OVERLAP, keep=("page_start", "page_end"), with_text=with_text).withColumn("item_kind", F.lit("page"))
-    b = split.split_oversized(chunks, "chunk_id", "text", PASSAGE_LIMIT, OVERLAP, keep=("page_start", "page_end"), with_text=with_text).withColumn("item_kind", F.lit("chunk"))
+    a = split.split_oversized(pages, "_item", "text", PAGE_LIMIT, OVERLAP, keep=("page_start", "page_end"),
+        with_text=with_text).withColumn("item_kind", F.lit("page"))
+    b = split.split_oversized(chunks, "chunk_id", "text", PASSAGE_LIMIT, OVERLAP, keep=("page_start", "page_end"),
+        with_text=with_text).withColumn("item_kind", F.lit("chunk"))
     return a.unionByName(b)
 
 
@@ -89,11 +95,17 @@ def p3_faults(spark: SparkSession, folder: str) -> DataFrame:
     line = Window.partitionBy("item_kind", "item_id").orderBy("piece_no")
     limit = F.when(F.col("item_kind") == "page", PAGE_LIMIT).otherwise(PASSAGE_LIMIT)
     before = F.lag("piece_end").over(line)
-    pages = table(spark, folder, "course_pages").select(F.lit("page").alias("item_kind"), F.concat_ws("#", "document_id", F.col("page_number").cast("string")).alias("item_id"), "text")
-    items = pages.unionByName(table(spark, folder, "course_chunks").filter(PASSAGE).select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text")).dropDuplicates(["item_kind", "item_id"])
-    p = pieces.withColumns({"_before": before, "_last": F.lead("piece_no").over(line).isNull()}).join(items.filter(F.length("text") > PASSAGE_LIMIT), ["item_kind", "item_id"])
-    wrong = [F.when(F.length("piece_text") > limit, "too long"), F.when(F.coalesce(F.col("_before") - F.col("piece_start"), F.lit(0)) > OVERLAP, "overlap"), F.when(F.col("piece_start") > F.coalesce("_before", F.lit(0)), "hole"),
-             F.when(F.col("piece_text") != F.substr("text", (F.col("piece_start") + 1).cast("int"), (F.col("piece_end") - F.col("piece_start")).cast("int")), "other text"), F.when(F.col("_last") & (F.col("piece_end") != F.length("text")), "no end")]
+    pages = table(spark, folder, "course_pages").select(F.lit("page").alias("item_kind"),
+        F.concat_ws("#", "document_id", F.col("page_number").cast("string")).alias("item_id"), "text")
+    items = pages.unionByName(table(spark, folder, "course_chunks").filter(PASSAGE).select(F.lit("chunk").alias("item_kind"),
+        F.col("chunk_id").alias("item_id"), "text")).dropDuplicates(["item_kind", "item_id"])
+    p = pieces.withColumns({"_before": before,
+        "_last": F.lead("piece_no").over(line).isNull()}).join(items.filter(F.length("text") > PASSAGE_LIMIT), ["item_kind", "item_id"])
+    wrong = [F.when(F.length("piece_text") > limit, "too long"), F.when(F.coalesce(F.col("_before") - F.col("piece_start"), F.lit(0)) > OVERLAP,
+        "overlap"), F.when(F.col("piece_start") > F.coalesce("_before", F.lit(0)), "hole"),
+             F.when(F.col("piece_text") != F.substr("text", (F.col("piece_start") + 1).cast("int"),
+             (F.col("piece_end") - F.col("piece_start")).cast("int")), "other text"),
+             F.when(F.col("_last") & (F.col("piece_end") != F.length("text")), "no end")]
     return p.select("item_kind", "item_id", F.explode(F.array_compact(F.array(*wrong))).alias("fault"))
 
 
@@ -114,7 +126,8 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_page_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The pages of those groups: one row per group and page."""
-    chunks = table(spark, folder, "course_chunks").filter(PASSAGE).select("chunk_id", "document_id", F.explode(F.sequence(F.col("page_start").cast("bigint"), F.col("page_end").cast("bigint"))).alias("page_number")).distinct()
+    chunks = table(spark, folder, "course_chunks").filter(PASSAGE).select("chunk_id", "document_id",
+        F.explode(F.sequence(F.col("page_start").cast("bigint"), F.col("page_end").cast("bigint"))).alias("page_number")).distinct()
     pages = p4_groups(spark, folder).join(chunks, "chunk_id").groupBy("group_id", "document_id", "page_number")
     return pages.agg(F.countDistinct("chunk_id").alias("passages"))
 
@@ -125,15 +138,18 @@ def _split_overlaps(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Questions of dev or test that stand, exactly or almost, in train."""
-    return _split_overlaps(spark, folder).select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
+    return _split_overlaps(spark, folder).select(F.least("eval_id", "train_id").alias("id_a"),
+        F.greatest("eval_id", "train_id").alias("id_b")).distinct()
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     """How many questions of each split and source overlap with train, and in how many pairs."""
     pairs = _split_overlaps(spark, folder)
-    about = table(spark, folder, "public_course_eval_reviewed").dropDuplicates(["id"]).select(F.col("id").alias("eval_id"), F.col("courseware_source").alias("source"))
+    about = table(spark, folder, "public_course_eval_reviewed").dropDuplicates(["id"]).select(F.col("id").alias("eval_id"),
+        F.col("courseware_source").alias("source"))
     by = pairs.join(about, "eval_id").groupBy(F.col("eval_split").alias("split"), "source")
-    return by.agg(F.countDistinct("eval_id").alias("questions"), F.count("*").alias("pairs"), F.count("similarity").alias("by_text"), F.count_if("same_pages").alias("by_pages"), F.max("containment").alias("most_contained"))
+    return by.agg(F.countDistinct("eval_id").alias("questions"), F.count("*").alias("pairs"), F.count("similarity").alias("by_text"),
+        F.count_if("same_pages").alias("by_pages"), F.max("containment").alias("most_contained"))
 
 
 def _question_groups(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +162,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The questions of every group of tied questions that now stands in more than one split."""
     rows, groups = _question_groups(spark, folder)
     now = rows.select("id", crosssplit.clean_name(F.col("split")).alias("split"))
-    torn = groups.join(now, "id").groupBy("group_id").agg(F.min("split").alias("low"), F.max("split").alias("high")).filter("low <> high").select("group_id")
+    torn = groups.join(now, "id").groupBy("group_id").agg(F.min("split").alias("low"),
+        F.max("split").alias("high")).filter("low <> high").select("group_id")
     return groups.join(torn, "group_id").select("group_id", "id")
 
 
@@ -160,9 +177,11 @@ def p6_faults(spark: SparkSession, folder: str) -> DataFrame:
     """Questions and keys that break a rule of p6_assigned: no split or several, or a shared key in several splits."""
     rows = table(spark, folder, "public_course_eval_reviewed").select("id", "document_id", "pair_id").dropDuplicates(["id"])
     got = settled(p6_assigned(spark, folder))
-    each = rows.select("id").join(got, "id", "left").groupBy("id").agg(F.count("split").alias("n")).filter("n <> 1").select(F.lit("question").alias("kind"), F.col("id").alias("key"))
+    each = rows.select("id").join(got, "id",
+        "left").groupBy("id").agg(F.count("split").alias("n")).filter("n <> 1").select(F.lit("question").alias("kind"), F.col("id").alias("key"))
     for kind, key in (("document", F.when(F.trim("document_id") != "", F.col("document_id"))), ("pair", crosssplit.clean_name(F.col("pair_id")))):
-        torn = rows.select("id", key.alias("key")).filter("key is not null").join(got.select("id", "split"), "id").groupBy("key").agg(F.min("split").alias("a"), F.max("split").alias("b")).filter("a <> b")
+        torn = rows.select("id", key.alias("key")).filter("key is not null").join(got.select("id", "split"),
+            "id").groupBy("key").agg(F.min("split").alias("a"), F.max("split").alias("b")).filter("a <> b")
         each = each.unionByName(torn.select(F.lit(kind).alias("kind"), "key"))
     return each
 
@@ -182,7 +201,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose tiles of 5 words and more cover half of an item, in whatever order."""
-    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout_items"), min_tile=5, min_coverage=0.5).dropDuplicates(["doc_id", "item_id"])
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout_items"), min_tile=5,
+        min_coverage=0.5).dropDuplicates(["doc_id", "item_id"])
 
 
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +223,8 @@ def p8_faults(spark: SparkSession, folder: str) -> DataFrame:
     """Sources that break a rule of the mixture: a share off its target (of the sources with documents) by more than 0.01, too many repeats."""
     mixture, shares = _mixture(spark, folder)
     caps = table(spark, folder, "mix_targets").groupBy("source").agg(F.max("max_repeats").alias("cap"))
-    repeats = mixture.join(F.broadcast(caps), "source", "left").filter(F.coalesce(F.col("repeats") > F.col("cap"), F.lit(True))).groupBy("source").agg(F.lit("repeats").alias("fault"))
+    repeats = mixture.join(F.broadcast(caps), "source", "left").filter(F.coalesce(F.col("repeats") > F.col("cap"),
+        F.lit(True))).groupBy("source").agg(F.lit("repeats").alias("fault"))
     whole = shares.filter("documents > 0").agg(F.sum("target_share").alias("whole"))
     want = F.when(F.col("documents") > 0, F.col("target_share") / F.col("whole")).otherwise(0.0)
     off = shares.join(F.broadcast(whole)).filter(F.abs(F.col("actual_share") - want) > 0.01).select("source", F.lit("share").alias("fault"))

@@ -129,7 +129,8 @@ def split_oversized(items: DataFrame, item_id: str, text: str, limit: int, overl
                 done = 0
                 for k, (s, e, h) in enumerate(pieces, 1):
                     size_of = (lambda a, b: b - a) if prefix is None else (lambda a, b: int(prefix[b] - prefix[a]))
-                    rows.append((row[0], k, s, e, size_of(s, e), size_of(s, done) if k > 1 else 0, "forced" if h else "natural", whole, body[s:e] if with_text else None, *row[2:]))
+                    rows.append((row[0], k, s, e, size_of(s, e), size_of(s, done) if k > 1 else 0, "forced" if h else "natural", whole,
+                        body[s:e] if with_text else None, *row[2:]))
                     done = e
             yield pd.DataFrame(rows, columns=schema.names)
 

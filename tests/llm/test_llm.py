@@ -27,7 +27,8 @@ PAGES = "source_id string, document_id string, page_number int, text string, ing
 def test_repeated_lines(spark):
     rows = [("s", f"d{n}", 1, f"Own line {'abcdefgh'[n]}{'xyzuvwrt'[n]}\r\nSHARE this!\n\n12 34", DAY[n], n) for n in range(6)]
     rows += [("s", f"d{n}", 2, "share   THIS\nmore", DAY[n], n) for n in range(4)]
-    rows += [rows[0], ("s", "d9", 1, None, DAY[0], 0), (None, "d1", 1, "share this", DAY[0], 0), ("s", None, 1, "share this", DAY[0], 0), ("t", "e", 1, "share this", DAY[0], 0), ("s", "d8", 1, "", DAY[0], 1)]
+    rows += [rows[0], ("s", "d9", 1, None, DAY[0], 0), (None, "d1", 1, "share this", DAY[0], 0), ("s", None, 1, "share this", DAY[0], 0),
+        ("t", "e", 1, "share this", DAY[0], 0), ("s", "d8", 1, "", DAY[0], 1)]
     p = spark.createDataFrame(rows, PAGES)
     found = repeated_lines.find_repeated_lines(p)
     got = {tuple(r) for r in repeated_lines.flag_repeated_lines(p, found).collect()}
@@ -40,7 +41,8 @@ def test_repeated_lines(spark):
 
 
 def test_republished_documents_are_one_cluster(spark):
-    rows = [("s", f"d{n}", 1, "same story\nsame end", DAY[n], 0) for n in range(6)] + [("s", f"x{n}", 1, f"other {'abcdef'[n]}", DAY[n], 0) for n in range(3)]
+    rows = [("s", f"d{n}", 1, "same story\nsame end", DAY[n], 0) for n in range(6)] + [("s", f"x{n}", 1, f"other {'abcdef'[n]}", DAY[n],
+        0) for n in range(3)]
     p = spark.createDataFrame(rows, PAGES)
     assert {(r["n_documents"], r["n_clusters"], r["n_days"]) for r in repeated_lines.find_repeated_lines(p).collect()} == {(6, 1, 1)}
     assert repeated_lines.find_repeated_lines(p, min_clusters=2).count() == 0
@@ -84,7 +86,8 @@ def test_vectors_against_brute_force(spark):
     x[700:760] = x[5]  # copies
     ids = [f"c{n:05}" for n in range(1500)]
     rows = [(i, v.tolist(), "g") for i, v in zip(ids, x)]
-    bad = [("n", None, "g"), ("z", [0.0] * 64, "g"), ("short", [1.0] * 63, "g"), ("nan", [float("nan")] + [1.0] * 63, "g"), ("inf", [float("inf")] + [1.0] * 63, "g"), ("hole", [None] + [1.0] * 63, "g"), (None, [1.0] * 64, "g")]
+    bad = [("n", None, "g"), ("z", [0.0] * 64, "g"), ("short", [1.0] * 63, "g"), ("nan", [float("nan")] + [1.0] * 63, "g"),
+        ("inf", [float("inf")] + [1.0] * 63, "g"), ("hole", [None] + [1.0] * 63, "g"), (None, [1.0] * 64, "g")]
     v = spark.createDataFrame(rows + bad + rows[:20], VEC)
     truth = brute_top(x, ids, 5, -1.0)
     got: dict[str, list] = {}
@@ -95,7 +98,8 @@ def test_vectors_against_brute_force(spark):
     assert got["c00700"] == truth["c00700"] and got["c00005"] == truth["c00005"]  # ties of copies by id
     assert ivfpq.most_similar(v.limit(0)).count() == 0 and ivfpq.most_similar(v.filter("chunk_id = 'c00001'").limit(1)).count() == 0
     blocks = ivfpq.most_similar(v, min_similarity=0.85, block=64).select("id", "other").distinct()
-    assert {tuple(r) for r in blocks.collect()} == {tuple(r) for r in ivfpq.most_similar(v, min_similarity=0.85).select("id", "other").distinct().collect()}
+    assert {tuple(r) for r in blocks.collect()} == {tuple(r) for r in ivfpq.most_similar(v, min_similarity=0.85).select("id",
+        "other").distinct().collect()}
 
 
 def test_probes_grow_with_the_lists(spark):
@@ -145,9 +149,11 @@ def test_cuts_cover_and_overlap():
 
 
 def test_split_oversized(spark):
-    rows = [("a", "One sentence here. Another sentence there. " * 10, 3), ("b", None, 1), ("c", "", 1), ("d", "short", 1), ("e", "x" * 1000, 2), ("f", " " * 200, 9)]
+    rows = [("a", "One sentence here. Another sentence there. " * 10, 3), ("b", None, 1), ("c", "", 1), ("d", "short", 1), ("e", "x" * 1000, 2),
+        ("f", " " * 200, 9)]
     items = spark.createDataFrame(rows, "id string, text string, piece_no int")
-    got = split.split_oversized(items.withColumn("page_start", F.col("piece_no")), "id", "text", 100, 10, keep=("page_start",)).orderBy("item_id", "piece_no").collect()
+    got = split.split_oversized(items.withColumn("page_start", F.col("piece_no")), "id", "text", 100, 10, keep=("page_start",)).orderBy("item_id",
+        "piece_no").collect()
     assert {r["item_id"] for r in got} == {"a", "e", "f"} and all(r["tokens"] <= 100 for r in got)
     assert {r["item_cut"] for r in got if r["item_id"] == "e"} == {"forced"} and {r["item_cut"] for r in got if r["item_id"] == "a"} == {"natural"}
     assert all(r["page_start"] == 3 for r in got if r["item_id"] == "a") and got[0]["piece_text"].endswith(". ")
@@ -159,7 +165,8 @@ def test_split_oversized(spark):
 def test_split_by_tokens(spark):
     path = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
     body = "Größe 梯度下降。 The matrix of the kernel is small; ümlaut 😀 ends. " * 6
-    got = split.split_oversized(spark.createDataFrame([("a", body)], "id string, text string"), "id", "text", 40, 5, vocabulary=path).orderBy("piece_no").collect()
+    got = split.split_oversized(spark.createDataFrame([("a", body)], "id string, text string"), "id", "text", 40, 5,
+        vocabulary=path).orderBy("piece_no").collect()
     encoding, back = split.load_ranks(path), ""
     for r in got:
         back += body[max(r["piece_start"], len(back)) : r["piece_end"]]
@@ -214,7 +221,8 @@ def test_family_that_holds_a_third_of_the_rows(spark, tmp_path):
     rows = [(f"c{n:04}", edited(r, base, r.randint(2, 14))) for n in range(150)] + [(f"x{n:04}", prose(r, 40)) for n in range(300)]
     plain = [bare(t) for _, t in rows[:150]]
     truth = {(rows[i][0], rows[j][0]) for i in range(150) for j in range(i + 1, 150) if jaccard(plain[i], plain[j]) >= 0.6}
-    spark.createDataFrame([(*x, "passage") for x in rows], "chunk_id string, text string, level string").write.parquet(f"{tmp_path}/course_chunks.parquet")
+    spark.createDataFrame([(*x, "passage") for x in rows],
+        "chunk_id string, text string, level string").write.parquet(f"{tmp_path}/course_chunks.parquet")
     got = {tuple(x) for x in queries.p4_found(spark, str(tmp_path)).collect()}
     assert got <= truth and len(truth) > 300 and len(got) >= 0.97 * len(truth)
 
@@ -238,11 +246,14 @@ EVAL = "id string, query string, split string, document_id string, relevant_page
 
 def test_cross_split_against_brute_force(spark):
     r = random.Random(6)
-    rows = [(f"q{n:03}", prose(r, 9), r.choice(["train", " Train", "dev", "TEST ", None, ""]), f"d{n % 17}", [n % 3, None, n % 3] if n % 4 else [], "x", "y") for n in range(120)]
+    rows = [(f"q{n:03}", prose(r, 9), r.choice(["train", " Train", "dev", "TEST ", None, ""]), f"d{n % 17}", [n % 3, None, n % 3] if n % 4 else [],
+        "x", "y") for n in range(120)]
     rows += [(f"r{n:03}", edited(r, rows[n][1], n % 4), r.choice(["train", "dev"]), None, None, "x", "y") for n in range(60)]
-    rows += [("n1", None, "train", None, None, "x", "y"), ("n2", "", "dev", None, [], "x", "y"), ("n3", "ab", "dev", None, [], "x", "y"), ("n4", "ab", "train", None, [], "x", "y"), (None, "ab", "train", None, [], "x", "y"), rows[3]]
+    rows += [("n1", None, "train", None, None, "x", "y"), ("n2", "", "dev", None, [], "x", "y"), ("n3", "ab", "dev", None, [], "x", "y"),
+        ("n4", "ab", "train", None, [], "x", "y"), (None, "ab", "train", None, [], "x", "y"), rows[3]]
     own = {i: (bare(q), (s or "").strip().lower(), d, {p for p in ps or [] if p is not None}) for i, q, s, d, ps, *_ in rows if i}
-    truth = {(min(a, b), max(a, b)) for a, (qa, sa, da, pa) in own.items() if sa == "train" for b, (qb, sb, db, pb) in own.items() if sb in ("dev", "test") and (jaccard(qa, qb) >= 0.6 or (da and da == db and pa and pa == pb))}
+    truth = {(min(a, b), max(a, b)) for a, (qa, sa, da, pa) in own.items() if sa == "train" for b,
+        (qb, sb, db, pb) in own.items() if sb in ("dev", "test") and (jaccard(qa, qb) >= 0.6 or (da and da == db and pa and pa == pb))}
     got = crosssplit.cross_split_pairs(spark.createDataFrame(rows, EVAL)).collect()
     assert {(min(x["eval_id"], x["train_id"]), max(x["eval_id"], x["train_id"])) for x in got} == truth and len(got) == len(truth)
     assert crosssplit.cross_split_pairs(spark.createDataFrame([], EVAL)).count() == 0
@@ -252,7 +263,8 @@ def test_parities_bound_what_is_shared():
     r = random.Random(21)
     for _ in range(300):
         a = [r.getrandbits(63) for _ in range(r.randint(0, 400))]
-        x, y = np.array(sorted(set(a)), np.uint64), np.array(sorted({*a[: r.randint(0, len(a))], *(r.getrandbits(63) for _ in range(r.randint(0, 200)))}), np.uint64)
+        x, y = np.array(sorted(set(a)), np.uint64), np.array(sorted({*a[: r.randint(0, len(a))],
+            *(r.getrandbits(63) for _ in range(r.randint(0, 200)))}), np.uint64)
         apart = sum(int(v).bit_count() for v in (crosssplit.parities(x) ^ crosssplit.parities(y)).view(np.uint64))
         assert len(np.intersect1d(x, y)) * 2 <= len(x) + len(y) - apart
 
@@ -261,7 +273,8 @@ def test_hot_pages_keep_every_pair(spark, monkeypatch):
     """Different questions on the same pages of a document are pairs of their own, however many they are."""
     monkeypatch.setattr(crosssplit, "PART", 64)
     r = random.Random(15)
-    rows = [(f"t{n:03}", f"{n} {prose(r, 9)}", "train", "d", [2, 1], "x", "y") for n in range(300)] + [(f"e{n}", f"{n} {prose(r, 9)}", "dev", "d", [1, 2, 1], "x", "y") for n in range(3)]
+    rows = [(f"t{n:03}", f"{n} {prose(r, 9)}", "train", "d", [2, 1], "x", "y") for n in range(300)] + [(f"e{n}", f"{n} {prose(r, 9)}", "dev", "d",
+        [1, 2, 1], "x", "y") for n in range(3)]
     got = crosssplit.cross_split_pairs(spark.createDataFrame(rows, EVAL)).filter("same_pages").collect()
     assert {(x["eval_id"], x["train_id"]) for x in got} == {(f"e{m}", f"t{n:03}") for m in range(3) for n in range(300)} and len(got) == 900
 
@@ -270,7 +283,8 @@ def test_hot_copies_keep_every_pair(spark, monkeypatch, tmp_path):
     """Each training record with the same text is a pair of its own and counts in the report."""
     monkeypatch.setattr(crosssplit, "PART", 64)
     text = prose(random.Random(16), 9)
-    rows = [(f"t{n:03}", text, "train", None, None, "c") for n in range(300)] + [(f"e{n}", text.upper() + "!", "test", None, None, "c") for n in range(3)]
+    rows = [(f"t{n:03}", text, "train", None, None, "c") for n in range(300)] + [(f"e{n}", text.upper() + "!", "test", None, None,
+        "c") for n in range(3)]
     spark.createDataFrame(rows, "id string, query string, split string, document_id string, relevant_pages array<int>, courseware_source string").write.parquet(f"{tmp_path}/public_course_eval_reviewed.parquet")
     got = {tuple(x) for x in queries.p5_found(spark, str(tmp_path)).collect()}
     assert got == {(f"e{m}", f"t{n:03}") for m in range(3) for n in range(300)}
@@ -291,7 +305,8 @@ def test_largest_differencing():
 
 def test_groups_stay_together(spark):
     r = random.Random(8)
-    rows = [(f"q{n:04}", f"d{r.randint(0, 400)}" if n % 7 else None, f"p{r.randint(0, 900)}" if n % 3 else None, "c") for n in range(900)] + [("q0001", None, None, "c"), (None, "d1", "p1", "c")]
+    rows = [(f"q{n:04}", f"d{r.randint(0, 400)}" if n % 7 else None, f"p{r.randint(0, 900)}" if n % 3 else None,
+        "c") for n in range(900)] + [("q0001", None, None, "c"), (None, "d1", "p1", "c")]
     t = spark.createDataFrame(rows, "id string, document_id string, pair_id string, group_id string")
     g = groupsplit.components(t, "id", {"d": F.col("document_id"), "p": F.col("pair_id")})
     out = groupsplit.assign_splits(g, {"train": 0.8, "dev": 0.1, "test": 0.1}, bins=20, shard=60).collect()
@@ -332,7 +347,8 @@ def test_leaks_against_brute_force(spark):
         w = leaks.words(items[n % 8][1])
         cut = r.randint(5, 25)
         docs.append((n, prose(r, 5) + ", " + " - ".join(w[:cut]).upper() + "! " + prose(r, 5)))
-    docs += [(100, None), (101, ""), (102, "x漢字はとても長い文です漢字梯度下降法y"), docs[0], (103, " ".join(leaks.words(items[0][1])[15:] + ["cut"] + leaks.words(items[0][1])[:15])), (104, "word " * 50000)]
+    docs += [(100, None), (101, ""), (102, "x漢字はとても長い文です漢字梯度下降法y"), docs[0],
+        (103, " ".join(leaks.words(items[0][1])[15:] + ["cut"] + leaks.words(items[0][1])[:15])), (104, "word " * 50000)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("x"))
     i = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit("x"))
     truth = {(k, m) for k, t in docs for m, u in items if brute_longest(leaks.words(t), leaks.words(u)) >= 12 and len(leaks.words(t)) < 1000}
@@ -381,8 +397,10 @@ def test_apportionment_against_brute_force():
 
 
 def test_mixture(spark):
-    counts = spark.createDataFrame([(n, "abc"[n % 3], 50 + n % 40) for n in range(3000)] + [(1, "b", 51), (5000, "zz", 9)], "doc_id bigint, source string, n_tokens bigint").withColumn("shard", F.lit("x"))
-    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 4), ("c", 0.1, 1), ("gone", 0.1, 3)], "source string, target_share double, max_repeats int")
+    counts = spark.createDataFrame([(n, "abc"[n % 3], 50 + n % 40) for n in range(3000)] + [(1, "b", 51), (5000, "zz", 9)],
+        "doc_id bigint, source string, n_tokens bigint").withColumn("shard", F.lit("x"))
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 4), ("c", 0.1, 1), ("gone", 0.1, 3)],
+        "source string, target_share double, max_repeats int")
     mixture, shares = mixing.mix_sources(counts.drop("shard"), targets, block_tokens=256, shard_docs=300)
     got = {r["source"]: r for r in shares.collect()}
     for s, want, cap in (("a", 0.5 / 0.9, 2), ("b", 0.3 / 0.9, 4), ("c", 0.1 / 0.9, 1)):
@@ -394,7 +412,8 @@ def test_mixture(spark):
 
 
 def test_token_counts(spark):
-    d = spark.createDataFrame([(1, "hello world", "a"), (2, None, "a"), (3, "", "a"), (4, "x", None)], "doc_id bigint, text string, source string").withColumn("n_tokens", F.lit(9))
+    d = spark.createDataFrame([(1, "hello world", "a"), (2, None, "a"), (3, "", "a"), (4, "x", None)],
+        "doc_id bigint, text string, source string").withColumn("n_tokens", F.lit(9))
     assert [tuple(r) for r in mixing.token_counts(d, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken").collect()][0][:2] == (1, "a")
     assert mixing.token_counts(d, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken").count() == 1
 
@@ -411,7 +430,8 @@ def test_quality(spark):
     docs += [(2000 + n, "\n".join("\t".join(str(r.randint(0, 999)) for _ in range(6)) for _ in range(12))) for n in range(20)]
     docs += [(3000, None), (3001, ""), (3002, " \n　"), (3003, "梯"), (3004, "x" * 100000), docs[0]]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("language", F.lit("q")).withColumn("distance", F.lit("q"))
-    labels = spark.createDataFrame([(n, " Prose") for n in range(0, 300, 3)] + [(1000 + n, "LIST") for n in range(15)] + [(2000, None), (5, "odd"), (6, "prose"), (6, "table")], "doc_id bigint, label string")
+    labels = spark.createDataFrame([(n, " Prose") for n in range(0, 300, 3)] + [(1000 + n, "LIST") for n in range(15)] + [(2000, None), (5, "odd"),
+        (6, "prose"), (6, "table")], "doc_id bigint, label string")
     scored, limit = quality.judge(d, labels)
     found = {x["doc_id"] for x in quality.find_junk(scored, limit).collect()}
     assert {1000 + n for n in range(20)} | {2000 + n for n in range(20)} <= found and not found & set(range(300))
