@@ -84,8 +84,10 @@ def reported(a, name: str, e: DataFrame, hits: DataFrame, diagnostics: DataFrame
     m = evaluation.query_metrics(e, hits, a.top_k, pages=by_page)
     each = 1000 * (time.time() - began) / max(1, e.count())
     head = {"name": name, "top_k": a.top_k, "split": a.split, "generated_at": time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime())}
-    counts = rows(evaluation.dataset_counts(e).filter("field <> 'document_id'")) + rows(e.agg(F.lit("documents").alias("field"), F.lit("distinct").alias("value"), F.countDistinct("document_id").alias("examples")))
-    say(sinks.report(head, {"path": a.dataset, "counts": counts}, evaluation.summary(m.withColumn("latency_ms", F.lit(each)), "latency_ms"), a.output, diagnostics))
+    counts = rows(evaluation.dataset_counts(e).filter("field <> 'document_id'")) + rows(e.agg(F.lit("documents").alias("field"),
+        F.lit("distinct").alias("value"), F.countDistinct("document_id").alias("examples")))
+    say(sinks.report(head, {"path": a.dataset, "counts": counts}, evaluation.summary(m.withColumn("latency_ms", F.lit(each)), "latency_ms"),
+        a.output, diagnostics))
 
 
 def ingest(s, a):
@@ -98,7 +100,8 @@ def ingest(s, a):
     sinks.write_jsonl(c, a.output)
     per = c.groupBy("document_id").agg(F.count_if(F.col("level") == "page").alias("pages"), F.count("*").alias("chunks"))
     sinks.write_jsonl(per, f"{a.output}.documents")
-    say({"levels": rows(mining.count_by(c, "level", schemas.LEVELS)), "documents": per.count(), "documents_output": f"{a.output}.documents", "output": a.output})
+    say({"levels": rows(mining.count_by(c, "level", schemas.LEVELS)), "documents": per.count(), "documents_output": f"{a.output}.documents",
+        "output": a.output})
 
 
 def inspect(s, a):
@@ -165,7 +168,8 @@ def hybrid_evaluate(s, a):
 
 def dense_index(s, a):
     c = at_levels(corpus(s, a), a)
-    out = dense.cache_rows(dense.encoded(c, "text", load(a.encoder), a.document_prefix, a.batch_size), a.model_name, "query: " if a.query_prefix is None else a.query_prefix, a.document_prefix)
+    out = dense.cache_rows(dense.encoded(c, "text", load(a.encoder), a.document_prefix, a.batch_size), a.model_name,
+        "query: " if a.query_prefix is None else a.query_prefix, a.document_prefix)
     sinks.write_table(out, a.output)
     say({"chunks": out.count(), "model": a.model_name, "output": a.output})
 
@@ -198,7 +202,8 @@ def evaluate(s, a):
 
 
 def validate_dataset(s, a):
-    for r in evaluation.validate(readers.read_jsonl(s, a.dataset, schemas.EXAMPLE), corpus(s, a) if a.chunks else None, REQUIRED if a.strict else ()).orderBy("field", "value").toLocalIterator():
+    for r in evaluation.validate(readers.read_jsonl(s, a.dataset, schemas.EXAMPLE), corpus(s, a) if a.chunks else None,
+            REQUIRED if a.strict else ()).orderBy("field", "value").toLocalIterator():
         print(json.dumps(r.asDict(), ensure_ascii=False))
 
 
@@ -210,14 +215,16 @@ def build_review_pack(s, a):
     known = pack if "image_path" in pack.columns else pack.withColumn("image_path", F.lit(None).cast("string"))
     images, lost = sinks.copied_images(known, f"{a.output.removesuffix('.html')}_assets")
     done = sinks.write_review_page(pack, a.output, "Questions", ("unreviewed", "verified", "needs_revision", "rejected"), images)
-    say(done | {"examples": e.count(), "evidence_pages": pack.filter("page is not null").count(), "copied_images": len(images), "missing_images": lost})
+    say(done | {"examples": e.count(), "evidence_pages": pack.filter("page is not null").count(), "copied_images": len(images),
+        "missing_images": lost})
 
 
 def mine_negatives(s, a):
     c = at_levels(corpus(s, a), a)
     e = readers.read_jsonl(s, a.dataset, schemas.EXAMPLE)
     index = Bm25Index.build(c)
-    out = mining.hard_negatives(e, index.search(asked(e), a.top_k), c, a.top_k, scored=lambda pairs: index.scored(pairs, asked(e))).select(*mining.FIELDS)
+    out = mining.hard_negatives(e, index.search(asked(e), a.top_k), c, a.top_k,
+        scored=lambda pairs: index.scored(pairs, asked(e))).select(*mining.FIELDS)
     sinks.write_jsonl(out, a.output)
     say({"triplets": out.count(), "output": a.output})
 
@@ -227,7 +234,8 @@ def dense_mine_negatives(s, a):
     e, own = examples(s, a, c, True), at_levels(c, a)
     quotas = {k: int(v) for k, v in weights(a.quotas).items()} if a.quotas else None
     asked_for, held = query_vectors(e, a), vectors(s, a, own)
-    out = mining.hard_negatives(e, dense.dense_search(asked_for, held, a.top_k), own, a.top_k, f"dense:{a.model_name}", quotas, lambda pairs: dense.pair_scores(pairs, asked_for, held)).select(*mining.FIELDS)
+    out = mining.hard_negatives(e, dense.dense_search(asked_for, held, a.top_k), own, a.top_k, f"dense:{a.model_name}", quotas,
+        lambda pairs: dense.pair_scores(pairs, asked_for, held)).select(*mining.FIELDS)
     sinks.write_jsonl(out, a.output)
     say({"difficulties": rows(mining.count_by(out, "difficulty", mining.DIFFICULTIES)), "output": a.output})
 
@@ -238,8 +246,10 @@ def build_negative_review_pack(s, a):
     lost = mining.missing_chunks(t, c)
     sinks.write_jsonl(lost, f"{a.output}.missing_chunks")
     done = sinks.write_review_page(pack.orderBy("idx").drop("idx"), a.output, "Negatives", mining.DECISIONS)
-    levels = {r["difficulty"]: r["n"] for r in pack.groupBy(F.coalesce("difficulty", F.lit("unlabeled")).alias("difficulty")).agg(F.count("*").alias("n")).collect()}
-    say(done | {"triplets": t.count(), "reviewable": done["rows"], "missing_chunks": lost.count(), "missing_chunks_output": f"{a.output}.missing_chunks", "difficulties": levels})
+    levels = {r["difficulty"]: r["n"] for r in pack.groupBy(F.coalesce("difficulty",
+        F.lit("unlabeled")).alias("difficulty")).agg(F.count("*").alias("n")).collect()}
+    say(done | {"triplets": t.count(), "reviewable": done["rows"], "missing_chunks": lost.count(),
+        "missing_chunks_output": f"{a.output}.missing_chunks", "difficulties": levels})
 
 
 def apply_negative_reviews(s, a):
@@ -251,7 +261,8 @@ def apply_negative_reviews(s, a):
 
 def train_reranker(s, a):
     pairs = mining.reranker_pairs(readers.read_jsonl(s, a.triplets, schemas.TRIPLET), corpus(s, a))
-    say(mining.train_cross_encoder(pairs, a.model, a.output, epochs=a.epochs, batch_size=a.batch_size, learning_rate=a.learning_rate, seed=a.seed, device=a.device, local_files_only=a.local_files_only, library=load(a.library)() if a.library else None))
+    say(mining.train_cross_encoder(pairs, a.model, a.output, epochs=a.epochs, batch_size=a.batch_size, learning_rate=a.learning_rate, seed=a.seed,
+        device=a.device, local_files_only=a.local_files_only, library=load(a.library)() if a.library else None))
 
 
 def reranker_evaluate(s, a):
@@ -265,23 +276,43 @@ def reranker_evaluate(s, a):
 C, D = [("--chunks", {"required": True})], [("--dataset", {"required": True}), ("--split", {}), ("--strict", {"action": "store_true"})]
 K, L, O = [("--top-k", {"type": int, "default": 5})], [("--levels", {"default": "passage"})], [("--output", {})]
 OUT, PATHS, PAGES = [("--output", {"required": True})], [("paths", {"nargs": "+"})], [("--pages", {"nargs": "+", "required": True})]
-ENC = [("--encoder", {"required": True, "help": "module:function that loads a text encoder"}), ("--model-name", {"default": "encoder"}), ("--query-prefix", {"help": "as the cache says unless given"}), ("--document-prefix", {"default": "passage: "}), ("--batch-size", {"type": int, "default": 32})]
+ENC = [("--encoder", {"required": True, "help": "module:function that loads a text encoder"}), ("--model-name", {"default": "encoder"}),
+    ("--query-prefix", {"help": "as the cache says unless given"}), ("--document-prefix", {"default": "passage: "}),
+    ("--batch-size", {"type": int, "default": 32})]
 VEC, PVEC = [("--embeddings", {"required": True})], [("--page-embeddings", {"required": True})]
 RRF = [("--weights", {"help": "name=weight,..."}), ("--rrf-k", {"type": int, "default": 60}), ("--candidate-k", {"type": int, "default": 50})]
-CHUNKING = [("--max-chars", {"type": int, "default": 500}), ("--overlap", {"type": int, "default": 1}), ("--max-section-chars", {"type": int, "default": 2000}), ("--clean", {"action": "store_true"}), ("--plain", {"action": "store_true", "help": "do not judge page quality"})]
+CHUNKING = [("--max-chars", {"type": int, "default": 500}), ("--overlap", {"type": int, "default": 1}),
+    ("--max-section-chars", {"type": int, "default": 2000}), ("--clean", {"action": "store_true"}),
+    ("--plain", {"action": "store_true", "help": "do not judge page quality"})]
 COMMANDS = {
-    "ingest": (ingest, PATHS + OUT + CHUNKING), "ingest-corpus": (ingest, PATHS + OUT + CHUNKING), "inspect": (inspect, PATHS + O + [("--low-text", {"type": int, "default": 40})]),
-    "render-pages": (render_pages, PATHS + OUT + [("--dpi", {"type": int, "default": 144}), ("--converter", {"nargs": "*", "help": "module:function, tried in order"}), ("--judge", {"action": "store_true", "help": "parse the files and judge their pages"})]),
-    "download": (download, [("manifest", {}), ("--root", {"required": True}), ("--fetch", {"help": "module:function (url) -> (content, content type)"})]), "visual-search": (visual_search, PAGES + PVEC + ENC + K + [("--query", {"required": True}), ("--only-vision", {"action": "store_true"})]),
-    "visual-index": (visual_index, PAGES + ENC + OUT), "visual-evaluate": (visual_evaluate, PAGES + PVEC + ENC + D + K + O), "hybrid-evaluate": (hybrid_evaluate, C + L + PAGES + PVEC + ENC + D + K + O + RRF),
-    "dense-index": (dense_index, C + L + ENC + OUT), "dense-evaluate": (dense_evaluate, C + L + VEC + ENC + D + K + O), "text-hybrid-evaluate": (text_hybrid_evaluate, C + L + VEC + ENC + D + K + O + RRF),
-    "search": (search, C + K + [("--query", {"required": True}), ("--levels", {"default": ""})]), "evaluate": (evaluate, C + D + K + O + [("--levels", {"default": ""})]),
-    "validate-dataset": (validate_dataset, [("--chunks", {}), ("--dataset", {"required": True}), ("--strict", {"action": "store_true"})]), "build-review-pack": (build_review_pack, C + D + OUT + [("--pages", {"nargs": "*"})]),
-    "mine-negatives": (mine_negatives, C + OUT + [("--dataset", {"required": True}), ("--top-k", {"type": int, "default": 20}), ("--levels", {"default": ""})]),
-    "dense-mine-negatives": (dense_mine_negatives, C + L + VEC + ENC + OUT + [("--dataset", {"required": True}), ("--split", {"default": "train"}), ("--top-k", {"type": int, "default": 20}), ("--quotas", {"help": "hard=2,medium=1,easy=1"})]),
-    "build-negative-review-pack": (build_negative_review_pack, C + OUT + [("--triplets", {"required": True})]), "apply-negative-reviews": (apply_negative_reviews, OUT + [("--reviews", {"required": True}), ("--allow-incomplete", {"action": "store_true"})]),
-    "train-reranker": (train_reranker, C + OUT + [("--triplets", {"required": True}), ("--model", {"required": True}), ("--epochs", {"type": int, "default": 1}), ("--batch-size", {"type": int, "default": 8}), ("--learning-rate", {"type": float, "default": 2e-5}), ("--seed", {"type": int, "default": 42}), ("--device", {}), ("--local-files-only", {"action": "store_true"}), ("--library", {"help": "module:function that stands in for the training library"})]),
-    "reranker-evaluate": (reranker_evaluate, C + L + VEC + ENC + K + O + [("--dataset", {"required": True}), ("--split", {"default": "dev"}), ("--reranker", {"required": True}), ("--candidate-k", {"type": int, "default": 20})]),
+    "ingest": (ingest, PATHS + OUT + CHUNKING), "ingest-corpus": (ingest, PATHS + OUT + CHUNKING),
+    "inspect": (inspect, PATHS + O + [("--low-text", {"type": int, "default": 40})]),
+    "render-pages": (render_pages, PATHS + OUT + [("--dpi", {"type": int, "default": 144}),
+    ("--converter", {"nargs": "*", "help": "module:function, tried in order"}),
+    ("--judge", {"action": "store_true", "help": "parse the files and judge their pages"})]),
+    "download": (download, [("manifest", {}), ("--root", {"required": True}),
+    ("--fetch", {"help": "module:function (url) -> (content, content type)"})]),
+    "visual-search": (visual_search, PAGES + PVEC + ENC + K + [("--query", {"required": True}), ("--only-vision", {"action": "store_true"})]),
+    "visual-index": (visual_index, PAGES + ENC + OUT), "visual-evaluate": (visual_evaluate, PAGES + PVEC + ENC + D + K + O),
+    "hybrid-evaluate": (hybrid_evaluate, C + L + PAGES + PVEC + ENC + D + K + O + RRF),
+    "dense-index": (dense_index, C + L + ENC + OUT), "dense-evaluate": (dense_evaluate, C + L + VEC + ENC + D + K + O),
+    "text-hybrid-evaluate": (text_hybrid_evaluate, C + L + VEC + ENC + D + K + O + RRF),
+    "search": (search, C + K + [("--query", {"required": True}), ("--levels", {"default": ""})]),
+    "evaluate": (evaluate, C + D + K + O + [("--levels", {"default": ""})]),
+    "validate-dataset": (validate_dataset, [("--chunks", {}), ("--dataset", {"required": True}), ("--strict", {"action": "store_true"})]),
+    "build-review-pack": (build_review_pack, C + D + OUT + [("--pages", {"nargs": "*"})]),
+    "mine-negatives": (mine_negatives, C + OUT + [("--dataset", {"required": True}), ("--top-k", {"type": int, "default": 20}),
+    ("--levels", {"default": ""})]),
+    "dense-mine-negatives": (dense_mine_negatives, C + L + VEC + ENC + OUT + [("--dataset", {"required": True}), ("--split", {"default": "train"}),
+    ("--top-k", {"type": int, "default": 20}), ("--quotas", {"help": "hard=2,medium=1,easy=1"})]),
+    "build-negative-review-pack": (build_negative_review_pack, C + OUT + [("--triplets", {"required": True})]),
+    "apply-negative-reviews": (apply_negative_reviews, OUT + [("--reviews", {"required": True}), ("--allow-incomplete", {"action": "store_true"})]),
+    "train-reranker": (train_reranker, C + OUT + [("--triplets", {"required": True}), ("--model", {"required": True}),
+    ("--epochs", {"type": int, "default": 1}), ("--batch-size", {"type": int, "default": 8}), ("--learning-rate", {"type": float, "default": 2e-5}),
+    ("--seed", {"type": int, "default": 42}), ("--device", {}), ("--local-files-only", {"action": "store_true"}),
+    ("--library", {"help": "module:function that stands in for the training library"})]),
+    "reranker-evaluate": (reranker_evaluate, C + L + VEC + ENC + K + O + [("--dataset", {"required": True}), ("--split", {"default": "dev"}),
+    ("--reranker", {"required": True}), ("--candidate-k", {"type": int, "default": 20})]),
 }
 
 

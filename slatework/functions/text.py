@@ -95,7 +95,8 @@ def mixed_tokens(text: Column) -> Column:
     """Latin words, formula signs and Greek runs, then one- and two-character runs of Han text."""
     low = F.lower(text)
     found = lambda p: F.regexp_extract_all(low, F.lit(p), F.lit(0))
-    pairs = lambda r: F.when(F.length(r) > 1, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    pairs = lambda r: F.when(F.length(r) > 1, F.transform(F.sequence(F.lit(1), F.length(r) - 1),
+        lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     han = F.flatten(F.transform(found(HAN_RUN), lambda r: F.concat(F.split(r, ""), pairs(r))))
     return F.concat(found(LATIN_TOKEN), found(FORMULA_TOKEN), han)
 

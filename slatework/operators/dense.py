@@ -78,16 +78,19 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, *, row_id: str, di
                         s = q[first : first + 512] @ x.T
                         best.add(first, s if digits is None else np.round(s, digits), ids)
             row, ids, s = best.rows()
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in row], _arrow(kinds[0])), pa.array(ids.tolist(), _arrow(kinds[1])), pa.array(s, pa.float64())], names=["query_id", row_id, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in row], _arrow(kinds[0])), pa.array(ids.tolist(), _arrow(kinds[1])),
+                pa.array(s, pa.float64())], names=["query_id", row_id, "score"])
 
-        one = mapped_arrow(rows.select(row_id, "embedding").filter("embedding is not null"), score, f"query_id {kinds[0]}, {row_id} {kinds[1]}, score double")
+        one = mapped_arrow(rows.select(row_id, "embedding").filter("embedding is not null"), score,
+            f"query_id {kinds[0]}, {row_id} {kinds[1]}, score double")
         out = one if out is None else out.unionByName(one)
     return top_k(out, k, F.desc("score"), F.col(row_id)).withColumn("score", F.round("score", 8))
 
 
 def pair_scores(pairs: DataFrame, queries: DataFrame, rows: DataFrame, row_id: str = "chunk_id") -> DataFrame:
     """(query_id, row_id, score) of the given pairs of unit vectors; nothing is ranked."""
-    both = pairs.select("query_id", row_id).distinct().join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id").join(rows.select(row_id, F.col("embedding").alias("_r")), row_id)
+    both = pairs.select("query_id", row_id).distinct().join(queries.select("query_id", F.col("embedding").alias("_q")),
+        "query_id").join(rows.select(row_id, F.col("embedding").alias("_r")), row_id)
     return both.select("query_id", row_id, F.aggregate(F.zip_with("_q", "_r", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
@@ -103,7 +106,8 @@ def visual_search(queries: DataFrame, pages: DataFrame, k: int = 5, digits: int
     return found.select("query_id", *parts, "score", "rank")
 
 
-def encoded(df: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], prefix: str = "passage: ", batch_size: int = 32) -> DataFrame:
+def encoded(df: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], prefix: str = "passage: ",
+        batch_size: int = 32) -> DataFrame:
     """df with embedding, by an injected model: encoder() loads it, once a worker; its result encodes a list of texts."""
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
@@ -124,7 +128,8 @@ def cache_rows(chunks: DataFrame, model: str, query_prefix: str = "query: ", doc
     if not model:
         raise ValueError("an embedding cache needs the name of its model")
     out = checked_unit(chunks.select("chunk_id", F.sha2("text", 256).alias("text_sha256"), "embedding"), "embedding")
-    return out.withColumns({"model": F.lit(model), "query_prefix": F.lit(query_prefix), "document_prefix": F.lit(document_prefix), "format": F.lit(CHUNK_CACHE)})
+    return out.withColumns({"model": F.lit(model), "query_prefix": F.lit(query_prefix), "document_prefix": F.lit(document_prefix),
+        "format": F.lit(CHUNK_CACHE)})
 
 
 def page_cache_rows(pages: DataFrame, model: str) -> DataFrame:
@@ -132,7 +137,8 @@ def page_cache_rows(pages: DataFrame, model: str) -> DataFrame:
     if not model:
         raise ValueError("an embedding cache needs the name of its model")
     own = pages.select("document_id", "page_number", F.col("sha256").alias("image_sha256"), "embedding")
-    return checked_unit(own, "embedding", finite=False).withColumns({"model": F.lit(model), "format": F.lit(PAGE_CACHE), "ord": F.monotonically_increasing_id()})
+    return checked_unit(own, "embedding", finite=False).withColumns({"model": F.lit(model), "format": F.lit(PAGE_CACHE),
+        "ord": F.monotonically_increasing_id()})
 
 
 def cache_header(cache: DataFrame, form: str, model: str | None = None) -> dict[str, str]:
@@ -160,7 +166,8 @@ def cache_faults(chunks: DataFrame, cache: DataFrame, model: str | None = None)
     rows = cache.select("chunk_id", "text_sha256", "model")
     twice = rows.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id", F.lit("duplicate").alias("fault"))
     both = chunks.select("chunk_id", F.sha2("text", 256).alias("now")).join(rows.dropDuplicates(["chunk_id"]), "chunk_id", "left")
-    fault = F.when(F.col("model").isNull() & F.col("text_sha256").isNull(), "missing").when(~F.col("text_sha256").eqNullSafe(F.col("now")), "text changed")
+    fault = F.when(F.col("model").isNull() & F.col("text_sha256").isNull(), "missing").when(~F.col("text_sha256").eqNullSafe(F.col("now")),
+        "text changed")
     if model is not None:
         fault = fault.when(~F.col("model").eqNullSafe(F.lit(model)), "other model")
     return twice.unionByName(both.select("chunk_id", fault.alias("fault")).filter("fault is not null"))
@@ -169,7 +176,8 @@ def cache_faults(chunks: DataFrame, cache: DataFrame, model: str | None = None)
 def load_cache(chunks: DataFrame, cache: DataFrame, model: str | None = None) -> DataFrame:
     """(chunk_id, embedding) of every chunk, unit vectors; ValueError names the faults of the cache."""
     cache_header(cache, CHUNK_CACHE, model)
-    found = cache_faults(chunks, cache, model).groupBy("fault").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first")).orderBy("fault").collect()
+    found = cache_faults(chunks, cache, model).groupBy("fault").agg(F.count("*").alias("n"),
+        F.min("chunk_id").alias("first")).orderBy("fault").collect()
     if found:
         raise ValueError("; ".join(f"{r['n']} x {r['fault']} (first: {r['first']})" for r in found))
     return checked_unit(chunks.select("chunk_id").join(cache.select("chunk_id", "embedding"), "chunk_id"), "embedding")

@@ -15,14 +15,16 @@ from slatework.runtime import ship
 def to_pages(ranked: DataFrame, chunks: DataFrame, pages: DataFrame, k: int = 5, candidates: int = 50) -> DataFrame:
     """(query_id, document_id, page_number, score, rank) from ranked chunks: each page at its best chunk's rank."""
     spans = chunks.select("chunk_id", "document_id", F.explode(F.sequence("page_start", "page_end")).alias("page_number"))
-    each = ranked.filter(F.col("rank") <= candidates).join(spans, "chunk_id").join(pages.select("document_id", "page_number").distinct(), ["document_id", "page_number"])
+    each = ranked.filter(F.col("rank") <= candidates).join(spans, "chunk_id").join(pages.select("document_id", "page_number").distinct(),
+        ["document_id", "page_number"])
     best = each.groupBy("query_id", "document_id", "page_number").agg(F.min(F.struct("rank", F.col("score"))).alias("b"))
     best = best.select("query_id", "document_id", "page_number", F.col("b.rank").alias("r"), F.col("b.score").alias("score"))
     out = top_k(best, k, F.col("r"), F.desc("score"), F.col("document_id"), F.col("page_number"))
     return out.select("query_id", "document_id", "page_number", F.round("score", 8).alias("score"), "rank")
 
 
-def fuse(sources: dict[str, DataFrame], keys: list[str], k: int = 5, weights: dict[str, float] | None = None, rrf_k: int = 60, candidates: int = 50, digits: int | None = None) -> DataFrame:
+def fuse(sources: dict[str, DataFrame], keys: list[str], k: int = 5, weights: dict[str, float] | None = None, rrf_k: int = 60, candidates: int = 50,
+        digits: int | None = None) -> DataFrame:
     """(query_id, keys, score, rank) by the sum of weight / (rrf_k + rank); a source of weight 0 is not even read.
 
     digits rounds the sum before ranking, for comparisons.
@@ -37,11 +39,13 @@ def fuse(sources: dict[str, DataFrame], keys: list[str], k: int = 5, weights: di
     full = {name: weights.get(name, 1.0) for name in sources}
     if min(full.values()) < 0 or not any(full.values()):
         raise ValueError("weights must be at least 0, and one above it")
-    parts = [s.filter(F.col("rank") <= candidates).select("query_id", *keys, "rank", (F.lit(float(full[n])) / (F.lit(float(rrf_k)) + F.col("rank"))).alias("part")) for n, s in sources.items() if full[n]]
+    parts = [s.filter(F.col("rank") <= candidates).select("query_id", *keys, "rank",
+        (F.lit(float(full[n])) / (F.lit(float(rrf_k)) + F.col("rank"))).alias("part")) for n, s in sources.items() if full[n]]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    fused = both.groupBy("query_id", *keys).agg((F.sum("part") if digits is None else F.round(F.sum("part"), digits)).alias("full"), F.min("rank").alias("best"))
+    fused = both.groupBy("query_id", *keys).agg((F.sum("part") if digits is None else F.round(F.sum("part"), digits)).alias("full"),
+        F.min("rank").alias("best"))
     out = top_k(fused, k, F.desc("full"), F.col("best"), *[F.col(c) for c in keys])
     return out.select("query_id", *keys, F.round("full", 8).alias("score"), "rank")
 

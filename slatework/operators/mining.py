@@ -34,7 +34,8 @@ def positives(examples: DataFrame, chunks: DataFrame) -> DataFrame:
     return named.select("query_id", "chunk_id").unionByName(own).unionByName(anywhere).distinct()
 
 
-def hard_negatives(examples: DataFrame, ranked: DataFrame, chunks: DataFrame, top_k: int = 20, miner: str = "bm25", quotas: dict[str, int] | None = None,
+def hard_negatives(examples: DataFrame, ranked: DataFrame, chunks: DataFrame, top_k: int = 20, miner: str = "bm25",
+        quotas: dict[str, int] | None = None,
                    scored: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Triplets (query_id and FIELDS) from the first top_k ranks; a difficulty without a quota is not limited.
 
@@ -47,15 +48,19 @@ def hard_negatives(examples: DataFrame, ranked: DataFrame, chunks: DataFrame, to
     good = settled(positives(examples, chunks))
     known = (ranked if scored is None else scored(good)).select("query_id", "chunk_id", "score")
     best = good.join(known, ["query_id", "chunk_id"], "left").groupBy("query_id")
-    best = best.agg(F.coalesce(F.min_by("chunk_id", F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), "chunk_id"))), F.min("chunk_id")).alias("positive_chunk_id"))
-    bad = ranked.filter(F.col("rank") <= top_k).join(good, ["query_id", "chunk_id"], "left_anti").join(best, "query_id").withColumn("difficulty", difficulty(F.col("rank")))
+    best = best.agg(F.coalesce(F.min_by("chunk_id", F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), "chunk_id"))),
+        F.min("chunk_id")).alias("positive_chunk_id"))
+    bad = ranked.filter(F.col("rank") <= top_k).join(good, ["query_id", "chunk_id"], "left_anti").join(best, "query_id").withColumn("difficulty",
+        difficulty(F.col("rank")))
     if quotas:
         limit = F.lit(None).cast("int")
         for name, n in quotas.items():
             limit = F.when(F.col("difficulty") == name, n).otherwise(limit)
-        bad = bad.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "difficulty").orderBy("rank"))).filter(limit.isNull() | (F.col("_n") <= limit)).drop("_n")
+        bad = bad.withColumn("_n", F.row_number().over(Window.partitionBy("query_id",
+            "difficulty").orderBy("rank"))).filter(limit.isNull() | (F.col("_n") <= limit)).drop("_n")
     asked = examples.select(F.col("id").alias("query_id"), "query")
-    return bad.join(asked, "query_id").select("query_id", "query", "positive_chunk_id", F.col("chunk_id").alias("negative_chunk_id"), F.col("rank").alias("negative_rank"), F.lit(miner).alias("miner"), "difficulty")
+    return bad.join(asked, "query_id").select("query_id", "query", "positive_chunk_id", F.col("chunk_id").alias("negative_chunk_id"),
+        F.col("rank").alias("negative_rank"), F.lit(miner).alias("miner"), "difficulty")
 
 
 def count_by(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
@@ -74,7 +79,8 @@ def apply_reviews(rows: DataFrame, require_complete: bool = True) -> tuple[DataF
     d = rows.withColumns({"_d": F.coalesce(decided, F.lit("pending")), "_id": strip(F.col("review_id")), "_q": strip(F.coalesce("query", F.lit("")))})
     lack = F.exists(F.array(*[F.col(c).isNull() | (F.col(c).cast("string") == "") for c in FIELDS]), lambda x: x)
     kept = F.col("_d") == "valid_negative"
-    seen = d.agg(F.count_if(~F.col("_d").isin(*DECISIONS)).alias("unknown"), F.count_if(kept & lack).alias("holes"), F.count_if(F.col("_d").isin("pending", "uncertain")).alias("open")).first()
+    seen = d.agg(F.count_if(~F.col("_d").isin(*DECISIONS)).alias("unknown"), F.count_if(kept & lack).alias("holes"),
+        F.count_if(F.col("_d").isin("pending", "uncertain")).alias("open")).first()
     twice = d.filter("_id <> ''").groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"duplicate review_id {twice[0]['_id']}")
@@ -84,16 +90,20 @@ def apply_reviews(rows: DataFrame, require_complete: bool = True) -> tuple[DataF
         raise ValueError(f"{seen['open']} rows are not decided")
     asked = F.when(F.col("_q") != "", F.col("_q"))
     levels = d.filter(kept).groupBy("difficulty").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("difficulty", "n")))).alias("difficulty_counts"))
-    figures = d.agg(F.count("*").alias("rows"), *[F.count_if(F.col("_d") == x).alias(x) for x in DECISIONS], F.count_if(~kept).alias("rejected_triplets"), F.countDistinct(asked).alias("queries"), F.countDistinct(F.when(kept, asked)).alias("queries_retained"))
+    figures = d.agg(F.count("*").alias("rows"), *[F.count_if(F.col("_d") == x).alias(x) for x in DECISIONS],
+        F.count_if(~kept).alias("rejected_triplets"), F.countDistinct(asked).alias("queries"),
+        F.countDistinct(F.when(kept, asked)).alias("queries_retained"))
     figures = figures.withColumn("retained_triplets", F.col("valid_negative")).join(F.broadcast(levels))
     return d.filter(kept).select(*FIELDS), figures.select(*REVIEW_SUMMARY)
 
 
 def pair_rows(triplets: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query, text, low, high): every distinct query and text with the range of its labels; low <> high is a conflict."""
-    sides = F.array(F.struct(F.col("positive_chunk_id").alias("chunk_id"), F.lit(1.0).alias("label")), F.struct(F.col("negative_chunk_id").alias("chunk_id"), F.lit(0.0).alias("label")))
+    sides = F.array(F.struct(F.col("positive_chunk_id").alias("chunk_id"), F.lit(1.0).alias("label")),
+        F.struct(F.col("negative_chunk_id").alias("chunk_id"), F.lit(0.0).alias("label")))
     long = triplets.select(strip(F.col("query")).alias("query"), F.explode(sides).alias("s")).select("query", "s.*")
-    return long.join(chunks.select("chunk_id", "text"), "chunk_id").groupBy("query", "text").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return long.join(chunks.select("chunk_id", "text"), "chunk_id").groupBy("query", "text").agg(F.min("label").alias("low"),
+        F.max("label").alias("high"))
 
 
 def reranker_pairs(triplets: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -120,7 +130,8 @@ def training_steps(rows: int, batch_size: int, epochs: int) -> tuple[int, int]:
     return steps, max(1, math.ceil(0.1 * steps))
 
 
-def train_cross_encoder(pairs: DataFrame, model: str, out: str, *, epochs: int = 1, batch_size: int = 8, learning_rate: float = 2e-5, seed: int = 42, device: str | None = None,
+def train_cross_encoder(pairs: DataFrame, model: str, out: str, *, epochs: int = 1, batch_size: int = 8, learning_rate: float = 2e-5,
+        seed: int = 42, device: str | None = None,
                         local_files_only: bool = False, library=None) -> dict:
     """Train a pair model on the driver and save it, with its settings, in the folder out.
 
@@ -131,9 +142,11 @@ def train_cross_encoder(pairs: DataFrame, model: str, out: str, *, epochs: int =
         raise ValueError("learning_rate must be above 0")
     training_steps(1, batch_size, epochs)
     fit = library or _fit_cross_encoder()
-    rows = [(r["query"], r["text"], float(r["label"])) for r in pairs.select("query", "text", "label").orderBy("query", "label", "text").toLocalIterator()]
+    rows = [(r["query"], r["text"], float(r["label"])) for r in pairs.select("query", "text", "label").orderBy("query", "label",
+        "text").toLocalIterator()]
     steps, warm = training_steps(len(rows), batch_size, epochs)
-    settings = {"model": model, "pairs": len(rows), "batch_size": batch_size, "epochs": epochs, "learning_rate": learning_rate, "seed": seed, "training_steps": steps, "warmup_steps": warm, "output_dir": out,
+    settings = {"model": model, "pairs": len(rows), "batch_size": batch_size, "epochs": epochs, "learning_rate": learning_rate, "seed": seed,
+        "training_steps": steps, "warmup_steps": warm, "output_dir": out,
                 "device": device, "local_files_only": local_files_only}
     Path(out).mkdir(parents=True, exist_ok=True)
     settings["device"] = fit(rows, settings)
@@ -156,9 +169,11 @@ def _fit_cross_encoder():
         random.seed(settings["seed"])
         order = torch.manual_seed(settings["seed"])
         network = st.CrossEncoder(settings["model"], num_labels=1, device=settings["device"], local_files_only=settings["local_files_only"])
-        data = DataLoader([st.InputExample(texts=[q, t], label=x) for q, t, x in rows], batch_size=settings["batch_size"], shuffle=True, generator=order)
+        data = DataLoader([st.InputExample(texts=[q, t], label=x) for q, t, x in rows], batch_size=settings["batch_size"], shuffle=True,
+            generator=order)
         run = getattr(network, "old_fit", network.fit)  # newer versions keep the loop over a loader under this name
-        run(train_dataloader=data, epochs=settings["epochs"], warmup_steps=settings["warmup_steps"], optimizer_params={"lr": settings["learning_rate"]}, output_path=settings["output_dir"], save_best_model=False)
+        run(train_dataloader=data, epochs=settings["epochs"], warmup_steps=settings["warmup_steps"],
+            optimizer_params={"lr": settings["learning_rate"]}, output_path=settings["output_dir"], save_best_model=False)
         network.save(settings["output_dir"])
         return str(network.device)
 
@@ -169,7 +184,8 @@ def numbered(triplets: DataFrame) -> DataFrame:
     """triplets with idx from 0 without gaps, in the order they are read."""
     parted = settled(triplets.withColumns({"_m": F.monotonically_increasing_id(), "_p": F.spark_partition_id()}))
     sizes = parted.groupBy("_p").agg(F.count("*").alias("n"))
-    before = sizes.select("_p", (F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
+    before = sizes.select("_p", (F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0))).alias("_before"))
     own = F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33)
     return parted.join(F.broadcast(before), "_p").withColumn("idx", F.col("_before") + own).drop("_m", "_p", "_before")
 
@@ -182,18 +198,22 @@ def missing_chunks(triplets: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def negative_pack(triplets: DataFrame, chunks: DataFrame) -> DataFrame:
     """Triplets (with ordinal idx from 0) joined to both chunks, as rows to review; a row that lacks a chunk is left out."""
-    side = lambda n: chunks.select(F.col("chunk_id").alias(f"{n}_chunk_id"), F.struct("chunk_id", "document_id", "page_start", "page_end", "section", "text").alias(n))
+    side = lambda n: chunks.select(F.col("chunk_id").alias(f"{n}_chunk_id"),
+        F.struct("chunk_id", "document_id", "page_start", "page_end", "section", "text").alias(n))
     out = triplets.join(side("positive"), "positive_chunk_id").join(side("negative"), "negative_chunk_id")
-    return out.withColumns({"review_id": F.format_string("negative-%04d", F.col("idx") + 1), "review_decision": F.lit("pending"), "review_note": F.lit("")})
+    return out.withColumns({"review_id": F.format_string("negative-%04d", F.col("idx") + 1), "review_decision": F.lit("pending"),
+        "review_note": F.lit("")})
 
 
 def review_pack(examples: DataFrame, chunks: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
     """Each example with the evidence pages to look at: source, text, image and whether the page exists."""
-    pages = chunks.filter("level = 'page' and page_start = page_end").select("document_id", F.col("page_start").alias("page"), F.col("text").alias("page_text"), F.col("metadata.source_name").alias("source_name"))
+    pages = chunks.filter("level = 'page' and page_start = page_end").select("document_id", F.col("page_start").alias("page"),
+        F.col("text").alias("page_text"), F.col("metadata.source_name").alias("source_name"))
     wants = examples.select("id", "query", "document_id", F.explode_outer(F.array_sort(F.array_distinct("relevant_pages"))).alias("page"))
     out = wants.join(pages.dropDuplicates(["document_id", "page"]), ["document_id", "page"], "left")
     if rendered is not None:
-        out = out.join(rendered.select("document_id", F.col("page_number").alias("page"), "image_path").dropDuplicates(["document_id", "page"]), ["document_id", "page"], "left")
+        out = out.join(rendered.select("document_id", F.col("page_number").alias("page"), "image_path").dropDuplicates(["document_id", "page"]),
+            ["document_id", "page"], "left")
     return out.withColumn("missing", F.col("page_text").isNull())
 
 
@@ -203,10 +223,12 @@ def example_evidence(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     documents counts the documents that a source name leads to, missing the pages that have no chunk.
     """
     level = F.col("level") == "page"
-    of_page = chunks.filter(level).select(F.col("metadata.source_name").alias("source_name"), F.col("page_start").alias("page"), F.col("document_id").alias("d"), "chunk_id")
+    of_page = chunks.filter(level).select(F.col("metadata.source_name").alias("source_name"), F.col("page_start").alias("page"),
+        F.col("document_id").alias("d"), "chunk_id")
     wants = candidates.select("id", "source_name", F.explode(F.array_distinct("relevant_pages")).alias("page"))
     found = wants.join(of_page, ["source_name", "page"], "left").groupBy("id")
-    return found.agg(F.min("d").alias("document_id"), F.countDistinct("d").alias("documents"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.count_if(F.col("d").isNull()).alias("missing"))
+    return found.agg(F.min("d").alias("document_id"), F.countDistinct("d").alias("documents"),
+        F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.count_if(F.col("d").isNull()).alias("missing"))
 
 
 def build_examples(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -223,4 +245,5 @@ def render_summary(rendered: DataFrame) -> DataFrame:
     return rendered.agg(F.count("*").alias("pages"), F.count_if("requires_vision").alias("requires_vision"))
 
 
-__all__ = ["apply_reviews", "build_examples", "count_by", "difficulty", "example_evidence", "hard_negatives", "missing_chunks", "negative_pack", "numbered", "pair_rows", "positives", "render_summary", "reranker_pairs", "review_pack", "train_cross_encoder", "training_steps"]
+__all__ = ["apply_reviews", "build_examples", "count_by", "difficulty", "example_evidence", "hard_negatives", "missing_chunks", "negative_pack",
+    "numbered", "pair_rows", "positives", "render_summary", "reranker_pairs", "review_pack", "train_cross_encoder", "training_steps"]

@@ -34,7 +34,8 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> Da
 class _Questions:
     """Blocks of questions: for each, its terms (numbers into vocab), question numbers and weights, sorted by term."""
 
-    def __init__(self, question: np.ndarray, term: np.ndarray, weight: np.ndarray, names: list, k1: float, b: float, average: float, levels: dict[str, float]):
+    def __init__(self, question: np.ndarray, term: np.ndarray, weight: np.ndarray, names: list, k1: float, b: float, average: float,
+            levels: dict[str, float]):
         self.names, self.k1, self.b, self.average, self.levels = names, k1, b, average, levels
         self.vocab, number = np.unique(term, return_inverse=True)
         self.blocks = []
@@ -92,14 +93,16 @@ class Bm25Index:
     level_weights: dict[str, float] | None = None
 
     @classmethod
-    def build(cls, chunks: DataFrame, k1: float = 1.5, b: float = 0.75, level_weights: dict[str, float] | None = None, exclude_low_value: bool = True) -> Bm25Index:
+    def build(cls, chunks: DataFrame, k1: float = 1.5, b: float = 0.75, level_weights: dict[str, float] | None = None,
+            exclude_low_value: bool = True) -> Bm25Index:
         """n counts all chunks passed in, the rest only those kept, as low-value chunks are left out of the index.
 
         A chunk without tokens counts in n and the average and is never found; an empty corpus finds nothing.
         """
         kept = F.lit(True) if not exclude_low_value else ~F.coalesce("metadata.text_retrieval_excluded", F.lit(False))
         terms = F.when(kept, F.coalesce(F.transform(mixed_tokens(F.col("text")), lambda t: F.xxhash64(t)), F.array().cast("array<bigint>")))
-        tokens = settled(chunks.select("chunk_id", F.coalesce("level", F.lit("passage")).alias("level"), terms.alias("terms")).withColumn("length", F.size("terms")))
+        tokens = settled(chunks.select("chunk_id", F.coalesce("level", F.lit("passage")).alias("level"), terms.alias("terms")).withColumn("length",
+            F.size("terms")))
         r = tokens.agg(F.count("*").alias("n"), F.avg(F.when(F.col("terms").isNotNull(), F.col("length"))).alias("a")).first()
         return cls(tokens.filter("terms is not null"), r["n"], r["a"] or 0.0, k1, b, level_weights)
 
@@ -109,11 +112,13 @@ class Bm25Index:
 
     def _weighted(self, queries: DataFrame) -> DataFrame:
         """(query_id, term, w): a term's idf, as often as it stands in the query; terms of no passage have none."""
-        terms = queries.select("query_id", F.explode(mixed_tokens(F.col("query"))).alias("t")).groupBy("query_id", F.xxhash64("t").alias("term")).agg(F.count("*").alias("qtf"))
+        terms = queries.select("query_id", F.explode(mixed_tokens(F.col("query"))).alias("t")).groupBy("query_id",
+            F.xxhash64("t").alias("term")).agg(F.count("*").alias("qtf"))
         terms = settled(terms)
         df = self.tokens.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         df = df.join(terms.select("term").distinct(), "term", "left_semi")
-        return settled(terms.join(df, "term").select("query_id", "term", (F.col("qtf") * F.ln(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")))
+        return settled(terms.join(df, "term").select("query_id", "term",
+            (F.col("qtf") * F.ln(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")))
 
     def search(self, queries: DataFrame, k: int = 5, digits: int | None = None, slice_terms: int = 2_000_000) -> DataFrame:
         """(query_id, chunk_id, score, rank). A term that stands twice in a query counts twice; equals go by chunk_id.
@@ -134,7 +139,8 @@ class Bm25Index:
     def _scan(self, terms: DataFrame, k: int, digits: int | None) -> DataFrame:
         held = terms.toPandas()
         question, names = held["query_id"].factorize(sort=True)
-        questions = _Questions(question, held["term"].to_numpy(np.int64), held["w"].to_numpy(float), list(names), self.k1, self.b, self.average_length, self.level_weights or LEVEL_WEIGHTS)
+        questions = _Questions(question, held["term"].to_numpy(np.int64), held["w"].to_numpy(float), list(names), self.k1, self.b,
+            self.average_length, self.level_weights or LEVEL_WEIGHTS)
         known = self.tokens.sparkSession.sparkContext.broadcast(questions)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +165,13 @@ class Bm25Index:
                         s = _scores(block[1], len(ids), block, term, passage, gain)
                         best.add(block[0], s if digits is None else np.round(s, digits), ids, above=0.0)
             row, ids, score = best.rows()
-            yield pa.RecordBatch.from_arrays([pa.array([qs.names[r] for r in row], kinds[0]), pa.array(ids, pa.string()), pa.array(score, pa.float64())], names=["query_id", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([qs.names[r] for r in row], kinds[0]), pa.array(ids, pa.string()),
+                pa.array(score, pa.float64())], names=["query_id", "chunk_id", "score"])
 
         kind = terms.schema["query_id"].dataType
         kinds = [pa.string() if kind.simpleString() == "string" else pa.int64() if kind.simpleString() == "bigint" else pa.int32()]
-        return mapped_arrow(self.tokens.select("chunk_id", "level", "length", "terms"), work, f"query_id {kind.simpleString()}, chunk_id string, score double")
+        return mapped_arrow(self.tokens.select("chunk_id", "level", "length", "terms"), work,
+            f"query_id {kind.simpleString()}, chunk_id string, score double")
 
     def scored(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
         """(query_id, chunk_id, score) of the given pairs whose score is above 0; a pair costs one join, nothing is ranked."""
@@ -178,7 +186,8 @@ class Bm25Index:
         weight = F.lit(1.0)
         for level, w in (self.level_weights or LEVEL_WEIGHTS).items():
             weight = F.when(F.col("level") == level, w).otherwise(weight)
-        return both.select("query_id", "chunk_id", (F.aggregate("q", F.lit(0.0), lambda a, x: a + gain(x)) * weight).alias("score")).filter("score > 0")
+        return both.select("query_id", "chunk_id", (F.aggregate("q", F.lit(0.0), lambda a,
+            x: a + gain(x)) * weight).alias("score")).filter("score > 0")
 
 
 def term_statistics(chunks: DataFrame) -> DataFrame:

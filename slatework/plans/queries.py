@@ -79,7 +79,8 @@ def repeated_downloads(s, d):
 
 @query
 def level_filter(s, d):
-    return pages.at_levels(_chunks(s, d), "section", "page").groupBy("level").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"))
+    return pages.at_levels(_chunks(s, d), "section", "page").groupBy("level").agg(F.count("*").alias("chunks"),
+        F.sum(F.length("text")).alias("characters"))
 
 
 @query
@@ -109,14 +110,17 @@ def cleaned_pages(s, d):
 @query
 def page_quality(s, d):
     out = pages.assess_pages(_pages(s, d))
-    return out.select("document_id", _long("page_number"), "role", "requires_vision", "text_retrieval_excluded", "visual_risk_score", F.array_join("visual_risk_reasons", ",").alias("reasons"))
+    return out.select("document_id", _long("page_number"), "role", "requires_vision", "text_retrieval_excluded", "visual_risk_score",
+        F.array_join("visual_risk_reasons", ",").alias("reasons"))
 
 
 @query
 def parse_report(s, d):
     out = pages.parse_report(pages.prepare_pages(_pages(s, d)))
-    sizes = [F.size(c).cast("bigint").alias(c) for c in ("empty_pages", "low_text_pages", "image_pages", "requires_vision_pages", "low_value_pages", "text_retrieval_excluded_pages")]
-    return out.select("document_id", _long("page_count"), _long("nonempty_pages"), _long("total_characters"), _long("removed_boilerplate_lines"), "text_coverage", *sizes, F.size("warnings").cast("bigint").alias("warnings"))
+    sizes = [F.size(c).cast("bigint").alias(c) for c in ("empty_pages", "low_text_pages", "image_pages", "requires_vision_pages", "low_value_pages",
+        "text_retrieval_excluded_pages")]
+    return out.select("document_id", _long("page_count"), _long("nonempty_pages"), _long("total_characters"), _long("removed_boilerplate_lines"),
+        "text_coverage", *sizes, F.size("warnings").cast("bigint").alias("warnings"))
 
 
 @query
@@ -130,23 +134,27 @@ def vision_pages(s, d):
 @query
 def section_groups(s, d):
     p = chunking.sections(pages.assess_pages(_pages(s, d)))
-    return p.groupBy("document_id", "section_no", "section").agg(F.min("page_number").cast("bigint").alias("page_start"), F.max("page_number").cast("bigint").alias("page_end"), F.count("*").alias("pages")).withColumn("section_no", _long("section_no"))
+    return p.groupBy("document_id", "section_no", "section").agg(F.min("page_number").cast("bigint").alias("page_start"),
+        F.max("page_number").cast("bigint").alias("page_end"), F.count("*").alias("pages")).withColumn("section_no", _long("section_no"))
 
 
 @query
 def sentence_split(s, d):
-    return _passages(s, d).select("chunk_id", X.sentences(F.col("text")).alias("x")).select("chunk_id", F.size("x").cast("bigint").alias("sentences"), F.sha1(F.array_join("x", "|")).alias("mark"))
+    return _passages(s, d).select("chunk_id", X.sentences(F.col("text")).alias("x")).select("chunk_id",
+        F.size("x").cast("bigint").alias("sentences"), F.sha1(F.array_join("x", "|")).alias("mark"))
 
 
 @query
 def passage_windows(s, d):
-    return _pages(s, d).select("document_id", _long("page_number"), F.posexplode(X.windows(X.sentences(F.col("text")), 500, 1)).alias("window", "text")).withColumn("window", _long("window"))
+    return _pages(s, d).select("document_id", _long("page_number"), F.posexplode(X.windows(X.sentences(F.col("text")), 500, 1)).alias("window",
+        "text")).withColumn("window", _long("window"))
 
 
 @query
 def chunked_pages(s, d):
     out = chunking.chunk_pages(pages.prepare_pages(_pages(s, d)))
-    return out.select("chunk_id", "document_id", _long("page_start"), _long("page_end"), "text", "section", "parent_id", "level", F.array_join("child_ids", ",").alias("children"))
+    return out.select("chunk_id", "document_id", _long("page_start"), _long("page_end"), "text", "section", "parent_id", "level",
+        F.array_join("child_ids", ",").alias("children"))
 
 
 @query
@@ -157,7 +165,8 @@ def chunk_levels(s, d):
 @query
 def truncated_sections(s, d):
     c = pages.at_levels(_chunks(s, d), "section")
-    return c.select("chunk_id", F.sha1(X.truncated(F.col("text"), 400)).alias("mark"), F.length(X.truncated(F.col("text"), 400)).cast("bigint").alias("size"))
+    return c.select("chunk_id", F.sha1(X.truncated(F.col("text"), 400)).alias("mark"),
+        F.length(X.truncated(F.col("text"), 400)).cast("bigint").alias("size"))
 
 
 @query
@@ -224,7 +233,8 @@ def dense_label_precision(s, d):
 @query
 def visual_topk(s, d):
     """Page vectors stand in for page images: document = label, page = id."""
-    p = _vectors(s, d, False).select(F.concat(F.lit("doc-"), F.col("label").cast("string")).alias("document_id"), F.col("vec_id").cast("int").alias("page_number"), "embedding")
+    p = _vectors(s, d, False).select(F.concat(F.lit("doc-"), F.col("label").cast("string")).alias("document_id"),
+        F.col("vec_id").cast("int").alias("page_number"), "embedding")
     return dense.visual_search(_vectors(s, d, True), p, 5, digits=6).select("query_id", "document_id", _long("page_number"), "score")
 
 
@@ -252,14 +262,16 @@ def _systems(s, d, k=50):
 
 @query
 def rrf_chunks(s, d):
-    return fusion.fuse(_systems(s, d), ["chunk_id"], 5, {"bm25": 1.0, "bm25_flat": 3.0}, 60, 50, 12).select("query_id", "chunk_id", "score", _long("rank"))
+    return fusion.fuse(_systems(s, d), ["chunk_id"], 5, {"bm25": 1.0, "bm25_flat": 3.0}, 60, 50, 12).select("query_id", "chunk_id", "score",
+        _long("rank"))
 
 
 @query
 def rrf_pages(s, d):
     c, p = _passages(s, d), _pages(s, d)
     ranked = {n: fusion.to_pages(r, c, p, 50, 50) for n, r in _systems(s, d).items()}
-    return fusion.fuse(ranked, ["document_id", "page_number"], 5, digits=12).select("query_id", "document_id", _long("page_number"), "score", _long("rank"))
+    return fusion.fuse(ranked, ["document_id", "page_number"], 5, digits=12).select("query_id", "document_id", _long("page_number"), "score",
+        _long("rank"))
 
 
 @query
@@ -344,13 +356,15 @@ def review_counts(s, d):
 
 @query
 def pair_conflicts(s, d):
-    return mining.pair_rows(_negatives(s, d), _passages(s, d)).groupBy((F.col("low") == F.col("high")).alias("sound")).agg(F.count("*").alias("pairs"))
+    return mining.pair_rows(_negatives(s, d),
+        _passages(s, d)).groupBy((F.col("low") == F.col("high")).alias("sound")).agg(F.count("*").alias("pairs"))
 
 
 @query
 def negative_pack(s, d):
     n = _negatives(s, d, {"hard": 1}).withColumn("idx", F.lit(0))
-    return mining.negative_pack(n, _passages(s, d)).select("query_id", "positive_chunk_id", "negative_chunk_id", F.col("positive.document_id").alias("positive_document"), F.col("negative.document_id").alias("negative_document"))
+    return mining.negative_pack(n, _passages(s, d)).select("query_id", "positive_chunk_id", "negative_chunk_id",
+        F.col("positive.document_id").alias("positive_document"), F.col("negative.document_id").alias("negative_document"))
 
 
 @query
@@ -370,7 +384,8 @@ def example_evidence(s, d):
 @query
 def pair_components(s, d):
     """Documents tied by common question sets."""
-    e = _examples(s, d).filter("document_id is not null and pair_id is not null").select("document_id", F.lower(F.trim("pair_id")).alias("p")).distinct()
+    e = _examples(s, d).filter("document_id is not null and pair_id is not null").select("document_id",
+        F.lower(F.trim("pair_id")).alias("p")).distinct()
     low = e.groupBy("p").agg(F.min("document_id").alias("v"))
     c = graph.connected_components(e.join(low, "p"), "document_id", "v")
     return c.select(F.col("node").alias("document_id"), "component")

@@ -41,10 +41,12 @@ def pages_of_text(files: DataFrame) -> DataFrame:
     The title is the first line if it is a Markdown heading, with its marks.
     """
     body = F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n")
-    parts = files.select(X.content_id(F.col("content")).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.posexplode(F.split(body, PAGE_END, -1)).alias("p", "raw"))
+    parts = files.select(X.content_id(F.col("content")).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.posexplode(F.split(body, PAGE_END, -1)).alias("p", "raw"))
     parts = parts.withColumn("text", X.strip(F.col("raw"))).filter(F.length("text") > 0)
     first = X.strip(F.get(X.lines(F.col("text")), F.lit(0)))
-    return parts.select("document_id", (F.col("p") + 1).alias("page_number"), "text", F.when(first.startswith("#"), first).alias("title"), _meta(parser=F.lit("text"), source_name=F.col("name")).alias("metadata"))
+    return parts.select("document_id", (F.col("p") + 1).alias("page_number"), "text", F.when(first.startswith("#"), first).alias("title"),
+        _meta(parser=F.lit("text"), source_name=F.col("name")).alias("metadata"))
 
 
 _PARSED = "document_id string, page_number int, text string, title string, width double, height double, rotation int, images int, notes string, parser string, blocks array<struct<type:string,text:string,left:bigint,top:bigint,width:bigint,height:bigint>>, name string"
@@ -65,7 +67,8 @@ def _pdf_pages(content: bytes) -> Iterator[dict]:
         raise ImportError("reading PDF files needs the optional package pypdf") from e
     for page in PdfReader(io.BytesIO(content)).pages:
         wide, high = (round(float(x), 2) for x in (page.mediabox.width, page.mediabox.height))
-        yield {"text": (page.extract_text() or "").strip(), "width": wide, "height": high, "rotation": int(page.get("/Rotate") or 0), "images": _found(lambda p=page: len(p.images), 0), "parser": "pypdf"}
+        yield {"text": (page.extract_text() or "").strip(), "width": wide, "height": high, "rotation": int(page.get("/Rotate") or 0),
+            "images": _found(lambda p=page: len(p.images), 0), "parser": "pypdf"}
 
 
 def _shape_block(shape) -> dict | None:
@@ -89,7 +92,8 @@ def _pptx_pages(content: bytes) -> Iterator[dict]:
         blocks = [b for s in slide.shapes if (b := _shape_block(s))]
         blocks.sort(key=lambda b: (b["top"], b["left"]))
         head = slide.shapes.title
-        yield {"text": "\n".join(b["text"] for b in blocks), "title": head.text.strip() if head is not None else None, "blocks": blocks, "parser": "python-pptx",
+        yield {"text": "\n".join(b["text"] for b in blocks), "title": head.text.strip() if head is not None else None, "blocks": blocks,
+            "parser": "python-pptx",
                "images": sum(_found(lambda s=s: s.shape_type == MSO_SHAPE_TYPE.PICTURE, False) for s in slide.shapes),
                "notes": (slide.notes_slide.notes_text_frame.text.strip() or None) if slide.has_notes_slide else None}
 
@@ -97,12 +101,14 @@ def _pptx_pages(content: bytes) -> Iterator[dict]:
 def _pages_by(files: DataFrame, parse) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [{"document_id": i, "name": n, "page_number": k} | p for i, n, c in zip(pdf["document_id"], pdf["name"], pdf["content"]) for k, p in enumerate(parse(bytes(c)), 1)]
+            rows = [{"document_id": i, "name": n, "page_number": k} | p for i, n, c in zip(pdf["document_id"], pdf["name"], pdf["content"]) for k,
+                p in enumerate(parse(bytes(c)), 1)]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PARSED.split(", ")])
 
     named = files.select(X.content_id(F.col("content")).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     got = mapped(named, work, _PARSED)
-    meta = _meta(parser=F.col("parser"), blocks=F.col("blocks"), source_name=F.col("name"), width_points=F.col("width"), height_points=F.col("height"), rotation=F.col("rotation"), image_count=F.col("images"), speaker_notes=F.col("notes"))
+    meta = _meta(parser=F.col("parser"), blocks=F.col("blocks"), source_name=F.col("name"), width_points=F.col("width"),
+        height_points=F.col("height"), rotation=F.col("rotation"), image_count=F.col("images"), speaker_notes=F.col("notes"))
     return got.select("document_id", "page_number", "text", "title", meta.alias("metadata"))
 
 
@@ -114,7 +120,8 @@ def read_course_files(spark: SparkSession, *paths: str, clean: bool | None = Non
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path", "content")
     suffix = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
     kinds = {parser_of(f"x{r[0]}") for r in files.select(suffix).distinct().limit(100).collect()}
-    twice = files.groupBy(F.sha2("content", 256)).agg(F.count("*").alias("n"), F.min("path").alias("a"), F.max("path").alias("b")).filter("n > 1").limit(1).collect()
+    twice = files.groupBy(F.sha2("content", 256)).agg(F.count("*").alias("n"), F.min("path").alias("a"),
+        F.max("path").alias("b")).filter("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"the same content twice: {twice[0]['a']} and {twice[0]['b']}")
     out = None
@@ -134,7 +141,8 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of the lines that are not JSON objects."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n", -1)).alias("p", "line"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"),
+        F.posexplode(F.split("value", r"\r?\n", -1)).alias("p", "line"))
     parsed = F.try_parse_json("line") if hasattr(F, "try_parse_json") else F.from_json("line", "map<string,string>")
     object_like = F.col("line").rlike(r"^\s*\{") & parsed.isNotNull()
     return text.filter((F.length(F.trim("line")) > 0) & ~object_like).select("path", (F.col("p") + 1).alias("line_no"), "line")
@@ -169,4 +177,5 @@ def manifest_files(manifest: DataFrame) -> DataFrame:
     roles = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"p.{r}").alias("files")) for r in ("courseware", "review")])
     each = pairs.select("source_id", "license", "redistribution", "p.pair_id", "p.topic", F.explode(roles).alias("r"))
     each = each.select("source_id", "pair_id", "topic", "r.role", "license", "redistribution", F.explode("r.files").alias("f"))
-    return each.select("source_id", "pair_id", "topic", "role", F.col("f.filename").alias("filename"), F.col("f.url").alias("url"), "license", "redistribution")
+    return each.select("source_id", "pair_id", "topic", "role", F.col("f.filename").alias("filename"), F.col("f.url").alias("url"), "license",
+        "redistribution")

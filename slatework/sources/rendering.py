@@ -71,7 +71,8 @@ def png_size(content: bytes) -> tuple[int, int]:
     return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
 
 
-def render_file(path: str, output: str, dpi: int = 144, converters: Sequence[Converter] = (by_poppler, by_mupdf), to_pdf: Callable[[str, str], str] = pdf_of) -> list[dict]:
+def render_file(path: str, output: str, dpi: int = 144, converters: Sequence[Converter] = (by_poppler, by_mupdf),
+        to_pdf: Callable[[str, str], str] = pdf_of) -> list[dict]:
     """Rows (document_id, page_number, image_path, source_path, width, height, sha256) of one PDF or PPTX file.
 
     Images are named page-0001.png and on, in a folder named after the file. ValueError for a dpi below 1 or another
@@ -105,12 +106,14 @@ def render_file(path: str, output: str, dpi: int = 144, converters: Sequence[Con
                 width, height = png_size(content)
                 place = target / f"page-{page:04d}.png"
                 place.write_bytes(content)
-                rows.append({"document_id": document, "page_number": page, "image_path": str(place), "source_path": str(source), "width": width, "height": height, "sha256": hashlib.sha256(content).hexdigest()})
+                rows.append({"document_id": document, "page_number": page, "image_path": str(place), "source_path": str(source), "width": width,
+                    "height": height, "sha256": hashlib.sha256(content).hexdigest()})
             return rows
     raise RuntimeError("; ".join(reasons) or "no converter was given")
 
 
-def rendered_pages(spark: SparkSession, paths: Sequence[str], output: str, dpi: int = 144, converters: Sequence[Converter] = (by_poppler, by_mupdf), to_pdf: Callable[[str, str], str] = pdf_of,
+def rendered_pages(spark: SparkSession, paths: Sequence[str], output: str, dpi: int = 144, converters: Sequence[Converter] = (by_poppler, by_mupdf),
+        to_pdf: Callable[[str, str], str] = pdf_of,
                    judged: DataFrame | None = None) -> DataFrame:
     """RENDERED_PAGE rows, one file a task; judged pages (document_id, page_number, requires_vision, role, visual_risk_score) add their judgement.
 
@@ -130,6 +133,8 @@ def rendered_pages(spark: SparkSession, paths: Sequence[str], output: str, dpi:
     if judged is not None:
         out = out.join(judged.select("document_id", "page_number", *known), ["document_id", "page_number"], "left")
     else:
-        out = out.withColumns({"requires_vision": F.lit(None).cast("boolean"), "role": F.lit(None).cast("string"), "visual_risk_score": F.lit(None).cast("double")})
-    out = out.withColumns({"requires_vision": F.coalesce("requires_vision", F.lit(False)), "role": F.coalesce("role", F.lit("content")), "visual_risk_score": F.coalesce("visual_risk_score", F.lit(0.0))})
+        out = out.withColumns({"requires_vision": F.lit(None).cast("boolean"), "role": F.lit(None).cast("string"),
+            "visual_risk_score": F.lit(None).cast("double")})
+    out = out.withColumns({"requires_vision": F.coalesce("requires_vision", F.lit(False)), "role": F.coalesce("role", F.lit("content")),
+        "visual_risk_score": F.coalesce("visual_risk_score", F.lit(0.0))})
     return out.select(*schemas.RENDERED_PAGE.names)

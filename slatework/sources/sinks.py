@@ -26,7 +26,8 @@ def report(experiment: dict, dataset: dict, metrics: DataFrame, path: str | None
     Diagnostics, a row per query and system, go line by line into a file beside the report (path with .diagnostics.jsonl);
     the report names it. Without a path they are returned.
     """
-    out = {"experiment": experiment, "dataset": dataset, "metrics": {r["question_type"]: {k: v for k, v in r.asDict().items() if k != "question_type"} for r in metrics.collect()}}
+    out = {"experiment": experiment, "dataset": dataset, "metrics": {r["question_type"]: {k: v for k,
+        v in r.asDict().items() if k != "question_type"} for r in metrics.collect()}}
     if path:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
     if diagnostics is not None and path:

@@ -21,7 +21,8 @@ def judged_once(pages: DataFrame, late: str = "1 day") -> DataFrame:
 
     The state holds the keys within the watermark only, so it does not grow with the stream.
     """
-    once = pages.filter(F.col("document_id").isNotNull()).withWatermark("ingested_at", late).dropDuplicatesWithinWatermark(["document_id", "page_number"])
+    once = pages.filter(F.col("document_id").isNotNull()).withWatermark("ingested_at",
+        late).dropDuplicatesWithinWatermark(["document_id", "page_number"])
     return assess_pages(once)
 
 

@@ -79,10 +79,12 @@ def test_truncation(spark):
 
 
 def test_footer_removal_and_roles(spark):
-    p = pages_of(spark, [("d", n, f"Slide text number {'abc'[n - 1]} is here, quite long enough to stay.\nCourse 2026 {n}", None, 1) for n in (1, 2, 3)])
+    p = pages_of(spark, [("d", n, f"Slide text number {'abc'[n - 1]} is here, quite long enough to stay.\nCourse 2026 {n}", None, 1) for n in (1, 2,
+        3)])
     got = {r["page_number"]: r for r in pages.prepare_pages(p).collect()}
     assert all("Course" not in r["text"] and r["removed_lines"] == [f"Course 2026 {n}"] and "Course" in r["raw_text"] for n, r in got.items())
-    roles = pages_of(spark, [("d", 1, "", None, 0), ("d", 2, "Part two", None, 1), ("d", 3, "", None, 2), ("d", 4, "Subject to copyright", None, 0), ("d", 5, "Plain text.", None, 0)])
+    roles = pages_of(spark, [("d", 1, "", None, 0), ("d", 2, "Part two", None, 1), ("d", 3, "", None, 2), ("d", 4, "Subject to copyright", None, 0),
+        ("d", 5, "Plain text.", None, 0)])
     kept = {r["page_number"]: r for r in pages.assess_pages(roles).collect()}
     assert [kept[n]["role"] for n in range(1, 6)] == ["empty", "section_divider", "visual_only", "boilerplate", "content"]
     assert kept[2]["section_break"] and kept[2]["requires_vision"] and kept[5]["text_retrieval_excluded"] is False
@@ -91,7 +93,8 @@ def test_footer_removal_and_roles(spark):
 
 
 def test_chunks_and_hierarchy(spark):
-    p = pages_of(spark, [("d", 1, "Intro text. More of it.", "Chapter 1 Start", 0), ("d", 2, "Second page.", "Other", 0), ("d", 3, "第二章 here. End.", "第二章 矩阵", 0)])
+    p = pages_of(spark, [("d", 1, "Intro text. More of it.", "Chapter 1 Start", 0), ("d", 2, "Second page.", "Other", 0),
+        ("d", 3, "第二章 here. End.", "第二章 矩阵", 0)])
     c = chunking.chunk_pages(pages.prepare_pages(p), 12).cache()
     levels = {r["level"]: r["count"] for r in c.groupBy("level").count().collect()}
     assert levels["section"] == 2 and levels["page"] == 3 and levels["passage"] == 5
@@ -136,7 +139,8 @@ def test_text_pages_keep_their_numbers(spark, tmp_path):
 
 
 def test_bm25(spark):
-    c = chunks_of(spark, [("a", "d", 1, 1, "gradient descent", "section"), ("b", "d", 1, 1, "gradient descent", "page"), ("c", "d", 1, 1, "gradient descent", "passage"), ("x", "d", 2, 2, "other words", "passage")])
+    c = chunks_of(spark, [("a", "d", 1, 1, "gradient descent", "section"), ("b", "d", 1, 1, "gradient descent", "page"),
+        ("c", "d", 1, 1, "gradient descent", "passage"), ("x", "d", 2, 2, "other words", "passage")])
     q = spark.createDataFrame([("q", "Gradient"), ("none", "unseen")], "query_id string, query string")
     got = Bm25Index.build(c).search(q).orderBy("rank").collect()
     assert [r["chunk_id"] for r in got] == ["c", "b", "a"] and got[0]["score"] > got[1]["score"] > got[2]["score"] > 0
@@ -183,7 +187,8 @@ def test_dense_and_caches(spark):
     q = spark.createDataFrame([("q", [0.0, 1.0])], "query_id string, embedding array<double>")
     got = dense.dense_search(q, dense.checked_unit(rows, "embedding"), 2).orderBy("rank").collect()
     assert [(r["chunk_id"], r["score"]) for r in got] == [("b", 1.0), ("c", 1.0)]
-    twice = dense.cosine_top_k(q.union(spark.createDataFrame([("p", [1.0, 0.0])], q.schema)), dense.checked_unit(rows, "embedding"), 1, row_id="chunk_id", held_numbers=2).collect()
+    twice = dense.cosine_top_k(q.union(spark.createDataFrame([("p", [1.0, 0.0])], q.schema)), dense.checked_unit(rows, "embedding"), 1,
+        row_id="chunk_id", held_numbers=2).collect()
     assert {(r["query_id"], r["chunk_id"]) for r in twice} == {("q", "b"), ("p", "a")}
     named = spark.createDataFrame([("a|b", 2, [0.0, 1.0]), ("x", 1, [1.0, 0.0])], "document_id string, page_number int, embedding array<double>")
     assert [tuple(r)[1:3] for r in dense.visual_search(q, named, 1).collect()] == [("a|b", 2)]
@@ -199,7 +204,8 @@ def test_dense_and_caches(spark):
         dense.load_cache(texts.withColumn("text", F.lit("new")), cache)
     with pytest.raises(ValueError, match="missing"):
         dense.load_cache(texts.unionByName(chunks_of(spark, [("n", "d", 1, 1, "x", "passage")])), cache)
-    assert dense.cache_header(cache, dense.CHUNK_CACHE) == {"model": "m", "query_prefix": "query: ", "document_prefix": "passage: "} and dense.cache_header(cache.limit(0), dense.CHUNK_CACHE) == {}
+    assert dense.cache_header(cache, dense.CHUNK_CACHE) == {"model": "m", "query_prefix": "query: ",
+        "document_prefix": "passage: "} and dense.cache_header(cache.limit(0), dense.CHUNK_CACHE) == {}
     for broken in (cache.withColumn("format", F.lit("other")), cache.withColumn("model", F.lit("")), cache.withColumn("model", F.col("chunk_id"))):
         with pytest.raises(ValueError, match="cache"):
             dense.load_cache(texts, broken)
@@ -230,14 +236,16 @@ def test_fusion(spark):
 
 def test_metrics(spark):
     c = chunks_of(spark, [("a", "d", 1, 1, "t", "passage"), ("b", "e", 1, 2, "t", "passage")])
-    e = examples_of(spark, [("1", "q", "d", [1], [], None, "dev", None), ("2", "q", "d", [2], [], "text", "dev", None), ("3", "q", None, [2], [], "text", "dev", None)])
+    e = examples_of(spark, [("1", "q", "d", [1], [], None, "dev", None), ("2", "q", "d", [2], [], "text", "dev", None),
+        ("3", "q", None, [2], [], "text", "dev", None)])
     r = spark.createDataFrame([("1", "b", 2.0, 1), ("1", "a", 1.0, 2), ("3", "b", 1.0, 1)], HIT)
     m = {x["query_id"]: x for x in evaluation.query_metrics(e, evaluation.chunk_hits(e, r, c), 2).collect()}
     assert (m["1"]["recall"], m["1"]["precision"], m["1"]["rr"], m["1"]["question_type"]) == (1.0, 0.5, 0.5, "unlabeled")
     assert m["2"]["no_result"] == 1.0 and m["2"]["ndcg"] == 0 and m["3"]["recall"] == 1.0
     s = {x["question_type"]: x for x in evaluation.summary(evaluation.query_metrics(e, evaluation.chunk_hits(e, r, c), 2)).collect()}
     assert s["ALL"]["queries"] == 3 and s["ALL"]["recall_at_k"] == 0.666667 and s["text"]["no_result_rate"] == 0.5
-    p = spark.createDataFrame([("1", "d", 1, 1.0, 1), ("3", "d", 2, 1.0, 1)], "query_id string, document_id string, page_number int, score double, rank int")
+    p = spark.createDataFrame([("1", "d", 1, 1.0, 1), ("3", "d", 2, 1.0, 1)],
+        "query_id string, document_id string, page_number int, score double, rank int")
     pm = {x["query_id"]: x["recall"] for x in evaluation.query_metrics(e, evaluation.page_hits(e, p), 2, pages=True).collect()}
     assert pm == {"1": 1.0, "2": 0.0, "3": 0.0}
     with pytest.raises(ValueError):
@@ -246,10 +254,13 @@ def test_metrics(spark):
 
 def test_dataset_checks(spark):
     c = chunks_of(spark, [("a", "d", 1, 2, "t", "passage"), ("b", "e", 1, 1, "t", "passage")])
-    e = examples_of(spark, [("1", "q", "d", [1], ["a"], "text", "dev", "verified"), ("1", "Q ", "d", [3], [], "odd", "later", "maybe"), ("2", " ", "x", [0], [" "], None, None, None),
-                            ("3", "r", "d", [], ["b"], "text", "dev", "verified"), ("4", "s", "d", [], ["zz"], "text", "dev", "verified"), ("5", "t", None, [1], [], "text", "dev", "verified"), (" ", "u", " ", [], [], "text", "dev", "verified")])
+    e = examples_of(spark, [("1", "q", "d", [1], ["a"], "text", "dev", "verified"), ("1", "Q ", "d", [3], [], "odd", "later", "maybe"),
+        ("2", " ", "x", [0], [" "], None, None, None),
+                            ("3", "r", "d", [], ["b"], "text", "dev", "verified"), ("4", "s", "d", [], ["zz"], "text", "dev", "verified"),
+                            ("5", "t", None, [1], [], "text", "dev", "verified"), (" ", "u", " ", [], [], "text", "dev", "verified")])
     codes = {r["code"] for r in evaluation.dataset_errors(e, c, ("split",)).collect()}
-    assert codes == {"duplicate_id", "duplicate_query", "page_not_in_corpus", "question_type", "split", "annotation_status", "query", "relevant_pages", "relevant_chunk_ids", "split_missing", "document_not_in_corpus",
+    assert codes == {"duplicate_id", "duplicate_query", "page_not_in_corpus", "question_type", "split", "annotation_status", "query",
+        "relevant_pages", "relevant_chunk_ids", "split_missing", "document_not_in_corpus",
                      "chunk_of_other_document", "chunk_not_in_corpus", "pages_need_document", "id", "no_label", "document_id"}
     with pytest.raises(ValueError, match="duplicate_id"):
         evaluation.validate(e, c)
@@ -263,7 +274,8 @@ def test_mining_and_pairs(spark):
     e = examples_of(spark, [("1", " q ", "d", [1], [], "text", "train", "verified")])
     r = spark.createDataFrame([("1", f"c{n:02}", 1.0 / n, n) for n in range(1, 14)], HIT)
     got = mining.hard_negatives(e, r, c, 20, quotas={"hard": 2, "medium": 1, "easy": 1}).orderBy("negative_rank").collect()
-    assert [(x["negative_chunk_id"], x["difficulty"], x["positive_chunk_id"]) for x in got] == [("c02", "hard", "c01"), ("c03", "hard", "c01"), ("c06", "medium", "c01"), ("c11", "easy", "c01")]
+    assert [(x["negative_chunk_id"], x["difficulty"], x["positive_chunk_id"]) for x in got] == [("c02", "hard", "c01"), ("c03", "hard", "c01"),
+        ("c06", "medium", "c01"), ("c11", "easy", "c01")]
     some = mining.hard_negatives(e, r, c, 20, quotas={"hard": 1}).collect()
     assert sorted(x["negative_rank"] for x in some) == [2, *range(6, 14)]  # what has no quota is not limited
     deep = lambda pairs: pairs.withColumn("score", F.lit(0.25))
@@ -277,12 +289,14 @@ def test_mining_and_pairs(spark):
         mining.reranker_pairs(t.unionByName(spark.createDataFrame([("q", "c02", "c03", 1, "m", "hard")], schemas.TRIPLET)), c)
     with pytest.raises(ValueError, match="unknown chunk"):
         mining.reranker_pairs(t.withColumn("positive_chunk_id", F.lit("zz")), c)
-    rows = t.withColumn("review_id", F.concat(F.lit("n"), F.col("negative_rank").cast("string"))).withColumn("review_decision", F.when(F.col("negative_rank") == 1, "valid_negative").otherwise("uncertain"))
+    rows = t.withColumn("review_id", F.concat(F.lit("n"), F.col("negative_rank").cast("string"))).withColumn("review_decision",
+        F.when(F.col("negative_rank") == 1, "valid_negative").otherwise("uncertain"))
     with pytest.raises(ValueError, match="not decided"):
         mining.apply_reviews(rows)
     kept, counts = mining.apply_reviews(rows, False)
     figures = counts.first()
-    assert kept.count() == 1 and [figures[d] for d in ("rows", *mining.DECISIONS, "queries_retained")] == [2, 1, 0, 1, 0, 1] and figures["difficulty_counts"] == {"hard": 1}
+    assert kept.count() == 1 and [figures[d] for d in ("rows", *mining.DECISIONS, "queries_retained")] == [2, 1, 0, 1, 0,
+        1] and figures["difficulty_counts"] == {"hard": 1}
     assert mining.apply_reviews(rows.withColumn("review_decision", F.lit("")), False)[1].first()["pending"] == 2
     with pytest.raises(ValueError, match="duplicate"):
         mining.apply_reviews(rows.withColumn("review_id", F.when(F.col("negative_rank") == 1, " n").otherwise("n ")), False)
@@ -308,7 +322,8 @@ def test_released_checkpoints(spark):
 def test_broadcasts_are_measured_in_bytes(spark):
     from slatework.runtime import small
 
-    few, long = spark.createDataFrame([("a", ["b"], 1)], "s string, t array<string>, n int"), spark.createDataFrame([("x" * 5000, None, 1)], "s string, t array<string>, n int")
+    few, long = spark.createDataFrame([("a", ["b"], 1)], "s string, t array<string>, n int"), spark.createDataFrame([("x" * 5000, None, 1)],
+        "s string, t array<string>, n int")
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(small(few, 1000)) and not hinted(small(long, 1000)) and hinted(small(few.limit(0), 1000))
 
@@ -341,7 +356,8 @@ def test_jsonl_and_manifests(spark, tmp_path):
 def test_examples_from_evidence(spark):
     c = chunks_of(spark, [("p1", "d", 1, 1, "t", "page"), ("p2", "d", 2, 2, "t", "page"), ("x1", "e", 1, 1, "t", "page")])
     c = c.withColumn("metadata", c.metadata.withField("source_name", F.when(F.col("document_id") == "d", "a.pdf").otherwise("b.pdf")))
-    wants = spark.createDataFrame([("public-set1-001", "q", "a.pdf", [2, 1])], "id string, query string, source_name string, relevant_pages array<int>")
+    wants = spark.createDataFrame([("public-set1-001", "q", "a.pdf", [2, 1])],
+        "id string, query string, source_name string, relevant_pages array<int>")
     got = mining.build_examples(wants, c).first()
     assert (got["document_id"], got["relevant_chunk_ids"], got["pair_id"]) == ("d", ["p1", "p2"], "set1")
     for bad in (wants.withColumn("relevant_pages", F.array(F.lit(7))), wants.withColumn("source_name", F.lit("none.pdf"))):
