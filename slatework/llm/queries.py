@@ -72,6 +72,9 @@ def _oversized(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
     pages = table(spark, folder, "course_pages").withColumn("_item", F.concat_ws("#", "document_id", F.col("page_number").cast("string")))
     pages = pages.withColumns({"page_start": F.col("page_number"), "page_end": F.col("page_number")})
     chunks = table(spark, folder, "course_chunks").filter(PASSAGE)
+    if with_text:  # one row of an item is cut; only oversized ones are exchanged for that
+        pages = pages.filter(F.length("text") > PAGE_LIMIT).dropDuplicates(["_item"])
+        chunks = chunks.filter(F.length("text") > PASSAGE_LIMIT).dropDuplicates(["chunk_id"])
     a = split.split_oversized(pages, "_item", "text", PAGE_LIMIT, OVERLAP, keep=("page_start", "page_end"),
         with_text=with_text).withColumn("item_kind", F.lit("page"))
     b = split.split_oversized(chunks, "chunk_id", "text", PASSAGE_LIMIT, OVERLAP, keep=("page_start", "page_end"),
@@ -86,7 +89,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces themselves, in order, with their place in the item and the pages they come from."""
-    return _oversized(spark, folder, True).dropDuplicates(["item_kind", "item_id", "piece_no"])
+    return _oversized(spark, folder, True)
+
+
+def p3_token_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of more than 512 tokens of a public tokenizer, in pieces with 32 tokens of overlap."""
+    pages = table(spark, folder, "course_pages").withColumn("_item", F.concat_ws("#", "document_id", F.col("page_number").cast("string")))
+    pages = pages.filter(F.octet_length("text") > 512).dropDuplicates(["_item"])
+    out = split.split_oversized(pages, "_item", "text", 512, 32, with_text=False, vocabulary=VOCABULARY)
+    return out.select("item_id", "piece_no", "piece_start", "piece_end", "tokens", "overlap", "piece_cut")
 
 
 def p3_faults(spark: SparkSession, folder: str) -> DataFrame:
