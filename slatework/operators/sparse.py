@@ -1,9 +1,9 @@
-"""BM25 over settled token hashes: passages are scored in Arrow batches against blocks of questions, k rows stay.
+"""BM25 over settled token hashes: passages are searched as postings, question by question, k rows stay.
 
 The index is one table of token hashes per passage, made once. Document frequencies are one combined count per term.
-A search sends the terms of the questions (bounded slices) to the workers; each Arrow batch of passages meets one
-block of questions at a time as a product of sparse matrices, and a task keeps no more than k rows per question, so
-pairs of questions and passages never leave it. Only k rows per question and task are exchanged.
+A search sends the terms of the questions (bounded slices) to the workers; each task turns its passages into postings
+of the asked terms, sums them per question and keeps k rows of it, so pairs of questions and passages never leave it.
+Only k rows per question and task are exchanged.
 """
 
 from __future__ import annotations
@@ -13,17 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatework.functions.text import mixed_tokens
-from slatework.operators.best import Best
 from slatework.operators.pages import without_low_value
 from slatework.runtime import mapped_arrow, settled
 
 LEVEL_WEIGHTS = {"section": 0.65, "page": 0.85, "passage": 1.0}
-#: Questions and passages that meet at a time in a worker.
-BLOCK, SLICE = 512, 2048
+#: Questions whose rows leave a worker at a time, passages of a task, and passages whose postings are summed at a time.
+BLOCK, SLICE, PART = 512, 1 << 17, 1 << 16
+#: Terms in one of DENSE passages are also held as rows; the share of a question's k-th best score that may wait.
+DENSE, LATE = 64, 0.5
 
 
 def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
@@ -31,54 +33,85 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> Da
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-class _Questions:
-    """Blocks of questions: for each, its terms (numbers into vocab), question numbers and weights, sorted by term."""
+class _Postings:
+    """Postings of some passages, numbered in order of their ids: each term's passages and what a match gains.
 
-    def __init__(self, question: np.ndarray, term: np.ndarray, weight: np.ndarray, names: list, k1: float, b: float, average: float,
-            levels: dict[str, float]):
-        self.names, self.k1, self.b, self.average, self.levels = names, k1, b, average, levels
-        self.vocab, number = np.unique(term, return_inverse=True)
-        self.blocks = []
-        for low in range(0, len(names), BLOCK):
-            at = np.flatnonzero((question >= low) & (question < low + BLOCK))
-            at = at[np.argsort(number[at], kind="stable")]
-            self.blocks.append((low, min(BLOCK, len(names) - low), number[at], question[at] - low, weight[at]))
-
-    def gains(self, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-        norm = 1 - self.b + (self.b * length / self.average if self.average else 0.0)
-        return tf * (self.k1 + 1) / (tf + self.k1 * norm)
-
-
-def _scores(n: int, m: int, block: tuple, term: np.ndarray, passage: np.ndarray, gain: np.ndarray) -> np.ndarray:
-    """n x m scores of a block of questions and a slice of passages, both sorted by term.
-
-    A term that joins many pairs is a column of a dense product, the others are summed over their pairs.
+    A search is exact. The most frequent terms of a question wait; what they can add to any passage at most is known,
+    so only passages that come that near to the k-th best are completed with them.
     """
-    _, _, q_term, q_row, q_weight = block
-    common = np.intersect1d(np.unique(q_term), np.unique(term), assume_unique=True)
-    q0, q1 = np.searchsorted(q_term, common, "left"), np.searchsorted(q_term, common, "right")
-    p0, p1 = np.searchsorted(term, common, "left"), np.searchsorted(term, common, "right")
-    met = (q1 - q0) * (p1 - p0)
-    out = np.zeros((n, m))
-    wide = np.flatnonzero(met > n * m // 32)
-    for low in range(0, len(wide), 1024):
-        part = wide[low : low + 1024]
-        left, right = np.zeros((n, len(part))), np.zeros((len(part), m))
-        for c, t in enumerate(part.tolist()):
-            left[q_row[q0[t] : q1[t]], c] = q_weight[q0[t] : q1[t]]
-            right[c, passage[p0[t] : p1[t]]] = gain[p0[t] : p1[t]]
-        out += left @ right
-    few = np.flatnonzero(met <= n * m // 32)
-    ends = np.cumsum(met[few])
-    for low in range(0, int(ends[-1]) if len(ends) else 0, 1 << 22):  # in slices: bounded memory
-        pair = np.arange(low, min(low + (1 << 22), int(ends[-1])))
-        which = np.searchsorted(ends, pair, "right")
-        t = few[which]
-        rest = pair - (ends[which] - met[t])
-        width = (p1 - p0)[t]
-        q, p = q0[t] + rest // width, p0[t] + rest % width
-        out += np.bincount(q_row[q] * m + passage[p], q_weight[q] * gain[p], n * m).reshape(n, m)
-    return out
+
+    def __init__(self, n: int, term: np.ndarray, passage: np.ndarray, gain: np.ndarray, terms: int):
+        """One posting, in any order, for each term (below terms) and passage (below n) that meet."""
+        self.blocks = min(2048, 1 << (n // 16).bit_length())
+        self.room = -(-n // (8 * self.blocks)) * 8 * self.blocks
+        order = np.argsort(term.astype(np.int64) * n + passage)
+        self.passage, self.gain = passage[order].astype(np.int64), gain[order]
+        self.count = np.bincount(term, minlength=terms)
+        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        self.most = np.zeros(terms)
+        some = np.flatnonzero(self.count)
+        if len(some):
+            self.most[some] = np.maximum.reduceat(self.gain, self.first[some])
+        often = some[self.count[some] * DENSE >= n]
+        self.dense = {}
+        for t in often[np.argsort(-self.count[often], kind="stable")][: 2 * DENSE].tolist():
+            self.dense[t] = row = np.zeros(self.room)
+            row[self.passage[self.first[t] : self.first[t + 1]]] = self.gain[self.first[t] : self.first[t + 1]]
+
+    def _floor(self, sums: np.ndarray, rest: list, k: int) -> float:
+        """At most the k-th best score: the least of k passages that are good before the rest is added."""
+        if self.blocks < 2 * k:
+            return float(np.partition(sums, -k)[-k]) if len(sums) >= k else 0.0
+        table = sums.reshape(-1, self.blocks)
+        top = np.argpartition(table.max(0), -k)[-k:]
+        best = table[:, top].argmax(0) * self.blocks + top
+        score = sums[best]
+        for t, w in rest:
+            score += w * self.dense[t][best]
+        return float(score.min())
+
+    def search(self, terms: np.ndarray, weight: np.ndarray, k: int, digits: int | None, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(passages, scores) of the k best above floor; scores are rounded before they are ranked, equals go by number."""
+        here = self.count[terms] > 0
+        terms, weight = terms[here], weight[here]
+        slack = 1e-9 if digits is None else 10.0**-digits
+        order = np.argsort(-self.count[terms], kind="stable")
+        terms, weight = terms[order], weight[order]
+        reach = np.cumsum(weight * self.most[terms])
+        if not len(terms) or reach[-1] <= floor - slack:
+            return np.empty(0, np.int64), np.empty(0)
+        may = LATE * floor if floor else LATE / 4 * reach[-1]
+        late = 0  # so many of the most frequent terms wait
+        for t in terms[: min(len(terms) - 1, int(np.searchsorted(reach, may, "right")))].tolist():
+            if t not in self.dense:
+                break
+            late += 1
+        rest = list(zip(terms[:late].tolist(), weight[:late].tolist()))
+        a, b = self.first[terms[late:]], self.first[terms[late:] + 1]
+        spans = list(zip(a.tolist(), b.tolist()))
+        gain = np.concatenate([self.gain[x:y] for x, y in spans])
+        gain *= np.repeat(weight[late:], b - a)
+        sums = np.bincount(np.concatenate([self.passage[x:y] for x, y in spans]), gain, self.room)
+        known = floor
+        if not known:
+            floor = self._floor(sums, rest, k)
+        if rest and floor - reach[late - 1] <= slack:
+            for t, w in rest:
+                sums += w * self.dense[t]
+            rest, late = [], 0
+            floor = known or self._floor(sums, rest, k)
+        fit = sums >= max(floor - slack - (reach[late - 1] if late else 0.0), 1e-300)
+        at = (np.flatnonzero(fit.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()  # eight at a time, as few fit
+        at = at[fit[at]]
+        score = sums[at]
+        for t, w in rest:
+            score += w * self.dense[t][at]
+        if digits is not None:
+            score = np.round(score, digits)
+        good = np.flatnonzero(score > known)
+        at, score = at[good], score[good]
+        keep = np.argsort(-score, kind="stable")[:k]
+        return at[keep], score[keep]
 
 
 @dataclass
@@ -136,42 +169,68 @@ class Bm25Index:
             out = found if out is None else out.unionByName(found)
         return top_k(out, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "score", "rank")
 
+    def _parts(self) -> int:
+        """Tasks of at most about SLICE passages, a whole number of them for each core, but none of few passages."""
+        cores = self.tokens.sparkSession.sparkContext.defaultParallelism
+        return max(1, min(cores * -(-self.n // (SLICE * cores)), -(-self.n // (SLICE // 64 or 1))))
+
     def _scan(self, terms: DataFrame, k: int, digits: int | None) -> DataFrame:
-        held = terms.toPandas()
-        question, names = held["query_id"].factorize(sort=True)
-        questions = _Questions(question, held["term"].to_numpy(np.int64), held["w"].to_numpy(float), list(names), self.k1, self.b,
-            self.average_length, self.level_weights or LEVEL_WEIGHTS)
-        known = self.tokens.sparkSession.sparkContext.broadcast(questions)
+        held = terms.toArrow()
+        coded = held["query_id"].combine_chunks().dictionary_encode()
+        names, question = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        vocab, number = np.unique(held["term"].to_numpy(), return_inverse=True)
+        order = np.argsort(question, kind="stable")
+        first = np.searchsorted(question[order], np.arange(len(names) + 1))
+        known = self.tokens.sparkSession.sparkContext.broadcast((names, first, number[order].astype(np.int32),
+            held["w"].to_numpy()[order], vocab))
+        k1, b, average, levels = self.k1, self.b, self.average_length, self.level_weights or LEVEL_WEIGHTS
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qs = known.value
-            best = Best(len(qs.names), k)
+            names, first, number, weight, vocab = known.value
+            ids, parts, n = [], [], 0
             for batch in batches:
-                if not len(qs.names):
+                if not len(vocab) or not batch.num_rows:
                     continue
-                for low in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(low, SLICE)
-                    ids, lists = part.column("chunk_id").to_numpy(zero_copy_only=False), part.column("terms")
-                    weight = np.array([qs.levels.get(x, 1.0) for x in part.column("level").to_pylist()])
-                    length = part.column("length").to_numpy().astype(float)
-                    sizes = np.diff(lists.offsets.to_numpy())
-                    all_terms = lists.flatten().to_numpy()
-                    at = np.searchsorted(qs.vocab, all_terms).clip(0, max(0, len(qs.vocab) - 1))
-                    mine = qs.vocab[at] == all_terms
-                    key, tf = np.unique(at[mine] * len(ids) + np.repeat(np.arange(len(ids)), sizes)[mine], return_counts=True)
-                    term, passage = key // len(ids), key % len(ids)
-                    gain = qs.gains(tf, length[passage]) * weight[passage]
-                    for block in qs.blocks:
-                        s = _scores(block[1], len(ids), block, term, passage, gain)
-                        best.add(block[0], s if digits is None else np.round(s, digits), ids, above=0.0)
-            row, ids, score = best.rows()
-            yield pa.RecordBatch.from_arrays([pa.array([qs.names[r] for r in row], kinds[0]), pa.array(ids, pa.string()),
-                pa.array(score, pa.float64())], names=["query_id", "chunk_id", "score"])
-
-        kind = terms.schema["query_id"].dataType
-        kinds = [pa.string() if kind.simpleString() == "string" else pa.int64() if kind.simpleString() == "bigint" else pa.int32()]
-        return mapped_arrow(self.tokens.select("chunk_id", "level", "length", "terms"), work,
-            f"query_id {kind.simpleString()}, chunk_id string, score double")
+                ids.append(batch.column("chunk_id"))
+                lists, length = batch.column("terms"), batch.column("length").to_numpy().astype(float)
+                level = np.array([levels.get(x, 1.0) for x in batch.column("level").to_pylist()])
+                all_terms, m = lists.flatten().to_numpy(), batch.num_rows
+                at = np.searchsorted(vocab, all_terms).clip(0, len(vocab) - 1)
+                mine = vocab[at] == all_terms
+                key, tf = np.unique(at[mine] * m + np.repeat(np.arange(m), np.diff(lists.offsets.to_numpy()))[mine], return_counts=True)
+                term, passage = key // m, key % m
+                gain = tf * (k1 + 1) / (tf + k1 * (1 - b + (b * length[passage] / average if average else 0.0))) * level[passage]
+                parts.append((term.astype(np.int32), (n + passage).astype(np.int32), gain))
+                n += m
+            if not n:
+                return
+            found = pa.concat_arrays([x.cast(pa.string()) for x in ids])
+            order = pc.sort_indices(found).to_numpy()
+            place = np.empty(n, np.int32)
+            place[order] = np.arange(n, dtype=np.int32)
+            term, passage, gain = (np.concatenate(x) for x in zip(*parts))
+            passage = place[passage]
+            del parts
+            best, score = np.zeros((len(names), k), np.int32), np.zeros((len(names), k))  # a score of 0 is none
+            for low in range(0, n, PART):  # in order of the ids: of equals, those of an earlier part go first
+                mine = np.flatnonzero((passage >= low) & (passage < low + PART))
+                postings = _Postings(min(PART, n - low), term[mine], passage[mine] - low, gain[mine], len(vocab))
+                for q in range(len(names)):
+                    at, new = postings.search(number[first[q] : first[q + 1]], weight[first[q] : first[q + 1]], k, digits, score[q, -1])
+                    if len(at):
+                        both = np.concatenate([score[q], new])
+                        keep = np.argsort(-both, kind="stable")[:k]
+                        best[q], score[q] = np.concatenate([best[q], at + low])[keep], both[keep]
+            del term, passage, gain
+            for low in range(0, len(names), BLOCK):
+                row, rank = np.nonzero(score[low : low + BLOCK] > 0)
+                row += low
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), found.take(pa.array(order[best[row, rank]])),
+                    pa.array(score[row, rank])], names=["query_id", "chunk_id", "score"])
+
+        kind = terms.schema["query_id"].dataType.simpleString()
+        tokens = self.tokens.select("chunk_id", "level", "length", "terms").coalesce(self._parts())
+        return mapped_arrow(tokens, work, f"query_id {kind}, chunk_id string, score double")
 
     def scored(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
         """(query_id, chunk_id, score) of the given pairs whose score is above 0; a pair costs one join, nothing is ranked."""

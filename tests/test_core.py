@@ -182,6 +182,41 @@ def test_bm25_against_brute_force(spark, monkeypatch):
     assert index.search(q.limit(0), 4).count() == 0 and Bm25Index.build(chunks_of(spark, [])).search(q).count() == 0
 
 
+def test_bm25_rows_do_not_grow_with_partitions(spark):
+    """Tokens in many small partitions are searched by few tasks: each hands on k rows of a question."""
+    texts = [(f"c{n:04}", "d", 1, 1, f"word{n % 7} term{n % 11} common {'common ' * (n % 3)}", "passage") for n in range(800)]
+    index = Bm25Index.build(chunks_of(spark, texts).repartition(40))
+    index.tokens = index.tokens.repartition(40)
+    q = spark.createDataFrame([(f"q{n}", f"word{n} term{n} common") for n in range(7)], "query_id string, query string")
+    assert index._scan(index._weighted(q), 5, 6).count() <= 7 * 5 * 8
+    few = Bm25Index(index.tokens.coalesce(1), index.n, index.average_length)
+    assert sorted(index.search(q, 5, 6).collect()) == sorted(few.search(q, 5, 6).collect())
+
+
+def test_bm25_frequent_terms_that_wait():
+    """Passages are completed with the terms left out at first: the same ranks and scores as by all sums, with ties."""
+    import numpy as np
+
+    from slatework.operators.sparse import _Postings
+
+    r = np.random.default_rng(5)
+    n, terms = 3000, 60
+    held = r.random((terms, n)) < np.r_[np.full(6, 0.6), np.full(24, 0.1), np.full(30, 0.004)][:, None]
+    gains = np.where(held, r.choice([0.5, 1.0, 1.5], (terms, n)), 0.0)
+    t, p = np.nonzero(held)
+    mix = r.permutation(len(t))
+    postings = _Postings(n, t[mix].astype(np.int32), p[mix].astype(np.int32), gains[t, p][mix], terms)
+    for k in (1, 5, 50, 700):
+        for _ in range(20):
+            asked = r.choice(terms, r.integers(1, 20), replace=False)
+            weight = np.where(asked < 6, 0.4, np.where(asked < 30, 2.0, 7.0))
+            true = np.round(weight @ gains[asked], 6)
+            for floor in (0.0, float(np.sort(true)[-3])):
+                want = [i for i in np.argsort(-true, kind="stable")[:k] if true[i] > floor]
+                at, score = postings.search(asked, weight, k, 6, floor)
+                assert at.tolist() == want and np.allclose(score, true[want], atol=1e-6)
+
+
 def test_dense_and_caches(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [0.0, 1.0])], "chunk_id string, embedding array<double>")
     q = spark.createDataFrame([("q", [0.0, 1.0])], "query_id string, embedding array<double>")
