@@ -224,7 +224,8 @@ def mine_negatives(s, a):
     e = readers.read_jsonl(s, a.dataset, schemas.EXAMPLE)
     index = Bm25Index.build(c)
     out = mining.hard_negatives(e, index.search(asked(e), a.top_k), c, a.top_k,
-        scored=lambda pairs: index.scored(pairs, asked(e))).select(*mining.FIELDS)
+        scored=lambda pairs: index.scored(pairs, asked(e)),
+        first_on_pages=lambda wants: index.first_on_pages(wants, asked(e))).select(*mining.FIELDS)
     sinks.write_jsonl(out, a.output)
     say({"triplets": out.count(), "output": a.output})
 

@@ -23,35 +23,54 @@ def difficulty(rank):
     return F.when(rank <= 5, "hard").when(rank <= 10, "medium").otherwise("easy")
 
 
-def positives(examples: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id): labelled chunks that exist, and chunks that cover a labelled page (of any document if null)."""
+def positives(examples: DataFrame, chunks: DataFrame, anywhere: bool = True) -> DataFrame:
+    """(query_id, chunk_id): labelled chunks that exist, and chunks that cover a labelled page (of any document if null).
+
+    Without anywhere the pages of examples without a document are left out: they pair with chunks of all documents.
+    """
     known = chunks.select("chunk_id").distinct()
     named = examples.select(F.col("id").alias("query_id"), F.explode("relevant_chunk_ids").alias("chunk_id")).join(known, "chunk_id")
     pages = chunks.select("chunk_id", "document_id", F.explode(F.sequence("page_start", "page_end")).alias("page"))
     wants = examples.select(F.col("id").alias("query_id"), "document_id", F.explode("relevant_pages").alias("page"))
     own = wants.filter("document_id is not null").join(pages, ["document_id", "page"]).select("query_id", "chunk_id")
-    anywhere = wants.filter("document_id is null").drop("document_id").join(pages, "page").select("query_id", "chunk_id")
-    return named.select("query_id", "chunk_id").unionByName(own).unionByName(anywhere).distinct()
+    out = named.select("query_id", "chunk_id").unionByName(own)
+    if anywhere:
+        out = out.unionByName(wants.filter("document_id is null").drop("document_id").join(pages, "page").select("query_id", "chunk_id"))
+    return out.distinct()
 
 
 def hard_negatives(examples: DataFrame, ranked: DataFrame, chunks: DataFrame, top_k: int = 20, miner: str = "bm25",
         quotas: dict[str, int] | None = None,
-                   scored: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                   scored: Callable[[DataFrame], DataFrame] | None = None,
+                   first_on_pages: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Triplets (query_id and FIELDS) from the first top_k ranks; a difficulty without a quota is not limited.
 
     The representative positive is the one that a ranking of all chunks puts first, else the smallest id. scored
     gives the scores of (query_id, chunk_id) pairs, so that only positives need scores beyond top_k; without it,
-    ranked must be a ranking of all chunks.
+    ranked must be a ranking of all chunks. first_on_pages gives, for (query_id, page), the best (query_id, chunk_id,
+    score) of all chunks that cover such a page: with it, the chunks of all documents that are positives of an example
+    without a document are never paired with it.
     """
     if quotas is not None and (set(quotas) - set(DIFFICULTIES) or min(quotas.values(), default=0) < 0):
         raise ValueError("quotas must be at least 0 and named hard, medium or easy")
-    good = settled(positives(examples, chunks))
+    good = settled(positives(examples, chunks, first_on_pages is None))
     known = (ranked if scored is None else scored(good)).select("query_id", "chunk_id", "score")
-    best = good.join(known, ["query_id", "chunk_id"], "left").groupBy("query_id")
-    best = best.agg(F.coalesce(F.min_by("chunk_id", F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), "chunk_id"))),
-        F.min("chunk_id")).alias("positive_chunk_id"))
-    bad = ranked.filter(F.col("rank") <= top_k).join(good, ["query_id", "chunk_id"], "left_anti").join(best, "query_id").withColumn("difficulty",
-        difficulty(F.col("rank")))
+    best = good.join(known, ["query_id", "chunk_id"], "left")
+    shown = settled(ranked.filter(F.col("rank") <= top_k))
+    bad = shown.join(good, ["query_id", "chunk_id"], "left_anti")
+    if first_on_pages is not None:
+        free = examples.filter("document_id is null and size(relevant_pages) > 0").select(F.col("id").alias("query_id"), "relevant_pages")
+        wants = free.select("query_id", F.explode("relevant_pages").alias("page")).filter("page is not null").distinct()
+        spans = chunks.select("chunk_id", "page_start", "page_end")
+        least = spans.select("chunk_id", F.explode(F.sequence("page_start", "page_end")).alias("page")).groupBy("page").agg(F.min("chunk_id").alias("chunk_id"))
+        best = best.unionByName(wants.join(least, "page").select("query_id", "chunk_id", F.lit(None).cast("double").alias("score")))
+        best = best.unionByName(first_on_pages(wants).select("query_id", "chunk_id", "score"))
+        inside = F.exists("relevant_pages", lambda p: F.array_contains(F.sequence("page_start", "page_end"), p))
+        covered = shown.join(free, "query_id").join(spans, "chunk_id").filter(inside).select("query_id", "chunk_id")
+        bad = bad.join(covered, ["query_id", "chunk_id"], "left_anti")
+    best = best.groupBy("query_id").agg(F.coalesce(F.min_by("chunk_id",
+        F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), "chunk_id"))), F.min("chunk_id")).alias("positive_chunk_id"))
+    bad = bad.join(best, "query_id").withColumn("difficulty", difficulty(F.col("rank")))
     if quotas:
         limit = F.lit(None).cast("int")
         for name, n in quotas.items():

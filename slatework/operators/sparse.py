@@ -113,10 +113,22 @@ class _Postings:
         keep = np.argsort(-score, kind="stable")[:k]
         return at[keep], score[keep]
 
+    def search_among(self, passages: np.ndarray, terms: np.ndarray, weight: np.ndarray, k: int, digits: int | None,
+            floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """As search, of the given passages only (in order)."""
+        sums = np.zeros(self.room)
+        for t, w in zip(terms.tolist(), weight.tolist()):
+            a, b = self.first[t], self.first[t + 1]
+            sums[self.passage[a:b]] += w * self.gain[a:b]
+        score = sums[passages] if digits is None else np.round(sums[passages], digits)
+        good = np.flatnonzero(score > floor)
+        keep = good[np.argsort(-score[good], kind="stable")[:k]]
+        return passages[keep], score[keep]
+
 
 @dataclass
 class Bm25Index:
-    """tokens(chunk_id, level, length, terms: hashes), settled; n counts all chunks, average_length those kept."""
+    """tokens(chunk_id, page_start, page_end, level, length, terms: hashes), settled; n counts all chunks, average_length those kept."""
 
     tokens: DataFrame
     n: int
@@ -134,7 +146,8 @@ class Bm25Index:
         """
         kept = F.lit(True) if not exclude_low_value else ~F.coalesce("metadata.text_retrieval_excluded", F.lit(False))
         terms = F.when(kept, F.coalesce(F.transform(mixed_tokens(F.col("text")), lambda t: F.xxhash64(t)), F.array().cast("array<bigint>")))
-        tokens = settled(chunks.select("chunk_id", F.coalesce("level", F.lit("passage")).alias("level"), terms.alias("terms")).withColumn("length",
+        pages = [c for c in ("page_start", "page_end") if c in chunks.columns]
+        tokens = settled(chunks.select("chunk_id", *pages, F.coalesce("level", F.lit("passage")).alias("level"), terms.alias("terms")).withColumn("length",
             F.size("terms")))
         r = tokens.agg(F.count("*").alias("n"), F.avg(F.when(F.col("terms").isNotNull(), F.col("length"))).alias("a")).first()
         return cls(tokens.filter("terms is not null"), r["n"], r["a"] or 0.0, k1, b, level_weights)
@@ -169,25 +182,44 @@ class Bm25Index:
             out = found if out is None else out.unionByName(found)
         return top_k(out, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "score", "rank")
 
+    def first_on_pages(self, wants: DataFrame, queries: DataFrame, digits: int | None = None, slice_terms: int = 2_000_000) -> DataFrame:
+        """(query_id, chunk_id, score): of the passages that cover one of a query's wanted (query_id, page), the best above 0.
+
+        Pairs of queries and passages stay in the workers, however many passages cover a page.
+        """
+        pages = settled(wants.groupBy("query_id").agg(F.collect_set("page").alias("pages")))
+        terms = self._weighted(queries.join(pages, "query_id", "left_semi"))
+        parts = -(-terms.count() // slice_terms) or 1
+        out = None
+        for part in range(parts):
+            mine = F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part
+            found = self._scan(terms.filter(mine), 1, digits, pages.filter(mine))
+            out = found if out is None else out.unionByName(found)
+        return top_k(out, 1, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "score")
+
     def _parts(self) -> int:
         """Tasks of at most about SLICE passages, a whole number of them for each core, but none of few passages."""
         cores = self.tokens.sparkSession.sparkContext.defaultParallelism
         return max(1, min(cores * -(-self.n // (SLICE * cores)), -(-self.n // (SLICE // 64 or 1))))
 
-    def _scan(self, terms: DataFrame, k: int, digits: int | None) -> DataFrame:
+    def _scan(self, terms: DataFrame, k: int, digits: int | None, wanted: DataFrame | None = None) -> DataFrame:
         held = terms.toArrow()
         coded = held["query_id"].combine_chunks().dictionary_encode()
         names, question = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         vocab, number = np.unique(held["term"].to_numpy(), return_inverse=True)
         order = np.argsort(question, kind="stable")
         first = np.searchsorted(question[order], np.arange(len(names) + 1))
+        pages = None
+        if wanted is not None:
+            pages = {r["query_id"]: np.array(r["pages"]) for r in wanted.collect()}
+            pages = [pages[x] for x in names.to_pylist()]
         known = self.tokens.sparkSession.sparkContext.broadcast((names, first, number[order].astype(np.int32),
             held["w"].to_numpy()[order], vocab))
         k1, b, average, levels = self.k1, self.b, self.average_length, self.level_weights or LEVEL_WEIGHTS
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, first, number, weight, vocab = known.value
-            ids, parts, n = [], [], 0
+            ids, parts, spans, n = [], [], [], 0
             for batch in batches:
                 if not len(vocab) or not batch.num_rows:
                     continue
@@ -200,6 +232,9 @@ class Bm25Index:
                 key, tf = np.unique(at[mine] * m + np.repeat(np.arange(m), np.diff(lists.offsets.to_numpy()))[mine], return_counts=True)
                 term, passage = key // m, key % m
                 gain = tf * (k1 + 1) / (tf + k1 * (1 - b + (b * length[passage] / average if average else 0.0))) * level[passage]
+                if pages is not None:
+                    ends = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("page_start", "page_end")]
+                    spans.append(np.sort(np.stack(ends, 1) + 0 * ends[0][:, None] + 0 * ends[1][:, None], 1))  # a null makes both NaN
                 parts.append((term.astype(np.int32), (n + passage).astype(np.int32), gain))
                 n += m
             if not n:
@@ -211,12 +246,18 @@ class Bm25Index:
             term, passage, gain = (np.concatenate(x) for x in zip(*parts))
             passage = place[passage]
             del parts
+            spans = np.concatenate(spans)[order] if pages is not None else None
             best, score = np.zeros((len(names), k), np.int32), np.zeros((len(names), k))  # a score of 0 is none
             for low in range(0, n, PART):  # in order of the ids: of equals, those of an earlier part go first
                 mine = np.flatnonzero((passage >= low) & (passage < low + PART))
                 postings = _Postings(min(PART, n - low), term[mine], passage[mine] - low, gain[mine], len(vocab))
                 for q in range(len(names)):
-                    at, new = postings.search(number[first[q] : first[q + 1]], weight[first[q] : first[q + 1]], k, digits, score[q, -1])
+                    asked = number[first[q] : first[q + 1]], weight[first[q] : first[q + 1]], k, digits, score[q, -1]
+                    if pages is None:
+                        at, new = postings.search(*asked)
+                    else:
+                        start, end = spans[low : low + PART, 0], spans[low : low + PART, 1]
+                        at, new = postings.search_among(np.flatnonzero(np.any([(start <= p) & (p <= end) for p in pages[q]], axis=0)), *asked)
                     if len(at):
                         both = np.concatenate([score[q], new])
                         keep = np.argsort(-both, kind="stable")[:k]
@@ -229,7 +270,8 @@ class Bm25Index:
                     pa.array(score[row, rank])], names=["query_id", "chunk_id", "score"])
 
         kind = terms.schema["query_id"].dataType.simpleString()
-        tokens = self.tokens.select("chunk_id", "level", "length", "terms").coalesce(self._parts())
+        more = ("page_start", "page_end") if wanted is not None else ()
+        tokens = self.tokens.select("chunk_id", *more, "level", "length", "terms").coalesce(self._parts())
         return mapped_arrow(tokens, work, f"query_id {kind}, chunk_id string, score double")
 
     def scored(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:

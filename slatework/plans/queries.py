@@ -329,7 +329,8 @@ def dataset_counts(s, d):
 def _negatives(s, d, quotas=None):
     e, index = _examples(s, d), Bm25Index.build(_passages(s, d))
     rounded = lambda pairs: index.scored(pairs, _asked(e)).withColumn("score", F.round("score", 6))
-    return mining.hard_negatives(e, index.search(_asked(e), 20, digits=6), _passages(s, d), 20, quotas=quotas, scored=rounded)
+    return mining.hard_negatives(e, index.search(_asked(e), 20, digits=6), _passages(s, d), 20, quotas=quotas, scored=rounded,
+        first_on_pages=lambda wants: index.first_on_pages(wants, _asked(e), 6))
 
 
 @query

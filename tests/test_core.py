@@ -342,6 +342,22 @@ def test_mining_and_pairs(spark):
     assert mining.training_steps(65, 8, 1) == (9, 1)
 
 
+def test_positives_of_any_document_are_not_paired(spark, monkeypatch):
+    """Pages of an example without a document lie in every document: the same triplets without a row for each chunk."""
+    c = chunks_of(spark, [(f"c{n:03}", f"d{n % 9}", n % 5, n % 5 + n % 2, f"word{n % 7} common {'more ' * (n % 4)}", "passage") for n in range(120)])
+    e = examples_of(spark, [("1", "word3 common", None, [2], [], "t", "train", "v"), ("2", "word1", None, [4, 0], ["c005"], "t", "train", "v"),
+        ("3", "unseen more", None, [1, 77], [], "t", "train", "v"), ("4", "word2 common", "d3", [3], ["c011"], "t", "train", "v"),
+        ("5", "unseen", None, [1], [], "t", "train", "v"), ("6", "common", None, [], ["c000"], "t", "train", "v")])
+    index, asked = Bm25Index.build(c), e.select(F.col("id").alias("query_id"), "query")
+    rounded = lambda pairs: index.scored(pairs, asked).withColumn("score", F.round("score", 6))
+    found = index.search(asked, 20, 6)
+    want = mining.hard_negatives(e, found, c, scored=rounded).collect()
+    seen, real = [], mining.positives
+    monkeypatch.setattr(mining, "positives", lambda *a: seen.append(real(*a).count()) or real(*a))
+    got = mining.hard_negatives(e, found, c, scored=rounded, first_on_pages=lambda w: index.first_on_pages(w, asked, 6)).collect()
+    assert sorted(got) == sorted(want) and len(want) > 20 and seen[0] < 20
+
+
 def test_released_checkpoints(spark):
     import os
 
