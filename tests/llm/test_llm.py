@@ -50,6 +50,20 @@ def test_republished_documents_are_one_cluster(spark):
 
 # Vectors
 
+def test_vectors_are_not_kept_twice(spark, tmp_path):
+    """What stays on disk for a search at a least similarity: keys, and each vector once in half its size."""
+    from pathlib import Path
+
+    x = np.random.default_rng(11).normal(size=(2000, 64))
+    v = spark.createDataFrame([(f"c{n:05}", row.tolist(), "g") for n, row in enumerate(x)], VEC)
+    ivfpq.most_similar(v.limit(1), min_similarity=0.85).count()  # the folder is set
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("part-*"))
+    before = size()
+    assert ivfpq.most_similar(v, min_similarity=0.85).count() == 0
+    assert size() - before < 2000 * 64 * 8 * 1.5
+
+
 def test_republished_story_keeps_its_text(spark):
     """A story in many documents is one cluster and stays; the line under every document of the source goes."""
     story = "A long story about the bridge.\nIt was opened in spring.\nShare this page"
